@@ -50,18 +50,22 @@ def mention_or_row(spark, d):
                                 ["or"], mode="row"))
 
 
+PERSON_C = "hot bolt"
+ORG_D = "gear"
+
+
 @query("mention_and_paper", with_views(
     f"""SELECT {ROW_SQL} FROM v_rows r
-        WHERE ((entity_type = 'PERSON' AND entity_name = '{PERSON_A}')
-               OR (entity_type = 'ORG' AND entity_name = '{ORG_B}'))
+        WHERE ((entity_type = 'PERSON' AND entity_name = '{PERSON_C}')
+               OR (entity_type = 'ORG' AND entity_name = '{ORG_D}'))
           AND EXISTS (SELECT 1 FROM v_mentions m WHERE m.paper_id = r.paper_id
-                      AND m.entity_type = 'PERSON' AND m.entity_name = '{PERSON_A}')
+                      AND m.entity_type = 'PERSON' AND m.entity_name = '{PERSON_C}')
           AND EXISTS (SELECT 1 FROM v_mentions m WHERE m.paper_id = r.paper_id
-                      AND m.entity_type = 'ORG' AND m.entity_name = '{ORG_B}')""", "v_rows"),
+                      AND m.entity_type = 'ORG' AND m.entity_name = '{ORG_D}')""", "v_rows"),
     "FLT3 (paper mode)")
 def mention_and_paper(spark, d):
     p, e, phe = v_index(spark, d)
-    return _rows(mention_search(p, phe, e, [Clause("person", PERSON_A), Clause("organisation", ORG_B)],
+    return _rows(mention_search(p, phe, e, [Clause("person", PERSON_C), Clause("organisation", ORG_D)],
                                 ["and"], mode="paper"))
 
 
