@@ -22,6 +22,11 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Local runs only: the whole of local mode lives in the driver JVM.
+LOCAL_CONF = {
+    "spark.driver.memory": "16g",
+}
+
 
 def get_spark(master: str | None = None, app: str = "scholarq",
               shuffle_partitions: int | None = None,
@@ -29,6 +34,9 @@ def get_spark(master: str | None = None, app: str = "scholarq",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            for k, v in LOCAL_CONF.items():
+                b = b.config(k, v)
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     if shuffle_partitions:
