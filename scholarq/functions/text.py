@@ -25,3 +25,17 @@ def sentences(text: Column) -> Column:
     (no look-behind needed).  Returns the raw pieces (trim/drop later)."""
     marked = F.regexp_replace(text, r"([.!?])\s+", "$1" + SENT_MARK)
     return F.split(marked, SENT_MARK)
+
+
+def explode_rows(df, keep: list[str], array_col, alias: str = "value", pos_alias: str | None = None):
+    """Rows of ``array_col`` elements (with position if ``pos_alias``).
+
+    Uses the *outer* generator and drops its padding row: for a plain
+    explode the optimizer infers ``size(array) > 0`` and pushes that filter
+    below the projections, evaluating the (costly) array expression twice.
+    """
+    if pos_alias:
+        out = df.select(*keep, F.posexplode_outer(array_col).alias(pos_alias, alias))
+        return out.filter(F.col(pos_alias).isNotNull())
+    out = df.select(*keep, F.explode_outer(array_col).alias(alias))
+    return out.filter(F.col(alias).isNotNull())

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholarq.functions.text import explode_rows
+
 MAX_DEPTH = 48  # container levels (objects and arrays each count one)
 _ENTRY = "struct<leaf:boolean,node:variant,text:string>"
 
@@ -101,9 +103,8 @@ def extract_texts(trees: DataFrame, id_col: str, json_col: str, max_depth: int =
     ``posexplode_outer`` + a filter on its output, not ``posexplode``: for
     a non-outer generator the optimizer infers ``size(array) > 0`` and
     pushes it below the level projections, inlining the whole walk."""
-    return (with_text_nodes(trees.select(id_col, json_col), json_col, "_t", max_depth)
-            .select(id_col, F.posexplode_outer("_t").alias("pos", "text"))
-            .filter(F.col("pos").isNotNull()))
+    return explode_rows(with_text_nodes(trees.select(id_col, json_col), json_col, "_t", max_depth),
+                        [id_col], F.col("_t"), "text", "pos")
 
 
 def full_text(trees: DataFrame, id_col: str, json_col: str, sep: str = " ",

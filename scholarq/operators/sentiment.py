@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholarq.functions.text import WORD, sentences, tokens
+from scholarq.functions.text import WORD, explode_rows, sentences, tokens
 
 # Fixed values of the published method (Hutto & Gilbert 2014).
 NEGATION_SCALAR = -0.74
@@ -116,7 +116,7 @@ def label(polarity: Column) -> Column:
 def split_sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """SEN1: (id, sent_idx, sentence); pieces trimmed of surrounding
     whitespace, empty ones dropped (indices keep their original position)."""
-    return (docs.select(id_col, F.posexplode(sentences(F.col(text_col))).alias("sent_idx", "sentence"))
+    return (explode_rows(docs, [id_col], sentences(F.col(text_col)), "sentence", "sent_idx")
             .withColumn("sentence", F.regexp_replace("sentence", r"^\s+|\s+$", ""))
             .filter(F.col("sentence") != ""))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarq.functions.stopwords import ENGLISH_STOP_WORDS
-from scholarq.functions.text import WORD2, tokens
+from scholarq.functions.text import WORD2, explode_rows, tokens
 
 MAX_FEATURES = 1000
 TOP_TERMS = 5
@@ -36,12 +36,22 @@ def with_terms(df: DataFrame, text_col: str, stop_words=ENGLISH_STOP_WORDS, out_
     return kept.withColumn(out_col, F.concat(k, bigrams)).drop("_kept")
 
 
+def by_document(docs: DataFrame, id_col: str) -> DataFrame:
+    """Hash-partition the corpus by document id, once.
+
+    This shuffle moves raw text, several times less than the distinct
+    (doc, term) pairs (bigrams included) that the per-document count would
+    otherwise shuffle; and the partitioning then satisfies both the
+    per-document term count and the per-document norm window, so neither
+    needs an exchange of its own."""
+    return docs.repartition(F.col(id_col))
+
+
 def doc_term_counts(docs: DataFrame, id_col: str, text_col: str, stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
-    """(id, term, tf).  All terms of a document come from one row, so the
-    partial aggregation in the map task already yields exact counts; only
-    distinct (doc, term) pairs are shuffled."""
+    """(id, term, tf); ``docs`` should come from ``by_document`` so that the
+    count runs without a further exchange."""
     t = with_terms(docs.select(id_col, text_col), text_col, stop_words)
-    return (t.select(id_col, F.explode("terms").alias("term"))
+    return (explode_rows(t, [id_col], F.col("terms"), "term")
             .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -58,8 +68,9 @@ def vocabulary(dtc: DataFrame, n_docs: DataFrame, id_col: str, max_features: int
 def tfidf(docs: DataFrame, id_col: str, text_col: str, stop_words=ENGLISH_STOP_WORDS,
           max_features: int = MAX_FEATURES) -> tuple[DataFrame, DataFrame]:
     """CL4: (weights (id, term, weight), vocabulary)."""
+    n_docs = docs.agg(F.count(F.lit(1)).alias("n"))  # counted on the scan, before any exchange
+    docs = by_document(docs.select(id_col, text_col), id_col)
     dtc = doc_term_counts(docs, id_col, text_col, stop_words)
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
     vocab = vocabulary(dtc, n_docs, id_col, max_features)
     # vocab is capped at max_features rows, so broadcasting it is bounded.
     w = dtc.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
