@@ -16,24 +16,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarq.functions.stopwords import ENGLISH_STOP_WORDS
-from scholarq.operators.tfidf import MAX_FEATURES, TOP_TERMS, assemble_text, cluster_terms, tfidf, with_terms
+from scholarq.operators.tfidf import (MAX_FEATURES, TOP_TERMS, assemble_text, by_document, cluster_terms,
+                                      term_counts, vocabulary, weights_from_counts, with_terms)
 
 DEFAULT_K = 5
 SEED = 42
 
 
-def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame) -> DataFrame:
-    """(id, features) sparse L2-normalised TF-IDF vectors over ``vocab``."""
+def tfidf_vectors(terms: DataFrame, id_col: str, vocab: DataFrame, terms_col: str = "terms") -> DataFrame:
+    """(id, features) sparse L2-normalised TF-IDF vectors over ``vocab``
+    from a frame holding each document's term array."""
     rows = vocab.select("term", "idf").collect()  # <= max_features rows
     if not rows:
-        return docs.select(id_col).limit(0).withColumn("features", F.lit(None))
-    terms = [r["term"] for r in rows]
-    idf = [float(r["idf"]) for r in rows]
-    t = with_terms(docs.select(id_col, text_col), text_col)
-    cv = CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="_tf")
-    ep = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_tfidf")
+        return terms.select(id_col).limit(0).withColumn("features", F.lit(None))
+    cv = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol=terms_col, outputCol="_tf")
+    ep = ElementwiseProduct(scalingVec=Vectors.dense([float(r["idf"]) for r in rows]),
+                            inputCol="_tf", outputCol="_tfidf")
     nz = Normalizer(p=2.0, inputCol="_tfidf", outputCol="features")
-    return nz.transform(ep.transform(cv.transform(t))).select(id_col, "features")
+    return nz.transform(ep.transform(cv.transform(terms))).select(id_col, "features")
 
 
 def cluster_papers(papers: DataFrame, id_col: str = "paper_id", title_col: str = "title",
@@ -42,11 +42,17 @@ def cluster_papers(papers: DataFrame, id_col: str = "paper_id", title_col: str =
                    top_n: int = TOP_TERMS) -> tuple[DataFrame, DataFrame]:
     """CL8: (members (cluster, id, title, x, y), terms (cluster, rank, term,
     weight)).  k is capped at the number of papers; an empty vocabulary
-    gives two empty results."""
-    docs = papers.select(id_col, title_col,
-                         assemble_text(F.col(title_col), F.col(abstract_col)).alias("_text"))
-    weights, vocab = tfidf(docs, id_col, "_text", stop_words, max_features)
-    vec = tfidf_vectors(docs, id_col, "_text", vocab).cache()
+    gives two empty results.
+
+    The corpus is partitioned by paper once and tokenised once (persisted):
+    the vocabulary, the long-form weights (for key terms) and the vectors
+    (for KMeans and PCA) all derive from that one pass."""
+    docs = papers.select(id_col, assemble_text(F.col(title_col), F.col(abstract_col)).alias("_text"))
+    n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
+    terms = with_terms(by_document(docs, id_col), "_text", stop_words).drop("_text").persist()
+    dtc = term_counts(terms, id_col)
+    vocab = vocabulary(dtc, n_docs, id_col, max_features).cache()
+    vec = tfidf_vectors(terms, id_col, vocab).persist()
     n = vec.count()
     if n == 0 or vocab.isEmpty():
         empty_m = papers.sparkSession.createDataFrame(
@@ -66,8 +72,9 @@ def cluster_papers(papers: DataFrame, id_col: str = "paper_id", title_col: str =
                        (F.col("_y") - F.col("_my")).alias("y"))
                .join(papers.select(id_col, F.col(title_col).alias("title")), id_col)
                .select("cluster", id_col, "title", "x", "y"))
-    terms = cluster_terms(weights, labelled.select(id_col, "cluster"), id_col, "cluster", top_n)
-    return members, terms
+    weights = weights_from_counts(dtc, vocab, id_col)
+    key_terms = cluster_terms(weights, labelled.select(id_col, "cluster"), id_col, "cluster", top_n)
+    return members, key_terms
 
 
 def membership_lists(members: DataFrame, id_col: str = "paper_id") -> DataFrame:

@@ -50,8 +50,12 @@ def by_document(docs: DataFrame, id_col: str) -> DataFrame:
 def doc_term_counts(docs: DataFrame, id_col: str, text_col: str, stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
     """(id, term, tf); ``docs`` should come from ``by_document`` so that the
     count runs without a further exchange."""
-    t = with_terms(docs.select(id_col, text_col), text_col, stop_words)
-    return (explode_rows(t, [id_col], F.col("terms"), "term")
+    return term_counts(with_terms(docs.select(id_col, text_col), text_col, stop_words), id_col)
+
+
+def term_counts(terms: DataFrame, id_col: str, terms_col: str = "terms") -> DataFrame:
+    """(id, term, tf) from a frame with a per-document term array."""
+    return (explode_rows(terms, [id_col], F.col(terms_col), "term")
             .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -65,6 +69,15 @@ def vocabulary(dtc: DataFrame, n_docs: DataFrame, id_col: str, max_features: int
             .drop("n"))
 
 
+def weights_from_counts(dtc: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
+    """(id, term, weight): tf * idf over the vocabulary, L2-normalised per
+    document.  The vocabulary is capped at max_features rows, so its
+    broadcast is bounded; the norm window reuses the by-document layout."""
+    w = dtc.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return w.select(id_col, "term", (F.col("w") / norm).alias("weight"))
+
+
 def tfidf(docs: DataFrame, id_col: str, text_col: str, stop_words=ENGLISH_STOP_WORDS,
           max_features: int = MAX_FEATURES) -> tuple[DataFrame, DataFrame]:
     """CL4: (weights (id, term, weight), vocabulary)."""
@@ -72,11 +85,7 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, stop_words=ENGLISH_STOP_W
     docs = by_document(docs.select(id_col, text_col), id_col)
     dtc = doc_term_counts(docs, id_col, text_col, stop_words)
     vocab = vocabulary(dtc, n_docs, id_col, max_features)
-    # vocab is capped at max_features rows, so broadcasting it is bounded.
-    w = dtc.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    weights = w.select(id_col, "term", (F.col("w") / norm).alias("weight"))
-    return weights, vocab
+    return weights_from_counts(dtc, vocab, id_col), vocab
 
 
 def cluster_terms(weights: DataFrame, labels: DataFrame, id_col: str, cluster_col: str = "cluster",
