@@ -93,16 +93,22 @@ def shape_local_results(rows: DataFrame, entity_type: str, name: str,
     )
     if t == "person":
         if doc_text is not None:
-            out = out.join(doc_text.select("paper_id", F.col("text").alias("_text")), "paper_id", "left")
+            # Only a flag per paper leaves the text scan: texts are
+            # semi-joined with the result's paper ids (AQE broadcasts the
+            # ids when the result is small), so no text is shuffled.
+            need = out.select("paper_id").distinct()
+            found = (doc_text.join(need, "paper_id", "left_semi")
+                     .select("paper_id", (F.instr(F.lower(F.col("text")), q) > 0).alias("_found")))
+            out = out.join(found, "paper_id", "left")
         else:
-            out = out.withColumn("_text", F.lit(None).cast("string"))
+            out = out.withColumn("_found", F.lit(None).cast("boolean"))
         e = F.lower(F.coalesce(F.col("_matched"), F.lit("")))
         rel = (F.when(e == F.lit(q), 1.0)
                .when((F.instr(e, q) > 0) | (F.instr(F.lit(q), e) > 0), 0.8)
-               .when(F.col("_text").isNull(), 0.3)
-               .when(F.instr(F.lower(F.col("_text")), q) > 0, 0.6)
+               .when(F.col("_found").isNull(), 0.3)
+               .when(F.col("_found"), 0.6)
                .otherwise(0.4))
-        out = out.withColumn("relevance_score", rel).drop("_text")
+        out = out.withColumn("relevance_score", rel).drop("_found")
     else:
         out = out.withColumn("relevance_score", F.lit(1.0))
     return out.drop("_matched")
