@@ -23,7 +23,7 @@ def category_top20(spark, d):
 
 
 @query("category_share", with_views(
-    f"SELECT category, n, round(100.0 * n / (SELECT SUM(n) FROM {_CATS}), 2) AS pct FROM {_CATS}", "v_arxiv"),
+    f"SELECT category, n, round(100.0::DOUBLE * n / (SELECT SUM(n) FROM {_CATS}), 2) AS pct FROM {_CATS}", "v_arxiv"),
     "AGG15")
 def category_share(spark, d):
     return M.share_of_total(M.category_counts(v_arxiv(spark, d)))

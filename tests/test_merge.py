@@ -58,3 +58,15 @@ def test_versioned_table_and_rejects(spark, tmpdir_path):
     assert t.commit(good) == 1
     assert t.commit(df) == 2
     assert t.read().count() == 2 and t.current_version() == 2
+
+
+def test_entity_files_round_trip(spark, tmpdir_path):
+    from scholarq.sources.files import read_entity_files
+    m = spark.createDataFrame([("a.pdf", "Ann", 9, 12, "PERSON"), ("a.pdf", "Acme", 0, 4, "ORG"),
+                               ("b.pdf", "Bob", 3, 6, "PERSON")],
+                              "paper_name string, text string, start_char int, end_char int, label string")
+    out = os.path.join(tmpdir_path, "ents")
+    G.write_entity_files(m, out)
+    back = read_entity_files(spark, out).select("text", "start_char", "label").collect()
+    assert sorted((r.text, r.start_char, r.label) for r in back) == [("Acme", 0, "ORG"), ("Ann", 9, "PERSON"),
+                                                                      ("Bob", 3, "PERSON")]
