@@ -8,7 +8,7 @@ from scholarq.functions.names import surname_first_col, without_dots_col
 from scholarq.operators import search as S
 from scholarq.plans.oracle_views import with_views
 from scholarq.plans.registry import query
-from scholarq.plans.views import v_arxiv, v_mentions_raw, v_papers
+from scholarq.plans.views import table, v_arxiv, v_mentions_raw, v_papers
 
 OUT = ["arxiv_id", "title", "authors", "categories", "published", "pdf_url", "relevance_score"]
 
@@ -170,3 +170,44 @@ def json_roundtrip(spark, d):
         "arxiv_id", F.when(F.col("categories").isNull(), F.lit("[not json"))
         .otherwise(F.to_json("authors")).alias("authors_json"))
     return r.withColumn("n_authors", F.size(S.decode_list(F.col("authors_json"))).cast("long"))
+
+
+def _event_lines(spark, d):
+    e = table(spark, d, "events")
+    text = (F.when(F.col("event_type") == "error", F.expr("substr(props, 1, length(props) - 1)"))
+            .when((F.col("event_type") == "view") & (F.col("value") < 50), F.lit(""))
+            .otherwise(F.col("props")))
+    return e.select("event_id", text.alias("value"))
+
+
+@query("malformed_json_skip", """
+    SELECT event_id, CAST(json_extract(t, '$.k') AS BIGINT) AS k FROM (
+      SELECT event_id, CASE WHEN event_type = 'error' THEN substr(props, 1, length(props) - 1)
+                            WHEN event_type = 'view' AND value < 50 THEN '' ELSE props END AS t FROM events)
+    WHERE trim(t) <> '' AND json_valid(t)""", "SRC5 (blank lines skipped, malformed lines rejected)")
+def malformed_json_skip(spark, d):
+    lines = _event_lines(spark, d)
+    ok = lines.filter((F.trim("value") != "") & F.try_parse_json("value").isNotNull())
+    return ok.select("event_id", F.try_variant_get(F.try_parse_json("value"), "$.k", "bigint").alias("k"))
+
+
+@query("ndjson_snapshot_stats", with_views(
+    """SELECT COUNT(*) AS total_papers,
+              count_if(doi IS NOT NULL AND doi <> '') AS papers_with_doi,
+              count_if(license IS NOT NULL AND license <> '') AS papers_with_license,
+              count_if(journal_ref IS NOT NULL AND journal_ref <> '') AS papers_with_journal_ref,
+              (SELECT COUNT(*) FROM orders WHERE o_orderstatus = 'P') AS rejected
+       FROM v_arxiv""", "v_arxiv"), "SRC5 PRJ5 AGG8 (records -> NDJSON lines -> parsed snapshot)")
+def ndjson_snapshot_stats(spark, d):
+    from scholarq.operators.metadata import coverage_stats
+    from scholarq.sources.files import snapshot_from_lines
+    r = v_arxiv(spark, d)
+    good = r.select(S.encode_record(F.col("arxiv_id").alias("id"), "title", "abstract", "categories",
+                                    "authors_parsed", "versions", "update_date", "doi", "license",
+                                    F.col("journal_ref").alias("journal-ref")).alias("value"))
+    o = table(spark, d, "orders")
+    bad = o.filter(F.col("o_orderstatus") == "P").select(
+        F.concat(F.lit('{"id": "'), F.col("o_orderkey").cast("string"), F.lit('"')).alias("value"))
+    blank = o.filter(F.col("o_orderpriority") == "5-LOW").select(F.lit("   ").alias("value"))
+    recs, rejects = snapshot_from_lines(good.unionByName(bad).unionByName(blank))
+    return coverage_stats(recs).crossJoin(rejects.agg(F.count(F.lit(1)).alias("rejected")))
