@@ -78,6 +78,19 @@ def split_rejects(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame,
 
 # ----------------------------------------------------------------- upserts
 
+def _present_keys(existing: DataFrame, batch_keys: DataFrame, key: list[str]) -> DataFrame:
+    """Keys of the batch that are already stored.  The stored table is the
+    streamed side of a semi join against the (usually small) batch keys, so
+    AQE can broadcast the batch instead of shuffling the stored table."""
+    return existing.select(*key).join(batch_keys, key, "left_semi").distinct()
+
+
+def _absent(batch: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
+    """Batch rows whose key is not stored: the anti join runs between two
+    batch-sized frames."""
+    return batch.join(_present_keys(existing, batch.select(*key).distinct(), key), key, "left_anti")
+
+
 def upsert_by_key(existing: DataFrame, new: DataFrame, key: list[str], id_col: str,
                   update_cols: list[str]) -> DataFrame:
     """SNK2/SNK3: insert new keys with fresh ids, update ``update_cols`` of
@@ -87,8 +100,7 @@ def upsert_by_key(existing: DataFrame, new: DataFrame, key: list[str], id_col: s
     matched_or_old = o.join(n, key, "left").select(
         *key, F.col(f"o.{id_col}").alias(id_col),
         *[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in update_cols])
-    fresh_keys = new_d.join(existing.select(*key), key, "left_anti")
-    fresh = ids_after_max(fresh_keys, existing, id_col, key)
+    fresh = ids_after_max(_absent(new_d, existing, key), existing, id_col, key)
     cols = [id_col] + key + update_cols
     return matched_or_old.select(*cols).unionByName(fresh.select(*cols))
 
@@ -96,8 +108,7 @@ def upsert_by_key(existing: DataFrame, new: DataFrame, key: list[str], id_col: s
 def insert_new_keys(existing: DataFrame, new_keys: DataFrame, key: list[str], id_col: str) -> DataFrame:
     """SNK3/SNK7 (insert or ignore): keys not yet present get ids after the
     current maximum; existing rows are untouched."""
-    fresh = ids_after_max(new_keys.select(*key).distinct().join(existing.select(*key), key, "left_anti"),
-                          existing, id_col, key)
+    fresh = ids_after_max(_absent(new_keys.select(*key).distinct(), existing, key), existing, id_col, key)
     return existing.select(id_col, *key).unionByName(fresh.select(id_col, *key))
 
 
@@ -149,7 +160,7 @@ def insert_if_absent(existing: DataFrame, batch: DataFrame, key: str, order_col:
     """SNK6: batch rows whose key is not stored yet (first per key) are
     appended with fresh ids."""
     first = keep_first(batch, [key], order_col).drop(order_col)
-    fresh = first.join(existing.select(key), key, "left_anti")
+    fresh = _absent(first, existing, [key])
     fresh = ids_after_max(fresh, existing, id_col, [key])
     return existing.unionByName(fresh.select(*existing.columns))
 
