@@ -8,9 +8,11 @@ of valences; pos/neg are the shares of sum(v+1 | v>0), sum(v-1 | v<0) and
 the count of neutral tokens.  Polarity = compound, subjectivity =
 (pos + neg) / 2, label by +-0.3.
 
-Scoring is a per-row column expression (the lexicon is a map literal of a
-checked, bounded size), so sentence and document scores need no join and
-no shuffle.  The reference's statistical sentence splitter and the
+Scoring joins each token to the lexicon (broadcast when its checked size
+allows) and sums per document or sentence; the corpus is partitioned by
+document once, so the sums and the join back need no further exchange.
+A small lexicon can instead be applied inside the row as a map literal
+(``MAP_LOOKUP_MAX_ENTRIES``).  The reference's statistical sentence splitter and the
 library's own lexicon are not reproduced; lexicons are inputs.
 """
 
@@ -32,6 +34,14 @@ POSITIVE_ABOVE = 0.3
 NEGATIVE_BELOW = -0.3
 
 MAX_LEXICON_ENTRIES = 100_000
+# Lexicons up to this size may be applied inside the row as a map literal
+# (no shuffle).  Spark scans a map value to look a key up, and the per-token
+# lambdas run interpreted, so by default (0) every lexicon goes through the
+# join path: a hash lookup in code-generated explode / join / aggregate
+# operators over the document-partitioned corpus (measured 2x faster at
+# sf0.1 with 39 entries, 60x with 7,500).
+MAP_LOOKUP_MAX_ENTRIES = 0
+BROADCAST_LEXICON_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -45,13 +55,16 @@ class Lexicon:
     def from_dataframe(df: DataFrame, token_col: str = "token", valence_col: str = "valence",
                        negators=(), boosters=(), max_entries: int = MAX_LEXICON_ENTRIES) -> "Lexicon":
         """Lexicon from a (token, valence) DataFrame; refuses one larger than
-        ``max_entries`` (it becomes a literal in every task)."""
+        ``max_entries`` (use ``score_columns_joined`` with the DataFrame)."""
         n = df.count()
         if n > max_entries:
             raise ValueError(f"lexicon has {n} entries, more than {max_entries}")
         rows = df.select(F.lower(F.col(token_col)), F.col(valence_col).cast("double")).collect()
         return Lexicon({r[0]: r[1] for r in rows}, tuple(negators), tuple(boosters))
 
+    def dataframe(self, spark) -> DataFrame:
+        return spark.createDataFrame(sorted(self.valences.items()), "token string, valence double")
+
     def map_col(self) -> Column:
         keys = sorted(self.valences)
         return F.map_from_arrays(F.lit(keys), F.lit([float(self.valences[k]) for k in keys]))
@@ -67,44 +80,99 @@ def with_tokens(df: DataFrame, text_col: str, lex: Lexicon, out_col: str = TOKEN
     return df.withColumn(out_col, tokens(F.coalesce(F.col(text_col), F.lit("")), lex.pattern))
 
 
+def _context(toks: Column, lex: Lexicon, t: Column, i: Column) -> tuple[Column, Column]:
+    """(booster right before token i, negator among the 3 tokens before it)."""
+    neg = F.lit(list(lex.negators)).cast("array<string>")
+    boost = F.lit(list(lex.boosters)).cast("array<string>")
+    prev = F.when(i >= 1, F.try_element_at(toks, i))
+    boosted = F.coalesce(F.array_contains(boost, prev), F.lit(False))
+    start = F.greatest(i - 2, F.lit(1))
+    negated = F.arrays_overlap(F.slice(toks, start, i - start + 1), neg)
+    return boosted, negated
+
+
+def _adjust(base: Column, boosted: Column, negated: Column) -> Column:
+    v = base + F.when((base != 0) & boosted, F.signum(base) * BOOSTER_INCREMENT).otherwise(F.lit(0.0))
+    return F.when(negated, v * NEGATION_SCALAR).otherwise(v)
+
+
 def valences(toks: Column, lex: Lexicon) -> Column:
     """array<double>: the rule-adjusted valence of every token of ``toks``
-    (a column reference to a token array)."""
+    (a column reference to a token array) -- small lexicons only."""
     lexmap = lex.map_col()
-    neg = F.lit(list(lex.negators)).cast("array<string>")
-    boost = F.lit(list(lex.boosters)).cast("array<string>")
 
     def one(t, i):
-        base = F.coalesce(F.try_element_at(lexmap, t), F.lit(0.0))
-        prev = F.when(i >= 1, F.try_element_at(toks, i))
-        boosted = base + F.when((base != 0) & F.coalesce(F.array_contains(boost, prev), F.lit(False)),
-                                F.signum(base) * BOOSTER_INCREMENT).otherwise(F.lit(0.0))
-        start = F.greatest(i - 2, F.lit(1))
-        window = F.slice(toks, start, i - start + 1)
-        return F.when(F.arrays_overlap(window, neg), boosted * NEGATION_SCALAR).otherwise(boosted)
+        boosted, negated = _context(toks, lex, t, i)
+        return _adjust(F.coalesce(F.try_element_at(lexmap, t), F.lit(0.0)), boosted, negated)
 
     return F.transform(toks, one)
 
 
-def score_columns(df: DataFrame, text_col: str, lex: Lexicon, out_col: str = "s") -> DataFrame:
-    """Add ``out_col`` struct<polarity, subjectivity, pos, neg> for the text
-    in ``text_col`` (tokens and valences are separate projections)."""
-    d = with_tokens(df, text_col, lex).withColumn("_v", valences(F.col(TOKENS_COL), lex)).drop(TOKENS_COL)
-    v = F.col("_v")
-    s = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
-    pos_sum = F.aggregate(v, F.lit(0.0), lambda a, x: a + F.when(x > 0, x + 1).otherwise(F.lit(0.0)))
-    neg_sum = F.aggregate(v, F.lit(0.0), lambda a, x: a + F.when(x < 0, x - 1).otherwise(F.lit(0.0)))
-    neu = F.size(F.filter(v, lambda x: x == 0)).cast("double")
-    d = d.select(*df.columns, s.alias("_sum"), pos_sum.alias("_ps"), neg_sum.alias("_ns"), neu.alias("_neu"))
+def _finish(d: DataFrame, keep: list[str], out_col: str) -> DataFrame:
+    """From sums (_sum, _ps, _ns, _neu) to the score struct."""
     s, ps, ns = F.col("_sum"), F.col("_ps"), F.col("_ns")
     total = ps + F.abs(ns) + F.col("_neu")
     compound = F.when(s == 0, F.lit(0.0)).otherwise(
         F.least(F.greatest(s / F.sqrt(s * s + NORMALISATION_ALPHA), F.lit(-1.0)), F.lit(1.0)))
     pos = F.when(total > 0, F.round(F.abs(ps / total), 3)).otherwise(F.lit(0.0))
     neg = F.when(total > 0, F.round(F.abs(ns / total), 3)).otherwise(F.lit(0.0))
-    return d.select(*df.columns, F.struct(F.round(compound, 4).alias("polarity"),
-                                          ((pos + neg) / 2).alias("subjectivity"),
-                                          pos.alias("pos"), neg.alias("neg")).alias(out_col))
+    return d.select(*keep, F.struct(F.round(compound, 4).alias("polarity"),
+                                    ((pos + neg) / 2).alias("subjectivity"),
+                                    pos.alias("pos"), neg.alias("neg")).alias(out_col))
+
+
+def score_columns_joined(df: DataFrame, key_cols: list[str], text_col: str, lex: Lexicon,
+                         lexicon: DataFrame | None = None, out_col: str = "s") -> DataFrame:
+    """Large-lexicon path: the same scores via a join.  Per-token context
+    flags are computed in the row; tokens are exploded and inner-joined to
+    the lexicon (a hash lookup; broadcast when its checked size allows);
+    matched valences are summed per key.  ``df`` should be partitioned by
+    its first key column (``tfidf.by_document``) so that neither the
+    aggregation nor the join back needs an exchange."""
+    lexicon = lexicon if lexicon is not None else lex.dataframe(df.sparkSession)
+    lexicon = lexicon.select(F.lower(F.col("token")).alias("_t"), F.col("valence").cast("double").alias("_base"))
+    if lexicon.count() <= BROADCAST_LEXICON_ROWS:
+        lexicon = F.broadcast(lexicon)
+    d = with_tokens(df, text_col, lex)
+    toks = F.col(TOKENS_COL)
+    ctx = F.transform(toks, lambda t, i: F.struct(t.alias("_t"), *[c.alias(n) for c, n in
+                                                                     zip(_context(toks, lex, t, i), ("_b", "_n"))]))
+    rows = explode_rows(d.select(*key_cols, ctx.alias("_ctx")), key_cols, F.col("_ctx"), "_c")
+    v = _adjust(F.col("_base"), F.col("_b"), F.col("_n"))
+    matched = (rows.select(*key_cols, F.col("_c._t").alias("_t"), F.col("_c._b"), F.col("_c._n"))
+               .join(lexicon, "_t").select(*key_cols, v.alias("_v")))
+    sums = matched.groupBy(*key_cols).agg(
+        F.sum("_v").alias("_sum"),
+        F.sum(F.when(F.col("_v") > 0, F.col("_v") + 1).otherwise(F.lit(0.0))).alias("_ps"),
+        F.sum(F.when(F.col("_v") < 0, F.col("_v") - 1).otherwise(F.lit(0.0))).alias("_ns"),
+        F.count_if(F.col("_v") == 0).alias("_zero"),
+        F.count(F.lit(1)).alias("_m"))
+    base = d.withColumn("_n_tok", F.size(toks)).drop(TOKENS_COL)
+    j = base.join(sums, key_cols, "left")
+    j = j.select(*df.columns, F.coalesce("_sum", F.lit(0.0)).alias("_sum"), F.coalesce("_ps", F.lit(0.0)).alias("_ps"),
+                 F.coalesce("_ns", F.lit(0.0)).alias("_ns"),
+                 (F.col("_n_tok") - F.coalesce("_m", F.lit(0)) + F.coalesce("_zero", F.lit(0))).cast("double")
+                 .alias("_neu"))
+    return _finish(j, df.columns, out_col)
+
+
+def score_columns(df: DataFrame, text_col: str, lex: Lexicon, out_col: str = "s",
+                  key_cols: list[str] | None = None) -> DataFrame:
+    """Add ``out_col`` struct<polarity, subjectivity, pos, neg> for the text
+    in ``text_col``.  Small lexicons are applied inside the row (no join, no
+    shuffle); larger ones through ``score_columns_joined`` (needs keys)."""
+    if len(lex.valences) > MAP_LOOKUP_MAX_ENTRIES:
+        if not key_cols:
+            raise ValueError("a large lexicon needs key columns to join on")
+        return score_columns_joined(df, key_cols, text_col, lex, out_col=out_col)
+    d = with_tokens(df, text_col, lex).withColumn("_v", valences(F.col(TOKENS_COL), lex)).drop(TOKENS_COL)
+    v = F.col("_v")
+    d = d.select(*df.columns,
+                 F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("_sum"),
+                 F.aggregate(v, F.lit(0.0), lambda a, x: a + F.when(x > 0, x + 1).otherwise(F.lit(0.0))).alias("_ps"),
+                 F.aggregate(v, F.lit(0.0), lambda a, x: a + F.when(x < 0, x - 1).otherwise(F.lit(0.0))).alias("_ns"),
+                 F.size(F.filter(v, lambda x: x == 0)).cast("double").alias("_neu"))
+    return _finish(d, df.columns, out_col)
 
 
 def label(polarity: Column) -> Column:
@@ -113,6 +181,14 @@ def label(polarity: Column) -> Column:
             .when(polarity < NEGATIVE_BELOW, "Negative").otherwise("Neutral"))
 
 
+def _spread(docs: DataFrame, id_col: str, lex: Lexicon) -> DataFrame:
+    """Partition by document only when the join path will run."""
+    if len(lex.valences) > MAP_LOOKUP_MAX_ENTRIES:
+        from scholarq.operators.tfidf import by_document
+        return by_document(docs, id_col)
+    return docs
+
+
 def split_sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """SEN1: (id, sent_idx, sentence); pieces trimmed of surrounding
     whitespace, empty ones dropped (indices keep their original position)."""
@@ -124,23 +200,26 @@ def split_sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def document_sentiment(docs: DataFrame, id_col: str, text_col: str, lex: Lexicon) -> DataFrame:
     """SEN4 + SEN6: the whole text is scored once (not the mean of its
     sentences)."""
-    return (score_columns(docs.select(id_col, text_col), text_col, lex)
+    return (score_columns(_spread(docs.select(id_col, text_col), id_col, lex), text_col, lex, key_cols=[id_col])
             .select(id_col, F.col("s.polarity").alias("polarity"), F.col("s.subjectivity").alias("subjectivity"),
                     label(F.col("s.polarity")).alias("label")))
 
 
 def sentence_sentiment(docs: DataFrame, id_col: str, text_col: str, lex: Lexicon) -> DataFrame:
     """SEN5: one row per sentence with polarity and subjectivity."""
-    return (score_columns(split_sentences(docs, id_col, text_col), "sentence", lex)
+    sents = split_sentences(_spread(docs, id_col, lex), id_col, text_col)
+    return (score_columns(sents, "sentence", lex, key_cols=[id_col, "sent_idx"])
             .select(id_col, "sent_idx", "sentence", F.col("s.polarity").alias("polarity"),
                     F.col("s.subjectivity").alias("subjectivity")))
 
 
-def attach_sentiment(results: DataFrame, text_col: str, lex: Lexicon) -> DataFrame:
+def attach_sentiment(results: DataFrame, text_col: str, lex: Lexicon,
+                     key_cols: list[str] | None = None) -> DataFrame:
     """SEN7: label and score (rounded to 2) of each result's text; a result
-    without text gets label 'N/A' and a NULL score."""
+    without text gets label 'N/A' and a NULL score.  ``key_cols`` (unique per
+    result) are needed only for a large lexicon."""
     has = F.col(text_col).isNotNull() & (F.col(text_col) != "")
-    scored = score_columns(results, text_col, lex, "_s")
+    scored = score_columns(results, text_col, lex, "_s", key_cols=key_cols)
     return (scored.withColumn("_s", F.when(has, F.col("_s")))
             .withColumn("sentiment_label", F.when(has, label(F.col("_s.polarity"))).otherwise(F.lit("N/A")))
             .withColumn("sentiment_score", F.round(F.col("_s.polarity"), 2))

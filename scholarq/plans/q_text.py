@@ -134,7 +134,8 @@ def sentiment_labels(spark, d):
                        'arxiv_id, has', 'abstract')})""", "v_arxiv"), "SEN7 FLT8")
 def result_sentiment(spark, d):
     res = S.search(v_arxiv(spark, d), "widget", "keyword")
-    return SE.attach_sentiment(res, "abstract", TEST_LEXICON).select("arxiv_id", "sentiment_label", "sentiment_score")
+    return SE.attach_sentiment(res, "abstract", TEST_LEXICON, key_cols=["arxiv_id"]).select(
+        "arxiv_id", "sentiment_label", "sentiment_score")
 
 
 @query("tree_sentiment", f"""

@@ -74,7 +74,8 @@ def test_sentences_and_attach(spark):
     s = SE.sentence_sentiment(df, "id", "text", LEX).orderBy("sent_idx").collect()
     assert [r.sentence for r in s] == ["Good day.", "Bad night!", "Great?"]
     assert [r.polarity > 0 for r in s] == [True, False, True]
-    att = {r.id: (r.sentiment_label, r.sentiment_score) for r in SE.attach_sentiment(df, "text", LEX).collect()}
+    att = {r.id: (r.sentiment_label, r.sentiment_score)
+           for r in SE.attach_sentiment(df, "text", LEX, key_cols=["id"]).collect()}
     assert att[2] == ("N/A", None)
 
 
@@ -112,3 +113,24 @@ def test_clustering_partitions_input(spark):
     empty, t2 = cluster_papers(spark.createDataFrame([(1, "the", "of")], "paper_id long, title string, "
                                                      "abstract string"), k=2)
     assert empty.count() == 0 and t2.count() == 0
+
+
+def test_join_path_equals_map_path(spark):
+    from scholarq.plans.fixtures import TEST_LEXICON
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    big = dict(TEST_LEXICON.valences)
+    big.update({f"zz{i}": 0.5 for i in range(600)})
+    big_lex = SE.Lexicon(big, TEST_LEXICON.negators, TEST_LEXICON.boosters)
+    old = SE.MAP_LOOKUP_MAX_ENTRIES
+    for fn, key in ((SE.document_sentiment, ["doc_id"]), (SE.sentence_sentiment, ["doc_id", "sent_idx"])):
+        SE.MAP_LOOKUP_MAX_ENTRIES = 512      # small lexicon in the row, large one joined
+        try:
+            a = {tuple(r[k] for k in key): (r.polarity, r.subjectivity)
+                 for r in fn(docs, "doc_id", "text", TEST_LEXICON).collect()}
+            b = {tuple(r[k] for k in key): (r.polarity, r.subjectivity)
+                 for r in fn(docs, "doc_id", "text", big_lex).collect()}
+        finally:
+            SE.MAP_LOOKUP_MAX_ENTRIES = old
+        assert a.keys() == b.keys()
+        assert all(a[k][0] == pytest.approx(b[k][0], abs=1e-9) and a[k][1] == pytest.approx(b[k][1], abs=1e-9)
+                   for k in a)
