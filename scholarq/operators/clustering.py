@@ -77,8 +77,22 @@ def cluster_papers(papers: DataFrame, id_col: str = "paper_id", title_col: str =
     return members, key_terms
 
 
-def membership_lists(members: DataFrame, id_col: str = "paper_id") -> DataFrame:
-    """AGG13: one row per cluster with its member list (a cluster's list is
-    bounded by the clustered set, which callers keep to a result page)."""
+MAX_LISTED_MEMBERS = 100_000
+
+
+def membership_lists(members: DataFrame, id_col: str = "paper_id",
+                     max_members: int = MAX_LISTED_MEMBERS) -> DataFrame:
+    """AGG13: one row per cluster with its member list, as the reference
+    returns for a page of search results.  A list is one value, so the
+    clustered set must be page-sized: refuses more than ``max_members``
+    members (use ``cluster_sizes`` or the flat members frame at scale)."""
+    n = members.count()
+    if n > max_members:
+        raise ValueError(f"{n} members are too many to list per cluster; use the flat members frame")
     return members.groupBy("cluster").agg(
         F.sort_array(F.collect_list(F.struct(id_col, "title", "x", "y"))).alias("papers"))
+
+
+def cluster_sizes(members: DataFrame) -> DataFrame:
+    """Members per cluster (partial aggregation; any scale)."""
+    return members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_papers"))

@@ -5,7 +5,7 @@ TOP4 (person/organisation fallbacks), FLT11, REL1, PRJ2, PRJ3, PRJ6, TOP5.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarq.functions.entities import check_limit, label_for, normalised_type
@@ -15,17 +15,24 @@ from scholarq.operators.tiers import first_nonempty
 
 def _parts_tier(papers, phe, entities, label: str, parts: list[str], limit: str) -> DataFrame:
     """Rows for any of ``parts`` (type ``label``), one row per paper, first
-    part wins (the fallback's "skip papers already listed" rule)."""
+    part wins (the fallback's "skip papers already listed" rule).  Both
+    picks are ``min_by`` aggregates (partial per task), not windows, so a
+    part or paper holding many rows never lands in one task."""
     if not parts:
         return mention_rows(papers, phe, entities).limit(0)
     arr = F.array(*[F.lit(p) for p in parts])
     ents = entities.filter((F.col("entity_type") == F.lit(label)) & F.col("entity_name").isin(parts))
     rows = mention_rows(papers, phe, ents).withColumn("_part", F.array_position(arr, F.col("entity_name")))
+    cols = [c for c in rows.columns if c not in ("_part",)]
     if limit == "one":  # each per-part query is limited on its own
-        wp = Window.partitionBy("_part").orderBy("paper_id", "entity_name", "entity_type")
-        rows = rows.withColumn("_rn", F.row_number().over(wp)).filter("_rn = 1").drop("_rn")
-    w = Window.partitionBy("paper_id").orderBy("_part", "entity_name", "entity_type")
-    return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_part")
+        rows = (rows.groupBy("_part")
+                .agg(F.min_by(F.struct(*cols), F.struct("paper_id", "entity_name", "entity_type")).alias("_r"))
+                .select("_part", "_r.*"))
+    first = (rows.groupBy("paper_id")
+             .agg(F.min_by(F.struct(*[c for c in cols if c != "paper_id"]),
+                           F.struct("_part", "entity_name", "entity_type")).alias("_r"))
+             .select("paper_id", "_r.*"))
+    return first.select(*cols)
 
 
 def person_search(papers, phe, entities, name: str, limit: str = "all") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholarq.functions.names import surname_first, without_dots
@@ -115,8 +115,11 @@ def first_wins_union(*dfs: DataFrame, key: str = "arxiv_id") -> DataFrame:
     earliest list (later lists only add keys not yet present)."""
     tagged = [df.withColumn("_src", F.lit(i)) for i, df in enumerate(dfs)]
     u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    w = Window.partitionBy(key).orderBy("_src")
-    return u.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_src")
+    others = [c for c in u.columns if c not in (key, "_src")]
+    # min_by is a partial aggregate: a key repeated in many lists is
+    # combined in the map tasks before the shuffle.
+    return (u.groupBy(key).agg(F.min_by(F.struct(*others), F.col("_src")).alias("_r"))
+            .select(key, "_r.*"))
 
 
 def add_only_new(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -101,7 +101,7 @@ def kmeans_cluster_terms(spark, d):
     return terms
 
 
-@query("cluster_lists", None, "AGG13 (rows: one per cluster)")
+@query("cluster_lists", None, "AGG13 (rows: one per cluster with its size; lists are built for result pages)")
 def cluster_lists(spark, d):
     members, _ = _clustered(spark, d, k=3)
-    return C.membership_lists(members).select("cluster", F.size("papers").alias("n_papers"))
+    return C.cluster_sizes(members)
