@@ -124,3 +124,16 @@ def test_decode_and_merge(spark, records):
     c = records.filter("arxiv_id = 'a1'").withColumn("src", F.lit("first"))
     merged = {r.arxiv_id: r.src for r in S.first_wins_union(c, b).collect()}
     assert merged == {"a1": "first", "a2": "second", "a3": "second", "a4": "second"}
+
+
+def test_first_nonempty_eager_and_id_collisions(spark, index):
+    from scholarq.operators.mentions import check_unique_ids
+    from scholarq.operators.tiers import first_nonempty_eager
+    a = spark.range(0)
+    b = spark.range(3)
+    assert first_nonempty_eager([a, b]).count() == 3
+    assert first_nonempty_eager([a, a]).count() == 0
+    _, e, _ = index
+    assert check_unique_ids(e).count() == 0
+    clash = e.unionByName(e.limit(1).withColumn("entity_name", F.lit("other")))
+    assert check_unique_ids(clash).count() == 1
