@@ -36,7 +36,9 @@ def build_mention_index(raw_mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
               .agg(F.count(F.lit(1)).alias("count")))
     phe = counts.select(entity_key_id(F.col("entity_name"), F.col("entity_type")).alias("entity_id"),
                         "paper_id", "count")
-    entities = (raw_mentions.select("entity_name", "entity_type").distinct()
+    # Entities come from the per-(paper, entity) counts, not the raw
+    # mentions: the input is smaller and both outputs share one exchange.
+    entities = (counts.select("entity_name", "entity_type").distinct()
                 .select(entity_key_id(F.col("entity_name"), F.col("entity_type")).alias("entity_id"),
                         "entity_name", "entity_type"))
     return entities, phe
