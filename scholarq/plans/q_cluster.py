@@ -35,7 +35,7 @@ _TFIDF_CTES = {
     "terms": """SELECT doc_id, unnest(k || list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])) AS term
                FROM toks""",
     "dtc": "SELECT doc_id, term, COUNT(*) AS tf FROM terms GROUP BY doc_id, term",
-    "vocab": f"""SELECT term, COUNT(*) AS df, SUM(tf) AS cf FROM dtc GROUP BY term
+    "vocab": f"""SELECT term, COUNT(*) AS df, CAST(SUM(tf) AS BIGINT) AS cf FROM dtc GROUP BY term
                 ORDER BY cf DESC, term LIMIT {T.MAX_FEATURES}""",
     "ndocs": "SELECT COUNT(*) AS n FROM documents",
     "w": """SELECT d.doc_id, d.term, d.tf * (ln((1 + ndocs.n) / (1 + v.df)) + 1) AS w

@@ -69,9 +69,9 @@ def version_dist_strict(spark, d):
 
 @query("coverage_stats", with_views(
     """SELECT COUNT(*) AS total_papers,
-              count_if(doi IS NOT NULL AND doi <> '') AS papers_with_doi,
-              count_if(license IS NOT NULL AND license <> '') AS papers_with_license,
-              count_if(journal_ref IS NOT NULL AND journal_ref <> '') AS papers_with_journal_ref
+              CAST(count_if(doi IS NOT NULL AND doi <> '') AS BIGINT) AS papers_with_doi,
+              CAST(count_if(license IS NOT NULL AND license <> '') AS BIGINT) AS papers_with_license,
+              CAST(count_if(journal_ref IS NOT NULL AND journal_ref <> '') AS BIGINT) AS papers_with_journal_ref
        FROM v_arxiv""", "v_arxiv"), "AGG8 FLT10")
 def coverage_stats(spark, d):
     return M.coverage_stats(v_arxiv(spark, d))

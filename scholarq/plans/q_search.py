@@ -193,9 +193,9 @@ def malformed_json_skip(spark, d):
 
 @query("ndjson_snapshot_stats", with_views(
     """SELECT COUNT(*) AS total_papers,
-              count_if(doi IS NOT NULL AND doi <> '') AS papers_with_doi,
-              count_if(license IS NOT NULL AND license <> '') AS papers_with_license,
-              count_if(journal_ref IS NOT NULL AND journal_ref <> '') AS papers_with_journal_ref,
+              CAST(count_if(doi IS NOT NULL AND doi <> '') AS BIGINT) AS papers_with_doi,
+              CAST(count_if(license IS NOT NULL AND license <> '') AS BIGINT) AS papers_with_license,
+              CAST(count_if(journal_ref IS NOT NULL AND journal_ref <> '') AS BIGINT) AS papers_with_journal_ref,
               (SELECT COUNT(*) FROM orders WHERE o_orderstatus = 'P') AS rejected
        FROM v_arxiv""", "v_arxiv"), "SRC5 PRJ5 AGG8 (records -> NDJSON lines -> parsed snapshot)")
 def ndjson_snapshot_stats(spark, d):
