@@ -22,6 +22,18 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Planner settings the operators are designed around (runtime SQL confs).
+# Joins on (doc_id, sent_idx) over inputs already hash-partitioned by
+# doc_id then reuse that partitioning instead of re-shuffling both sides.
+PLANNER_CONF = {
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+}
+
+
+def apply_planner_conf(spark: SparkSession) -> None:
+    for k, v in PLANNER_CONF.items():
+        spark.conf.set(k, v)
+
 # Local runs only: the whole of local mode lives in the driver JVM.
 LOCAL_CONF = {
     "spark.driver.memory": "16g",
@@ -37,7 +49,7 @@ def get_spark(master: str | None = None, app: str = "scholarq",
         if master.startswith("local"):
             for k, v in LOCAL_CONF.items():
                 b = b.config(k, v)
-    for k, v in DEFAULT_CONF.items():
+    for k, v in {**DEFAULT_CONF, **PLANNER_CONF}.items():
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
