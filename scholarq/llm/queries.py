@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholarq.llm import chat_format, language_id, line_dedup, ngram_join, packing, pii, quality_rules, sharding, token_counts
+from scholarq.llm import chat_format, decontamination, language_id, line_dedup, ngram_join, packing, pii, quality_rules, sharding, token_counts
 from scholarq.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return chat_format.digests(chat_format.format_conversations(chat_format.with_probe(conversations)))
@@ -49,8 +53,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_ngram_jaccard_join, op3_chat_formatting, op4_hilbert_sharding, op5_line_dedup, op6_packing, op7_pii, op8_language_id,
-        op9_quality_rules, op10_token_counts)
+        op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_chat_formatting, op4_hilbert_sharding,
+        op5_line_dedup, op6_packing, op7_pii, op8_language_id, op9_quality_rules, op10_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {
