@@ -1,6 +1,6 @@
 """Benchmark decontamination: documents that hold a benchmark item up to small edits.
 
-Texts are sequences of words (ASCII letters small, other ASCII signs are separators).
+Texts are sequences of words (small letters; ASCII signs are separators).
 A document holds an item of L words if some run of its words is at an edit distance
 (in words) of at most ``EDITS`` * L.
 
@@ -52,14 +52,18 @@ CLASS_RATIO = 1.5
 BLOCK_BYTES = 8 << 20
 PAIR_BITS = 22
 HITS = "doc_id long, item_id long, distance long, item_words long, start_word long, end_word long"
-#: Capitals become small and ASCII signs become separators.
-FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
+#: ASCII signs become separators.
+SEPARATED = bytes(c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
 
 def tables_for(recall: float = TARGET_RECALL, agreement: float = AGREEMENT, samples: int = SAMPLES) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - agreement**samples))
 
 
+def folded(text: bytes) -> bytes:
+    return text.decode().lower().encode().translate(SEPARATED)
+
+
 def pair_hashes(words: np.ndarray) -> np.ndarray:
     return (mixed(words[:-1] * np.uint64(3) + words[1:], 7) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
@@ -137,7 +141,7 @@ class Block:
     """A bounded block of benchmark items, ready to be matched."""
 
     def __init__(self, rows: list[tuple[int, str]], edits: float = EDITS, recall: float = TARGET_RECALL):
-        texts = [(t or "").encode().translate(FOLD) for _, t in rows]
+        texts = [folded((t or "").encode()) for _, t in rows]
         words, counts = word_hashes(texts)
         items = np.split(words, np.cumsum(counts)[:-1])
         self.pairs = np.zeros(1 << PAIR_BITS, dtype=bool)
@@ -152,7 +156,7 @@ class Block:
 
     def hits(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item id, distance, item words, start, end) for each text and item it holds."""
-        words, counts = word_hashes([t.translate(FOLD) for t in texts])
+        words, counts = word_hashes([folded(t) for t in texts])
         if not len(words) or not self.classes:
             return []
         bounds = np.concatenate([[0], np.cumsum(counts)])
