@@ -95,7 +95,7 @@ class Hierarchy:
                 rows = np.flatnonzero((own == a) | (own == b))
                 weights.append(fit_svm(vectors[rows], np.where(own[rows] == a, 1.0, -1.0)))
                 self.pairs.append((group, a, b))
-        self.weights = np.array(weights).reshape(len(self.pairs), -1)
+        self.weights = np.array(weights) if weights else np.zeros((0, (1 << BUCKET_BITS) + 1))
 
     def _vote(self, group: str, names: list[str], margins: np.ndarray) -> tuple[str, float]:
         if len(names) == 1:
@@ -114,7 +114,7 @@ class Hierarchy:
     def predict(self, text: bytes | None) -> tuple[str, float]:
         if not text or not self.languages or not LETTER.search(text.decode()):
             return "und", 0.0
-        margins = self.weights[:, :-1] @ vector(text) + 0.3 * self.weights[:, -1] if len(self.pairs) else np.zeros(0)
+        margins = self.weights[:, :-1] @ vector(text) + 0.3 * self.weights[:, -1]
         family, p = self._vote("", list(self.languages), margins)
         lang, q = self._vote(family, self.languages[family], margins)
         return lang, p * q

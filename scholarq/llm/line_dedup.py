@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarq.llm.common import LOWER, SPACE_CHARS, UPPER, shared_folder, stored
+from scholarq.llm.common import LOWER, SPACE_CHARS, UPPER, let, shared_folder
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -134,39 +134,37 @@ def build_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
           min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """``docs`` plus ``__kept`` (the text without dropped lines), ``__lines`` and ``__dropped`` (counts)."""
-    # The last compaction is written like the others: read as a table of its own, it leaves the join
-    # below free to split the partition of a hot line.
-    frequent = stored(build_runs(docs, id_col, text_col, min_chars, batches, fanout).frequent(min_docs), "frequent-lines")
-    here = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__x"),
+    """The rows of ``docs`` as struct ``row``, with ``kept`` (the text without dropped lines), ``n_lines`` and ``n_dropped``."""
+    frequent = build_runs(docs, id_col, text_col, min_chars, batches, fanout).frequent(min_docs)
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    text = F.col("row")[text_col]
+    here = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("x"),
                        F.explode_outer(long_keys(F.col(text_col), min_chars)).alias("k")).filter("k is not null")
-    drops = (here.select("__id", "__x", F.col("k.pos").alias("pos"), F.col("k.h.h1").alias("h1"), F.col("k.h.h2").alias("h2"))
-             .join(frequent, ["h1", "h2"]).filter(~F.col("__id").eqNullSafe(F.col("top_doc")))
-             .groupBy("__id", "__x").agg(F.collect_set("pos").alias("__pos")))
-    out = docs.join(drops, docs[id_col].eqNullSafe(drops["__id"]) & (F.xxhash64(docs[text_col]) == drops["__x"]), "left")
-    kept = let_lines(F.col(text_col), F.col("__pos"))
-    return out.select(*[docs[c] for c in docs.columns], F.when(F.col("__pos").isNull(), F.coalesce(F.col(text_col), F.lit("")))
-                      .otherwise(kept).alias("__kept"),
-                      F.size(lines(F.col(text_col))).cast("long").alias("__lines"),
-                      F.coalesce(F.size("__pos"), F.lit(0)).cast("long").alias("__dropped"))
-
-
-def let_lines(text: Column, dropped: Column) -> Column:
+    drops = (here.select("id", "x", F.col("k.pos").alias("pos"), F.col("k.h.h1").alias("h1"), F.col("k.h.h2").alias("h2"))
+             .join(frequent, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("top_doc")))
+             .groupBy("id", "x").agg(F.collect_set("pos").alias("dropped")))
+    out = whole.join(drops, F.col("row")[id_col].eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("x")), "left")
+    return out.select(
+        "row", F.when(F.col("dropped").isNull(), F.coalesce(text, F.lit(""))).otherwise(
+            remaining_lines(text, F.col("dropped"))).alias("kept"),
+        F.size(lines(text)).cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+
+
+def remaining_lines(text: Column, dropped: Column) -> Column:
     """The lines of ``text`` at positions that are not in ``dropped``, joined again."""
-    return F.transform(F.array(lines(text)), lambda a: F.concat_ws("\n", F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(a) - 1), dropped), lambda i: F.get(a, i))))[0]
+    return let(lines(text), lambda a: F.concat_ws("\n", F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(a) - 1), dropped), lambda i: F.get(a, i))))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the same columns and the kept lines as text."""
     out = dedup(docs, id_col, text_col, **options)
-    return out.select(*[F.col("__kept").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return out.select(*[(F.col("kept") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def digests(docs: DataFrame) -> DataFrame:
     return dedup(docs.select("doc_id", "text")).select(
-        "doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"),
-        F.sha2("__kept", 256).alias("kept_sha256"))
+        F.col("row")["doc_id"].alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 #: DuckDB's form of ``digests`` over ``documents``.

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarq.llm.common import partitions, stored
@@ -149,23 +149,20 @@ def assign(docs: DataFrame, dimensions: list[str], shards: int = SHARDS, id_col:
 def write_shards(docs: DataFrame, path: str, dimensions: list[str], shards: int = SHARDS, id_col: str = "doc_id",
                  text_col: str = "text") -> None:
     """Write ``docs`` as one folder for each shard, rows in curve order."""
-    places = assign(docs, dimensions, shards, id_col, text_col).select(
-        F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), F.col("size").alias("__size"),
-        F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    keys = ["id", "crc", "size", "copy"]
+    # Rows equal in id and text are interchangeable: copies are numbered on both sides.
+    same = Window.partitionBy("id", "crc", "size")
+    placed = assign(docs, dimensions, shards, id_col, text_col).select(
+        F.col("doc_id").alias("id"), F.col("text_crc32").alias("crc"), "size", "shard", "slot")
+    placed = placed.withColumn("copy", F.row_number().over(same.orderBy("shard", "slot")))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # Rows equal in id and text are interchangeable: number them on both sides.
-    from pyspark.sql import Window
-    w = Window.partitionBy("__id", "__crc", "__size").orderBy("__slot")
-    left = docs.withColumns({"__id": F.col(id_col), "__crc": F.crc32(text.cast("binary")),
-                             "__size": (F.octet_length(text) + ROW_OVERHEAD).cast("long")})
-    left = left.withColumn("__k", F.row_number().over(Window.partitionBy("__id", "__crc", "__size").orderBy(F.lit(0))))
-    places = places.withColumn("__k", F.row_number().over(w.orderBy("__shard", "__slot")))
-    keys = ["__crc", "__size", "__k"]
-    on = left["__id"].eqNullSafe(places["__id"])
-    for k in keys:
-        on = on & (left[k] == places[k])
-    (left.join(places, on).select(*[left[c] for c in docs.columns], F.col("__shard").alias("shard"), "__slot")
-     .repartition(shards, "shard").sortWithinPartitions("shard", "__slot").drop("__slot")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("id"),
+                        F.crc32(text.cast("binary")).alias("crc"), (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"))
+    whole = whole.withColumn("copy", F.row_number().over(same.orderBy(F.lit(0))))
+    on = [whole[k].eqNullSafe(placed[k]) for k in keys]
+    (whole.join(placed, on).select("row", "shard", "slot")
+     .repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+     .select(*[F.col("row")[c].alias(c) for c in docs.columns], "shard")
      .write.partitionBy("shard").parquet(path))
 
 
