@@ -5,116 +5,130 @@ of unbounded depth.  DOC1 returns the VALUE of every object whose TYPE is
 'text', depth-first in document order, descending into every object and
 array (also inside table cells and style objects).
 
-The walk stays inside the row: the tree is parsed once
-into a VARIANT; a frontier array of (is_leaf, node, text) is expanded
-level by level with higher-order functions, each node being replaced in
-place by [its own text leaf, its child containers] -- so the final array
-is already in depth-first order.  No explode, no shuffle, no per-row
-Python; the depth bound is a parameter (``unexpanded_nodes`` counts what a
-too-small bound would leave out).
+Spark has no recursive built-in and its maps and variants sort the keys of
+an object, so the walk is one Arrow-batched function per JSON text with an
+explicit stack: linear in the text, no depth bound, keys in file order.
+The rest (exploding, joining texts) is built-in and stays in the row.
 """
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholarq.functions.text import explode_rows
 
-MAX_DEPTH = 48  # container levels (objects and arrays each count one)
-_ENTRY = "struct<leaf:boolean,node:variant,text:string>"
-
-
-def _obj(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>")
-
-
-def _arr(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "array<variant>")
-
-
-def _entry(leaf: bool, node: Column, text: Column) -> Column:
-    return F.struct(F.lit(leaf).alias("leaf"), node.alias("node"), text.alias("text"))
-
-
-def _expand(x: Column) -> Column:
-    """Replace one frontier entry by [its text leaf?, its children...].
-
-    ``x`` carries the node already cast once to map / array (``_cast``);
-    scalars expand to nothing, so children need no container test."""
-    obj, arr = x["obj"], x["arr"]
-    empty = F.array().cast(f"array<{_ENTRY}>")
-    is_text = (F.try_variant_get(F.try_element_at(obj, F.lit("TYPE")), "$", "string") == F.lit("text")) \
-        & F.map_contains_key(obj, "VALUE")
-    own = F.when(is_text, F.array(_entry(True, F.lit(None).cast("variant"),
-                                         F.try_variant_get(F.try_element_at(obj, F.lit("VALUE")), "$", "string"))))
-    kids = F.transform(F.coalesce(F.map_values(obj), arr, F.array().cast("array<variant>")),
-                       lambda c: _entry(False, c, F.lit(None).cast("string")))
-    return F.when(x["leaf"], F.array(F.struct(x["leaf"].alias("leaf"), x["node"].alias("node"),
-                                              x["text"].alias("text")))) \
-        .otherwise(F.concat(F.coalesce(own, empty), kids))
-
-
-def _cast(x: Column) -> Column:
-    node = x["node"]
-    return F.struct(x["leaf"].alias("leaf"), node.alias("node"), x["text"].alias("text"),
-                    F.when(~x["leaf"], _obj(node)).alias("obj"), F.when(~x["leaf"], _arr(node)).alias("arr"))
-
-
-def _initial(json_text: Column) -> Column:
-    root = F.try_parse_json(json_text)
-    return F.when(root.isNull(), F.array().cast(f"array<{_ENTRY}>")).otherwise(
-        F.array(_entry(False, root, F.lit(None).cast("string"))))
-
-
-def walk(df: DataFrame, json_col: str, max_depth: int = MAX_DEPTH, out_col: str = "_frontier") -> DataFrame:
-    """Add ``out_col``: the frontier after ``max_depth`` expansion levels.
-
-    One projection per level (the analyzer resolves each on its own, and
-    the guard below keeps them from being fused into one huge expression);
-    a level whose frontier holds only leaves passes it through untouched,
-    so short documents stop paying after their own depth."""
-    df = df.withColumn(out_col, _initial(F.col(json_col)))
-    for _ in range(max_depth):
-        f = F.col(out_col)
-        df = df.withColumn(out_col, F.when(F.exists(f, lambda e: ~e["leaf"]),
-                                           F.flatten(F.transform(F.transform(f, _cast), _expand))).otherwise(f))
-    return df
-
-
-def _texts(frontier: Column) -> Column:
-    return F.transform(F.filter(frontier, lambda e: e["leaf"]), lambda e: e["text"])
-
-
-def with_text_nodes(trees: DataFrame, json_col: str, out_col: str = "texts",
-                    max_depth: int = MAX_DEPTH) -> DataFrame:
-    """DOC1: add ``out_col`` array<string> of text-node values in document
-    order, and ``unexpanded`` = containers left after ``max_depth`` levels
-    (0 means the tree was walked completely)."""
-    w = walk(trees, json_col, max_depth)
-    return (w.withColumn(out_col, _texts(F.col("_frontier")))
-            .withColumn("unexpanded", F.size(F.filter(F.col("_frontier"), lambda e: ~e["leaf"])))
-            .drop("_frontier"))
-
-
-def extract_texts(trees: DataFrame, id_col: str, json_col: str, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """DOC1 long form: (id, pos, text), one row per text node.
-
-    ``posexplode_outer`` + a filter on its output, not ``posexplode``: for
-    a non-outer generator the optimizer infers ``size(array) > 0`` and
-    pushes it below the level projections, inlining the whole walk."""
-    return explode_rows(with_text_nodes(trees.select(id_col, json_col), json_col, "_t", max_depth),
+_TOKEN = re.compile(r'[{}\[\],:]|"(?:[^"\\]|\\.)*"|[^\s{}\[\],:"]+')
+
+
+def _value(token: str):
+    return json.loads(token)
+
+
+def _parse_flat(text: str):
+    """The tree of a JSON text nested too deeply for the standard parser,
+    built with an explicit stack."""
+    root: list = []
+    stack, key, want_key = [root], [None], [False]
+
+    def put(value):
+        if isinstance(stack[-1], dict):
+            stack[-1][key[-1]] = value
+        else:
+            stack[-1].append(value)
+
+    for m in _TOKEN.finditer(text):
+        t = m[0]
+        if t in "{[":
+            child = {} if t == "{" else []
+            put(child)
+            stack.append(child)
+            key.append(None)
+            want_key.append(t == "{")
+        elif t in "}]":
+            stack.pop()
+            key.pop()
+            want_key.pop()
+        elif t == ",":
+            want_key[-1] = isinstance(stack[-1], dict)
+        elif t == ":":
+            want_key[-1] = False
+        elif want_key[-1]:
+            key[-1] = _value(t)
+        else:
+            put(_value(t))
+    if len(root) != 1 or len(stack) != 1:
+        raise ValueError("not one JSON value")
+    return root[0]
+
+
+def text_values(json_text: str | None) -> list[str]:
+    """DOC1 for one document; text that is not JSON holds no text nodes.
+    A number or boolean as VALUE gives its JSON form; null and containers
+    are no text."""
+    if not json_text:
+        return []
+    try:
+        try:
+            root = json.loads(json_text)
+        except RecursionError:
+            root = _parse_flat(json_text)
+    except (ValueError, IndexError):
+        return []
+    found: list[str] = []
+    # An entry is a container still to open, or a value already known to be text.
+    stack: list[tuple[bool, object]] = [(False, root)]
+    while stack:
+        is_text, node = stack.pop()
+        if is_text:
+            found.append(node if isinstance(node, str) else json.dumps(node))
+            continue
+        inside: list[tuple[bool, object]] = []
+        if isinstance(node, dict):
+            for name, child in node.items():
+                if name == "TYPE" and child == "text":
+                    if "VALUE" in node and isinstance(node["VALUE"], str | int | float):
+                        inside.append((True, node["VALUE"]))
+                elif isinstance(child, dict | list):
+                    inside.append((False, child))
+        elif isinstance(node, list):
+            inside = [(False, child) for child in node if isinstance(child, dict | list)]
+        stack.extend(reversed(inside))
+    return found
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _text_nodes(trees: pd.Series) -> pd.Series:
+    return trees.map(text_values, na_action=None)
+
+
+def with_text_nodes(trees: DataFrame, json_col: str, out_col: str = "texts") -> DataFrame:
+    """DOC1: add ``out_col`` array<string> of text-node values in document order."""
+    return trees.withColumn(out_col, _text_nodes(F.col(json_col)))
+
+
+def extract_texts(trees: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """DOC1 long form: (id, pos, text), one row per text node."""
+    return explode_rows(with_text_nodes(trees.select(id_col, json_col), json_col, "_t"),
                         [id_col], F.col("_t"), "text", "pos")
 
 
-def full_text(trees: DataFrame, id_col: str, json_col: str, sep: str = " ",
-              max_depth: int = MAX_DEPTH) -> DataFrame:
+def full_text(trees: DataFrame, id_col: str, json_col: str, sep: str = " ") -> DataFrame:
     """AGG12 (sep=' ') / DOC3 (sep='\\n'): the text nodes of each document
     joined in order -- computed inside the row, so no grouping shuffle."""
-    return (with_text_nodes(trees.select(id_col, json_col), json_col, "_t", max_depth)
+    return (with_text_nodes(trees.select(id_col, json_col), json_col, "_t")
             .select(id_col, F.array_join("_t", sep).alias("text")))
 
 
+def _arr(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
 def top_level_texts(trees: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """DOC2 (as shipped): only text items of a top-level *list*; a top-level
     object yields nothing."""

@@ -1,16 +1,17 @@
 """Dictionary (gazetteer) entity tagging (NER1), the re-aimed stand-in for
 the statistical tagger: (doc, text, start_char, end_char, label) for every
-occurrence of a dictionary name as a run of 1..max_ngram word tokens.
+occurrence of a dictionary name as a run of word tokens with only white
+space between them; ``text`` is the text at the offsets.
 
 Plan: the corpus is hash-partitioned by document once; tokens and their
 character offsets come from one explode plus a running sum over the
-document's pieces, and n-grams from ``lead`` over the same window -- that
-window's distribution is already satisfied, so no further exchange.  The
-n-grams are joined to the dictionary (broadcast only when its size is
-checked to be small, otherwise an ordinary join).  Overlaps: a longer match
-wins over a shorter one at the same start; a match that starts before the
-end of an earlier-starting candidate is dropped (greedy left to right over
-candidates, in Spark's window form).
+document's pieces, and n-grams (of the lengths that the dictionary has) from
+``lead`` over the same window -- that window's distribution is already
+satisfied, so no further exchange.  The n-grams are joined to the
+dictionary.  Overlaps are resolved greedily from the left, a longer match
+before a shorter one at the same start: candidates that overlap in a chain
+form an island, islands do not touch each other, and a fold over each
+island's few sorted candidates keeps the greedy choice.
 """
 
 from __future__ import annotations
@@ -21,14 +22,18 @@ from pyspark.sql import functions as F
 from scholarq.functions.text import explode_rows
 from scholarq.operators.tfidf import by_document
 
-MAX_NGRAM = 4
-BROADCAST_DICTIONARY_ROWS = 1_000_000
 _W = r"\p{L}\p{N}_"
 
 
 def tag_entities(docs: DataFrame, id_col: str, text_col: str, dictionary: DataFrame,
-                 name_col: str = "name", label_col: str = "label", max_ngram: int = MAX_NGRAM,
-                 broadcast_rows: int = BROADCAST_DICTIONARY_ROWS) -> DataFrame:
+                 name_col: str = "name", label_col: str = "label") -> DataFrame:
+    """Tags of each document; ``id_col`` must be unique."""
+    names = dictionary.select(
+        F.array_join(F.regexp_extract_all(F.col(name_col), F.lit(f"[{_W}]+"), 0), " ").alias("name"),
+        F.col(label_col).alias("label")).filter("name <> ''").distinct()
+    # The distinct token counts of the names: a handful of numbers.
+    lengths = sorted(r["n"] for r in names.select(F.size(F.split("name", " ")).alias("n")).distinct().collect()) or [1]
+
     d = by_document(docs.select(id_col, text_col), id_col)
     t = F.coalesce(F.col(text_col), F.lit(""))
     pieces = d.select(id_col,
@@ -37,29 +42,39 @@ def tag_entities(docs: DataFrame, id_col: str, text_col: str, dictionary: DataFr
     rows = explode_rows(pieces, [id_col, "_lead"], F.col("_pieces"), "_piece", "pos")
     w = Window.partitionBy(id_col).orderBy("pos")
     before = F.sum(F.length("_piece")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    toks = rows.select(id_col, "pos",
-                       F.regexp_extract("_piece", f"^[{_W}]+", 0).alias("tok"),
+    toks = rows.select(id_col, "pos", "_piece", F.regexp_extract("_piece", f"^[{_W}]+", 0).alias("tok"),
                        (F.col("_lead") + F.coalesce(before, F.lit(0))).alias("start_char"))
-    toks = toks.withColumn("end_char", F.col("start_char") + F.length("tok"))
+    # A token joins its successor only across white space.
+    toks = toks.withColumn("joins", F.col("_piece").rlike(f"^[{_W}]+\\s+$"))
     grams = []
-    for n in range(1, max_ngram + 1):
-        parts = [F.col("tok")] + [F.lead("tok", k).over(w) for k in range(1, n)]
-        end = F.col("end_char") if n == 1 else F.lead("end_char", n - 1).over(w)
-        grams.append(F.struct(F.lit(n).alias("n"),
-                              F.when(parts[-1].isNotNull(), F.concat_ws(" ", *parts)).alias("name"),
-                              end.alias("end_char")))
-    cand = explode_rows(toks.select(id_col, "start_char", F.array(*grams).alias("_g")),
+    for n in lengths:
+        tok = [F.col("tok")] + [F.lead("tok", k).over(w) for k in range(1, n)]
+        piece = [F.col("_piece")] + [F.lead("_piece", k).over(w) for k in range(1, n)]
+        joins = [F.col("joins")] + [F.lead("joins", k).over(w) for k in range(1, n)]
+        whole = tok[-1].isNotNull()
+        for j in joins[:-1]:
+            whole = whole & j
+        grams.append(F.when(whole, F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *tok).alias("name"),
+                                            F.concat(*piece[:-1], tok[-1]).alias("text"))))
+    cand = explode_rows(toks.select(id_col, "start_char", F.array_compact(F.array(*grams)).alias("_g")),
                         [id_col, "start_char"], F.col("_g"), "g")
-    cand = cand.select(id_col, "start_char", "g.n", F.col("g.name").alias("text"), F.col("g.end_char"))
-    cand = cand.filter(F.col("text").isNotNull())
-    dic = dictionary.select(F.col(name_col).alias("text"), F.col(label_col).alias("label")).distinct()
-    if dic.count() <= broadcast_rows:   # checked size: the broadcast is bounded
-        dic = F.broadcast(dic)
-    m = cand.join(dic, "text")
-    order = Window.partitionBy(id_col).orderBy(F.col("start_char"), F.desc("n"), F.col("label")) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    prev_end = F.max("end_char").over(order)
-    return (m.withColumn("_prev_end", prev_end)
-            .filter(F.col("_prev_end").isNull() | (F.col("start_char") >= F.col("_prev_end")))
-            .select(id_col, "text", F.col("start_char").cast("long").alias("start_char"),
-                    F.col("end_char").cast("long").alias("end_char"), "label"))
+    cand = cand.select(id_col, "start_char", "g.n", "g.name", "g.text",
+                       (F.col("start_char") + F.length("g.text")).alias("end_char"))
+    m = cand.join(names, "name")
+    # One label per place: the smallest (each place takes one match).
+    m = m.groupBy(id_col, "start_char", "end_char", "text").agg(F.min("label").alias("label"))
+    order = Window.partitionBy(id_col).orderBy("start_char", F.desc("end_char"))
+    reach = F.max("end_char").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    m = m.withColumn("_new", F.when(reach.isNull() | (F.col("start_char") >= reach), 1).otherwise(0))
+    m = m.withColumn("_island", F.sum("_new").over(order))
+    match = F.struct("start_char", (-F.col("end_char")).alias("longest"), "text", "label")
+    islands = m.groupBy(id_col, "_island").agg(F.array_sort(F.collect_list(match)).alias("_m"))
+    kind = "array<struct<start_char:int,longest:int,text:string,label:string>>"
+    kept = F.aggregate(
+        "_m", F.struct(F.lit(-1).alias("end"), F.array().cast(kind).alias("kept")),
+        lambda a, x: F.when(x["start_char"] >= a["end"], F.struct(
+            (-x["longest"]).cast("int").alias("end"), F.concat(a["kept"], F.array(x.cast(kind[6:-1]))).alias("kept"))).otherwise(a),
+        lambda a: a["kept"])
+    return (explode_rows(islands.select(id_col, kept.alias("_k")), [id_col], F.col("_k"), "k")
+            .select(id_col, "k.text", F.col("k.start_char").cast("long").alias("start_char"),
+                    (-F.col("k.longest")).cast("long").alias("end_char"), "k.label"))

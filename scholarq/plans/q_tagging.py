@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scholarq.operators.gazetteer import MAX_NGRAM, tag_entities
+from scholarq.operators.gazetteer import tag_entities
 from scholarq.plans.registry import query
 from scholarq.plans.views import table
 
@@ -12,7 +12,8 @@ from scholarq.plans.views import table
 TEST_DICTIONARY = [
     ("the", "PERSON"), ("of the", "ORG"), ("in the", "GPE"), ("of the it", "WORK_OF_ART"),
     ("der", "PERSON"), ("in der", "GPE"), ("de la", "ORG"), ("de", "NORP"), ("que", "NORP"),
-    ("The", "PERSON"), ("Is and", "ORG"), ("la", "DATE"),
+    ("The", "PERSON"), ("Is and", "ORG"), ("la", "DATE"), ("in the of the it", "EVENT"), ("the it", "LAW"),
+    ("it in", "FAC"), ("in. The", "GPE"), ("le la", "ORG"), ("la de", "PERSON"),
 ]
 
 
@@ -22,33 +23,33 @@ def _dictionary(spark):
 
 _W = r"\p{L}\p{N}_"
 _VALUES = ", ".join(f"('{n}', '{lab}')" for n, lab in TEST_DICTIONARY)
-_LEADS = ", ".join(f"lead(tok, {k}) OVER w AS t{k}, lead(e, {k}) OVER w AS e{k}" for k in range(1, MAX_NGRAM))
-
-
-def _grams():
-    out = ["SELECT doc_id, s, 1 AS n, tok AS name, e FROM g"]
-    for n in range(2, MAX_NGRAM + 1):
-        name = " || ' ' || ".join(["tok"] + [f"t{k}" for k in range(1, n)])
-        out.append(f"SELECT doc_id, s, {n}, {name}, e{n - 1} FROM g WHERE t{n - 1} IS NOT NULL")
-    return " UNION ALL ".join(out)
-
 
+# Written independently of the Spark plan: n-grams as slices of each document's
+# token list, the greedy choice as a recursion from match to match.
 TAGS_SQL = f"""
-WITH p AS (SELECT doc_id, length(regexp_extract(COALESCE(text, ''), '^[^{_W}]*', 0)) AS lead0,
-                  regexp_extract_all(COALESCE(text, ''), '[{_W}]+[^{_W}]*') AS pcs FROM documents),
-t AS (SELECT doc_id, lead0, unnest(pcs) AS piece, generate_subscripts(pcs, 1) - 1 AS pos FROM p),
-t2 AS (SELECT doc_id, pos, regexp_extract(piece, '^[{_W}]+', 0) AS tok,
-              lead0 + COALESCE(SUM(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos
-                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM t),
-t3 AS (SELECT *, s + length(tok) AS e FROM t2),
-g AS (SELECT *, {_LEADS} FROM t3 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-grams AS ({_grams()}),
-dict AS (SELECT DISTINCT * FROM (VALUES {_VALUES}) v(name, label)),
-m AS (SELECT grams.*, dict.label FROM grams JOIN dict ON dict.name = grams.name),
-k AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, n DESC, label
-                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM m),
-tags AS (SELECT doc_id, name AS text, CAST(s AS BIGINT) AS start_char, CAST(e AS BIGINT) AS end_char, label
-         FROM k WHERE pm IS NULL OR s >= pm)
+WITH RECURSIVE p AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(regexp_extract(coalesce(text, ''), '^[^{_W}]*', 0)) AS lead0,
+         regexp_extract_all(coalesce(text, ''), '[{_W}]+[^{_W}]*') AS pcs FROM documents),
+starts AS (
+  SELECT doc_id, t, pcs, i, lead0 + coalesce(sum(length(pcs[i])) OVER (PARTITION BY doc_id ORDER BY i
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+  FROM (SELECT *, unnest(range(1, len(pcs) + 1)) AS i FROM p)),
+dict AS (
+  SELECT DISTINCT regexp_extract_all(name, '[{_W}]+') AS words, label FROM (VALUES {_VALUES}) v(name, label)),
+m AS (
+  SELECT doc_id, CAST(s AS BIGINT) AS s, CAST(s + length(array_to_string(pcs[i:i + len(words) - 2], ''))
+                    + length(words[len(words)]) AS BIGINT) AS e, min(label) AS label
+  FROM starts JOIN dict ON words = list_transform(pcs[i:i + len(words) - 1], lambda x: regexp_extract(x, '^[{_W}]+', 0))
+  WHERE len(list_filter(pcs[i:i + len(words) - 2], lambda x: NOT regexp_full_match(x, '[{_W}]+\s+'))) = 0 OR len(words) = 1
+  GROUP BY ALL),
+chosen AS (
+  SELECT doc_id, s, e, label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e DESC) AS r FROM m) WHERE r = 1
+  UNION ALL
+  SELECT doc_id, s, e, label FROM (
+    SELECT m.*, row_number() OVER (PARTITION BY m.doc_id ORDER BY m.s, m.e DESC) AS r
+    FROM chosen c JOIN m ON m.doc_id = c.doc_id AND m.s >= c.e) WHERE r = 1),
+tags AS (
+  SELECT doc_id, substr(t, s + 1, e - s) AS text, s AS start_char, e AS end_char, label FROM chosen JOIN p USING (doc_id))
 """
 
 
@@ -57,7 +58,7 @@ def _tags(spark, d):
     return tag_entities(docs, "doc_id", "text", _dictionary(spark))
 
 
-@query("gazetteer_tags", TAGS_SQL + "SELECT * FROM tags", "NER1 DOC3")
+@query("gazetteer_tags", TAGS_SQL + "SELECT * FROM tags", "NER1")
 def gazetteer_tags(spark, d):
     return _tags(spark, d)
 

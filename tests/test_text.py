@@ -22,20 +22,22 @@ def test_tree_walk_order_and_skips(spark):
     tree = {"TYPE": "document", "VALUE": [
         {"TYPE": "body", "VALUE": [
             {"TYPE": "paragraph", "VALUE": [{"TYPE": "text", "VALUE": "one"}]},
-            {"TYPE": "CT_Empty", "VALUE": "skip me"},
+            {"TYPE": "page-mark", "VALUE": "skip me"},
             {"TYPE": "table", "VALUE": [{"TYPE": "table-row", "VALUE": [{"TYPE": "table-cell", "VALUE": [
                 {"TYPE": "paragraph", "VALUE": [{"TYPE": "text", "VALUE": "two"}]}]}]}]},
             {"TYPE": "paragraph", "VALUE": [{"TYPE": "text", "VALUE": "three"}],
              "style": {"TYPE": "text", "VALUE": "four"}},
             "loose string",
         ]}]}
-    df = spark.createDataFrame([(1, json.dumps(tree)), (2, json.dumps(_deep(19, "deep"))), (3, "not json")],
+    order = '{"z": {"TYPE": "text", "VALUE": "first"}, "a": [{"VALUE": "second", "TYPE": "text"}]}'
+    deep = '{"TYPE":"group","VALUE":[' * 30000 + '{"TYPE":"text","VALUE":"bottom \\"x\\""}' + "]}" * 30000
+    df = spark.createDataFrame([(1, json.dumps(tree)), (2, json.dumps(_deep(30, "deep"))), (3, "not json"),
+                                (4, json.dumps(_deep(200, "deeper"))), (5, order), (6, deep), (7, None), (8, ""),
+                                (9, '{"TYPE": "text", "VALUE": null}'), (10, '{"TYPE": "text", "VALUE": 5}')],
                                "id long, tree string")
-    out = {r.id: (r.texts, r.unexpanded) for r in D.with_text_nodes(df, "tree").collect()}
-    assert out[1] == (["one", "two", "three", "four"], 0)
-    assert out[2] == (["deep"], 0)
-    assert out[3] == ([], 0)
-    assert D.with_text_nodes(df, "tree", max_depth=5).filter("id = 2").first().unexpanded > 0
+    out = {r.id: r.texts for r in D.with_text_nodes(df, "tree").collect()}
+    assert out == {1: ["one", "two", "three", "four"], 2: ["deep"], 3: [], 4: ["deeper"], 5: ["first", "second"],
+                   6: ['bottom "x"'], 7: [], 8: [], 9: [], 10: ["5"]}
     ft = {r.id: r.text for r in D.full_text(df, "id", "tree").collect()}
     assert ft[1] == "one two three four"
     assert D.extract_texts(df, "id", "tree").filter("id = 1").orderBy("pos").collect()[1].text == "two"
