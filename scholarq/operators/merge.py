@@ -10,6 +10,7 @@ version being read is never overwritten.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,42 +28,70 @@ def _fs(spark: SparkSession, path: str):
 
 
 class VersionedTable:
-    """SNK1 + SNK10: create-if-absent and atomic commit of whole versions."""
+    """SNK1 + SNK10: create-if-absent and atomic commit of whole versions.
 
-    _VER = re.compile(r"^v(\d{8})$")
+    A version folder has a number past every folder present, finished or
+    not, and a name of its own, so neither the remains of a failed write nor
+    a second writer blocks a commit.  It counts once its ``_SUCCESS`` marker
+    exists.  ``keep`` finished versions stay for running readers; older ones and
+    unfinished folders below them are removed after a commit.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+    _VER = re.compile(r"^v(\d{8})(?:-[0-9a-f]+)?$")
 
-    def _versions(self) -> list[int]:
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, keep: int = 3):
+        self.spark, self.root, self.schema, self.keep = spark, root.rstrip("/"), schema, max(1, keep)
+
+    def _folders(self) -> list[tuple[int, str, bool]]:
+        """(number, folder name, finished) of every version folder, in order."""
         fs, p, jvm = _fs(self.spark, self.root)
         if not fs.exists(p):
             return []
         out = []
         for st in fs.listStatus(p):
-            m = self._VER.match(st.getPath().getName())
-            if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(int(m.group(1)))
+            name = st.getPath().getName()
+            if m := self._VER.match(name):
+                out.append((int(m[1]), name, fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))))
         return sorted(out)
 
+    def _current(self) -> tuple[int, str] | None:
+        done = [(n, name) for n, name, finished in self._folders() if finished]
+        return done[-1] if done else None
+
     def current_version(self) -> int | None:
-        v = self._versions()
-        return v[-1] if v else None
+        v = self._current()
+        return v[0] if v else None
 
     def read(self) -> DataFrame:
         """Current version; an empty frame of the table schema if none yet."""
-        v = self.current_version()
+        v = self._current()
         if v is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{v:08d}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{v[1]}")
 
     def commit(self, df: DataFrame) -> int:
         """Write ``df`` as the next version; visible only when complete."""
-        nxt = (self.current_version() or 0) + 1
+        nxt = max((n for n, _, _ in self._folders()), default=0) + 1
         df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields]) \
-          .write.mode("errorifexists").parquet(f"{self.root}/v{nxt:08d}")
+          .write.mode("errorifexists").parquet(f"{self.root}/v{nxt:08d}-{uuid.uuid4().hex[:12]}")
+        self._expire()
         return nxt
 
+    def append(self, df: DataFrame) -> int:
+        """Commit the current rows plus ``df``."""
+        return self.commit(self.read().unionByName(df.select(*self.schema.names)))
+
+    def _expire(self) -> None:
+        folders = self._folders()
+        done = [n for n, _, finished in folders if finished]
+        if len(done) <= self.keep:
+            return
+        oldest = done[-self.keep]
+        fs, _, jvm = _fs(self.spark, self.root)
+        for n, name, _ in folders:
+            if n < oldest:
+                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)
+
 
 def split_rejects(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """SNK10: rows failing any named check go to ``rejects`` with the names
@@ -92,14 +121,24 @@ def _absent(batch: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
 
 
 def upsert_by_key(existing: DataFrame, new: DataFrame, key: list[str], id_col: str,
-                  update_cols: list[str]) -> DataFrame:
+                  update_cols: list[str], order_col: str | None = None) -> DataFrame:
     """SNK2/SNK3: insert new keys with fresh ids, update ``update_cols`` of
-    existing keys, keep their ids (ON CONFLICT DO UPDATE ... RETURNING id)."""
-    new_d = new.dropDuplicates(key)
-    o, n = existing.alias("o"), new_d.alias("n")
+    existing keys, keep their ids (ON CONFLICT DO UPDATE ... RETURNING id).
+
+    A key may repeat in the batch only if ``order_col`` says which row is
+    the last; that one wins, as if the rows were applied one after another.
+    Without it, rows that differ for one key make the upsert fail."""
+    if order_col is not None:
+        new_d = keep_last(new.select(*key, *update_cols, order_col), key, order_col)
+    else:
+        new_d = new.select(*key, *update_cols).distinct()
+        n = F.count(F.lit(1)).over(Window.partitionBy(*key))
+        new_d = new_d.withColumn("_n", n).withColumn("_ok", F.when(F.col("_n") > 1, F.raise_error(
+            F.lit("a key repeats in the batch: give order_col"))).otherwise(F.lit(True))).filter("_ok").drop("_n", "_ok")
+    o, n = existing.alias("o"), new_d.withColumn("_hit", F.lit(True)).alias("n")
     matched_or_old = o.join(n, key, "left").select(
         *key, F.col(f"o.{id_col}").alias(id_col),
-        *[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in update_cols])
+        *[F.when(F.col("n._hit"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in update_cols])
     fresh = ids_after_max(_absent(new_d, existing, key), existing, id_col, key)
     cols = [id_col] + key + update_cols
     return matched_or_old.select(*cols).unionByName(fresh.select(*cols))
@@ -165,18 +204,29 @@ def insert_if_absent(existing: DataFrame, batch: DataFrame, key: str, order_col:
     return existing.unionByName(fresh.select(*existing.columns))
 
 
-def write_entity_files(mentions: DataFrame, out_dir: str, paper_col: str = "paper_name") -> None:
-    """SNK9: one JSON document per paper, ``{"entities": [...]}`` in text
-    order.  One paper's mention list is bounded by the paper's length."""
+def write_entity_files(mentions: DataFrame, out_dir: str, paper_col: str = "paper_name",
+                       files: int | None = None) -> None:
+    """SNK9: one JSON record per paper, ``{"paper_pdf": ..., "entities": [...]}``
+    in text order, one record a line, many papers to a file (a folder for each
+    paper would be a small-file problem).  ``read_entity_files`` takes the
+    paper from the record.  One paper's mention list is bounded by the paper's
+    length."""
     docs = (mentions.groupBy(paper_col)
             .agg(F.array_sort(F.collect_list(F.struct("start_char", "end_char", "text", "label")))
                  .alias("_m"))
-            .select(paper_col, F.transform("_m", lambda m: F.struct(
+            .select(F.col(paper_col).alias("paper_pdf"), F.transform("_m", lambda m: F.struct(
                 m["text"].alias("text"), m["start_char"].alias("start_char"),
                 m["end_char"].alias("end_char"), m["label"].alias("label"))).alias("entities")))
-    docs.write.mode("errorifexists").partitionBy(paper_col).json(out_dir)
-
-
-def latest_per_key(df: DataFrame, key: list[str], order_col: str) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(F.desc(order_col))
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    if files:
+        docs = docs.repartition(files, "paper_pdf")
+    docs.write.mode("errorifexists").json(out_dir)
+
+
+def insert_or_ignore_links(existing: DataFrame, names: DataFrame, entities: DataFrame, key: list[str],
+                           paper_col: str = "paper_id", id_col: str = "entity_id") -> DataFrame:
+    """SNK7 + JN5: link each paper to the stored entities named in ``names``
+    (paper and natural key), with count 1; links that are stored already stay
+    as they are."""
+    found = lookup_ids(names.select(paper_col, *key).distinct(), entities, key, id_col).select(id_col, paper_col).distinct()
+    fresh = _absent(found, existing, [id_col, paper_col]).withColumn("count", F.lit(1).cast("long"))
+    return existing.select(id_col, paper_col, "count").unionByName(fresh.select(id_col, paper_col, "count"))

@@ -24,20 +24,24 @@ BATCH_FROM = "1997-01-01"
 PCOLS = ["paper_pdf", "paper_docx", "paper_json", "paper_entities"]
 
 
-def _v2_paths(df):
+def _paths(df, version: str, seq: int):
     n = F.col("paper_name")
     return df.select("paper_name",
-                     F.concat(F.lit("Papers/v2/"), n, F.lit(".pdf")).alias("paper_pdf"),
-                     F.concat(F.lit("Docs/v2/"), n, F.lit(".pdf.docx")).alias("paper_docx"),
-                     F.concat(F.lit("JSON/v2/"), n, F.lit(".pdf.json")).alias("paper_json"),
-                     F.concat(F.lit("Ents/v2/"), n, F.lit(".pdf.json")).alias("paper_entities"))
+                     F.concat(F.lit(f"Papers/{version}/"), n, F.lit(".pdf")).alias("paper_pdf"),
+                     F.concat(F.lit(f"Docs/{version}/"), n, F.lit(".pdf.docx")).alias("paper_docx"),
+                     F.concat(F.lit(f"JSON/{version}/"), n, F.lit(".pdf.json")).alias("paper_json"),
+                     F.concat(F.lit(f"Ents/{version}/"), n, F.lit(".pdf.json")).alias("paper_entities"),
+                     F.lit(seq).alias("seq"))
 
 
 _P_OLD = ("SELECT paper_id, paper_name, paper_pdf, paper_docx, paper_json, paper_entities FROM v_papers "
           f"WHERE published < TIMESTAMP '{STORED_BEFORE}'")
-_P_NEW = ("SELECT paper_name, 'Papers/v2/' || paper_name || '.pdf' AS paper_pdf, "
-          "'Docs/v2/' || paper_name || '.pdf.docx' AS paper_docx, 'JSON/v2/' || paper_name || '.pdf.json' AS paper_json, "
-          "'Ents/v2/' || paper_name || '.pdf.json' AS paper_entities FROM v_papers "
+# In the batch every third paper comes a second time, with later paths.
+_P_NEW = ("SELECT paper_name, 'Papers/' || v || '/' || paper_name || '.pdf' AS paper_pdf, "
+          "'Docs/' || v || '/' || paper_name || '.pdf.docx' AS paper_docx, "
+          "'JSON/' || v || '/' || paper_name || '.pdf.json' AS paper_json, "
+          "'Ents/' || v || '/' || paper_name || '.pdf.json' AS paper_entities "
+          "FROM (SELECT *, CASE WHEN paper_id % 3 = 0 THEN 'v3' ELSE 'v2' END AS v FROM v_papers) "
           f"WHERE published >= TIMESTAMP '{BATCH_FROM}'")
 
 
@@ -55,8 +59,10 @@ def upsert_papers(spark, d):
     p = v_papers(spark, d)
     old = p.filter(F.col("published") < F.lit(STORED_BEFORE).cast("timestamp")).select(
         "paper_id", "paper_name", *PCOLS)
-    new = _v2_paths(p.filter(F.col("published") >= F.lit(BATCH_FROM).cast("timestamp")))
-    return G.upsert_by_key(old, new, ["paper_name"], "paper_id", PCOLS).select("paper_id", "paper_name", *PCOLS)
+    batch = p.filter(F.col("published") >= F.lit(BATCH_FROM).cast("timestamp"))
+    new = _paths(batch.filter("paper_id % 3 = 0"), "v3", 1).unionByName(_paths(batch, "v2", 0))
+    return G.upsert_by_key(old, new, ["paper_name"], "paper_id", PCOLS, order_col="seq").select(
+        "paper_id", "paper_name", *PCOLS)
 
 
 def _mentions_dated(spark, d):
@@ -77,7 +83,7 @@ _E_OLD = ("SELECT row_number() OVER (ORDER BY entity_type, entity_name) AS entit
               entity_name, entity_type
        FROM e_new n WHERE NOT EXISTS (SELECT 1 FROM e_old o WHERE o.entity_type = n.entity_type
                                                          AND o.entity_name = n.entity_name)""",
-    "v_mentions_raw", extra={"e_old": _E_OLD, "e_new": _E_SLICE.format(op=">=")}), "SNK3 SNK8 JN5")
+    "v_mentions_raw", extra={"e_old": _E_OLD, "e_new": _E_SLICE.format(op=">=")}), "SNK3 SNK8")
 def upsert_entities(spark, d):
     m = _mentions_dated(spark, d)
     cut = F.lit("1997-01-01").cast("timestamp")
@@ -203,6 +209,33 @@ def insert_or_ignore(spark, d):
         "entity_id", "entity_name", "entity_type")
 
 
+_LINKED = """SELECT DISTINCT e.entity_id, r.paper_id FROM (
+    SELECT CAST(arxiv_id AS VARCHAR) AS paper_id, unnest(authors) AS entity_name, 'PERSON' AS entity_type FROM v_arxiv
+    UNION ALL SELECT arxiv_id, unnest(string_split_regex(categories, '\\s+')), 'WORK_OF_ART' FROM v_arxiv
+    WHERE categories IS NOT NULL) r JOIN e_new e USING (entity_type, entity_name)"""
+_E_NEW = """SELECT row_number() OVER (ORDER BY entity_type, entity_name) AS entity_id, entity_type, entity_name FROM (
+    SELECT DISTINCT unnest(authors) AS entity_name, 'PERSON' AS entity_type FROM v_arxiv
+    UNION SELECT DISTINCT unnest(string_split_regex(categories, '\\s+')), 'WORK_OF_ART' FROM v_arxiv
+    WHERE categories IS NOT NULL)"""
+
+
+@query("insert_or_ignore_links", with_views(
+    """SELECT entity_id, paper_id, 5 AS count FROM linked WHERE entity_id % 2 = 0
+       UNION ALL SELECT entity_id, paper_id, 1 FROM linked WHERE entity_id % 2 <> 0""",
+    "v_arxiv", extra={"e_new": _E_NEW, "linked": _LINKED}), "SNK7 JN5 (paper-entity links of remote records)")
+def insert_or_ignore_links(spark, d):
+    key = ["entity_type", "entity_name"]
+    r = v_arxiv(spark, d)
+    names = (r.select(F.col("arxiv_id").alias("paper_id"), F.explode("authors").alias("entity_name"), F.lit("PERSON").alias("entity_type"))
+             .unionByName(r.select(F.col("arxiv_id").alias("paper_id"), F.explode(F.split("categories", r"\s+")).alias("entity_name"),
+                                   F.lit("WORK_OF_ART").alias("entity_type"))))
+    entities = sequential_ids(names.select(*key).distinct(), key, 0, "entity_id")
+    # Links to every second entity are stored already, with a count of their own.
+    stored = (G.lookup_ids(names.distinct(), entities, key, "entity_id").filter("entity_id % 2 = 0")
+              .select("entity_id", "paper_id", F.lit(5).cast("long").alias("count")))
+    return G.insert_or_ignore_links(stored, names, entities, key)
+
+
 def _manifest(spark, d):
     o = table(spark, d, "orders")
     name = F.concat(F.lit("paper-"), F.col("o_orderkey").cast("string"))

@@ -47,6 +47,12 @@ ENTS_FILE = T.StructType([
     T.StructField("entities", T.ArrayType(ENTITY_MENTION), True),
 ])
 
+ENTS_RECORD = T.StructType([
+    T.StructField("paper_pdf", T.StringType(), True),
+    *ENTS_FILE.fields,
+    T.StructField("_corrupt", T.StringType(), True),
+])
+
 SNAPSHOT_RECORD = T.StructType([
     T.StructField("id", T.StringType(), True),
     T.StructField("title", T.StringType(), True),

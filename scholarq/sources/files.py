@@ -8,22 +8,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholarq.schemas import ENTS_FILE, SNAPSHOT_RECORD
+from scholarq.schemas import ENTS_RECORD, SNAPSHOT_RECORD
 
 PREVIEW_ROWS = 5
 PREVIEW_ABSTRACT_CHARS = 200
 
 
-def read_entity_files(spark: SparkSession, path: str) -> DataFrame:
-    """SRC3: one JSON document per paper -> one row per mention
-    (file_name, paper_pdf, mention_no, text, start_char, end_char, label).
-    A file with an empty list contributes no rows."""
-    raw = (spark.read.schema(ENTS_FILE).option("multiLine", True).json(path)
-           .select(F.col("_metadata.file_name").alias("file_name"), "entities"))
-    return (raw.select("file_name", F.posexplode("entities").alias("mention_no", "m"))
-            .select("file_name",
-                    F.regexp_replace("file_name", r"\.json$", "").alias("paper_pdf"),
-                    "mention_no", "m.text", "m.start_char", "m.end_char", "m.label"))
+def parse_entity_records(raw: DataFrame) -> DataFrame:
+    """(file_name, value) JSON texts -> (file_name, paper_pdf, entities, malformed).
+
+    The paper is the record's ``paper_pdf``, else the file name without
+    ``.json``.  A text that is not JSON, or has no list of entities, is malformed."""
+    parsed = F.from_json("value", ENTS_RECORD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rec = raw.select("file_name", "value", parsed.alias("r"))
+    bad = F.try_parse_json("value").isNull() | F.col("r._corrupt").isNotNull() | F.col("r.entities").isNull()
+    return rec.select(
+        "file_name", F.coalesce("r.paper_pdf", F.regexp_replace("file_name", r"\.json$", "")).alias("paper_pdf"),
+        F.when(~bad, F.col("r.entities")).alias("entities"), F.coalesce(bad, F.lit(True)).alias("malformed"))
+
+
+def entity_texts(reader, path: str, per_line: bool) -> DataFrame:
+    """Whole files, or lines of files that hold a record a line, with their file name."""
+    lines = reader.option("wholetext", not per_line).text(path)
+    return lines.select(F.col("_metadata.file_name").alias("file_name"), "value").filter(F.trim("value") != "")
+
+
+def read_entity_files(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """SRC3: one JSON document per paper (a file each, or a line each) -> one
+    row per mention (file_name, paper_pdf, mention_no, text, start_char,
+    end_char, label).  A document with an empty list, or malformed, contributes
+    no rows."""
+    raw = parse_entity_records(entity_texts(spark.read, path, per_line))
+    return (raw.select("file_name", "paper_pdf", F.posexplode("entities").alias("mention_no", "m"))
+            .select("file_name", "paper_pdf", "mention_no", "m.text", "m.start_char", "m.end_char", "m.label"))
 
 
 def read_document_trees(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,13 @@ def test_upsert_keeps_ids_and_is_idempotent(spark):
     once = G.upsert_by_key(old, new, ["name"], "id", ["path"])
     rows = {r.name: (r.id, r.path) for r in once.collect()}
     assert rows == {"a": (1, "p1"), "b": (2, "p2b"), "c": (3, "p3")}
+    for parts in (1, 4):  # of repeated keys the last row wins, however they are partitioned
+        many = spark.createDataFrame([("b", f"p{i}", i) for i in range(8)], "name string, path string, seq int").repartition(parts)
+        last = {r.name: r.path for r in G.upsert_by_key(old, many, ["name"], "id", ["path"], order_col="seq").collect()}
+        assert last == {"a": "p1", "b": "p7"}
+    clash = spark.createDataFrame([("b", "x"), ("b", "y")], "name string, path string")
+    with pytest.raises(Exception, match="order_col"):
+        G.upsert_by_key(old, clash, ["name"], "id", ["path"]).collect()
     twice = G.upsert_by_key(once, new, ["name"], "id", ["path"])
     assert sorted(map(tuple, twice.collect())) == sorted(map(tuple, once.collect()))
 
@@ -58,6 +66,15 @@ def test_versioned_table_and_rejects(spark, tmpdir_path):
     assert t.commit(good) == 1
     assert t.commit(df) == 2
     assert t.read().count() == 2 and t.current_version() == 2
+    with pytest.raises(Exception):  # a write that fails half way leaves a folder without the marker
+        t.commit(df.withColumn("paper_id", F.when(F.col("paper_id") == 2, F.raise_error(F.lit("boom"))).otherwise(1)))
+    assert t.current_version() == 2 and t.read().count() == 2
+    assert t.commit(good) > 2 and t.read().count() == 1
+    t.append(df)
+    assert t.read().count() == 3
+    for _ in range(4):
+        t.commit(df)
+    assert len([x for x in os.listdir(os.path.join(tmpdir_path, "papers")) if x.startswith("v")]) == 3  # older ones are gone
 
 
 def test_entity_files_round_trip(spark, tmpdir_path):
@@ -67,6 +84,5 @@ def test_entity_files_round_trip(spark, tmpdir_path):
                               "paper_name string, text string, start_char int, end_char int, label string")
     out = os.path.join(tmpdir_path, "ents")
     G.write_entity_files(m, out)
-    back = read_entity_files(spark, out).select("text", "start_char", "label").collect()
-    assert sorted((r.text, r.start_char, r.label) for r in back) == [("Acme", 0, "ORG"), ("Ann", 9, "PERSON"),
-                                                                      ("Bob", 3, "PERSON")]
+    back = read_entity_files(spark, out, per_line=True).select("paper_pdf", "text", "start_char", "label").collect()
+    assert sorted(map(tuple, back)) == [("a.pdf", "Acme", 0, "ORG"), ("a.pdf", "Ann", 9, "PERSON"), ("b.pdf", "Bob", 3, "PERSON")]

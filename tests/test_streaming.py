@@ -3,7 +3,7 @@ import os
 
 from scholarq.operators.merge import VersionedTable
 from scholarq.schemas import ENTITIES, PAPERS_HAVE_ENTITIES
-from scholarq.streaming.ingest import start_entity_ingest
+from scholarq.streaming.ingest import REJECTS, merge_mentions, start_entity_ingest
 
 
 def _write(d, name, ents):
@@ -18,7 +18,7 @@ def test_incremental_ingest_is_idempotent(spark, tmpdir_path):
                                    "paper_id long, paper_entities string")
     root, cp = os.path.join(tmpdir_path, "tables"), os.path.join(tmpdir_path, "cp")
     _write(ents, "a.pdf.json", [("Acme", "ORG"), ("Acme", "ORG"), ("Ann", "PERSON")])
-    _write(ents, "x.pdf.json", [("Zed", "PERSON")])            # no paper: goes to unmatched_files
+    _write(ents, "x.pdf.json", [("Zed", "PERSON")])            # no paper: goes to rejected_files
     start_entity_ingest(spark, ents, papers, root, cp).awaitTermination()
     phe = VersionedTable(spark, os.path.join(root, "papers_have_entities"), PAPERS_HAVE_ENTITIES)
     ent = VersionedTable(spark, os.path.join(root, "entities"), ENTITIES)
@@ -32,3 +32,26 @@ def test_incremental_ingest_is_idempotent(spark, tmpdir_path):
     rows = sorted((r.paper_id, r["count"]) for r in phe.read().collect())
     assert rows == [(1, 1), (1, 2), (2, 1)]
     assert ent.read().count() == 2                              # Acme not duplicated
+    with open(os.path.join(ents, "c.json"), "w") as f:           # a new name, so the source sees it
+        f.write('{"entities": [{"text": "Acme", "sta')
+    with open(os.path.join(ents, "sub-a.pdf.json"), "w") as f:
+        f.write("[]")
+    start_entity_ingest(spark, ents, papers, root, cp).awaitTermination()
+    assert sorted((r.paper_id, r["count"]) for r in phe.read().collect()) == rows
+    rejects = VersionedTable(spark, os.path.join(root, "rejected_files"), REJECTS)
+    assert sorted(map(tuple, rejects.read().collect())) == [
+        ("c.json", "malformed"), ("sub-a.pdf.json", "malformed"), ("x.pdf.json", "no such paper")]
+
+
+def test_truncated_file_keeps_links_and_empty_list_clears_them(spark, tmpdir_path):
+    papers = spark.createDataFrame([(1, "Ents/a.pdf.json")], "paper_id long, paper_entities string")
+    e, p, r = (VersionedTable(spark, os.path.join(tmpdir_path, n), s) for n, s in (
+        ("e", ENTITIES), ("p", PAPERS_HAVE_ENTITIES), ("r", REJECTS)))
+    from scholarq.sources.files import parse_entity_records
+    left = []
+    for text in ('{"entities": [{"text": "Acme", "label": "ORG"}]}', '{"entities": [{"text": "Ac', '{"entities": null}', '{"entities": []}'):
+        raw = spark.createDataFrame([("a.pdf.json", text)], "file_name string, value string")
+        merge_mentions(parse_entity_records(raw), papers, e, p, r)
+        left.append(p.read().count())
+    assert left == [1, 1, 1, 0]
+    assert r.read().count() == 1  # one file, one reason
