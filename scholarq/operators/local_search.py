@@ -39,11 +39,10 @@ def person_search(papers, phe, entities, name: str, limit: str = "all") -> DataF
     """Exact person name; if nothing and the name has a space, each name
     part of >= 3 characters (FLT11)."""
     check_limit(limit)
-    exact = mention_search(papers, phe, entities, [Clause("person", name)], limit=limit)
-    tiers = [exact]
+    tiers = [lambda: mention_search(papers, phe, entities, [Clause("person", name)], limit=limit)]
     if " " in name:
         parts = [p for p in name.split() if len(p) >= 3]
-        tiers.append(_parts_tier(papers, phe, entities, "PERSON", parts, limit))
+        tiers.append(lambda: _parts_tier(papers, phe, entities, "PERSON", parts, limit))
     return first_nonempty(tiers)
 
 
@@ -51,17 +50,15 @@ def organisation_search(papers, phe, entities, name: str, limit: str = "all") ->
     """Exact organisation; then words longer than 3 characters (only for
     names with a space); then a case-insensitive substring match."""
     check_limit(limit)
-    exact = mention_search(papers, phe, entities, [Clause("organisation", name)], limit=limit)
-    tiers = [exact]
+    tiers = [lambda: mention_search(papers, phe, entities, [Clause("organisation", name)], limit=limit)]
     if " " in name:
         words = [w for w in name.split() if len(w) > 3]
-        tiers.append(_parts_tier(papers, phe, entities, "ORG", words, limit))
-    like = (mention_like_papers(papers, phe, entities, name, "ORG")
-            .withColumn("entity_id", F.lit(None).cast("long"))
-            .withColumn("entity_name", F.lit(None).cast("string"))
-            .withColumn("entity_type", F.lit(None).cast("string"))
-            .withColumn("count", F.lit(None).cast("long")))
-    tiers.append(like)
+        tiers.append(lambda: _parts_tier(papers, phe, entities, "ORG", words, limit))
+    tiers.append(lambda: mention_like_papers(papers, phe, entities, name, "ORG")
+                 .withColumn("entity_id", F.lit(None).cast("long"))
+                 .withColumn("entity_name", F.lit(None).cast("string"))
+                 .withColumn("entity_type", F.lit(None).cast("string"))
+                 .withColumn("count", F.lit(None).cast("long")))
     return first_nonempty(tiers)
 
 
@@ -118,7 +115,7 @@ def shape_local_results(rows: DataFrame, entity_type: str, name: str,
         out = out.withColumn("relevance_score", rel).drop("_found")
     else:
         out = out.withColumn("relevance_score", F.lit(1.0))
-    return out.drop("_matched")
+    return sort_by_relevance(out.drop("_matched"), "paper_id", "entity_type", "entity_name")
 
 
 def sort_by_relevance(df: DataFrame, *tie: str) -> DataFrame:

@@ -97,19 +97,24 @@ def author_search_with_fallback(records: DataFrame, name: str, start: int = 0,
                                 max_results: int = 10) -> DataFrame:
     """TOP4 over author-name variants: exact author search; surname-first
     for two-part names; dots removed when the name has dots; keyword search.
-    The first tier with rows wins; rows are unique per arxiv_id and sorted by
-    relevance."""
-    tiers = [search_page(records, name, "author", start, max_results)]
-    if " " in name:
-        sf = surname_first(name)
-        if sf is not None:
-            tiers.append(search_page(records, sf, "author", start, max_results))
+    The first tier with rows wins; its rows are a sorted page: by relevance,
+    then newest first, then id."""
+    names = [name]
+    if " " in name and (sf := surname_first(name)) is not None:
+        names.append(sf)
     if "." in name:
-        tiers.append(search_page(records, without_dots(name), "author", start, max_results))
-    tiers.append(search_page(records, name, "keyword", start, max_results))
+        names.append(without_dots(name))
+    tiers = [lambda n=n: search_page(records, n, "author", start, max_results) for n in names]
+    tiers.append(lambda: page(search(records, name, "keyword"), start, max_results, by_relevance=True))
     return first_nonempty(tiers)
 
 
+def point_lookup(records: DataFrame, key: str, value) -> DataFrame:
+    """FLT7: the record with this key.  ``key`` must be a stored column, so
+    that the filter reaches the scan."""
+    return records.filter(F.col(key) == F.lit(value))
+
+
 def first_wins_union(*dfs: DataFrame, key: str = "arxiv_id") -> DataFrame:
     """SET2/JN6: union of result lists keeping, per key, the row of the
     earliest list (later lists only add keys not yet present)."""
@@ -122,11 +127,6 @@ def first_wins_union(*dfs: DataFrame, key: str = "arxiv_id") -> DataFrame:
             .select(key, "_r.*"))
 
 
-def add_only_new(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """JN6 as an anti join: rows of ``new`` whose key is absent from ``existing``."""
-    return new.join(existing.select(key), key, "left_anti")
-
-
 def cache_first(cache: DataFrame, source: DataFrame, key: str = "arxiv_id") -> DataFrame:
     """JN7: stored record when present, else the source's record."""
     cols = [c for c in source.columns if c != key]

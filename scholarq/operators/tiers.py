@@ -1,33 +1,24 @@
-"""TOP4: first non-empty tier of alternative queries, as one lazy plan."""
+"""TOP4: first non-empty tier of alternative queries."""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
-def first_nonempty(tiers: list[DataFrame], tier_col: str = "tier", keep_tier: bool = False) -> DataFrame:
-    """Rows of the lowest-numbered tier that has any row.
+def first_nonempty(tiers: Sequence[DataFrame | Callable[[], DataFrame]]) -> DataFrame:
+    """The first tier that has a row, else the last one.
 
-    The tiers are unioned with a tier tag; the winning tier is a one-row
-    global aggregate (partial min per task, so no data moves), joined back
-    by broadcast: its size is one row by construction.
-    """
+    Tiers are probed in order with ``isEmpty``, which stops at the first row
+    found, and the search ends at the first hit: a later tier (often a
+    substring scan) is neither planned nor run.  Tiers may be given as functions,
+    so that even their plans are only built when needed.  The last tier
+    needs no probe."""
     if not tiers:
         raise ValueError("first_nonempty needs at least one tier")
-    tagged = [df.withColumn(tier_col, F.lit(i)) for i, df in enumerate(tiers)]
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    best = union.agg(F.min(tier_col).alias("_best_tier"))
-    out = union.join(F.broadcast(best), F.col(tier_col) == F.col("_best_tier")).drop("_best_tier")
-    return out if keep_tier else out.drop(tier_col)
-
-
-def first_nonempty_eager(tiers: list[DataFrame]) -> DataFrame:
-    """Eager variant for costly tiers: evaluates tiers in order, stops at the
-    first non-empty one (one ``isEmpty`` probe per tier, no rows collected)."""
-    for df in tiers:
+    for tier in tiers[:-1]:
+        df = tier() if callable(tier) else tier
         if not df.isEmpty():
             return df
-    return tiers[-1]
+    return tiers[-1]() if callable(tiers[-1]) else tiers[-1]

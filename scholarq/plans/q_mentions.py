@@ -236,3 +236,17 @@ def person_relevance(spark, d):
     p, e, phe = v_index(spark, d)
     rows = mention_search(p, phe, e, [Clause("person", PERSON_A), Clause("person", "gear")], ["or"], mode="row")
     return shape_local_results(rows, "person", "gear", v_doc_text(spark, d)).select(*SHAPE_COLS)
+
+
+@query("local_ranked", with_views(f"""
+    SELECT CAST(row_number() OVER (ORDER BY relevance_score DESC, paper_id, entity_type, entity_name) AS BIGINT) AS rank,
+           paper_id, relevance_score
+    FROM ({_shape_sql(
+        f"SELECT {ROW_SQL} FROM v_rows WHERE (entity_type = 'PERSON' AND entity_name = '{PERSON_A}') "
+        f"OR (entity_type = 'PERSON' AND entity_name = 'gear')", "person", "the", True)}) ORDER BY rank LIMIT 60""", "v_rows"),
+    "TOP5 REL1 (order of local results; texts that hold the name score 0.6)")
+def local_ranked(spark, d):
+    p, e, phe = v_index(spark, d)
+    rows = mention_search(p, phe, e, [Clause("person", PERSON_A), Clause("person", "gear")], ["or"], mode="row")
+    shaped = shape_local_results(rows, "person", "the", v_doc_text(spark, d)).limit(60)
+    return shaped.coalesce(1).select((F.monotonically_increasing_id() + 1).alias("rank"), "paper_id", "relevance_score")

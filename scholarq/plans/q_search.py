@@ -107,6 +107,32 @@ def author_fallback(spark, d):
     return _out(S.author_search_with_fallback(v_arxiv(spark, d), AU_DOTTED, 0, 10))
 
 
+AU_FIRST = "000000017 Supplier"
+_RANKED = "SELECT CAST(row_number() OVER (ORDER BY {keys}) AS BIGINT) AS rank, arxiv_id, relevance_score FROM ({rows})"
+
+
+def _ranked(page, *cols):
+    """A page in its own order, numbered: one partition holds a page."""
+    return page.coalesce(1).select((F.monotonically_increasing_id() + 1).alias("rank"), *cols)
+
+
+@query("author_fallback_ranked", with_views(_RANKED.format(
+    keys="relevance_score DESC, published DESC, arxiv_id",
+    rows=_strip(_page_sql(_author_pred("Supplier#000000017"), _author_rel("Supplier#000000017"), 0, 10, True))), "v_arxiv"),
+    "TOP4 TOP5 STR1 (order of the fallback's rows)")
+def author_fallback_ranked(spark, d):
+    return _ranked(S.author_search_with_fallback(v_arxiv(spark, d), AU_DOTTED, 0, 10), "arxiv_id", "relevance_score")
+
+
+@query("catalog_ranked", with_views(
+    """SELECT CAST(row_number() OVER (ORDER BY published DESC, arxiv_id) AS BIGINT) AS rank, arxiv_id
+       FROM v_arxiv ORDER BY rank LIMIT 40""", "v_arxiv"), "TOP7 (top-k report in order)")
+def catalog_ranked(spark, d):
+    local = v_papers(spark, d).select("paper_id", F.col("paper_name").alias("title"))
+    remote = v_arxiv(spark, d).select("arxiv_id", "title", F.col("published").cast("string").alias("published"))
+    return _ranked(S.order_mixed(S.catalog_union(local, remote), "arxiv_id", "paper_id").limit(40), "arxiv_id")
+
+
 @query("author_variants", with_views(
     """SELECT entity_name AS name,
               CASE WHEN len(string_split_regex(trim(entity_name), '\\s+')) = 2
@@ -130,7 +156,7 @@ def category_filter(spark, d):
 @query("point_lookup", with_views(
     f"SELECT {_OUT_SQL}, 1.0::DOUBLE AS relevance_score FROM v_arxiv WHERE arxiv_id = 'ax42'", "v_arxiv"), "FLT7")
 def point_lookup(spark, d):
-    r = v_arxiv(spark, d).filter(F.col("arxiv_id") == "ax42")
+    r = v_arxiv(spark, d, only=42)
     return _out(r.withColumn("pdf_url", S.pdf_url(F.col("arxiv_id"))).withColumn("relevance_score", F.lit(1.0)))
 
 

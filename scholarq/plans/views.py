@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarq.operators.mentions import build_mention_index
+from scholarq.operators.search import point_lookup
 from scholarq.sources.manifest import derive_paths
 
 
@@ -73,16 +74,20 @@ def v_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
 
 
-def v_arxiv(spark: SparkSession, sf_dir: str) -> DataFrame:
+def v_arxiv(spark: SparkSession, sf_dir: str, only: int | None = None) -> DataFrame:
     """arXiv-style records: one per order (orders without lines have no
-    authors, categories or versions)."""
-    o = table(spark, sf_dir, "orders")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey",
+    authors, categories or versions).  ``only`` looks one paper up before its
+    record is built."""
+    def pick(df, key):
+        return df if only is None else point_lookup(df, key, only)
+
+    o = pick(table(spark, sf_dir, "orders"), "o_orderkey")
+    li = pick(table(spark, sf_dir, "lineitem"), "l_orderkey").select("l_orderkey", "l_partkey", "l_suppkey",
                                                   "l_linenumber", "l_shipdate", "l_returnflag")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("o_orderkey"),
-                                                  F.col("text").alias("abstract"))
+    d = pick(table(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("o_orderkey"),
+                                                                  F.col("text").alias("abstract"))
     lines = (li.join(p, li.l_partkey == p.p_partkey)
              .join(s, li.l_suppkey == s.s_suppkey))
     parsed = F.when(F.col("l_returnflag") == "R", F.array(F.col("s_name"))).otherwise(

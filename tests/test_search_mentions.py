@@ -128,11 +128,10 @@ def test_decode_and_merge(spark, records):
 
 def test_first_nonempty_eager_and_id_collisions(spark, index):
     from scholarq.operators.mentions import check_unique_ids
-    from scholarq.operators.tiers import first_nonempty_eager
     a = spark.range(0)
     b = spark.range(3)
-    assert first_nonempty_eager([a, b]).count() == 3
-    assert first_nonempty_eager([a, a]).count() == 0
+    assert first_nonempty([a, b]).count() == 3
+    assert first_nonempty([a, a]).count() == 0
     _, e, _ = index
     assert check_unique_ids(e).count() == 0
     clash = e.unionByName(e.limit(1).withColumn("entity_name", F.lit("other")))
