@@ -1,19 +1,20 @@
 """Lexicon sentiment for documents and sentences (C5: SEN1-8).
 
 A lexicon-and-rules scorer in the style of Hutto & Gilbert (2014): each
-token gets its lexicon valence; a booster word right before it moves the
-valence away from zero; a negator among the three tokens before it flips
-and damps it.  Per text: compound = s / sqrt(s^2 + alpha) with s the sum
-of valences; pos/neg are the shares of sum(v+1 | v>0), sum(v-1 | v<0) and
-the count of neutral tokens.  Polarity = compound, subjectivity =
-(pos + neg) / 2, label by +-0.3.
-
-Scoring joins each token to the lexicon (broadcast when its checked size
-allows) and sums per document or sentence; the corpus is partitioned by
-document once, so the sums and the join back need no further exchange.
-A small lexicon can instead be applied inside the row as a map literal
-(``MAP_LOOKUP_MAX_ENTRIES``).  The reference's statistical sentence splitter and the
-library's own lexicon are not reproduced; lexicons are inputs.
+token gets its lexicon valence; a token in capitals among others in small
+letters counts more; a booster (or dampener) up to three tokens before it
+moves the valence away from (or towards) zero, less the farther it is; a
+negator among the three tokens before it flips and damps it; exclamation
+marks move the sum away from zero.  Per text: compound = s / sqrt(s^2 + alpha)
+with s the sum of valences; pos/neg are the shares of sum(v+1 | v>0),
+sum(v-1 | v<0) and the count of neutral tokens.  Polarity = compound,
+subjectivity = (pos + neg) / 2, label by +-0.3.
+
+One pass: tokens are exploded with their in-row context, left-joined to the
+lexicon, and summed per document or sentence on the document-partitioned
+corpus, so neither the sums nor the texts are joined back.  The reference's
+statistical sentence splitter and the library's own lexicon are not
+reproduced; lexicons are inputs, as DataFrames or small dictionaries.
 """
 
 from __future__ import annotations
@@ -23,156 +24,103 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholarq.functions.text import WORD, explode_rows, sentences, tokens
+from scholarq.functions.text import WORD, explode_rows, sentences
+from scholarq.operators.tfidf import by_document
 
 # Fixed values of the published method (Hutto & Gilbert 2014).
 NEGATION_SCALAR = -0.74
 BOOSTER_INCREMENT = 0.293
+CAPITALS_INCREMENT = 0.733
+EXCLAMATION_INCREMENT = 0.292
+MOST_EXCLAMATIONS = 4
+DISTANCE_SCALARS = (1.0, 0.95, 0.9)
 NORMALISATION_ALPHA = 15.0
 # Label cut-offs (strict inequalities; +-0.3 itself is Neutral).
 POSITIVE_ABOVE = 0.3
 NEGATIVE_BELOW = -0.3
 
-MAX_LEXICON_ENTRIES = 100_000
-# Lexicons up to this size may be applied inside the row as a map literal
-# (no shuffle).  Spark scans a map value to look a key up, and the per-token
-# lambdas run interpreted, so by default (0) every lexicon goes through the
-# join path: a hash lookup in code-generated explode / join / aggregate
-# operators over the document-partitioned corpus (measured 2x faster at
-# sf0.1 with 39 entries, 60x with 7,500).
-MAP_LOOKUP_MAX_ENTRIES = 0
-BROADCAST_LEXICON_ROWS = 2_000_000
-
 
 @dataclass(frozen=True)
 class Lexicon:
-    valences: dict[str, float]
+    """Valences as a dictionary, or as a (token, valence) DataFrame of any size."""
+
+    valences: dict[str, float] | DataFrame
     negators: tuple[str, ...] = ()
     boosters: tuple[str, ...] = ()
+    dampeners: tuple[str, ...] = ()
     pattern: str = field(default=WORD)
 
-    @staticmethod
-    def from_dataframe(df: DataFrame, token_col: str = "token", valence_col: str = "valence",
-                       negators=(), boosters=(), max_entries: int = MAX_LEXICON_ENTRIES) -> "Lexicon":
-        """Lexicon from a (token, valence) DataFrame; refuses one larger than
-        ``max_entries`` (use ``score_columns_joined`` with the DataFrame)."""
-        n = df.count()
-        if n > max_entries:
-            raise ValueError(f"lexicon has {n} entries, more than {max_entries}")
-        rows = df.select(F.lower(F.col(token_col)), F.col(valence_col).cast("double")).collect()
-        return Lexicon({r[0]: r[1] for r in rows}, tuple(negators), tuple(boosters))
-
     def dataframe(self, spark) -> DataFrame:
-        return spark.createDataFrame(sorted(self.valences.items()), "token string, valence double")
-
-    def map_col(self) -> Column:
-        keys = sorted(self.valences)
-        return F.map_from_arrays(F.lit(keys), F.lit([float(self.valences[k]) for k in keys]))
-
-
-TOKENS_COL = "_tokens"
-
-
-def with_tokens(df: DataFrame, text_col: str, lex: Lexicon, out_col: str = TOKENS_COL) -> DataFrame:
-    """Tokenise once into a column: the per-token rules below look at
-    neighbouring tokens, and must read them from a column, not re-run the
-    tokeniser for every token."""
-    return df.withColumn(out_col, tokens(F.coalesce(F.col(text_col), F.lit("")), lex.pattern))
-
-
-def _context(toks: Column, lex: Lexicon, t: Column, i: Column) -> tuple[Column, Column]:
-    """(booster right before token i, negator among the 3 tokens before it)."""
-    neg = F.lit(list(lex.negators)).cast("array<string>")
-    boost = F.lit(list(lex.boosters)).cast("array<string>")
-    prev = F.when(i >= 1, F.try_element_at(toks, i))
-    boosted = F.coalesce(F.array_contains(boost, prev), F.lit(False))
-    start = F.greatest(i - 2, F.lit(1))
-    negated = F.arrays_overlap(F.slice(toks, start, i - start + 1), neg)
-    return boosted, negated
-
-
-def _adjust(base: Column, boosted: Column, negated: Column) -> Column:
-    v = base + F.when((base != 0) & boosted, F.signum(base) * BOOSTER_INCREMENT).otherwise(F.lit(0.0))
-    return F.when(negated, v * NEGATION_SCALAR).otherwise(v)
-
-
-def valences(toks: Column, lex: Lexicon) -> Column:
-    """array<double>: the rule-adjusted valence of every token of ``toks``
-    (a column reference to a token array) -- small lexicons only."""
-    lexmap = lex.map_col()
-
-    def one(t, i):
-        boosted, negated = _context(toks, lex, t, i)
-        return _adjust(F.coalesce(F.try_element_at(lexmap, t), F.lit(0.0)), boosted, negated)
-
-    return F.transform(toks, one)
-
-
-def _finish(d: DataFrame, keep: list[str], out_col: str) -> DataFrame:
-    """From sums (_sum, _ps, _ns, _neu) to the score struct."""
+        df = self.valences
+        if not isinstance(df, DataFrame):
+            df = spark.createDataFrame(sorted(df.items()), "token string, valence double")
+        return df.select(F.lower("token").alias("_t"), F.col("valence").cast("double").alias("_base"))
+
+
+def _context(toks: Column, low: Column, lex: Lexicon, i: Column) -> list[Column]:
+    """Context of token i: boost (sum of increments of the three tokens
+    before it), whether a negator is among them, whether it is in capitals."""
+    boost = F.lit(0.0)
+    for back, scalar in enumerate(DISTANCE_SCALARS, 1):
+        before = F.get(low, i - back)
+        boost = boost + (F.when(before.isin(*lex.boosters), F.lit(scalar * BOOSTER_INCREMENT))
+                         .when(before.isin(*lex.dampeners), F.lit(-scalar * BOOSTER_INCREMENT)).otherwise(F.lit(0.0)))
+    negated = F.lit(False)
+    for back in range(1, len(DISTANCE_SCALARS) + 1):
+        negated = negated | F.coalesce(F.get(low, i - back).isin(*lex.negators), F.lit(False))
+    t = F.get(toks, i)
+    return [boost.alias("boost"), negated.alias("negated"), ((t == F.upper(t)) & (t != F.lower(t))).alias("capitals")]
+
+
+def _adjust(base: Column, c: Column, mixed: Column) -> Column:
+    """The valence of a token after the rules; 0 stays 0."""
+    v = base + F.signum(base) * (F.when(c["capitals"] & mixed, CAPITALS_INCREMENT).otherwise(0.0) + c["boost"])
+    return F.when(base == 0, F.lit(0.0)).when(c["negated"], v * NEGATION_SCALAR).otherwise(v)
+
+
+def score_columns(df: DataFrame, key_cols: list[str], text_col: str, lex: Lexicon, out_col: str = "s",
+                  text_out: str | None = None) -> DataFrame:
+    """(key_cols, out_col struct<polarity, subjectivity, pos, neg>) for the text
+    of each key, and the text itself as ``text_out`` if asked for.  Keys must be unique.  ``df`` should be partitioned
+    by its first key column (``tfidf.by_document``): then the sums need no
+    exchange."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    d = df.select(*key_cols, text.alias("_text"))
+    d = d.withColumn("_toks", F.regexp_extract_all("_text", F.lit(lex.pattern), 0))
+    d = d.withColumn("_low", F.transform("_toks", F.lower))
+    toks, low = F.col("_toks"), F.col("_low")
+    bangs = F.least(F.lit(MOST_EXCLAMATIONS), F.length("_text") - F.length(F.translate("_text", "!", "")))
+    # Once per text, on its first token's row (a text without tokens has one row, too).
+    once = F.struct((bangs * EXCLAMATION_INCREMENT).alias("bangs"), F.col("_text").alias("text"))
+    ctx = F.transform(low, lambda t, i: F.struct(t.alias("_t"), *_context(toks, low, lex, i)))
+    # Capitals stand out only where not all words are in capitals.
+    mixed = F.exists(toks, lambda t: t != F.upper(t))
+    rows = d.select(*key_cols, once.alias("_once"), mixed.alias("_mixed"), F.posexplode_outer(ctx).alias("_pos", "_c"))
+    rows = rows.select(*key_cols, F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_once")).alias("_once"), "_mixed", "_c",
+                       F.col("_c._t").alias("_t"))
+    v = F.coalesce(_adjust(F.col("_base"), F.col("_c"), F.col("_mixed")), F.lit(0.0))
+    scored = rows.join(lex.dataframe(df.sparkSession), "_t", "left").select(
+        *key_cols, "_once", F.when(F.col("_t").isNotNull(), v).alias("_v"))
+    sums = scored.groupBy(*key_cols).agg(
+        F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_sum"),
+        F.coalesce(F.sum(F.when(F.col("_v") > 0, F.col("_v") + 1).otherwise(F.lit(0.0))), F.lit(0.0)).alias("_ps"),
+        F.coalesce(F.sum(F.when(F.col("_v") < 0, F.col("_v") - 1).otherwise(F.lit(0.0))), F.lit(0.0)).alias("_ns"),
+        F.count_if(F.col("_v") == 0).cast("double").alias("_neu"),
+        F.max("_once.bangs").alias("_bangs"), *([F.max("_once.text").alias(text_out)] if text_out else []))
+    bang = F.col("_bangs")
+    sums = sums.withColumns({
+        "_sum": F.col("_sum") + F.signum("_sum") * bang,
+        "_ps": F.col("_ps") + F.when(F.col("_ps") > F.abs("_ns"), bang).otherwise(0.0),
+        "_ns": F.col("_ns") - F.when(F.col("_ps") < F.abs("_ns"), bang).otherwise(0.0)})
     s, ps, ns = F.col("_sum"), F.col("_ps"), F.col("_ns")
     total = ps + F.abs(ns) + F.col("_neu")
     compound = F.when(s == 0, F.lit(0.0)).otherwise(
         F.least(F.greatest(s / F.sqrt(s * s + NORMALISATION_ALPHA), F.lit(-1.0)), F.lit(1.0)))
     pos = F.when(total > 0, F.round(F.abs(ps / total), 3)).otherwise(F.lit(0.0))
     neg = F.when(total > 0, F.round(F.abs(ns / total), 3)).otherwise(F.lit(0.0))
-    return d.select(*keep, F.struct(F.round(compound, 4).alias("polarity"),
-                                    ((pos + neg) / 2).alias("subjectivity"),
-                                    pos.alias("pos"), neg.alias("neg")).alias(out_col))
-
-
-def score_columns_joined(df: DataFrame, key_cols: list[str], text_col: str, lex: Lexicon,
-                         lexicon: DataFrame | None = None, out_col: str = "s") -> DataFrame:
-    """Large-lexicon path: the same scores via a join.  Per-token context
-    flags are computed in the row; tokens are exploded and inner-joined to
-    the lexicon (a hash lookup; broadcast when its checked size allows);
-    matched valences are summed per key.  ``df`` should be partitioned by
-    its first key column (``tfidf.by_document``) so that neither the
-    aggregation nor the join back needs an exchange."""
-    lexicon = lexicon if lexicon is not None else lex.dataframe(df.sparkSession)
-    lexicon = lexicon.select(F.lower(F.col("token")).alias("_t"), F.col("valence").cast("double").alias("_base"))
-    if lexicon.count() <= BROADCAST_LEXICON_ROWS:
-        lexicon = F.broadcast(lexicon)
-    d = with_tokens(df, text_col, lex)
-    toks = F.col(TOKENS_COL)
-    ctx = F.transform(toks, lambda t, i: F.struct(t.alias("_t"), *[c.alias(n) for c, n in
-                                                                     zip(_context(toks, lex, t, i), ("_b", "_n"))]))
-    rows = explode_rows(d.select(*key_cols, ctx.alias("_ctx")), key_cols, F.col("_ctx"), "_c")
-    v = _adjust(F.col("_base"), F.col("_b"), F.col("_n"))
-    matched = (rows.select(*key_cols, F.col("_c._t").alias("_t"), F.col("_c._b"), F.col("_c._n"))
-               .join(lexicon, "_t").select(*key_cols, v.alias("_v")))
-    sums = matched.groupBy(*key_cols).agg(
-        F.sum("_v").alias("_sum"),
-        F.sum(F.when(F.col("_v") > 0, F.col("_v") + 1).otherwise(F.lit(0.0))).alias("_ps"),
-        F.sum(F.when(F.col("_v") < 0, F.col("_v") - 1).otherwise(F.lit(0.0))).alias("_ns"),
-        F.count_if(F.col("_v") == 0).alias("_zero"),
-        F.count(F.lit(1)).alias("_m"))
-    base = d.withColumn("_n_tok", F.size(toks)).drop(TOKENS_COL)
-    j = base.join(sums, key_cols, "left")
-    j = j.select(*df.columns, F.coalesce("_sum", F.lit(0.0)).alias("_sum"), F.coalesce("_ps", F.lit(0.0)).alias("_ps"),
-                 F.coalesce("_ns", F.lit(0.0)).alias("_ns"),
-                 (F.col("_n_tok") - F.coalesce("_m", F.lit(0)) + F.coalesce("_zero", F.lit(0))).cast("double")
-                 .alias("_neu"))
-    return _finish(j, df.columns, out_col)
-
-
-def score_columns(df: DataFrame, text_col: str, lex: Lexicon, out_col: str = "s",
-                  key_cols: list[str] | None = None) -> DataFrame:
-    """Add ``out_col`` struct<polarity, subjectivity, pos, neg> for the text
-    in ``text_col``.  Small lexicons are applied inside the row (no join, no
-    shuffle); larger ones through ``score_columns_joined`` (needs keys)."""
-    if len(lex.valences) > MAP_LOOKUP_MAX_ENTRIES:
-        if not key_cols:
-            raise ValueError("a large lexicon needs key columns to join on")
-        return score_columns_joined(df, key_cols, text_col, lex, out_col=out_col)
-    d = with_tokens(df, text_col, lex).withColumn("_v", valences(F.col(TOKENS_COL), lex)).drop(TOKENS_COL)
-    v = F.col("_v")
-    d = d.select(*df.columns,
-                 F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("_sum"),
-                 F.aggregate(v, F.lit(0.0), lambda a, x: a + F.when(x > 0, x + 1).otherwise(F.lit(0.0))).alias("_ps"),
-                 F.aggregate(v, F.lit(0.0), lambda a, x: a + F.when(x < 0, x - 1).otherwise(F.lit(0.0))).alias("_ns"),
-                 F.size(F.filter(v, lambda x: x == 0)).cast("double").alias("_neu"))
-    return _finish(d, df.columns, out_col)
+    return sums.select(*key_cols, *([text_out] if text_out else []),
+                       F.struct(F.round(compound, 4).alias("polarity"), ((pos + neg) / 2).alias("subjectivity"),
+                                pos.alias("pos"), neg.alias("neg")).alias(out_col))
 
 
 def label(polarity: Column) -> Column:
@@ -181,14 +129,6 @@ def label(polarity: Column) -> Column:
             .when(polarity < NEGATIVE_BELOW, "Negative").otherwise("Neutral"))
 
 
-def _spread(docs: DataFrame, id_col: str, lex: Lexicon) -> DataFrame:
-    """Partition by document only when the join path will run."""
-    if len(lex.valences) > MAP_LOOKUP_MAX_ENTRIES:
-        from scholarq.operators.tfidf import by_document
-        return by_document(docs, id_col)
-    return docs
-
-
 def split_sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """SEN1: (id, sent_idx, sentence); pieces trimmed of surrounding
     whitespace, empty ones dropped (indices keep their original position)."""
@@ -200,28 +140,27 @@ def split_sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def document_sentiment(docs: DataFrame, id_col: str, text_col: str, lex: Lexicon) -> DataFrame:
     """SEN4 + SEN6: the whole text is scored once (not the mean of its
     sentences)."""
-    return (score_columns(_spread(docs.select(id_col, text_col), id_col, lex), text_col, lex, key_cols=[id_col])
+    return (score_columns(by_document(docs.select(id_col, text_col), id_col), [id_col], text_col, lex)
             .select(id_col, F.col("s.polarity").alias("polarity"), F.col("s.subjectivity").alias("subjectivity"),
                     label(F.col("s.polarity")).alias("label")))
 
 
 def sentence_sentiment(docs: DataFrame, id_col: str, text_col: str, lex: Lexicon) -> DataFrame:
     """SEN5: one row per sentence with polarity and subjectivity."""
-    sents = split_sentences(_spread(docs, id_col, lex), id_col, text_col)
-    return (score_columns(sents, "sentence", lex, key_cols=[id_col, "sent_idx"])
+    sents = split_sentences(by_document(docs.select(id_col, text_col), id_col), id_col, text_col)
+    return (score_columns(sents, [id_col, "sent_idx"], "sentence", lex, text_out="sentence")
             .select(id_col, "sent_idx", "sentence", F.col("s.polarity").alias("polarity"),
                     F.col("s.subjectivity").alias("subjectivity")))
 
 
-def attach_sentiment(results: DataFrame, text_col: str, lex: Lexicon,
-                     key_cols: list[str] | None = None) -> DataFrame:
+def attach_sentiment(results: DataFrame, text_col: str, lex: Lexicon, key_cols: list[str]) -> DataFrame:
     """SEN7: label and score (rounded to 2) of each result's text; a result
-    without text gets label 'N/A' and a NULL score.  ``key_cols`` (unique per
-    result) are needed only for a large lexicon."""
+    without text gets label 'N/A' and a NULL score.  ``key_cols`` are unique
+    per result; only the keys and scores are joined to the results."""
     has = F.col(text_col).isNotNull() & (F.col(text_col) != "")
-    scored = score_columns(results, text_col, lex, "_s", key_cols=key_cols)
-    return (scored.withColumn("_s", F.when(has, F.col("_s")))
-            .withColumn("sentiment_label", F.when(has, label(F.col("_s.polarity"))).otherwise(F.lit("N/A")))
+    scored = score_columns(results.filter(has), key_cols, text_col, lex, "_s")
+    return (results.join(scored, key_cols, "left")
+            .withColumn("sentiment_label", F.when(F.col("_s").isNotNull(), label(F.col("_s.polarity"))).otherwise(F.lit("N/A")))
             .withColumn("sentiment_score", F.round(F.col("_s.polarity"), 2))
             .drop("_s"))
 

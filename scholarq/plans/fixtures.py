@@ -20,4 +20,7 @@ TEST_VALENCES = {
 TEST_NEGATORS = ("not", "no", "never", "nicht", "kein", "pas", "jamais", "nunca", "nie")
 TEST_BOOSTERS = ("very", "really", "extremely", "sehr", "très", "muy", "the", "de", "der", "la")
 
-TEST_LEXICON = Lexicon(TEST_VALENCES, TEST_NEGATORS, TEST_BOOSTERS)
+# Dampeners of the test lexicon.
+TEST_DAMPENERS = ("slightly", "somewhat", "kaum", "peu", "poco", "of", "le", "und", "que")
+
+TEST_LEXICON = Lexicon(TEST_VALENCES, TEST_NEGATORS, TEST_BOOSTERS, TEST_DAMPENERS)

@@ -72,26 +72,37 @@ def _lex_map():
 
 
 def _scores_sql(src: str, id_cols: str, text: str) -> str:
-    """DuckDB form of ``sentiment.scores`` over ``src`` (a FROM item)."""
-    lex, neg, boost = _lex_map(), _lit_list(TEST_LEXICON.negators), _lit_list(TEST_LEXICON.boosters)
-    base = f"COALESCE(({lex})[t], 0.0)"
-    vals = f"""list_transform(toks, lambda t, i:
-                 ({base} + CASE WHEN {base} <> 0 AND i > 1 AND list_contains({boost}, toks[i - 1])
-                               THEN sign({base}) * {SE.BOOSTER_INCREMENT} ELSE 0.0 END)
-                 * CASE WHEN list_has_any(toks[greatest(i - 3, 1):i - 1], {neg}) THEN {SE.NEGATION_SCALAR}
-                        ELSE 1.0 END)"""
+    """DuckDB form of ``sentiment.score_columns`` over ``src`` (a FROM item)."""
+    lex, neg, boost, damp = _lex_map(), *(_lit_list(x) for x in (
+        TEST_LEXICON.negators, TEST_LEXICON.boosters, TEST_LEXICON.dampeners))
+    base = f"COALESCE(({lex})[low[i]], 0.0)"
+    steps = " + ".join(
+        f"CASE WHEN i > {k} AND list_contains({boost}, low[i - {k}]) THEN {c * SE.BOOSTER_INCREMENT!r}::DOUBLE "
+        f"WHEN i > {k} AND list_contains({damp}, low[i - {k}]) THEN {-c * SE.BOOSTER_INCREMENT!r}::DOUBLE ELSE 0.0 END"
+        for k, c in enumerate(SE.DISTANCE_SCALARS, 1))
+    vals = f"""list_transform(range(1, len(low) + 1), lambda i: CASE WHEN {base} = 0 THEN 0.0::DOUBLE ELSE
+                 ({base} + sign({base}) * (CASE WHEN mixed AND toks[i] = upper(toks[i]) AND toks[i] <> lower(toks[i])
+                                            THEN {SE.CAPITALS_INCREMENT} ELSE 0.0 END + 0.0 + {steps}))
+                 * CASE WHEN list_has_any(low[greatest(i - 3, 1):i - 1], {neg}) THEN {SE.NEGATION_SCALAR}
+                        ELSE 1.0 END END)"""
     return f"""SELECT {id_cols}, round(CASE WHEN s = 0 THEN 0.0
                             ELSE greatest(least(s / sqrt(s * s + {SE.NORMALISATION_ALPHA}), 1.0), -1.0) END, 4)
                       AS polarity,
                       (CASE WHEN tot > 0 THEN round(abs(ps / tot), 3) ELSE 0.0 END
                        + CASE WHEN tot > 0 THEN round(abs(ns / tot), 3) ELSE 0.0 END) / 2 AS subjectivity
                FROM (SELECT *, ps + abs(ns) + neu AS tot FROM (
+                 SELECT * REPLACE (s + sign(s) * bangs AS s, ps + CASE WHEN ps > abs(ns) THEN bangs ELSE 0.0 END AS ps,
+                                   ns - CASE WHEN ps < abs(ns) THEN bangs ELSE 0.0 END AS ns) FROM (
                  SELECT *, COALESCE(list_sum(v), 0.0) AS s,
                         COALESCE(list_sum(list_transform(v, lambda x: CASE WHEN x > 0 THEN x + 1 ELSE 0.0 END)), 0.0) AS ps,
                         COALESCE(list_sum(list_transform(v, lambda x: CASE WHEN x < 0 THEN x - 1 ELSE 0.0 END)), 0.0) AS ns,
                         CAST(len(list_filter(v, lambda x: x = 0)) AS DOUBLE) AS neu
                  FROM (SELECT *, {vals} AS v FROM (
-                   SELECT *, regexp_extract_all(lower({text}), '{WORD}') AS toks FROM {src}))))"""
+                   SELECT *, list_transform(toks, lambda t: lower(t)) AS low,
+                          len(list_filter(toks, lambda t: t <> upper(t))) > 0 AS mixed FROM (
+                   SELECT *, regexp_extract_all({text}, '{WORD}') AS toks,
+                          least({SE.MOST_EXCLAMATIONS}, length({text}) - length(replace({text}, '!', '')))
+                          * {SE.EXCLAMATION_INCREMENT} AS bangs FROM {src}))))))"""
 
 
 def _label_sql(p):
@@ -135,7 +146,7 @@ def sentiment_labels(spark, d):
 
 @query("result_sentiment", with_views(f"""
     SELECT arxiv_id, CASE WHEN has THEN {_label_sql('polarity')} ELSE 'N/A' END AS sentiment_label,
-           CASE WHEN has THEN round(polarity, 2) END AS sentiment_score
+           CASE WHEN has THEN round(CAST(polarity AS DECIMAL(9, 4)), 2)::DOUBLE END AS sentiment_score
     FROM ({_scores_sql('''(SELECT arxiv_id, abstract IS NOT NULL AND abstract <> '' AS has,
                                   COALESCE(abstract, '') AS abstract FROM v_arxiv
                            WHERE instr(lower(concat_ws(' ', title, abstract, array_to_string(authors, ' '),
@@ -147,6 +158,24 @@ def result_sentiment(spark, d):
         "arxiv_id", "sentiment_label", "sentiment_score")
 
 
+_ONE_PAPER = 7
+
+
+@query("paper_sentiment", f"""
+    SELECT paper_id, CAST(NULL AS BIGINT) AS sent_idx, polarity, subjectivity
+    FROM ({_scores_sql(f"(SELECT doc_id AS paper_id, replace(text, chr(10), ' ') AS t FROM documents WHERE doc_id = {_ONE_PAPER})",
+                       'paper_id', 't')})
+    UNION ALL
+    SELECT doc_id AS paper_id, sent_idx, polarity, subjectivity
+    FROM ({_scores_sql('(SELECT * FROM ' + _SENT_SQL.format(text="replace(text, chr(10), ' ')") + f' WHERE doc_id = {_ONE_PAPER})',
+                       'doc_id, sent_idx', 'sentence')})""", "SEN8 (whole text and sentences of one paper's tree)")
+def paper_sentiment(spark, d):
+    tree = S.point_lookup(v_doc_tree(spark, d), "paper_id", _ONE_PAPER)
+    overall, sents = SE.paper_sentiment(D.full_text(tree, "paper_id", "tree", " "), _ONE_PAPER, TEST_LEXICON)
+    return (overall.select("paper_id", F.lit(None).cast("long").alias("sent_idx"), "polarity", "subjectivity")
+            .unionByName(sents.select("paper_id", F.col("sent_idx").cast("long").alias("sent_idx"), "polarity", "subjectivity")))
+
+
 @query("tree_sentiment", f"""
     SELECT o.paper_id, o.polarity, o.subjectivity, {_label_sql('o.polarity')} AS label,
            COALESCE(c.n_sentences, 0) AS n_sentences

@@ -65,7 +65,7 @@ def test_sentiment_rules(spark):
 
 
 def test_label_boundaries(spark):
-    df = spark.createDataFrame([(p,) for p in (0.5, 1.0, -0.5, -1.0, 0.0, 0.2, -0.1, 0.3, -0.3)], "p double")
+    df = spark.createDataFrame([(p,) for p in (0.31, 0.77, -0.31, -0.9, 0.0, 0.29, -0.04, 0.3, -0.3)], "p double")
     labels = [r.l for r in df.select(SE.label(F.col("p")).alias("l")).collect()]
     assert labels == ["Positive", "Positive", "Negative", "Negative", "Neutral", "Neutral", "Neutral",
                       "Neutral", "Neutral"]
@@ -117,22 +117,26 @@ def test_clustering_partitions_input(spark):
     assert empty.count() == 0 and t2.count() == 0
 
 
-def test_join_path_equals_map_path(spark):
-    from scholarq.plans.fixtures import TEST_LEXICON
+def test_emphasis_rules(spark):
+    lex = SE.Lexicon({"good": 1.9, "bad": -2.5}, ("not",), ("very",), ("slightly",))
+
+    def polarity(text):
+        df = spark.createDataFrame([(1, text)], "id long, text string")
+        return SE.document_sentiment(df, "id", "text", lex).first().polarity
+
+    plain = polarity("a good day")
+    assert polarity("a GOOD day") > plain and polarity("A GOOD DAY") == plain  # capitals stand out among small letters
+    assert polarity("a good day!") > plain and polarity("a bad day!") < polarity("a bad day")
+    assert polarity("a good day!!!!") == polarity("a good day!!!!!!")
+    assert polarity("slightly good") < polarity("good") < polarity("very nicely good") < polarity("very good")
+    assert polarity("very a b c good") == polarity("x a b c good")  # four tokens back is too far
+
+
+def test_lexicon_as_a_table(spark):
+    from scholarq.plans.fixtures import TEST_LEXICON as T
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    big = dict(TEST_LEXICON.valences)
-    big.update({f"zz{i}": 0.5 for i in range(600)})
-    big_lex = SE.Lexicon(big, TEST_LEXICON.negators, TEST_LEXICON.boosters)
-    old = SE.MAP_LOOKUP_MAX_ENTRIES
-    for fn, key in ((SE.document_sentiment, ["doc_id"]), (SE.sentence_sentiment, ["doc_id", "sent_idx"])):
-        SE.MAP_LOOKUP_MAX_ENTRIES = 512      # small lexicon in the row, large one joined
-        try:
-            a = {tuple(r[k] for k in key): (r.polarity, r.subjectivity)
-                 for r in fn(docs, "doc_id", "text", TEST_LEXICON).collect()}
-            b = {tuple(r[k] for k in key): (r.polarity, r.subjectivity)
-                 for r in fn(docs, "doc_id", "text", big_lex).collect()}
-        finally:
-            SE.MAP_LOOKUP_MAX_ENTRIES = old
-        assert a.keys() == b.keys()
-        assert all(a[k][0] == pytest.approx(b[k][0], abs=1e-9) and a[k][1] == pytest.approx(b[k][1], abs=1e-9)
-                   for k in a)
+    table = spark.createDataFrame([*T.valences.items(), *((f"zz{i}", 0.5) for i in range(600))], "token string, valence double")
+    as_table = SE.Lexicon(table, T.negators, T.boosters, T.dampeners)
+    for fn in (SE.document_sentiment, SE.sentence_sentiment):
+        one, two = (sorted(map(tuple, fn(docs, "doc_id", "text", x).collect()), key=repr) for x in (T, as_table))
+        assert one == two
