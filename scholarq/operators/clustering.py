@@ -8,6 +8,8 @@ Normalizer the L2 norm -- the same weights as ``tfidf.tfidf``.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -16,8 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarq.functions.stopwords import ENGLISH_STOP_WORDS
+from scholarq.operators.ids import sequential_ids
 from scholarq.operators.tfidf import (MAX_FEATURES, TOP_TERMS, assemble_text, by_document, cluster_terms,
                                       term_counts, vocabulary, weights_from_counts, with_terms)
+from scholarq.session import cut_lineage
 
 DEFAULT_K = 5
 SEED = 42
@@ -36,63 +40,91 @@ def tfidf_vectors(terms: DataFrame, id_col: str, vocab: DataFrame, terms_col: st
     return nz.transform(ep.transform(cv.transform(terms))).select(id_col, "features")
 
 
-def cluster_papers(papers: DataFrame, id_col: str = "paper_id", title_col: str = "title",
-                   abstract_col: str = "abstract", k: int = DEFAULT_K, stop_words=ENGLISH_STOP_WORDS,
-                   max_features: int = MAX_FEATURES, seed: int = SEED,
-                   top_n: int = TOP_TERMS) -> tuple[DataFrame, DataFrame]:
-    """CL8: (members (cluster, id, title, x, y), terms (cluster, rank, term,
-    weight)).  k is capped at the number of papers; an empty vocabulary
-    gives two empty results.
+@dataclass
+class Clustering:
+    """A fitted clustering.  The frames are cut from their lineage, so they can
+    be read many times without fitting again."""
+
+    members: DataFrame             # (cluster, id, title, x, y)
+    terms: DataFrame               # (cluster, rank, term, weight)
+    vectors: DataFrame             # (id, features)
+    centres: list[list[float]]     # k x features
+    components: list[list[float]]  # 2 x features
+
 
-    The corpus is partitioned by paper once and tokenised once (persisted):
-    the vocabulary, the long-form weights (for key terms) and the vectors
-    (for KMeans and PCA) all derive from that one pass."""
+def fit_clusters(papers: DataFrame, id_col: str = "paper_id", title_col: str = "title",
+                 abstract_col: str = "abstract", k: int = DEFAULT_K, stop_words=ENGLISH_STOP_WORDS,
+                 max_features: int = MAX_FEATURES, seed: int = SEED, top_n: int = TOP_TERMS) -> Clustering:
+    """CL8: k is capped at the number of papers; an empty vocabulary gives
+    empty results.
+
+    The corpus is partitioned by paper once and tokenised once (persisted
+    while fitting): the vocabulary, the long-form weights (for key terms) and
+    the vectors (for KMeans and PCA) all derive from that one pass."""
     docs = papers.select(id_col, assemble_text(F.col(title_col), F.col(abstract_col)).alias("_text"))
     n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
     terms = with_terms(by_document(docs, id_col), "_text", stop_words).drop("_text").persist()
     dtc = term_counts(terms, id_col)
     vocab = vocabulary(dtc, n_docs, id_col, max_features).cache()
-    vec = tfidf_vectors(terms, id_col, vocab).persist()
-    n = vec.count()
-    if n == 0 or vocab.isEmpty():
-        empty_m = papers.sparkSession.createDataFrame(
-            [], f"cluster int, {id_col} {dict(papers.dtypes)[id_col]}, title string, x double, y double")
-        empty_t = papers.sparkSession.createDataFrame([], "cluster int, rank long, term string, weight double")
-        return empty_m, empty_t
-    km = KMeans(k=max(1, min(k, n)), seed=seed, featuresCol="features", predictionCol="cluster").fit(vec)
-    labelled = km.transform(vec)
-    pca = PCA(k=2, inputCol="features", outputCol="_pc").fit(vec)
-    pcs = pca.transform(labelled).withColumn("_a", vector_to_array("_pc"))
-    pcs = pcs.select(id_col, "cluster", F.col("_a")[0].alias("_x"), F.col("_a")[1].alias("_y"))
-    # PCA in MLlib does not centre on transform: subtract the projected mean
-    # (a one-row aggregate).
-    means = pcs.agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
-    members = (pcs.crossJoin(F.broadcast(means))
-               .select("cluster", id_col, (F.col("_x") - F.col("_mx")).alias("x"),
-                       (F.col("_y") - F.col("_my")).alias("y"))
-               .join(papers.select(id_col, F.col(title_col).alias("title")), id_col)
-               .select("cluster", id_col, "title", "x", "y"))
-    weights = weights_from_counts(dtc, vocab, id_col)
-    key_terms = cluster_terms(weights, labelled.select(id_col, "cluster"), id_col, "cluster", top_n)
-    return members, key_terms
-
-
-MAX_LISTED_MEMBERS = 100_000
-
-
-def membership_lists(members: DataFrame, id_col: str = "paper_id",
-                     max_members: int = MAX_LISTED_MEMBERS) -> DataFrame:
-    """AGG13: one row per cluster with its member list, as the reference
-    returns for a page of search results.  A list is one value, so the
-    clustered set must be page-sized: refuses more than ``max_members``
-    members (use ``cluster_sizes`` or the flat members frame at scale)."""
-    n = members.count()
-    if n > max_members:
-        raise ValueError(f"{n} members are too many to list per cluster; use the flat members frame")
-    return members.groupBy("cluster").agg(
-        F.sort_array(F.collect_list(F.struct(id_col, "title", "x", "y"))).alias("papers"))
+    held = [terms, vocab]
+    try:
+        n = terms.count()
+        if n == 0 or vocab.isEmpty():
+            spark, id_type = papers.sparkSession, dict(papers.dtypes)[id_col]
+            return Clustering(
+                spark.createDataFrame([], f"cluster int, {id_col} {id_type}, title string, x double, y double"),
+                spark.createDataFrame([], "cluster int, rank long, term string, weight double"),
+                papers.select(id_col).limit(0), [], [])
+        vec = cut_lineage(tfidf_vectors(terms, id_col, vocab))
+        km = KMeans(k=max(1, min(k, n)), seed=seed, featuresCol="features", predictionCol="cluster").fit(vec)
+        labelled = km.transform(vec)
+        pca = PCA(k=min(2, vec.first()["features"].size), inputCol="features", outputCol="_pc").fit(vec)
+        pcs = pca.transform(labelled).withColumn("_a", vector_to_array("_pc"))
+        pcs = pcs.select(id_col, "cluster", F.get("_a", F.lit(0)).alias("_x"),
+                         F.coalesce(F.get("_a", F.lit(1)), F.lit(0.0)).alias("_y"))
+        # PCA in MLlib does not centre on transform: subtract the projected mean
+        # (a one-row aggregate).
+        means = pcs.agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
+        members = (pcs.crossJoin(F.broadcast(means))
+                   .select("cluster", id_col, (F.col("_x") - F.col("_mx")).alias("x"),
+                           (F.col("_y") - F.col("_my")).alias("y"))
+                   .join(papers.select(id_col, F.col(title_col).alias("title")), id_col)
+                   .select("cluster", id_col, "title", "x", "y"))
+        weights = weights_from_counts(dtc, vocab, id_col)
+        key_terms = cluster_terms(weights, labelled.select(id_col, "cluster"), id_col, "cluster", top_n)
+        return Clustering(cut_lineage(members), cut_lineage(key_terms), vec,
+                          [c.tolist() for c in km.clusterCenters()], pca.pc.toArray().T.tolist())
+    finally:
+        for df in held:
+            df.unpersist()
+
+
+def cluster_papers(papers: DataFrame, *args, **options) -> tuple[DataFrame, DataFrame]:
+    """CL8: (members (cluster, id, title, x, y), terms (cluster, rank, term, weight))."""
+    fit = fit_clusters(papers, *args, **options)
+    return fit.members, fit.terms
+
+
+def ranked_members(members: DataFrame, id_col: str = "paper_id") -> DataFrame:
+    """AGG13 as flat rows (cluster, rank, id, title, x, y), ranked by id in
+    each cluster.  Ranks come from one range sort, so a cluster of any size
+    is spread over many tasks."""
+    numbered = sequential_ids(members, ["cluster", id_col], 0, "_at")
+    first = numbered.groupBy("cluster").agg(F.min("_at").alias("_first"))  # one row for each cluster
+    return numbered.join(first, "cluster").select("cluster", (F.col("_at") - F.col("_first") + 1).alias("rank"),
+                                                  id_col, "title", "x", "y")
 
 
 def cluster_sizes(members: DataFrame) -> DataFrame:
     """Members per cluster (partial aggregation; any scale)."""
     return members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_papers"))
+
+
+def union_for_clustering(local: DataFrame, texts: DataFrame, remote: DataFrame) -> DataFrame:
+    """SET3: local papers (paper_id, paper_name) with their document text and
+    remote records (arxiv_id, title, abstract) as one (paper_id, title, abstract)."""
+    own = (local.join(texts.select("paper_id", "text"), "paper_id", "left")
+           .select(F.col("paper_id").cast("string").alias("paper_id"), F.col("paper_name").alias("title"),
+                   F.coalesce("text", F.lit("")).alias("abstract")))
+    return own.unionByName(remote.select(F.col("arxiv_id").alias("paper_id"), "title",
+                                         F.coalesce("abstract", F.lit("")).alias("abstract")))

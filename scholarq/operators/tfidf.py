@@ -26,9 +26,8 @@ def assemble_text(title: Column, abstract: Column) -> Column:
 
 def with_terms(df: DataFrame, text_col: str, stop_words=ENGLISH_STOP_WORDS, out_col: str = "terms") -> DataFrame:
     """CL2: add ``out_col`` = unigrams + bigrams (after stop-word removal)."""
-    stop = F.lit(sorted(set(stop_words))).cast("array<string>")
-    kept = df.withColumn("_kept", F.filter(tokens(F.col(text_col), WORD2),
-                                           lambda t: ~F.array_contains(stop, t)))
+    stop = sorted(set(stop_words))  # ``isin`` looks up a hash set, ``array_contains`` scans
+    kept = df.withColumn("_kept", F.filter(tokens(F.col(text_col), WORD2), lambda t: ~t.isin(*stop)))
     k = F.col("_kept")
     bigrams = F.filter(F.zip_with(k, F.slice(k, 2, F.greatest(F.size(k) - 1, F.lit(0))),
                                   lambda a, b: F.concat(a, F.lit(" "), b)),
@@ -96,7 +95,7 @@ def cluster_terms(weights: DataFrame, labels: DataFrame, id_col: str, cluster_co
     sizes = labels.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("_n"))
     sums = (weights.join(labels.select(id_col, cluster_col), id_col)
             .groupBy(cluster_col, "term").agg(F.sum("weight").alias("_s")))
-    cent = sums.join(F.broadcast(sizes), cluster_col).withColumn("weight", F.col("_s") / F.col("_n"))
+    cent = sums.join(sizes, cluster_col).withColumn("weight", F.col("_s") / F.col("_n"))
     w = Window.partitionBy(cluster_col).orderBy(F.desc("weight"), F.asc("term"))
     return (cent.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
             .select(cluster_col, F.col("rank").cast("long").alias("rank"), "term", "weight"))

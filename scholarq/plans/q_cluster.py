@@ -6,6 +6,7 @@ label and abstract = its text.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from scholarq.functions.stopwords import ENGLISH_STOP_WORDS
@@ -14,7 +15,7 @@ from scholarq.operators import clustering as C
 from scholarq.operators import tfidf as T
 from scholarq.plans.oracle_views import with_views
 from scholarq.plans.registry import query
-from scholarq.plans.views import table, v_arxiv, v_papers
+from scholarq.plans.views import table, v_arxiv, v_doc_text, v_papers
 
 
 def _papers(spark, d):
@@ -75,33 +76,83 @@ def cluster_terms_given_labels(spark, d):
 
 
 @query("cluster_union_input", with_views(
-    """SELECT CAST(paper_id AS VARCHAR) AS paper_id, paper_name AS title, '' AS abstract FROM v_papers
+    """SELECT CAST(p.paper_id AS VARCHAR) AS paper_id, paper_name AS title, coalesce(d.text, '') AS abstract
+       FROM v_papers p LEFT JOIN documents d ON d.doc_id = p.paper_id
        UNION ALL SELECT arxiv_id, title, COALESCE(abstract, '') FROM v_arxiv""", "v_papers", "v_arxiv"), "SET3")
 def cluster_union_input(spark, d):
-    local = v_papers(spark, d).select(F.col("paper_id").cast("string").alias("paper_id"),
-                                      F.col("paper_name").alias("title"), F.lit("").alias("abstract"))
-    remote = v_arxiv(spark, d).select(F.col("arxiv_id").alias("paper_id"), "title",
-                                      F.coalesce("abstract", F.lit("")).alias("abstract"))
-    return local.unionByName(remote)
+    return C.union_for_clustering(v_papers(spark, d), v_doc_text(spark, d), v_arxiv(spark, d))
 
 
-def _clustered(spark, d, k=5):
-    return C.cluster_papers(_papers(spark, d), "paper_id", "title", "abstract", k=k)
+_FITS: dict[tuple, C.Clustering] = {}
 
 
-@query("kmeans_members", None, "CL5 CL6 CL8 (rows: every paper once, with cluster and 2-D coordinates)")
+def _fitted(spark, d, what: str) -> C.Clustering:
+    """One fit for each session and data folder; its frames are checkpointed."""
+    key = (spark.sparkContext.applicationId, d, what)
+    if key not in _FITS:
+        papers = _papers(spark, d) if what == "documents" else cluster_union_input(spark, d)
+        _FITS[key] = C.fit_clusters(papers, "paper_id", "title", "abstract", k=3)
+    return _FITS[key]
+
+
+@query("kmeans_members", "SELECT doc_id AS paper_id, source AS title, true AS in_cluster, true AS placed FROM documents",
+       "CL5 CL8 (every paper once, in one of k clusters, with coordinates)")
 def kmeans_members(spark, d):
-    members, _ = _clustered(spark, d)
-    return members
+    return _fitted(spark, d, "documents").members.select(
+        "paper_id", "title", F.col("cluster").between(0, 2).alias("in_cluster"),
+        (F.col("x").isNotNull() & ~F.isnan("x") & F.col("y").isNotNull() & ~F.isnan("y")).alias("placed"))
 
 
-@query("kmeans_cluster_terms", None, "CL7 CL8 (rows: top terms of each non-empty cluster)")
+@query("kmeans_cluster_terms", f"SELECT CAST(unnest(range(3)) AS INTEGER) AS cluster, {T.TOP_TERMS}::BIGINT AS n_terms, true AS ranked",
+       "CL7 CL8 (top terms of each cluster, by falling weight)")
 def kmeans_cluster_terms(spark, d):
-    _, terms = _clustered(spark, d, k=3)
-    return terms
+    by_rank = F.array_sort(F.collect_list(F.struct("rank", (-F.col("weight")).alias("w"))))
+    by_weight = F.array_sort(F.collect_list((-F.col("weight")).alias("w")))
+    return _fitted(spark, d, "documents").terms.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n_terms"), (F.transform(by_rank, lambda x: x["w"]) == by_weight).alias("ranked"))
 
 
-@query("cluster_lists", None, "AGG13 (rows: one per cluster with its size; lists are built for result pages)")
+@query("cluster_lists", "SELECT count(*) AS n_papers, 3::BIGINT AS n_clusters, 0::BIGINT AS wrong_ranks FROM documents",
+       "AGG13 (ranked rows of each cluster: sizes sum up, ranks are gapless)")
 def cluster_lists(spark, d):
-    members, _ = _clustered(spark, d, k=3)
-    return C.cluster_sizes(members)
+    members = _fitted(spark, d, "documents").members
+    listed = C.ranked_members(members).groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("rank").alias("ranks"), F.min("rank").alias("low"), F.max("rank").alias("high"))
+    sizes = C.cluster_sizes(members)
+    return listed.join(sizes, "cluster").agg(
+        F.sum("n_papers").alias("n_papers"), F.count(F.lit(1)).alias("n_clusters"),
+        F.count_if((F.col("n") != F.col("n_papers")) | (F.col("ranks") != F.col("n")) | (F.col("low") != 1)
+                   | (F.col("high") != F.col("n"))).alias("wrong_ranks"))
+
+
+def _invariants(fit: C.Clustering):
+    """What holds of any fit: each paper is nearest to its own centre, coordinates
+    are centred, uncorrelated and ordered by variance, components orthonormal."""
+    v = vector_to_array("features")
+    dist = F.array(*[F.aggregate(F.zip_with(v, F.lit(c), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+                     for c in fit.centres])
+    near = fit.vectors.select("paper_id", dist.alias("dist")).join(fit.members, "paper_id")
+    wrong = F.get("dist", F.col("cluster")) > F.array_min("dist") + 1e-9
+    p, q = fit.components
+    dot = lambda a, b: abs(round(sum(x * y for x, y in zip(a, b, strict=True)), 6))
+    return near.agg(
+        F.count(F.lit(1)).alias("n_papers"), F.count_if(wrong).alias("misassigned"),
+        F.abs(F.round(F.avg("x"), 6)).alias("mean_x"), F.abs(F.round(F.avg("y"), 6)).alias("mean_y"),
+        F.abs(F.round(F.covar_pop("x", "y"), 6)).alias("covariance"),
+        (F.var_pop("x") >= F.var_pop("y")).alias("ordered"),
+        F.lit(dot(p, q)).alias("components_dot"), F.lit(dot(p, p) == 1.0 and dot(q, q) == 1.0).alias("unit_components"))
+
+
+_INVARIANTS = """SELECT {n} AS n_papers, 0::BIGINT AS misassigned, 0.0::DOUBLE AS mean_x, 0.0::DOUBLE AS mean_y,
+                 0.0::DOUBLE AS covariance, true AS ordered, 0.0::DOUBLE AS components_dot, true AS unit_components"""
+
+
+@query("kmeans_invariants", _INVARIANTS.format(n="(SELECT count(*) FROM documents)"), "CL5 CL6 CL8")
+def kmeans_invariants(spark, d):
+    return _invariants(_fitted(spark, d, "documents"))
+
+
+@query("cluster_union_invariants", _INVARIANTS.format(n="(SELECT 2 * count(*) FROM orders)"),
+       "SET3 CL5 CL6 CL8 (local and remote papers clustered together)")
+def cluster_union_invariants(spark, d):
+    return _invariants(_fitted(spark, d, "union"))
