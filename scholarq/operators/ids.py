@@ -1,8 +1,5 @@
 """Surrogate ids (SNK8).
 
-``hash_ids``: 64-bit hash of the natural key, computed in place (no
-shuffle, stable across runs) -- the default for large dimensions.
-
 ``sequential_ids``: dense 1..n ids in key order, equal to
 ``start + row_number() OVER (ORDER BY keys)`` but without a global
 single-partition window: rows are range-partitioned on the keys, sorted
@@ -21,10 +18,6 @@ from pyspark.sql import functions as F
 from scholarq.session import cut_lineage
 
 
-def hash_ids(df: DataFrame, key_cols: list[str], id_col: str = "id") -> DataFrame:
-    return df.withColumn(id_col, F.xxhash64(*[F.col(c) for c in key_cols]))
-
-
 def sequential_ids(df: DataFrame, order_cols: list[str], start: Column | int = 0,
                    id_col: str = "id", num_partitions: int | None = None) -> DataFrame:
     """Add ``id_col`` = start + position (1-based) in ``order_cols`` order.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholarq.plans import q_cluster, q_mentions, q_merge, q_metadata, q_search, q_tagging, q_text  # noqa: F401
+from scholarq.plans import q_cluster, q_mentions, q_merge, q_metadata, q_search, q_sources, q_tagging, q_text  # noqa: F401
 from scholarq.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -26,7 +26,7 @@ _VALUES = ", ".join(f"('{n}', '{lab}')" for n, lab in TEST_DICTIONARY)
 
 # Written independently of the Spark plan: n-grams as slices of each document's
 # token list, the greedy choice as a recursion from match to match.
-TAGS_SQL = f"""
+TAGS_SQL = rf"""
 WITH RECURSIVE p AS (
   SELECT doc_id, coalesce(text, '') AS t, length(regexp_extract(coalesce(text, ''), '^[^{_W}]*', 0)) AS lead0,
          regexp_extract_all(coalesce(text, ''), '[{_W}]+[^{_W}]*') AS pcs FROM documents),

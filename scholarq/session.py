@@ -8,7 +8,9 @@ we read it from the session and only set one ourselves when it is unset
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,18 +24,6 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-# Planner settings the operators are designed around (runtime SQL confs).
-# Joins on (doc_id, sent_idx) over inputs already hash-partitioned by
-# doc_id then reuse that partitioning instead of re-shuffling both sides.
-PLANNER_CONF = {
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
-}
-
-
-def apply_planner_conf(spark: SparkSession) -> None:
-    for k, v in PLANNER_CONF.items():
-        spark.conf.set(k, v)
-
 # Local runs only: the whole of local mode lives in the driver JVM.
 LOCAL_CONF = {
     "spark.driver.memory": "16g",
@@ -49,7 +39,7 @@ def get_spark(master: str | None = None, app: str = "scholarq",
         if master.startswith("local"):
             for k, v in LOCAL_CONF.items():
                 b = b.config(k, v)
-    for k, v in {**DEFAULT_CONF, **PLANNER_CONF}.items():
+    for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -62,7 +52,9 @@ def get_spark(master: str | None = None, app: str = "scholarq",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a local one only if unset."""
+    """Return the shared checkpoint folder.  It is set here only where it is
+    unset and everything runs in one process: on a cluster a folder of the
+    driver's machine would be lost to the executors."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
@@ -70,12 +62,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
-        # Unset only in tests and local runs: a fresh scratch folder per run.
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="scholarq-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
+def scratch_path(spark: SparkSession, purpose: str) -> str:
+    """A new path below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)

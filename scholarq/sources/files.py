@@ -44,9 +44,9 @@ def read_entity_files(spark: SparkSession, path: str, per_line: bool = False) ->
 
 
 def read_document_trees(spark: SparkSession, path: str) -> DataFrame:
-    """SRC4: whole files as (file_name, paper_pdf, tree) JSON text."""
+    """SRC4: whole files as (path, file_name, paper_pdf, tree) JSON text."""
     return (spark.read.text(path, wholetext=True)
-            .select(F.col("_metadata.file_name").alias("file_name"),
+            .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"),
                     F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("paper_pdf"),
                     F.col("value").alias("tree")))
 
@@ -126,11 +126,3 @@ def record_preview(spark: SparkSession, single_record_path: str, ndjson_path: st
                                            F.coalesce("authors", na).alias("authors"),
                                            F.coalesce("categories", na).alias("categories"),
                                            abstract.alias("abstract"))
-
-
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """SRC8: a stored table (Parquet)."""
-    r = spark.read
-    if schema is not None:
-        r = r.schema(schema)
-    return r.parquet(path)
