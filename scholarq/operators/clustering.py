@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from scholarq.functions.stopwords import ENGLISH_STOP_WORDS
 from scholarq.operators.ids import sequential_ids
-from scholarq.operators.tfidf import (MAX_FEATURES, TOP_TERMS, assemble_text, by_document, cluster_terms,
-                                      term_counts, vocabulary, weights_from_counts, with_terms)
+from scholarq.operators.tfidf import (MAX_FEATURES, TOP_TERMS, assemble_text, cluster_terms, term_rows,
+                                      top_terms, vocabulary, vocabulary_counts, weights_from_counts, with_terms)
 from scholarq.session import cut_lineage
 
 DEFAULT_K = 5
@@ -58,14 +58,16 @@ def fit_clusters(papers: DataFrame, id_col: str = "paper_id", title_col: str = "
     """CL8: k is capped at the number of papers; an empty vocabulary gives
     empty results.
 
-    The corpus is partitioned by paper once and tokenised once (persisted
-    while fitting): the vocabulary, the long-form weights (for key terms) and
-    the vectors (for KMeans and PCA) all derive from that one pass."""
+    The corpus is tokenised once (persisted while fitting): the vocabulary,
+    the long-form weights (for key terms) and the vectors (for KMeans and PCA)
+    all derive from that one pass."""
     docs = papers.select(id_col, assemble_text(F.col(title_col), F.col(abstract_col)).alias("_text"))
     n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
-    terms = with_terms(by_document(docs, id_col), "_text", stop_words).drop("_text").persist()
-    dtc = term_counts(terms, id_col)
-    vocab = vocabulary(dtc, n_docs, id_col, max_features).cache()
+    terms = with_terms(docs, "_text", stop_words).drop("_text").persist()
+    rows = term_rows(terms, id_col)
+    top = top_terms(rows, max_features)
+    dtc = vocabulary_counts(rows, top, id_col)
+    vocab = vocabulary(top, dtc, n_docs).cache()
     held = [terms, vocab]
     try:
         n = terms.count()

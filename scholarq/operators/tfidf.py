@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from scholarq.functions.stopwords import ENGLISH_STOP_WORDS
 from scholarq.functions.text import WORD2, explode_rows, tokens
+from scholarq.session import cut_lineage
 
 MAX_FEATURES = 1000
 TOP_TERMS = 5
@@ -36,42 +37,46 @@ def with_terms(df: DataFrame, text_col: str, stop_words=ENGLISH_STOP_WORDS, out_
 
 
 def by_document(docs: DataFrame, id_col: str) -> DataFrame:
-    """Hash-partition the corpus by document id, once.
-
-    This shuffle moves raw text, several times less than the distinct
-    (doc, term) pairs (bigrams included) that the per-document count would
-    otherwise shuffle; and the partitioning then satisfies both the
-    per-document term count and the per-document norm window, so neither
-    needs an exchange of its own."""
+    """Hash-partition the corpus by document id, once: for operators whose
+    exploded rows are summed or ordered per document, this moves the text
+    instead of the (larger) rows, and later steps need no exchange."""
     return docs.repartition(F.col(id_col))
 
 
-def doc_term_counts(docs: DataFrame, id_col: str, text_col: str, stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
-    """(id, term, tf); ``docs`` should come from ``by_document`` so that the
-    count runs without a further exchange."""
-    return term_counts(with_terms(docs.select(id_col, text_col), text_col, stop_words), id_col)
+def term_rows(terms: DataFrame, id_col: str, terms_col: str = "terms") -> DataFrame:
+    """(id, term), one row per occurrence, from a per-document term array."""
+    return explode_rows(terms, [id_col], F.col(terms_col), "term")
+
+
+def top_terms(rows: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+    """(term, cf) of the ``max_features`` most frequent terms.  Occurrences are
+    counted per task first, so a frequent term crosses the shuffle once per
+    task, and no (document, term) pair does.  The result, bounded by
+    ``max_features``, is checkpointed: what follows reads it more than once."""
+    counts = rows.groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
+    return cut_lineage(counts.orderBy(F.desc("cf"), F.asc("term")).limit(max_features))
 
 
-def term_counts(terms: DataFrame, id_col: str, terms_col: str = "terms") -> DataFrame:
-    """(id, term, tf) from a frame with a per-document term array."""
-    return (explode_rows(terms, [id_col], F.col(terms_col), "term")
+def vocabulary_counts(rows: DataFrame, top: DataFrame, id_col: str) -> DataFrame:
+    """(id, term, tf) over the vocabulary: other terms leave before the count,
+    so at most ``max_features`` rows per document are shuffled."""
+    return (rows.join(F.broadcast(top.select("term")), "term")
             .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def vocabulary(dtc: DataFrame, n_docs: DataFrame, id_col: str, max_features: int = MAX_FEATURES) -> DataFrame:
-    """CL3: (term, df, cf, idf) of the top ``max_features`` terms; ``n_docs``
-    is a one-row frame with column ``n``.  At most ``max_features`` rows."""
-    stats = dtc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    top = stats.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
-    return (top.crossJoin(F.broadcast(n_docs))
+def vocabulary(top: DataFrame, dtc: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """CL3: (term, df, cf, idf); ``n_docs`` is a one-row frame with column
+    ``n``.  At most ``max_features`` rows."""
+    df = dtc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return (top.join(df, "term").crossJoin(F.broadcast(n_docs))
             .withColumn("idf", F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
-            .drop("n"))
+            .select("term", "df", "cf", "idf"))
 
 
 def weights_from_counts(dtc: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
     """(id, term, weight): tf * idf over the vocabulary, L2-normalised per
     document.  The vocabulary is capped at max_features rows, so its
-    broadcast is bounded; the norm window reuses the by-document layout."""
+    broadcast is bounded."""
     w = dtc.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", (F.col("w") / norm).alias("weight"))
@@ -80,10 +85,11 @@ def weights_from_counts(dtc: DataFrame, vocab: DataFrame, id_col: str) -> DataFr
 def tfidf(docs: DataFrame, id_col: str, text_col: str, stop_words=ENGLISH_STOP_WORDS,
           max_features: int = MAX_FEATURES) -> tuple[DataFrame, DataFrame]:
     """CL4: (weights (id, term, weight), vocabulary)."""
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n"))  # counted on the scan, before any exchange
-    docs = by_document(docs.select(id_col, text_col), id_col)
-    dtc = doc_term_counts(docs, id_col, text_col, stop_words)
-    vocab = vocabulary(dtc, n_docs, id_col, max_features)
+    n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
+    rows = term_rows(with_terms(docs.select(id_col, text_col), text_col, stop_words), id_col)
+    top = top_terms(rows, max_features)
+    dtc = vocabulary_counts(rows, top, id_col)
+    vocab = vocabulary(top, dtc, n_docs)
     return weights_from_counts(dtc, vocab, id_col), vocab
 
 
