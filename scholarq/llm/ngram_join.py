@@ -7,10 +7,12 @@
    the groups of classes that share one.
 3. Each group's members are tested against its smallest class. What passes the bound
    of the parity sketches is verified exactly on the texts. Linked classes make components.
-4. In groups that still hold several components, all members of different components
-   are tested the same way, in blocks, so that a large group is many tasks. Within a component
-   no pair is formed. So no link between different components is missed, and the
-   components are those of all links.
+4. In groups that still hold several components, members of different components are
+   compared by their sketches, in blocks, so that a large group is many tasks. First only a
+   forest of the nearest pairs within the bound is verified, which joins most of what belongs
+   together; then, in groups that have further pairs, all of them between components that
+   are still different. Within a component no pair is formed. So no link between
+   different components is missed, and the components are those of all links.
 
 Texts that take part in a verification move once per round; otherwise only hashes do.
 The number of rows made is bounded by the signatures and the pairs that pass the bound.
@@ -192,8 +194,12 @@ def similar(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame
     return ordered.mapInArrow(verify, "a long, b long").distinct()
 
 
-def across(shared: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs of classes that share a signature, are in different components and within the bound."""
+def across(shared: DataFrame, labels: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
+    """(a, b, g): pairs of classes that share a signature, are in different components and within the bound.
+
+    With ``forest`` a group gives only pairs that would join components not joined by nearer
+    pairs of it, so fewer pairs than members; ``g`` is then set where the group has further pairs.
+    """
     rows = (shared.select("g", "c").join(labels, shared["c"] == labels["node"], "left")
             .select("g", "c", F.coalesce("component", "c").alias("component")))
     rows = stored(rows, "labelled")
@@ -205,34 +211,53 @@ def across(shared: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFram
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "component", "n", "sketch")
 
-    def compare(rows_: list[tuple]) -> list[tuple[int, int]]:
+    def near(rows_: list[tuple]) -> Iterator[tuple[int, int, int]]:
+        """(distance of the sketches, row, row) of the pairs within the bound."""
         i, j = rows_[0][1], rows_[0][2]
-        rows_.sort(key=lambda r: (r[6], r[4]))
         words = min(len(r[7]) for r in rows_) // 8
         k = np.stack([partenum.folded(r[7], words) for r in rows_])
-        n = np.array([r[6] for r in rows_])
-        own = np.array([r[3] for r in rows_])
-        component = np.array([r[5] for r in rows_])
-        pairs = []
+        n, own, component = (np.array([r[x] for r in rows_]) for x in (6, 3, 5))
         for x in range(len(rows_) - 1):
             # Sorted by size: partners of x end where sizes exceed what a similar set may have.
             end = int(np.searchsorted(n, n[x] * partenum.DEN // partenum.NUM, side="right"))
-            near = slice(x + 1, end)
             if x + 1 >= end:
                 continue
-            ok = np.bitwise_count(k[near] ^ k[x]).sum(1) <= partenum.most_apart(n[near], n[x])
-            ok &= component[near] != component[x]
+            part = slice(x + 1, end)
+            apart = np.bitwise_count(k[part] ^ k[x]).sum(1)
+            ok = (apart <= partenum.most_apart(n[part], n[x])) & (component[part] != component[x])
             if i != j:
-                ok &= own[near] != own[x]
-            pairs += [tuple(sorted((rows_[x][4], rows_[x + 1 + y][4]))) for y in np.flatnonzero(ok).tolist()]
-        return pairs
+                ok &= own[part] != own[x]
+            for y in np.flatnonzero(ok).tolist():
+                yield int(apart[y]), x, x + 1 + y
+
+    def compare(rows_: list[tuple]) -> list[tuple[int, int, int | None]]:
+        rows_.sort(key=lambda r: (r[6], r[4]))
+        pairs = list(near(rows_))
+        kept, further = pairs, None
+        if forest:
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (up := parent.get(x, x)) != x:
+                    parent[x] = parent.get(up, up)
+                    x = up
+                return x
+
+            kept = []
+            for pair in sorted(pairs):
+                x, y = (root(rows_[at][5]) for at in pair[1:])
+                if x != y:
+                    parent[x] = y
+                    kept.append(pair)
+            further = rows_[0][0] if len(kept) < len(pairs) else None
+        return [(*sorted((rows_[x][4], rows_[y][4])), further) for _, x, y in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(found):
-            return pa.RecordBatch.from_arrays([pa.array([p[x] for p in found], pa.int64()) for x in (0, 1)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([p[x] for p in found], pa.int64()) for x in range(3)], ["a", "b", "g"])
 
         at, held = None, []
-        found: set[tuple[int, int]] = set()
+        found: set[tuple] = set()
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:3] != at:
@@ -248,7 +273,7 @@ def across(shared: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFram
         yield out(found)
 
     return (rows.repartition(partitions(shared.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j")
-            .mapInArrow(run, "a long, b long").distinct())
+            .mapInArrow(run, "a long, b long, g long").distinct())
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,14 +283,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.min("doc_id").alias("doc_id"), F.min("t").alias("t"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "classes")
     shared = stored(shared_signatures(docs, text_col), "shared")
 
-    stars = stored(shared.filter("c != centre").select(F.col("centre").alias("a"), F.col("c").alias("b")).distinct(), "stars")
-    links = stored(similar(docs, text_col, classes, stored(within_bound(stars, classes), "near")), "links")
+    tried = stored(shared.filter("c != centre").select(F.col("centre").alias("a"), F.col("c").alias("b")).distinct(), "stars")
+    links = stored(similar(docs, text_col, classes, stored(within_bound(tried, classes), "near")), "links")
     labels = components(links)
-    more = stored(across(shared, labels, classes).join(stars, ["a", "b"], "left_anti"), "across")
-    if not more.isEmpty():
-        found = stored(similar(docs, text_col, classes, more), "links")
-        if not found.isEmpty():
-            labels = components(links.unionByName(found))
+    for forest in (True, False):
+        pairs = stored(across(shared, labels, classes, forest), "across")
+        fresh = stored(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "fresh")
+        if not fresh.isEmpty():
+            tried = tried.unionByName(fresh)
+            links = links.unionByName(stored(similar(docs, text_col, classes, fresh), "links"))
+            labels = components(links)
+        shared = shared.join(pairs.select("g").filter("g is not null").distinct(), "g", "left_semi")
 
     named = classes.select("c", "doc_id").join(labels, classes["c"] == labels["node"], "left").select(
         "c", "doc_id", F.coalesce("component", "c").alias("component"))
@@ -277,7 +305,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the smallest id of each component only, and all documents without a shingle."""
+    """``docs`` with the smallest id of each component only, and all documents without a shingle.
+
+    Repeated rows of that id are one document and stay together; documents without an id
+    stay only where no member of their component has one."""
     found = join(docs, id_col, text_col)
     keep = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__keep")).distinct()
     return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
