@@ -103,14 +103,14 @@ def coverage_stats(records: DataFrame) -> DataFrame:
     )
 
 
-def analyse(records: DataFrame, section: str = "all", cache: bool = True) -> dict[str, DataFrame]:
-    """AGG9: the requested sections as named lazy DataFrames."""
+def analyse(records: DataFrame, section: str = "all") -> dict[str, DataFrame]:
+    """AGG9: the requested sections as named lazy DataFrames; each scans only
+    the columns it needs.  Nothing is held in memory: persist ``records``
+    yourself where several sections of an expensive source are wanted."""
     if section not in SECTIONS:
         raise ValueError(f"type must be one of {SECTIONS}")
     cols = ["categories", "authors_parsed", "update_date", "versions", "doi", "license", "journal_ref"]
     r = records.select(*cols)
-    if section == "all" and cache:
-        r = r.cache()
     out: dict[str, DataFrame] = {}
     if section in ("categories", "all"):
         cc = category_counts(r)
