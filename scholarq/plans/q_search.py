@@ -107,7 +107,7 @@ def author_fallback(spark, d):
     return _out(S.author_search_with_fallback(v_arxiv(spark, d), AU_DOTTED, 0, 10))
 
 
-AU_FIRST = "000000017 Supplier"
+AU_FIRST, AU_SURNAME_FIRST = "000000017 Supplier", "Supplier, 000000017"
 _RANKED = "SELECT CAST(row_number() OVER (ORDER BY {keys}) AS BIGINT) AS rank, arxiv_id, relevance_score FROM ({rows})"
 
 
@@ -124,6 +124,16 @@ def author_fallback_ranked(spark, d):
     return _ranked(S.author_search_with_fallback(v_arxiv(spark, d), AU_DOTTED, 0, 10), "arxiv_id", "relevance_score")
 
 
+@query("author_surname_first", with_views(_RANKED.format(
+    keys="relevance_score DESC, published DESC, arxiv_id",
+    rows=_strip(_page_sql(_author_pred(AU_SURNAME_FIRST), _author_rel(AU_SURNAME_FIRST), 0, 10, True)).replace("v_arxiv", "v_comma")),
+    "v_arxiv", extra={"v_comma": "SELECT * REPLACE (list_transform(authors, lambda a: replace(a, '#', ', ')) AS authors) FROM v_arxiv"}),
+    "TOP4 STR1 (the surname-first tier wins)")
+def author_surname_first(spark, d):
+    r = v_arxiv(spark, d).withColumn("authors", F.transform("authors", lambda a: F.replace(a, F.lit("#"), F.lit(", "))))
+    return _ranked(S.author_search_with_fallback(r, AU_FIRST, 0, 10), "arxiv_id", "relevance_score")
+
+
 @query("catalog_ranked", with_views(
     """SELECT CAST(row_number() OVER (ORDER BY published DESC, arxiv_id) AS BIGINT) AS rank, arxiv_id
        FROM v_arxiv ORDER BY rank LIMIT 40""", "v_arxiv"), "TOP7 (top-k report in order)")
