@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarq.llm.common import LOWER, SPACE_CHARS, UPPER, let, shared_folder
+from scholarq.llm.common import LOWER, SPACE_CHARS, UPPER, let, shared_folder, stored
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -135,7 +135,9 @@ def build_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
           min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """The rows of ``docs`` as struct ``row``, with ``kept`` (the text without dropped lines), ``n_lines`` and ``n_dropped``."""
-    frequent = build_runs(docs, id_col, text_col, min_chars, batches, fanout).frequent(min_docs)
+    # The last compaction is written like the others: read as a table of its own, it leaves the join
+    # below free to split the partition of a hot line.
+    frequent = stored(build_runs(docs, id_col, text_col, min_chars, batches, fanout).frequent(min_docs), "frequent-lines")
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     text = F.col("row")[text_col]
     here = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("x"),
