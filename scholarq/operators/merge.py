@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,6 +70,11 @@ class VersionedTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/{v[1]}")
 
+    def read_all(self) -> DataFrame:
+        """The rows of all versions that are kept."""
+        paths = [f"{self.root}/{name}" for _, name, finished in self._folders() if finished]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.read()
+
     def commit(self, df: DataFrame) -> int:
         """Write ``df`` as the next version; visible only when complete."""
         nxt = max((n for n, _, _ in self._folders()), default=0) + 1
@@ -93,6 +99,65 @@ class VersionedTable:
                 fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)
 
 
+class BucketedTable:
+    """SNK10 for large tables: a commit rewrites only the buckets it touches.
+
+    Rows are spread over ``buckets`` by a hash of ``key``.  A version is a small
+    manifest (bucket, folder) kept in a ``VersionedTable``; a commit writes the
+    touched buckets to a new folder and then the manifest that names it, so
+    it is as atomic as the manifest.  Data folders that no kept manifest names
+    are removed.  One writer at a time.
+    """
+
+    MANIFEST = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("folder", T.StringType())])
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: list[str], buckets: int = 64):
+        self.spark, self.root, self.schema, self.key, self.buckets = spark, root.rstrip("/"), schema, key, buckets
+        self.manifest = VersionedTable(spark, f"{self.root}/manifest", self.MANIFEST)
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+
+    def _folders(self) -> dict[int, str]:
+        return {r["bucket"]: r["folder"] for r in self.manifest.read().collect()}  # at most ``buckets`` rows
+
+    def current_version(self) -> int | None:
+        return self.manifest.current_version()
+
+    def read(self, only: list[int] | None = None) -> DataFrame:
+        """All rows, or those of the buckets ``only``."""
+        paths = [f"{self.root}/{f}" for b, f in self._folders().items() if only is None or b in only]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def rewrite(self, touched: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> int | None:
+        """Replace the rows of the buckets that the keys of ``touched`` fall in by
+        ``merge`` of them; other buckets are neither read nor written."""
+        only = sorted(r["b"] for r in touched.select(self.bucket().alias("b")).distinct().collect())
+        if not only:
+            return self.current_version()
+        folder = f"data-{uuid.uuid4().hex}"
+        rows = merge(self.read(only)).select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
+        (rows.withColumn("_bucket", self.bucket()).repartition("_bucket")
+         .write.partitionBy("_bucket").parquet(f"{self.root}/{folder}"))
+        fs, _, jvm = _fs(self.spark, self.root)
+        folders = {b: f for b, f in self._folders().items() if b not in only}
+        folders |= {b: f"{folder}/_bucket={b}" for b in only
+                    if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}/_bucket={b}"))}
+        version = self.manifest.commit(self.spark.createDataFrame(sorted(folders.items()), self.MANIFEST).coalesce(1))
+        self._expire(folder)
+        return version
+
+    def _expire(self, newest: str) -> None:
+        used = {r["folder"].split("/")[0] for r in self.manifest.read_all().select("folder").distinct().collect()} | {newest}
+        fs, p, _ = _fs(self.spark, self.root)
+        for st in fs.listStatus(p):
+            name = st.getPath().getName()
+            if name.startswith("data-") and name not in used:
+                fs.delete(st.getPath(), True)
+
+
 def split_rejects(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """SNK10: rows failing any named check go to ``rejects`` with the names
     of the failed checks; the rest are kept.  (Replaces per-row try/except:

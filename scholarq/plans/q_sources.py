@@ -151,3 +151,17 @@ def stored_table(spark, d):
     t.commit(rows.filter("id % 2 = 0"))
     t.append(rows.filter("id % 2 = 1"))
     return t.read()
+
+
+@query("bucketed_table", """SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN 'renamed' ELSE c_name END AS name
+    FROM customer WHERE c_custkey % 7 <> 0""", "SNK10 SNK5 (only the touched buckets are rewritten)")
+def bucketed_table(spark, d):
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    t = G.BucketedTable(spark, scratch_path(spark, "bucketed"), schema, ["id"], buckets=16)
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("name"))
+    t.rewrite(rows, lambda old: old.unionByName(rows))
+    new = rows.filter("id % 10 = 0").withColumn("name", F.lit("renamed"))
+    t.rewrite(new, lambda old: old.join(new.select("id"), "id", "left_anti").unionByName(new))
+    gone = rows.filter("id % 7 = 0").select("id")
+    t.rewrite(gone, lambda old: old.join(gone, "id", "left_anti"))
+    return t.read()

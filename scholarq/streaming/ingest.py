@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from scholarq.operators.merge import VersionedTable, replace_counts
+from scholarq.operators.merge import BucketedTable, VersionedTable, replace_counts
 from scholarq.operators.mentions import build_mention_index, check_unique_ids
 from scholarq.schemas import ENTITIES, PAPERS_HAVE_ENTITIES
 from scholarq.sources.files import entity_texts, parse_entity_records
@@ -39,9 +39,22 @@ def entity_file_stream(spark: SparkSession, ents_dir: str, max_files_per_trigger
     return parse_entity_records(entity_texts(r, ents_dir, per_line=False))
 
 
-def merge_mentions(batch: DataFrame, papers: DataFrame, entities_tbl: VersionedTable,
-                   phe_tbl: VersionedTable, rejects_tbl: VersionedTable | None = None) -> None:
-    """One micro-batch: files -> papers (by entity-file name), counts, merges."""
+def entities_table(spark: SparkSession, tables_root: str) -> BucketedTable:
+    return BucketedTable(spark, f"{tables_root}/entities", ENTITIES, ["entity_id"])
+
+
+def links_table(spark: SparkSession, tables_root: str) -> BucketedTable:
+    return BucketedTable(spark, f"{tables_root}/papers_have_entities", PAPERS_HAVE_ENTITIES, ["paper_id"])
+
+
+def rejects_table(spark: SparkSession, tables_root: str) -> VersionedTable:
+    return VersionedTable(spark, f"{tables_root}/rejected_files", REJECTS)
+
+
+def merge_mentions(batch: DataFrame, papers: DataFrame, entities_tbl: BucketedTable,
+                   phe_tbl: BucketedTable, rejects_tbl: VersionedTable | None = None) -> None:
+    """One micro-batch: files -> papers (by entity-file name), counts, merges.
+    Only the buckets of the batch's entities and papers are read and rewritten."""
     batch = batch.persist()  # three commits read it
     try:
         keyed = papers.select("paper_id", F.element_at(F.split("paper_entities", "/"), -1).alias("file_name"))
@@ -57,17 +70,18 @@ def merge_mentions(batch: DataFrame, papers: DataFrame, entities_tbl: VersionedT
         raw = matched.select("paper_id", F.explode("entities").alias("m")).select(
             "paper_id", F.col("m.text").alias("entity_name"), F.col("m.label").alias("entity_type"))
         new_entities, counts = build_mention_index(raw)
+
+        def with_new(old: DataFrame) -> DataFrame:
+            known = old.select("entity_type", "entity_name")
+            ents = old.unionByName(new_entities.join(known, ["entity_type", "entity_name"], "left_anti"))
+            # Two names with one hash id would merge their links silently: refuse the batch.
+            if not check_unique_ids(ents).isEmpty():
+                raise ValueError("two entities share a hash id")
+            return ents
+
+        entities_tbl.rewrite(new_entities, with_new)
         emptied = matched.select("paper_id").distinct().join(counts.select("paper_id"), "paper_id", "left_anti")
-        old_e, old_l = entities_tbl.read(), phe_tbl.read()
-        key = ["entity_type", "entity_name"]
-        absent = new_entities.join(old_e.select(*key).withColumn("_old", F.lit(True)), key, "left").filter("_old is null").drop("_old")
-        ents = old_e.unionByName(absent)
-        # Two names with one hash id would merge their links silently: refuse the batch.
-        if not check_unique_ids(ents).isEmpty():
-            raise ValueError("two entities share a hash id")
-        links = replace_counts(old_l.join(emptied, "paper_id", "left_anti"), counts)
-        entities_tbl.commit(ents)
-        phe_tbl.commit(links)
+        phe_tbl.rewrite(matched, lambda old: replace_counts(old.join(emptied, "paper_id", "left_anti"), counts))
     finally:
         batch.unpersist()
 
@@ -76,11 +90,9 @@ def start_entity_ingest(spark: SparkSession, ents_dir: str, papers: DataFrame, t
                         checkpoint_location: str, available_now: bool = True) -> StreamingQuery:
     """Start the ingest; tables are ``<tables_root>/entities`` and
     ``<tables_root>/papers_have_entities`` (plus ``rejected_files``)."""
-    entities_tbl = VersionedTable(spark, f"{tables_root}/entities", ENTITIES)
-    phe_tbl = VersionedTable(spark, f"{tables_root}/papers_have_entities", PAPERS_HAVE_ENTITIES)
-    rejects_tbl = VersionedTable(spark, f"{tables_root}/rejected_files", REJECTS)
+    tables = [t(spark, tables_root) for t in (entities_table, links_table, rejects_table)]
     w = (entity_file_stream(spark, ents_dir).writeStream
-         .foreachBatch(lambda df, _epoch: merge_mentions(df, papers, entities_tbl, phe_tbl, rejects_tbl))
+         .foreachBatch(lambda df, _epoch: merge_mentions(df, papers, *tables))
          .option("checkpointLocation", checkpoint_location))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

@@ -86,3 +86,28 @@ def test_entity_files_round_trip(spark, tmpdir_path):
     G.write_entity_files(m, out)
     back = read_entity_files(spark, out, per_line=True).select("paper_pdf", "text", "start_char", "label").collect()
     assert sorted(map(tuple, back)) == [("a.pdf", "Acme", 0, "ORG"), ("a.pdf", "Ann", 9, "PERSON"), ("b.pdf", "Bob", 3, "PERSON")]
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmpdir_path):
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType())])
+    t = G.BucketedTable(spark, os.path.join(tmpdir_path, "b"), schema, ["id"], buckets=8)
+    assert t.read().count() == 0
+    first = spark.range(100).select("id", F.lit("old").alias("v"))
+    t.rewrite(first, lambda old: first)
+    before = t._folders()
+    new = spark.createDataFrame([(5, "new"), (200, "new")], schema)
+    t.rewrite(new, lambda old: old.join(new.select("id"), "id", "left_anti").unionByName(new))
+    after = t._folders()
+    rows = {r.id: r.v for r in t.read().collect()}
+    assert len(rows) == 101 and rows[5] == rows[200] == "new" and rows[6] == "old"
+    assert 1 <= sum(after[b] != before[b] for b in before) <= 2
+    with pytest.raises(Exception):
+        t.rewrite(new, lambda old: old.withColumn("v", F.raise_error(F.lit("boom"))))
+    assert {r.id: r.v for r in t.read().collect()} == rows
+    gone = spark.createDataFrame([(5, "x")], schema)
+    for _ in range(5):  # a bucket's rows may all go; unused folders do, too
+        t.rewrite(gone, lambda old: old.filter("false"))
+    assert t.read().filter("id = 5").count() == 0
+    used = {f.split("/")[0] for f in t._folders().values()}
+    assert used <= {x for x in os.listdir(os.path.join(tmpdir_path, "b")) if x.startswith("data-")}

@@ -1,9 +1,7 @@
 import json
 import os
 
-from scholarq.operators.merge import VersionedTable
-from scholarq.schemas import ENTITIES, PAPERS_HAVE_ENTITIES
-from scholarq.streaming.ingest import REJECTS, merge_mentions, start_entity_ingest
+from scholarq.streaming.ingest import entities_table, links_table, merge_mentions, rejects_table, start_entity_ingest
 
 
 def _write(d, name, ents):
@@ -20,8 +18,7 @@ def test_incremental_ingest_is_idempotent(spark, tmpdir_path):
     _write(ents, "a.pdf.json", [("Acme", "ORG"), ("Acme", "ORG"), ("Ann", "PERSON")])
     _write(ents, "x.pdf.json", [("Zed", "PERSON")])            # no paper: goes to rejected_files
     start_entity_ingest(spark, ents, papers, root, cp).awaitTermination()
-    phe = VersionedTable(spark, os.path.join(root, "papers_have_entities"), PAPERS_HAVE_ENTITIES)
-    ent = VersionedTable(spark, os.path.join(root, "entities"), ENTITIES)
+    phe, ent = links_table(spark, root), entities_table(spark, root)
     assert sorted(r["count"] for r in phe.read().collect()) == [1, 2]
     assert ent.read().count() == 2
     v = phe.current_version()
@@ -38,15 +35,13 @@ def test_incremental_ingest_is_idempotent(spark, tmpdir_path):
         f.write("[]")
     start_entity_ingest(spark, ents, papers, root, cp).awaitTermination()
     assert sorted((r.paper_id, r["count"]) for r in phe.read().collect()) == rows
-    rejects = VersionedTable(spark, os.path.join(root, "rejected_files"), REJECTS)
-    assert sorted(map(tuple, rejects.read().collect())) == [
+    assert sorted(map(tuple, rejects_table(spark, root).read().collect())) == [
         ("c.json", "malformed"), ("sub-a.pdf.json", "malformed"), ("x.pdf.json", "no such paper")]
 
 
 def test_truncated_file_keeps_links_and_empty_list_clears_them(spark, tmpdir_path):
     papers = spark.createDataFrame([(1, "Ents/a.pdf.json")], "paper_id long, paper_entities string")
-    e, p, r = (VersionedTable(spark, os.path.join(tmpdir_path, n), s) for n, s in (
-        ("e", ENTITIES), ("p", PAPERS_HAVE_ENTITIES), ("r", REJECTS)))
+    e, p, r = (t(spark, tmpdir_path) for t in (entities_table, links_table, rejects_table))
     from scholarq.sources.files import parse_entity_records
     left = []
     for text in ('{"entities": [{"text": "Acme", "label": "ORG"}]}', '{"entities": [{"text": "Ac', '{"entities": null}', '{"entities": []}'):
