@@ -76,6 +76,11 @@ def test_first_nonempty(spark):
     c = spark.range(3).withColumn("t", F.lit("c"))
     assert {r.t for r in first_nonempty([a, b, c]).collect()} == {"b"}
 
+    def never():
+        raise AssertionError("a tier after the first hit was built")
+
+    assert first_nonempty([lambda: a, lambda: b, never]).count() == 2
+
 
 def test_name_variants():
     assert surname_first("John Doe") == "Doe, John"
@@ -136,3 +141,25 @@ def test_first_nonempty_eager_and_id_collisions(spark, index):
     assert check_unique_ids(e).count() == 0
     clash = e.unionByName(e.limit(1).withColumn("entity_name", F.lit("other")))
     assert check_unique_ids(clash).count() == 1
+
+
+def test_tagger_is_greedy_and_exact(spark):
+    from scholarq.operators.gazetteer import tag_entities
+    names = spark.createDataFrame([("alpha beta", "ORG"), ("beta gamma", "ORG"), ("gamma delta", "ORG"), ("in The", "GPE"),
+                                   ("one two three four five six", "EVENT"), ("one two", "LAW"), ("six", "CARDINAL"),
+                                   ("alpha beta", "LAW")], "name string, label string")
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "in. The end, in  The end"), (3, "one two three\nfour five six"),
+                                  (4, None), (5, ""), (6, "one two, six")], "id long, text string")
+    tags = sorted(map(tuple, tag_entities(docs, "id", "text", names).collect()))
+    assert tags == [
+        (1, "alpha beta", 0, 10, "LAW"), (1, "gamma delta", 11, 22, "ORG"),  # the second overlaps nothing that was kept
+        (2, "in  The", 13, 20, "GPE"), (3, "one two three\nfour five six", 0, 27, "EVENT"),
+        (6, "one two", 0, 7, "LAW"), (6, "six", 9, 12, "CARDINAL")]
+    texts = {r.id: r.text for r in docs.collect()}
+    assert all(texts[i][s:e] == t for i, t, s, e, _ in tags)
+
+
+def test_point_lookup_reaches_the_scan(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    plan = S.point_lookup(orders, "o_orderkey", 42)._jdf.queryExecution().toString()
+    assert "EqualTo(o_orderkey,42)" in plan
