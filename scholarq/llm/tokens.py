@@ -13,17 +13,28 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 #: Entries per cache and worker (two caches, about 100 bytes an entry).
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 1_200_000
 #: A chunk that is one run of Latin-1 letters and a tail of ASCII punctuation without apostrophe:
 #: two pre-tokens whose letters lower-case one by one.
 PLAIN = re.compile("([A-Za-zªµºÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
-WORDS_PER_CALL = 2000
+TEXTS_PER_CALL = 2000
+
+
+def shown_bytes() -> dict[int, str]:
+    """Byte-level BPE's rule: printable Latin-1 bytes stand for themselves, the others for 256, 257, ..."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+SHOWN = shown_bytes()
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -66,26 +77,19 @@ class ChunkCache:
         if len(self.words) + len(words) > self.entries:
             self.words = {"": b""}
             words = list({w for _, a, b in plain for w in (a, b) if w})
-        for at in range(0, len(words), WORDS_PER_CALL):
-            part = words[at:at + WORDS_PER_CALL]
-            self._learn_words(part)
+        self.words.update((w, self._word(w)) for w in words)
         for chunk, a, b in plain:
             self.chunks[chunk] = self.words[a] + self.words[b]
-        for at in range(0, len(other), WORDS_PER_CALL):
-            part = other[at:at + WORDS_PER_CALL]
+        for at in range(0, len(other), TEXTS_PER_CALL):
+            part = other[at:at + TEXTS_PER_CALL]
             self.chunks.update(zip(part, self._library([c.decode() for c in part]), strict=True))
 
-    def _learn_words(self, words: list[str]) -> None:
-        """All words in one call; the library says which word each token is of."""
-        e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids, of = np.asarray(e.ids, dtype="<u4"), np.asarray(e.word_ids, dtype=np.int64)
-        cuts = np.searchsorted(of, np.arange(len(words) + 1))
-        if len(of) and of[-1] == len(words) - 1 and (np.diff(cuts) > 0).all():
-            raw, cuts = ids.tobytes(), cuts.tolist()
-            for k, w in enumerate(words):
-                self.words[w] = raw[4 * cuts[k]:4 * cuts[k + 1]]
-        else:
-            self.words.update(zip(words, self._library(words), strict=True))
+    def _word(self, word: str) -> bytes:
+        """Tokens of one pre-token of letters or of punctuation, by the library's model alone:
+        the model sees bytes, each as a printable character."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(SHOWN)
+        ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text (UTF-8 in, little-endian unsigned 32-bit ids out)."""
