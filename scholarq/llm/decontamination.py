@@ -4,18 +4,13 @@ Texts are sequences of words (small letters; ASCII signs are separators).
 A document holds an item of L words if some run of its words is at an edit distance
 (in words) of at most ``EDITS`` * L.
 
-1. Item-sized windows start at each word of each whole text, for each length class of
-   the items. A window can match only if enough of its word pairs occur in the
-   benchmark (an edit breaks two pairs at most); other windows are passed over.
-2. The CGK random walk embeds a window: each step emits the word under the pointer, and
-   a random bit of step and word decides whether the pointer moves on. Sequences at a
-   small edit distance give embeddings at a small Hamming distance.
-3. Bit sampling: a table samples a few steps of its own walk; equal samples make a
-   candidate. The number of tables follows from the target recall. A walk has as
-   many steps as the shortest item of the class has words, so the embedding of an
-   exact copy is always equal.
-4. Candidates are verified by exact edit distance (Myers' bit vectors) over the words
-   around the window.
+1. An item is cut into one piece more than the edits it allows. Whatever the edits and wherever
+   they are, one piece is left whole in each run that holds the item, so its occurrences in the
+   whole texts are all candidates. No item is missed.
+2. An edit breaks two word pairs at most. A candidate whose place holds too few pairs of the
+   benchmark, and then of its own item, cannot match and is passed over.
+3. Other candidates are verified by exact edit distance (Myers' bit vectors) over all words
+   that a run around the piece can reach.
 
 The benchmark is the stated query set: it is read in blocks of bounded size, each of
 which is broadcast and run against all documents. Documents are not shuffled.
@@ -27,9 +22,8 @@ empty result; extra columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -42,24 +36,19 @@ from scholarq.llm.shingles import mixed, word_hashes
 
 #: Edits per item word.
 EDITS = 0.2
-TARGET_RECALL = 0.95
-#: Share of embedding steps at which a window at the largest distance still agrees, as assumed for the number of tables.
-AGREEMENT = 0.6
-SAMPLES = 4
-MOST_STEPS = 32
-CLASS_RATIO = 1.5
+#: Words of a piece that are looked up; of longer pieces the first ones.
+PIECE_WORDS = 8
+#: Candidates held at once, before neighbours are merged.
+HELD = 1 << 20
 #: Bound of a block of the benchmark, in bytes of text.
 BLOCK_BYTES = 8 << 20
 PAIR_BITS = 22
+_PLACE = np.random.default_rng(11).integers(1, 2**63, PIECE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 HITS = "doc_id long, item_id long, distance long, item_words long, start_word long, end_word long"
 #: ASCII signs become separators.
 SEPARATED = bytes(c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
 
-def tables_for(recall: float = TARGET_RECALL, agreement: float = AGREEMENT, samples: int = SAMPLES) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - agreement**samples))
-
-
 def folded(text: bytes) -> bytes:
     return text.decode().lower().encode().translate(SEPARATED)
 
@@ -89,111 +78,111 @@ def distance_within(item: list[int], words: list[int]) -> tuple[int, int]:
     return best, end
 
 
-class Tables:
-    """CGK walks and bit samples for one length class of items."""
-
-    def __init__(self, ids: list[int], items: list[np.ndarray], tables: int, edits: float, seed: int):
-        rng = np.random.default_rng(seed)
-        self.items, self.ids, self.edits = items, ids, edits
-        self.size = min(map(len, items))
-        self.wrong = max(int(edits * len(x)) for x in items)
-        self.steps = min(self.size, MOST_STEPS)
-        self.bits = rng.integers(1, 2**63, (tables, self.steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.samples = [sorted(rng.choice(self.steps, min(SAMPLES, self.steps), replace=False).tolist()) for _ in range(tables)]
-        words = np.concatenate(items)
-        ends = np.cumsum([len(x) for x in items])
-        starts = ends - [len(x) for x in items]
-        self.tables = []
-        for t in range(tables):
-            keys = self.embed(words, starts, ends, t)
-            order = np.argsort(keys, kind="stable")
-            self.tables.append((keys[order], order))
-
-    def embed(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: int) -> np.ndarray:
-        """The sampled steps of the walk over words[start:end], hashed to one number for each window."""
-        at, key = starts.copy(), np.zeros(len(starts), dtype=np.uint64)
-        last = self.samples[table][-1]
-        for step in range(last + 1):
-            word = np.where(at < ends, words[np.minimum(at, len(words) - 1)], np.uint64(0))
-            if step in self.samples[table]:
-                key = mixed(key ^ word, 8)
-            at += ((word * self.bits[table, step]) >> np.uint64(63)).astype(at.dtype)
-        return key
-
-    def candidates(self, words: np.ndarray, known: np.ndarray, ends: np.ndarray) -> Iterable[tuple[int, int]]:
-        """(start, item) for each table hit; known[i]: pairs known to the benchmark before word i."""
-        starts = np.arange(len(words))
-        upto = np.minimum(starts + self.size - 1, ends - 1)
-        enough = (known[np.maximum(upto, starts)] - known[starts]) >= max(0, self.size - 1 - 2 * self.wrong)
-        starts = starts[enough & (ends - starts >= self.size - self.wrong)]
-        if not len(starts):
-            return
-        ends = ends[starts]
-        for t, (keys, order) in enumerate(self.tables):
-            found = self.embed(words, starts, ends, t)
-            low, high = np.searchsorted(keys, found, side="left"), np.searchsorted(keys, found, side="right")
-            for i in np.flatnonzero(high > low).tolist():
-                for k in order[low[i]:high[i]].tolist():
-                    yield int(starts[i]), k
+def run_hashes(words: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, hashes of all runs of n words) for n up to ``longest``."""
+    held = np.zeros(len(words), dtype=np.uint64)
+    for n in range(1, min(longest, len(words)) + 1):
+        held = held[:len(words) - n + 1] + words[n - 1:] * _PLACE[n - 1]
+        yield n, mixed(held, 8)
 
 
 class Block:
     """A bounded block of benchmark items, ready to be matched."""
 
-    def __init__(self, rows: list[tuple[int, str]], edits: float = EDITS, recall: float = TARGET_RECALL):
+    def __init__(self, rows: list[tuple[int, str]], edits: float = EDITS):
         texts = [folded((t or "").encode()) for _, t in rows]
         words, counts = word_hashes(texts)
-        items = np.split(words, np.cumsum(counts)[:-1])
+        found = np.split(words, np.cumsum(counts)[:-1])
+        self.ids = [i for (i, _), x in zip(rows, found, strict=True) if len(x)]
+        self.items = [x for x in found if len(x)]
+        self.codes = [np.unique(pair_hashes(x)) for x in self.items]
         self.pairs = np.zeros(1 << PAIR_BITS, dtype=bool)
-        by_class: dict[int, list[int]] = defaultdict(list)
-        for i, x in enumerate(items):
-            if len(x):
-                by_class[int(math.log(len(x)) / math.log(CLASS_RATIO))].append(i)
-                self.pairs[pair_hashes(x)] = True
-        self.classes = [Tables([rows[i][0] for i in own], [items[i] for i in own], tables_for(recall), edits, 11 + c)
-                        for c, own in sorted(by_class.items())]
-        self.edits = edits
+        for x in self.codes:
+            self.pairs[x] = True
+        self.sizes = np.array([len(x) for x in self.items], dtype=np.int64)
+        self.wrong = np.array([int(edits * len(x)) for x in self.items], dtype=np.int64)
+        pieces = defaultdict(list)
+        for i, x in enumerate(self.items):
+            n = min(int(self.wrong[i]) + 1, len(x))
+            cuts = [k * len(x) // n for k in range(n + 1)]
+            for at, end in zip(cuts, cuts[1:]):
+                pieces[min(end - at, PIECE_WORDS)].append((i, at))
+        #: For each length: hashes of the pieces in order, their items and places, and the marks of the hashes.
+        self.pieces = {}
+        for n, own in pieces.items():
+            item, at = (np.array(x, dtype=np.int64) for x in zip(*own))
+            starts = (np.cumsum(self.sizes) - self.sizes)[item] + at
+            keys = mixed(sum(words[starts + k] * _PLACE[k] for k in range(n)), 8)
+            order = np.argsort(keys, kind="stable")
+            marks = np.zeros(1 << PAIR_BITS, dtype=bool)
+            marks[keys >> np.uint64(64 - PAIR_BITS)] = True
+            self.pieces[n] = keys[order], item[order], at[order], marks
 
     def hits(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item id, distance, item words, start, end) for each text and item it holds."""
         words, counts = word_hashes([folded(t) for t in texts])
-        if not len(words) or not self.classes:
+        if not len(words) or not self.items:
             return []
         bounds = np.concatenate([[0], np.cumsum(counts)])
-        text_of = np.repeat(np.arange(len(texts)), counts)
-        ends = bounds[1:][text_of]
-        known = np.zeros(len(words) + 1, dtype=np.int64)
-        if len(words) > 1:
-            known[1:-1] = np.cumsum(self.pairs[pair_hashes(words)])
-        known[-1] = known[-2]
+        codes = pair_hashes(words)
+        near: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for text, item, low, high in self._candidates(words, codes, bounds):
+            near[text, item].append((low, high))
         out = []
-        for form in self.classes:
-            near: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for start, item in form.candidates(words, known, ends):
-                near[int(text_of[start]), item].append(start)
-            for (text, item), starts in near.items():
-                best = self._best(words, bounds[text], bounds[text + 1], form.items[item], sorted(set(starts)))
-                if best[0] <= int(self.edits * len(form.items[item])):
-                    out.append((text, form.ids[item], best[0], len(form.items[item]),
-                                int(best[1] - bounds[text]), int(best[2] - bounds[text])))
+        for (text, item), places in sorted(near.items()):
+            best = self._best(words, codes, int(bounds[text]), int(bounds[text + 1]), item, sorted(places))
+            if best[0] <= self.wrong[item]:
+                out.append((text, self.ids[item], best[0], int(self.sizes[item]), best[1] - int(bounds[text]), best[2] - int(bounds[text])))
         return out
 
-    def _best(self, words, first, last, item, starts) -> tuple[int, int, int]:
-        """The best run in the words around the candidate starts; starts near each other share one search."""
-        spare, own = int(self.edits * len(item)) + 1, item.tolist()
-        best = (len(item) + 1, 0, 0)
+    def _candidates(self, words: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, low, high): the item may be held where it would start, but for edits, at words low to high."""
+        text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        known = np.concatenate([[0], np.cumsum(self.pairs[codes])])  # pairs of the benchmark before word i
+        for n, hashes in run_hashes(words, max(self.pieces)):
+            if n not in self.pieces:
+                continue
+            keys, items, places, marks = self.pieces[n]
+            at = np.flatnonzero(marks[hashes >> np.uint64(64 - PAIR_BITS)])
+            at = at[text_of[at] == text_of[at + n - 1]]
+            low, high = (np.searchsorted(keys, hashes[at], side=side) for side in ("left", "right"))
+            at, low, many = at[high > low], low[high > low], (high - low)[high > low]
+            parts = np.flatnonzero(np.diff(np.cumsum(many) // HELD)) + 1
+            for at, low, many in zip(*(np.split(x, parts) for x in (at, low, many)), strict=True):
+                piece = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+                item, text = items[piece], text_of[np.repeat(at, many)]
+                start = np.repeat(at, many) - places[piece]
+                first = np.maximum(bounds[text], start - self.wrong[item])
+                last = np.minimum(bounds[text + 1], start + self.sizes[item] + self.wrong[item])
+                ok = ((last - first >= self.sizes[item] - self.wrong[item])
+                      & (known[last - 1] - known[first] >= self.sizes[item] - 1 - 2 * self.wrong[item]))
+                text, item, start = text[ok], item[ok], start[ok]
+                order = np.lexsort((start, item, text))
+                text, item, start = text[order], item[order], start[order]
+                new = np.ones(len(text), dtype=bool)
+                new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > self.sizes[item[1:]])
+                ends = np.append(new[1:], True)[:len(text)]
+                yield from zip(*(x.tolist() for x in (text[new], item[new], start[new], start[ends])), strict=True)
+
+    def _best(self, words, codes, first, last, item, places) -> tuple[int, int, int]:
+        """The best run in the words around the candidate places; places near each other share one search."""
+        own, size, spare = self.items[item].tolist(), int(self.sizes[item]), int(self.wrong[item]) + 1
+        best = (size + 1, 0, 0)
         k = 0
-        while k < len(starts):
-            low = max(first, starts[k] - spare)
-            while k + 1 < len(starts) and starts[k + 1] - starts[k] <= len(item):
+        while k < len(places) and best[0]:
+            start, upto = places[k]
+            while k + 1 < len(places) and places[k + 1][0] - upto <= size:
                 k += 1
-            high = min(last, starts[k] + len(item) + spare)
+                upto = max(upto, places[k][1])
+            k += 1
+            low, high = max(first, start - spare), min(last, upto + size + spare)
+            if np.isin(codes[low:high - 1], self.codes[item]).sum() < size - 1 - 2 * self.wrong[item]:
+                continue
             region = words[low:high].tolist()
             found, end = distance_within(own, region)
             if found < best[0]:
                 back, length = distance_within(own[::-1], region[:end][::-1])
-                best = (found, int(low + end - length), int(low + end))
-            k += 1
+                best = (found, low + end - length, low + end)
         return best
 
 
@@ -210,14 +199,13 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tu
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 item_id_col: str = "item_id", item_text_col: str = "text", edits: float = EDITS,
-                 recall: float = TARGET_RECALL) -> DataFrame:
+                 item_id_col: str = "item_id", item_text_col: str = "text", edits: float = EDITS) -> DataFrame:
     """One row for each document and benchmark item it holds, with the distance and the words' place."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def against(rows: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Block(rows, edits, recall))  # at most BLOCK_BYTES of items
+        shared = spark.sparkContext.broadcast(Block(rows, edits))  # at most BLOCK_BYTES of items
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = shared.value

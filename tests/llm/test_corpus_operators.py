@@ -167,6 +167,45 @@ def test_recall_of_edited_items(rate, least):
     assert sum((i, items[i][0]) in found for i in range(len(items))) >= least * len(items)
 
 
+def edited(words, count, where, rng):
+    """``words`` with ``count`` edits at the front, at the back, in one block in the middle, or anywhere."""
+    words = list(words)
+    low = {"front": 0, "back": len(words) - count, "block": (len(words) - count) // 2, "spread": 0}[where]
+    places = rng.sample(range(len(words)), count) if where == "spread" else range(low, low + count)
+    for p in sorted(places, reverse=True):
+        kind = rng.randrange(3)
+        if kind == 0:
+            words[p] = f"zz{rng.randint(0, 99)}"
+        elif kind == 1:
+            words.insert(p, f"yy{rng.randint(0, 99)}")
+        else:
+            del words[p]
+    return words
+
+
+@pytest.mark.parametrize("where", ["front", "back", "block"])
+def test_edits_may_cluster_anywhere(where):
+    rng = random.Random(where)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, rng.choices(vocabulary, k=size)) for i, size in enumerate([15, 16, 20, 32, 40, 59, 100, 200, 400] * 5)]
+    block = decontamination.Block([(i, " ".join(words)) for i, words in items])
+    other = rng.choices(vocabulary, k=50)
+    texts = [" ".join(other + edited(words, int(0.2 * len(words)), where, rng) + other).encode() for _, words in items]
+    assert {(i, i) for i, _ in items} <= {h[:2] for h in block.hits(texts)}
+
+
+def test_hits_equal_brute_force_where_words_repeat():
+    rng = random.Random(8)
+    for most in (2, 5, 30):
+        items = [[f"w{rng.randrange(most)}" for _ in range(rng.randint(1, 40))] for _ in range(40)]
+        texts = [[f"w{rng.randrange(most)}" for _ in range(rng.randint(0, 60))] for _ in range(20)]
+        texts += [edited(x, int(0.2 * len(x)), rng.choice(["front", "back", "block", "spread"]), rng) for x in items]
+        block = decontamination.Block([(i, " ".join(x)) for i, x in enumerate(items)])
+        got = {h[:2]: h[2] for h in block.hits([" ".join(x).encode() for x in texts])}
+        distances = {(t, i): brute_distance(x, words) for t, words in enumerate(texts) for i, x in enumerate(items)}
+        assert got == {at: d for at, d in distances.items() if d <= int(0.2 * len(items[at[1]]))}
+
+
 def test_contaminated_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
