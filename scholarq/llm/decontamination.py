@@ -23,12 +23,12 @@ empty result; extra columns are not read.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholarq.llm.common import row_slices, utf8
@@ -222,7 +222,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], HITS)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows whose id holds a benchmark item."""
-    bad = contaminated(docs, benchmark, id_col, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
+                      item_text_col: str = "text", edits: float = EDITS) -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark item; ids decide nothing, and no row moves."""
+    def without(rows: list[tuple[int, str]]) -> Callable[[Column], Column]:
+        shared = docs.sparkSession.sparkContext.broadcast(Block(rows, edits))  # at most BLOCK_BYTES of items
+
+        @F.arrow_udf("boolean")
+        def clean(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            block = shared.value
+            for part in parts:
+                flags = []
+                for batch in row_slices([pa.RecordBatch.from_arrays([part], ["text"])]):
+                    bad = {h[0] for h in block.hits(utf8(batch.column(0)))}
+                    flags += [i not in bad for i in range(batch.num_rows)]
+                yield pa.array(flags, pa.bool_())
+
+        return clean
+
+    for rows in blocks(benchmark, item_id_col, item_text_col):
+        docs = docs.filter(without(rows)(F.col(text_col)))
+    return docs

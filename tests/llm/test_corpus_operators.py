@@ -244,6 +244,18 @@ def test_contaminated_on_odd_rows(spark, monkeypatch):
     assert decontamination.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_rows_are_dropped_by_their_own_text(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog"), (2, "five other words stand here")],
+                                  "item_id long, text string")
+    bad, worse, clean = "so the quick brown fox jumps over the lazy dog", "five other words stand here", "nothing of the kind"
+    docs = spark.createDataFrame([(None, bad, 1), (None, clean, 2), (None, None, 3), (7, worse, 4), (7, clean, 5), (7, clean, 6), (8, bad, 7)],
+                                 "doc_id long, text string, n int").repartition(3)
+    for size in (decontamination.BLOCK_BYTES, 1):  # one block, a block for each item
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
+        kept = decontamination.drop_contaminated(docs, items)
+        assert kept.schema == docs.schema and sorted(r["n"] for r in kept.collect()) == [2, 3, 5, 6]
+
+
 def test_pipeline_stages_against_brute_force(spark):
     import corpus_pipeline
     from scholarq.llm import quality_rules
