@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarq.llm import partenum
-from scholarq.llm.common import partitions, row_slices, stored, utf8
+from scholarq.llm.common import SPACE_CLASS, partitions, row_slices, stored, utf8
 from scholarq.llm.components import components
 from scholarq.llm.shingles import shingle_sets
 
@@ -276,8 +276,8 @@ def across(shared: DataFrame, labels: DataFrame, classes: DataFrame, forest: boo
             .mapInArrow(run, "a long, b long, g long").distinct())
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and the class of each document."""
+def labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The digest of each document with its component and the smallest id in it; both are null without a shingle."""
     rows = stored(digest(docs, id_col, text_col), "digests")
     classes = stored(rows.filter("c is not null").groupBy("c").agg(
         F.min("doc_id").alias("doc_id"), F.min("t").alias("t"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "classes")
@@ -298,20 +298,30 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     named = classes.select("c", "doc_id").join(labels, classes["c"] == labels["node"], "left").select(
         "c", "doc_id", F.coalesce("component", "c").alias("component"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = stored(named.join(smallest, "component").select("c", "component_id"), "components")
-    return rows.join(named, "c", "left").select(
+    named = stored(named.join(smallest, "component").select("c", "component", "component_id"), "components")
+    return rows.join(named, "c", "left")
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each document."""
+    return labelled(docs, id_col, text_col).select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the smallest id of each component only, and all documents without a shingle.
-
-    Repeated rows of that id are one document and stay together; documents without an id
-    stay only where no member of their component has one."""
-    found = join(docs, id_col, text_col)
-    keep = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
+    """``docs`` with one row of each component only, and all documents without a shingle.
+
+    The row is one with the smallest id; documents without an id stay only where no member of
+    their component has one, and then the smallest class stays."""
+    # The first by id, class and text; each is known by id and text, as ids may be null or repeated.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "c", "t"))
+    keep = (labelled(docs, id_col, text_col).filter("c is not null").groupBy("component").agg(first.alias("first"))
+            .select(F.col("first.doc_id").alias("__keep"), F.col("first.t").alias("__text")))
+    blank = ~F.coalesce(F.col(text_col), F.lit("")).rlike(f"[^{SPACE_CLASS}]")
+    kept = docs.filter(~blank).join(
+        keep, F.col(id_col).cast("long").eqNullSafe(F.col("__keep")) & (F.xxhash64(text_col) == F.col("__text")), "left_semi")
+    return kept.dropDuplicates([id_col, text_col]).unionByName(docs.filter(blank))
 
 
 #: DuckDB's form of ``join`` over ``documents``: the links by shared shingles, then reachability.

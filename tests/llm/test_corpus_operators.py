@@ -101,6 +101,24 @@ def test_join_equals_brute_force(spark):
     assert {r["doc_id"] for r in kept.collect() if r["doc_id"] is not None} == want
 
 
+def test_one_row_of_each_component(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join(rng.choices([f"v{i}" for i in range(500)], k=60))
+    one, two, three, four = text(), text(), text(), text()
+    docs = spark.createDataFrame([
+        (3, one, 0), (5, one + " more", 1), (5, two, 2), (5, two, 3),  # 5 names one component and is a copy in another
+        (None, three, 4), (None, three + " more", 5), (None, three, 6),  # a component without ids
+        (None, four, 7), (9, four + " more", 8), (9, four, 9),
+        (None, None, 10), (None, " \n", 11), (9, "", 12), (9, "", 13),
+    ], "doc_id long, text string, n int").repartition(4)
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    of = {0: "one", 1: "one", 2: "two", 3: "two", 4: "three", 5: "three", 6: "three", 7: "four", 8: "four", 9: "four"}
+    rows = [(of.get(r["n"], r["n"]), r["doc_id"]) for r in kept.collect()]
+    assert sorted(rows, key=repr) == sorted([("one", 3), ("two", 5), ("three", None), ("four", 9),
+                                             (10, None), (11, None), (12, 9), (13, 9)], key=repr)
+
+
 def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
     monkeypatch.setattr(ngram_join, "STAR", 2)
