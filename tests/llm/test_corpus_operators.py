@@ -212,6 +212,17 @@ def test_edits_may_cluster_anywhere(where):
     assert {(i, i) for i, _ in items} <= {h[:2] for h in block.hits(texts)}
 
 
+@pytest.mark.parametrize("size", [1, 4, 5, 9, 10, 14, 15, 25, 40, 59, 100, 200, 400])
+def test_all_items_at_the_full_limit_are_found(size):
+    rng = random.Random(size)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, rng.choices(vocabulary, k=size)) for i in range(60)]
+    block = decontamination.Block([(i, " ".join(words)) for i, words in items])
+    other = rng.choices(vocabulary, k=30)
+    texts = [" ".join(other + edited(words, int(0.2 * size), "spread", rng) + other).encode() for _, words in items]
+    assert {(i, i) for i, _ in items} <= {h[:2] for h in block.hits(texts)}
+
+
 def test_hits_equal_brute_force_where_words_repeat():
     rng = random.Random(8)
     for most in (2, 5, 30):
