@@ -313,6 +313,48 @@ def test_pipeline_stages_against_brute_force(spark):
     assert {r["doc_id"] for r in states[4].collect()} == set(after[3])
 
 
+def test_last_stages_against_plain_loops(spark):
+    import zlib
+
+    import corpus_pipeline
+    from scholarq.llm import packing, tokens
+    from scholarq.llm.common import stored
+
+    rng, stages = random.Random(12), dict(corpus_pipeline.STAGES)
+    items = [decontamination.folded(r["text"].encode()).split() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    filler = " ".join(rows[0][1].split()[:40])
+    for k, item in enumerate(items):
+        words = edited([w.decode() for w in item], int(0.2 * len(item)), ["front", "back", "block", "spread"][k % 4], rng)
+        rows.append((1000 + k, f"{filler} {' '.join(words)} {filler}"))
+    rows += [(None, filler), (None, None), (None, rows[70][1]), (3, rows[71][1])]
+
+    def clean(text):
+        words = decontamination.folded((text or "").encode()).split()
+        return all(decontamination.distance_within(x, words)[0] > int(0.2 * len(x)) for x in items)
+
+    left = [r for r in rows if clean(r[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    docs = stored(stages["benchmark_decontamination"](spark, docs, SF), "test-stage")
+    assert len(rows) - len(left) >= len(items) and sorted(map(tuple, docs.collect()), key=repr) == sorted(left, key=repr)
+
+    library = tokens.tokenizer(tokens.vocabulary_path())
+    want = collections.defaultdict(list)
+    for i, text in left:
+        want[i].append(np.asarray(library.encode(text or "", add_special_tokens=False).ids + [packing.END_ID], "<u4"))
+    sequences, covered, got = collections.defaultdict(list), collections.Counter(), stages["packing"](spark, docs, SF).collect()
+    for r in got:
+        cut = slice(r["start"], r["start"] + r["length"])
+        fits = [k for k, ids in enumerate(want[r["doc_id"]]) if len(ids) == r["doc_tokens"] and zlib.crc32(ids[cut].tobytes()) == r["ids_crc32"]]
+        assert len(fits) == 1  # texts under one id differ
+        covered.update((r["doc_id"], fits[0], t) for t in range(cut.start, cut.stop))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert covered == collections.Counter((i, k, t) for i, texts in want.items() for k, ids in enumerate(texts) for t in range(len(ids)))
+    for pieces in sequences.values():
+        ends = np.cumsum([n for _, n in sorted(pieces)])
+        assert [at for at, _ in sorted(pieces)] == [0, *ends[:-1]] and ends[-1] <= packing.CAPACITY
+
+
 def test_pipeline_of_empty_table(spark):
     import corpus_pipeline
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
