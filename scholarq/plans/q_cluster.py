@@ -112,6 +112,16 @@ def kmeans_cluster_terms(spark, d):
         F.count(F.lit(1)).alias("n_terms"), (F.transform(by_rank, lambda x: x["w"]) == by_weight).alias("ranked"))
 
 
+@query("kmeans_member_places", None, "CL5 CL8 (cluster and coordinates of every paper)")
+def kmeans_member_places(spark, d):
+    return _fitted(spark, d, "documents").members.select("paper_id", "title", "cluster", "x", "y")
+
+
+@query("kmeans_term_weights", None, "CL7 CL8 (ranked terms of each cluster with their weights)")
+def kmeans_term_weights(spark, d):
+    return _fitted(spark, d, "documents").terms.select("cluster", "rank", "term", "weight")
+
+
 @query("cluster_lists", "SELECT count(*) AS n_papers, 3::BIGINT AS n_clusters, 0::BIGINT AS wrong_ranks FROM documents",
        "AGG13 (ranked rows of each cluster: sizes sum up, ranks are gapless)")
 def cluster_lists(spark, d):

@@ -17,12 +17,14 @@ class Query:
 
 
 REGISTRY: dict[str, Query] = {}
+#: Queries that SQL cannot express.
+WITHOUT_ORACLE: dict[str, Query] = {}
 
 
 def query(name: str, sql: str | None, operators: str):
     def deco(fn):
-        if name in REGISTRY:
+        if name in REGISTRY or name in WITHOUT_ORACLE:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, fn, sql, operators)
+        (WITHOUT_ORACLE if sql is None else REGISTRY)[name] = Query(name, fn, sql, operators)
         return fn
     return deco
