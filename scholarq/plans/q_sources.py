@@ -44,9 +44,13 @@ def manifest_file(spark, d):
 def directory_listing(spark, d):
     path = scratch_path(spark, "listing")
     docs = table(spark, d, "documents").select("source", F.col("doc_id").cast("string").alias("value"))
-    docs.repartition("source").write.partitionBy("source").text(path)
-    files = list_directory(spark, f"{path}/*/*")
-    return files.groupBy(F.element_at(F.split("path", "/"), -2).alias("folder")).agg(F.count(F.lit(1)).alias("n"))
+    docs.write.partitionBy("source").text(path)  # each task writes its own files, so no folder is one task's
+    place = lambda c: [F.element_at(F.split(c, "/"), -2).alias("folder"), F.element_at(F.split(c, "/"), -1).alias("name")]
+    listed = list_directory(spark, f"{path}/*/*").select(*place("path"), F.lit(True).alias("listed"))
+    read = spark.read.text(path).select(F.input_file_name().alias("file"), "source").distinct().select(*place("file"), "source")
+    # A file that is only listed or only read would count.
+    return listed.join(read, ["folder", "name"], "full").groupBy("folder").agg(
+        (F.count_distinct("source") + F.count_if(F.col("source").isNull() | F.col("listed").isNull())).alias("n"))
 
 
 def _positioned(spark, d):

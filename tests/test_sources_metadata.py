@@ -117,3 +117,17 @@ def test_atom_feed_total_falls_back_to_count(spark, tmpdir_path):
         f.write(ATOM.replace("<opensearch:totalResults>42</opensearch:totalResults>", ""))
     _, total = S.read_atom_feed(spark, p)
     assert total.first().total_results == 2
+
+
+def test_hot_folder_is_written_by_many_tasks(spark, monkeypatch):
+    import glob
+
+    from scholarq.plans import q_sources
+    paths = []
+    monkeypatch.setattr(q_sources, "table", lambda spark, d, name: spark.range(300).repartition(6).select(
+        F.when(F.col("id") < 290, "hot").otherwise("cold").alias("source"), F.col("id").alias("doc_id")))
+    scratch = q_sources.scratch_path
+    monkeypatch.setattr(q_sources, "scratch_path", lambda *a: paths.append(scratch(*a)) or paths[-1])
+    got = q_sources.directory_listing(spark, "unused")
+    assert sorted(map(tuple, got.collect())) == [("source=cold", 1), ("source=hot", 1)]
+    assert len(glob.glob(paths[0].removeprefix("file:") + "/source=hot/part-*")) == 6
