@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholarq.llm import chat_format, decontamination, importance, language_id, line_dedup, ngram_join, packing, pii, quality_rules, sharding, token_counts
+from scholarq.llm import chat_format, decontamination, importance, language_id, line_dedup, ngram_join, packing, pii, quality_rules, ranked_search, sharding, token_counts
 from scholarq.llm.common import documents
 
 
@@ -51,6 +51,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(documents(spark, sf_dir))
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -58,7 +62,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_chat_formatting, op4_hilbert_sharding,
-        op5_line_dedup, op6_packing, op7_pii, op8_language_id, op9_quality_rules, op10_token_counts, op13_importance_resampling)
+        op5_line_dedup, op6_packing, op7_pii, op8_language_id, op9_quality_rules, op10_token_counts, op11_ranked_lexical_search, op13_importance_resampling)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -66,5 +70,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_formatting": chat_format.SQL,
     "op5_line_dedup": line_dedup.SQL,
     "op9_quality_rules": quality_rules.SQL,
+    "op11_ranked_lexical_search": ranked_search.SQL,
     "op13_importance_resampling": importance.SQL,
 }
