@@ -49,7 +49,16 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_folder(df.sparkSession, purpose)
     schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    back = df.sparkSession.read.schema(schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def unstored(df: DataFrame) -> None:
+    """Remove the files of a table of ``stored`` that nothing will read again."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholarq.llm import chat_format, decontamination, importance, language_id, line_dedup, ngram_join, packing, pii, quality_rules, ranked_search, sharding, token_counts
+from scholarq.llm import chat_format, decontamination, importance, language_id, line_dedup, ngram_join, packing, pii, quality_rules, ranked_search, sharding, suffix_dedup, token_counts
 from scholarq.llm.common import documents
 
 
@@ -55,6 +55,10 @@ def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(documents(spark, sf_dir))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -62,7 +66,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_chat_formatting, op4_hilbert_sharding,
-        op5_line_dedup, op6_packing, op7_pii, op8_language_id, op9_quality_rules, op10_token_counts, op11_ranked_lexical_search, op13_importance_resampling)
+        op5_line_dedup, op6_packing, op7_pii, op8_language_id, op9_quality_rules, op10_token_counts, op11_ranked_lexical_search, op12_suffix_array_dedup, op13_importance_resampling)
 }
 
 ORACLE_SQL: dict[str, str] = {
