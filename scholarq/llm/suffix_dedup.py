@@ -380,7 +380,9 @@ def counted_spans(contexts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["w1", "w2", "d1", "d2", "start"])
 
     windows = contexts.select("d1", "d2", "place", "bytes").mapInArrow(run, "w1 long, w2 long, d1 long, d2 long, start long")
-    again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
+    windows = stored(windows, "windows")
+    # written, so that the join below reads two plain exchanges and a hot window's rows can be split
+    again = stored(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2"), "repeated-windows")
     return windows.join(again, ["w1", "w2"]).select("d1", "d2", "start", (F.col("start") + LENGTH).alias("end"))
 
 
@@ -410,9 +412,10 @@ def spans(texts: DataFrame, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     Equal texts count once here.
     """
     found = stored(anchored(texts), "anchors")
-    grams = (found.filter("gram is not null").groupBy("gram")
-             .agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
-             .filter("n > 1").select("gram", (F.col("low") != F.col("high")).alias("several")))
+    # written, so that the join below reads two plain exchanges and a hot gram's rows can be split
+    grams = stored(found.filter("gram is not null").groupBy("gram")
+                   .agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
+                   .filter("n > 1").select("gram", (F.col("low") != F.col("high")).alias("several")), "grams")
     again = stored(found.join(grams, "gram"), "repeated-grams")
     start, end = (F.shiftright("place", 16) - F.col("place").bitwiseAND(255),
                   F.shiftright("place", 16) - F.shiftright("place", 8).bitwiseAND(255) + LENGTH)
@@ -431,7 +434,7 @@ def spans(texts: DataFrame, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     out = stored(local.unionByName(equal).unionByName(known)
                  .unionByName(sorted_spans(contexts.filter("not hot")))
                  .unionByName(counted_spans(contexts.filter("hot"))), "spans")
-    for df in (found, again, contexts):
+    for df in (found, grams, again, contexts):
         unstored(df)
     return out
 
