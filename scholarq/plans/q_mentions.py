@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarq.functions.entities import normalised_type, normalised_type_sql
 from scholarq.operators.local_search import local_search, shape_local_results
 from scholarq.operators.mentions import (PAPER_COLS, Clause, distinct_entity_types, entity_type_distribution,
-                                         mention_like_papers, mention_rows, mention_search, sample_entities)
+                                         like_papers_by_index, mention_like_papers, mention_rows, mention_search, sample_entities)
+from scholarq.operators.text_index import SubstringIndex
 from scholarq.plans.oracle_views import with_views
 from scholarq.plans.registry import query
 from scholarq.plans.views import v_doc_text, v_index
+from scholarq.session import scratch_path
 
 ROW_COLS = PAPER_COLS + ["entity_name", "entity_type", "count"]
 ROW_SQL = ", ".join(ROW_COLS)
@@ -105,6 +110,22 @@ def mention_like_semi(spark, d):
     return mention_like_papers(p, phe, e, "IDGE", "ORG")
 
 
+# One to twenty characters, some of them absent.
+LIKE_TERMS = ["g", "ED", "idg", "IDGE", "ed wid", "BLUE WIDGET", "x", "qz", "no such name at all!"]
+
+
+@query("mention_like_index", with_views(" UNION ALL ".join(
+    f"""SELECT '{t}' AS term, paper_id, paper_name FROM v_papers p
+        WHERE EXISTS (SELECT 1 FROM v_mentions m WHERE m.paper_id = p.paper_id
+                      AND m.entity_type = 'ORG' AND m.entity_name ILIKE '%{t}%')""" for t in LIKE_TERMS), "v_papers", "v_mentions"),
+    "FLT5 JN2 (substring search through an index of 3-grams)")
+def mention_like_index(spark, d):
+    p, e, phe = v_index(spark, d)
+    names = SubstringIndex.build(e, "entity_name", scratch_path(spark, "names"))
+    found = [like_papers_by_index(p, phe, names, t, "ORG").select(F.lit(t).alias("term"), "paper_id", "paper_name") for t in LIKE_TERMS]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("mention_counts", with_views(
     "SELECT paper_id, entity_name, entity_type, count FROM v_mentions", "v_mentions"),
     "AGG1 SNK4")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarq.functions.names import surname_first_col, without_dots_col
 from scholarq.operators import search as S
+from scholarq.operators.text_index import TextIndex
 from scholarq.plans.oracle_views import with_views
 from scholarq.plans.registry import query
 from scholarq.plans.views import table, v_arxiv, v_mentions_raw, v_papers
+from scholarq.session import scratch_path
 
 OUT = ["arxiv_id", "title", "authors", "categories", "published", "pdf_url", "relevance_score"]
 
@@ -91,6 +96,32 @@ def search_total(spark, d):
     return S.search_total(v_arxiv(spark, d), KW, "keyword")
 
 
+@query("index_keyword_search", with_views(_strip(_page_sql(_kw_pred(KW), start=5, n=10)), "v_arxiv"),
+       "FLT8 TOP3 (keyword search through an inverted index)")
+def index_keyword_search(spark, d):
+    index = TextIndex.build(v_arxiv(spark, d), scratch_path(spark, "records"))
+    return _out(S.page(index.search(KW), 5, 10))
+
+
+# Words, parts of words, phrases across words, nothing found.
+SEARCHES = [("keyword", "promo"), ("keyword", "Widget ECON 00000001"), ("keyword", "standard the lorem"), ("keyword", "zzqx"),
+            ("keyword", "e"), ("author", "Supplier#00000001"), ("author", "#00"), ("title", "red widget"), ("title", "of b"), ("title", "dy of")]
+
+
+def _search_pred(kind, q):
+    return {"keyword": _kw_pred, "author": _author_pred, "title": lambda t: f"instr(lower(title), '{t.lower()}') > 0"}[kind](q)
+
+
+@query("index_searches", with_views(" UNION ALL ".join(
+    f"SELECT '{k}: {q}' AS search, arxiv_id, CAST({_author_rel(q) if k == 'author' else 1.0} AS DOUBLE) AS relevance_score "
+    f"FROM v_arxiv WHERE {_search_pred(k, q)}" for k, q in SEARCHES), "v_arxiv"),
+    "FLT8 REL2 (keyword, author and title searches through an inverted index, all matches)")
+def index_searches(spark, d):
+    index = TextIndex.build(v_arxiv(spark, d), scratch_path(spark, "records"))
+    found = [index.search(q, k).select(F.lit(f"{k}: {q}").alias("search"), "arxiv_id", "relevance_score") for k, q in SEARCHES]
+    return reduce(DataFrame.unionByName, found)
+
+
 AU_DOTTED = "Supplier#000000017."
 
 
