@@ -23,62 +23,81 @@ from pyspark.sql import types as T
 
 from scholarq.functions.text import explode_rows
 
-_TOKEN = re.compile(r'[{}\[\],:]|"(?:[^"\\]|\\.)*"|[^\s{}\[\],:"]+')
-
-
-def _value(token: str):
-    return json.loads(token)
-
-
-def _parse_flat(text: str):
-    """The tree of a JSON text nested too deeply for the standard parser,
-    built with an explicit stack."""
-    root: list = []
-    stack, key, want_key = [root], [None], [False]
-
-    def put(value):
-        if isinstance(stack[-1], dict):
-            stack[-1][key[-1]] = value
-        else:
-            stack[-1].append(value)
-
-    for m in _TOKEN.finditer(text):
-        t = m[0]
-        if t in "{[":
-            child = {} if t == "{" else []
-            put(child)
-            stack.append(child)
-            key.append(None)
-            want_key.append(t == "{")
-        elif t in "}]":
-            stack.pop()
-            key.pop()
-            want_key.pop()
-        elif t == ",":
-            want_key[-1] = isinstance(stack[-1], dict)
-        elif t == ":":
-            want_key[-1] = False
-        elif want_key[-1]:
-            key[-1] = _value(t)
+_SPACE = re.compile(r"[ \t\n\r]*")
+_LONE_SURROGATE = re.compile("[\ud800-\udfff]")
+_SCALAR = json.JSONDecoder().scan_once
+
+
+def _parse(text: str):
+    """The value of a JSON text, by the grammar of the standard parser (whose scanner reads all strings,
+    numbers and constants) but with an explicit stack: nesting of any depth, and the same verdict at each."""
+    def after(at: int) -> int:
+        return _SPACE.match(text, at).end()
+
+    def key(at: int) -> tuple[str, int]:
+        if text[at:at + 1] != '"':
+            raise ValueError("a key is missing")
+        name, at = _SCALAR(text, at)
+        at = after(at)
+        if text[at:at + 1] != ":":
+            raise ValueError("a colon is missing")
+        return name, after(at + 1)
+
+    open_: list[dict | list] = []
+    names: list[str | None] = []
+    at = after(0)
+    while True:
+        first = text[at:at + 1]
+        if first in ("{", "["):
+            value: object = {} if first == "{" else []
+            at = after(at + 1)
+            if text[at:at + 1] != ("}" if first == "{" else "]"):
+                open_.append(value)
+                name, at = key(at) if first == "{" else (None, at)
+                names.append(name)
+                continue
+            at += 1
         else:
-            put(_value(t))
-    if len(root) != 1 or len(stack) != 1:
-        raise ValueError("not one JSON value")
-    return root[0]
+            try:
+                value, at = _SCALAR(text, at)
+            except StopIteration:
+                raise ValueError("a value is missing") from None
+        while True:  # a value is whole: put it where it belongs
+            at = after(at)
+            if not open_:
+                if at != len(text):
+                    raise ValueError("more than one value")
+                return value
+            inside = open_[-1]
+            if isinstance(inside, dict):
+                inside[names[-1]] = value
+            else:
+                inside.append(value)
+            sign = text[at:at + 1]
+            if sign == ",":
+                at = after(at + 1)
+                if isinstance(inside, dict):
+                    names[-1], at = key(at)
+                break
+            if sign != ("}" if isinstance(inside, dict) else "]"):
+                raise ValueError("a comma is missing")
+            value = open_.pop()
+            names.pop()
+            at += 1
 
 
 def text_values(json_text: str | None) -> list[str]:
     """DOC1 for one document; text that is not JSON holds no text nodes.
     A number or boolean as VALUE gives its JSON form; null and containers
-    are no text."""
+    are no text. A lone surrogate escape, which no text can hold, becomes U+FFFD."""
     if not json_text:
         return []
     try:
         try:
             root = json.loads(json_text)
-        except RecursionError:
-            root = _parse_flat(json_text)
-    except (ValueError, IndexError):
+        except RecursionError:  # the same grammar without recursion
+            root = _parse(json_text)
+    except ValueError:
         return []
     found: list[str] = []
     # An entry is a container still to open, or a value already known to be text.
@@ -86,7 +105,7 @@ def text_values(json_text: str | None) -> list[str]:
     while stack:
         is_text, node = stack.pop()
         if is_text:
-            found.append(node if isinstance(node, str) else json.dumps(node))
+            found.append(_LONE_SURROGATE.sub("\ufffd", node) if isinstance(node, str) else json.dumps(node))
             continue
         inside: list[tuple[bool, object]] = []
         if isinstance(node, dict):

@@ -97,16 +97,17 @@ def author_search_with_fallback(records: DataFrame, name: str, start: int = 0,
                                 max_results: int = 10) -> DataFrame:
     """TOP4 over author-name variants: exact author search; surname-first
     for two-part names; dots removed when the name has dots; keyword search.
-    The first tier with rows wins; its rows are a sorted page: by relevance,
+    The first tier that finds a record wins, whatever page of it is wanted, so
+    a page past its end is empty.  The rows are a sorted page: by relevance,
     then newest first, then id."""
     names = [name]
     if " " in name and (sf := surname_first(name)) is not None:
         names.append(sf)
     if "." in name:
         names.append(without_dots(name))
-    tiers = [lambda n=n: search_page(records, n, "author", start, max_results) for n in names]
-    tiers.append(lambda: page(search(records, name, "keyword"), start, max_results, by_relevance=True))
-    return first_nonempty(tiers)
+    tiers = [lambda n=n: search(records, n, "author") for n in names]
+    tiers.append(lambda: search(records, name, "keyword"))
+    return page(first_nonempty(tiers), start, max_results, by_relevance=True)
 
 
 def point_lookup(records: DataFrame, key: str, value) -> DataFrame:
@@ -128,11 +129,22 @@ def first_wins_union(*dfs: DataFrame, key: str = "arxiv_id") -> DataFrame:
 
 
 def cache_first(cache: DataFrame, source: DataFrame, key: str = "arxiv_id") -> DataFrame:
-    """JN7: stored record when present, else the source's record."""
+    """JN7: the whole stored record when there is one, else the source's; a null
+    in a stored record stays null.  ``to_store`` gives the records to save then."""
     cols = [c for c in source.columns if c != key]
-    c, s = cache.alias("c"), source.alias("s")
+    c = cache.select(key, F.struct(*cols).alias("_stored"))
+    s = source.select(key, F.struct(*cols).alias("_found"))
+    # a struct is null only where its side has no row
     return (c.join(s, key, "full_outer")
-            .select(key, *[F.coalesce(F.col(f"c.{x}"), F.col(f"s.{x}")).alias(x) for x in cols]))
+            .select(key, F.when(F.col("_stored").isNotNull(), F.col("_stored")).otherwise(F.col("_found")).alias("_r"))
+            .select(key, "_r.*"))
+
+
+def to_store(cache: DataFrame, source: DataFrame, key: str = "arxiv_id") -> DataFrame:
+    """JN7 "then store it": the source's records whose key the cache lacks, one for each key."""
+    others = [c for c in source.columns if c != key]
+    missing = source.filter(F.col(key).isNotNull()).join(cache.select(key), key, "left_anti")
+    return missing.groupBy(key).agg(F.min(F.struct(*others)).alias("_r")).select(key, "_r.*")
 
 
 def category_filter(records: DataFrame, category: str) -> DataFrame:

@@ -285,16 +285,31 @@ def manifest_unmatched(spark, d):
     return unmatched.select("name")
 
 
-@query("cache_first", with_views(
-    f"""SELECT COALESCE(c.arxiv_id, s.arxiv_id) AS arxiv_id, COALESCE(c.title, s.title) AS title
-        FROM (SELECT arxiv_id, 'Cached: ' || title AS title FROM v_arxiv
-              WHERE published < TIMESTAMP '{STORED_BEFORE}') c
-        FULL OUTER JOIN (SELECT arxiv_id, title FROM v_arxiv) s ON c.arxiv_id = s.arxiv_id""", "v_arxiv"), "JN7")
-def cache_first(spark, d):
+_CACHE = f"""(SELECT arxiv_id, CASE WHEN paper_id % 3 <> 0 THEN 'Cached: ' || title END AS title, categories FROM v_arxiv
+              WHERE published < TIMESTAMP '{STORED_BEFORE}')"""
+_FOUND = "(SELECT arxiv_id, title, CASE WHEN paper_id % 2 = 0 THEN categories END AS categories FROM v_arxiv)"
+
+
+def _cache_and_source(spark, d):
+    """Stored records, some without a title, and the source's, some without categories."""
     r = v_arxiv(spark, d)
     cache = r.filter(F.col("published") < F.lit(STORED_BEFORE).cast("timestamp")).select(
-        "arxiv_id", F.concat(F.lit("Cached: "), "title").alias("title"))
-    return S.cache_first(cache, r.select("arxiv_id", "title"), "arxiv_id")
+        "arxiv_id", F.when(F.col("paper_id") % 3 != 0, F.concat(F.lit("Cached: "), "title")).alias("title"), "categories")
+    return cache, r.select("arxiv_id", "title", F.when(F.col("paper_id") % 2 == 0, F.col("categories")).alias("categories"))
+
+
+@query("cache_first", with_views(
+    f"""SELECT s.arxiv_id, CASE WHEN c.arxiv_id IS NULL THEN s.title ELSE c.title END AS title,
+               CASE WHEN c.arxiv_id IS NULL THEN s.categories ELSE c.categories END AS categories
+        FROM {_FOUND} s LEFT JOIN {_CACHE} c ON c.arxiv_id = s.arxiv_id""", "v_arxiv"), "JN7 (whole records)")
+def cache_first(spark, d):
+    return S.cache_first(*_cache_and_source(spark, d), "arxiv_id")
+
+
+@query("cache_to_store", with_views(
+    f"SELECT * FROM {_FOUND} WHERE arxiv_id NOT IN (SELECT arxiv_id FROM {_CACHE})", "v_arxiv"), "JN7 (the records to store)")
+def cache_to_store(spark, d):
+    return S.to_store(*_cache_and_source(spark, d), "arxiv_id")
 
 
 @query("merge_first_wins", with_views(

@@ -138,6 +138,20 @@ def author_fallback(spark, d):
     return _out(S.author_search_with_fallback(v_arxiv(spark, d), AU_DOTTED, 0, 10))
 
 
+# Pages within and past the end of the winning tier: the second tier has fewer matches than the keyword tier.
+PAGES = [0, 3, 10_000_000]
+
+
+@query("author_fallback_pages", with_views(" UNION ALL ".join(
+    f"SELECT {start}::BIGINT AS start, count(*) AS n_rows FROM ({_strip(_page_sql(_author_pred('Supplier#000000017'), start=start))})"
+    for start in PAGES), "v_arxiv"), "TOP4 TOP3 (a page past the end is empty)")
+def author_fallback_pages(spark, d):
+    r = v_arxiv(spark, d)
+    return reduce(DataFrame.unionByName, [
+        S.author_search_with_fallback(r, AU_DOTTED, start, 10).agg(F.count(F.lit(1)).alias("n_rows"))
+        .select(F.lit(start).cast("long").alias("start"), "n_rows") for start in PAGES])
+
+
 AU_FIRST, AU_SURNAME_FIRST = "000000017 Supplier", "Supplier, 000000017"
 _RANKED = "SELECT CAST(row_number() OVER (ORDER BY {keys}) AS BIGINT) AS rank, arxiv_id, relevance_score FROM ({rows})"
 

@@ -7,13 +7,18 @@ reader and returns what was read, which the oracle states over the tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholarq.operators import merge as G
 from scholarq.operators import metadata as M
 from scholarq.operators import search as S
+from scholarq.operators.ids import sequential_ids
 from scholarq.plans.oracle_views import with_views
+from scholarq.plans.q_metadata import _AUTH, _CATS, _YEAR
 from scholarq.plans.q_text import v_doc_tree
 from scholarq.plans.registry import query
 from scholarq.plans.views import table, v_arxiv, v_mentions_raw
@@ -30,16 +35,27 @@ def manifest_file(spark, d):
     path = scratch_path(spark, "manifest")
     pdf = F.concat(F.lit("cust-"), F.col("c_custkey").cast("string"), F.lit(".pdf"))
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias(" key "), pdf.alias("paper_pdf "))
-    # Later folders hold the later rows; their files are small, so that tasks read several at once.
+    # Later folders hold the later rows, under the same file names; their files are small, so that tasks read several at once.
     for name, df in (("a-draft", rows.withColumn("title", F.lit("draft"))),
                      ("b-final", rows.filter("` key ` % 3 = 0").withColumn("title", F.lit("final")))):
         df.repartition(3).write.option("header", True).csv(f"{path}/{name}")
-    manifest = (read_manifest(spark, f"{path}/a-draft").withColumn("_line", F.struct(F.lit(0).alias("part"), F.col("_line").alias("line")))
-                .unionByName(read_manifest(spark, f"{path}/b-final").withColumn("_line", F.struct(F.lit(1).alias("part"), F.col("_line").alias("line")))))
+    same_names(spark, [f"{path}/a-draft", f"{path}/b-final"])
+    manifest = read_manifest(spark, f"{path}/*")
     matched, _ = match_manifest(manifest.select(F.col("paper_pdf").alias("name")).distinct(), manifest)
     return matched.select(F.col("key").cast("long").alias("key"), "paper_pdf", "title")
 
 
+def same_names(spark, folders):
+    """Rename the files of each folder to 0.csv, 1.csv, ..., from the back in later folders."""
+    jvm = spark.sparkContext._jvm
+    for i, folder in enumerate(folders):
+        p = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().endswith(".csv"))
+        for k, name in enumerate(names):
+            fs.rename(jvm.org.apache.hadoop.fs.Path(p, name), jvm.org.apache.hadoop.fs.Path(p, f"{k if i == 0 else len(names) - 1 - k}.csv"))
+
+
 @query("directory_listing", "SELECT 'source=' || source AS folder, count(DISTINCT source) AS n FROM documents GROUP BY source", "SRC2")
 def directory_listing(spark, d):
     path = scratch_path(spark, "listing")
@@ -119,6 +135,21 @@ def _snapshot(spark, d):
     return path
 
 
+LINES = 1234
+
+
+@query("snapshot_first_lines", f"SELECT unnest(range(1, least({LINES}, 2 * (SELECT count(*) FROM orders)) + 1, 2)) AS id",
+       "SRC5 (the first lines of a snapshot in several files, blank lines counted)")
+def snapshot_first_lines(spark, d):
+    # One record and one blank line for each order, in seven files of very different sizes.
+    path = scratch_path(spark, "lines")
+    o = sequential_ids(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])
+    line = F.concat(F.lit('{"id": "'), (F.col("id") * 2 - 1).cast("string"), F.lit('"}\n'))
+    (o.repartitionByRange(7, F.floor(F.log2("id"))).sortWithinPartitions("id").select(line.alias("value")).write.text(path))
+    recs, _ = R.read_snapshot(spark, path, LINES)
+    return recs.select(F.col("id").cast("long").alias("id"))
+
+
 @query("record_preview", with_views("""
     SELECT 5::BIGINT AS n_rows, true AS known, true AS short FROM v_arxiv LIMIT 1""", "v_arxiv"),
     "SRC7 (the first records of a snapshot: abstracts cut, missing fields named)")
@@ -133,18 +164,31 @@ def record_preview(spark, d):
         F.bool_and(F.length("abstract") <= R.PREVIEW_ABSTRACT_CHARS + 3).alias("short"))
 
 
-@query("metadata_sections", with_views("""
-    SELECT 'total_categories' AS section, count(DISTINCT c) AS n FROM (
-      SELECT unnest(string_split_regex(categories, '\\s+')) AS c FROM v_arxiv WHERE categories IS NOT NULL) WHERE c <> ''
-    UNION ALL SELECT 'papers_with_doi', count(*) FROM v_arxiv WHERE doi IS NOT NULL AND doi <> ''
-    UNION ALL SELECT 'total_papers', count(*) FROM v_arxiv""", "v_arxiv"), "AGG9 SRC5 (all sections of the analysis of a snapshot)")
+#: The rows of each section's frame, as (section, key, n).
+_SECTIONS_SQL = f"""
+    SELECT 'category_distribution' AS section, category AS key, n FROM (SELECT * FROM {_CATS} ORDER BY n DESC, category LIMIT 20)
+    UNION ALL SELECT 'total_categories', NULL, count(*) FROM {_CATS}
+    UNION ALL SELECT 'top_authors', author, n FROM (SELECT * FROM {_AUTH} ORDER BY n DESC, author LIMIT 20)
+    UNION ALL SELECT 'total_authors', NULL, count(*) FROM {_AUTH}
+    UNION ALL SELECT 'yearly_distribution', CAST({_YEAR} AS VARCHAR), count(*) FROM v_arxiv WHERE {_YEAR} IS NOT NULL GROUP BY 2
+    UNION ALL SELECT 'version_distribution', CAST(COALESCE(len(versions), 0) AS VARCHAR), count(*) FROM v_arxiv GROUP BY 2
+    UNION ALL SELECT 'basic_stats', 'total_papers', count(*) FROM v_arxiv
+    UNION ALL SELECT 'basic_stats', 'papers_with_doi', count_if(doi <> '') FROM v_arxiv
+    UNION ALL SELECT 'basic_stats', 'papers_with_license', count_if(license <> '') FROM v_arxiv
+    UNION ALL SELECT 'basic_stats', 'papers_with_journal_ref', count_if(journal_ref <> '') FROM v_arxiv"""
+
+
+@query("metadata_sections", with_views(f"SELECT section, key, CAST(n AS BIGINT) AS n FROM ({_SECTIONS_SQL})", "v_arxiv"),
+       "AGG9 SRC5 (all seven sections of the analysis of a snapshot)")
 def metadata_sections(spark, d):
     recs, _ = R.read_snapshot(spark, _snapshot(spark, d))
     out = M.analyse(recs, "all")
-    named = [out["total_categories"].select(F.lit("total_categories").alias("section"), F.col("total_categories").alias("n")),
-             out["basic_stats"].select(F.lit("papers_with_doi").alias("section"), F.col("papers_with_doi").alias("n")),
-             out["basic_stats"].select(F.lit("total_papers").alias("section"), F.col("total_papers").alias("n"))]
-    return named[0].unionByName(named[1]).unionByName(named[2])
+    rows = [out[name].select(F.lit(name).alias("section"), key.cast("string").alias("key"), F.col(n).alias("n")) for name, key, n in (
+        ("category_distribution", F.col("category"), "n"), ("total_categories", F.lit(None), "total_categories"),
+        ("top_authors", F.col("author"), "n"), ("total_authors", F.lit(None), "total_authors"),
+        ("yearly_distribution", F.col("year"), "n"), ("version_distribution", F.col("n_versions"), "n"),
+        *(("basic_stats", F.lit(c), c) for c in out["basic_stats"].columns))]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query("stored_table", "SELECT c_custkey AS id, c_name AS name FROM customer", "SNK1 SNK10 SRC8 (created, committed in parts, read back)")

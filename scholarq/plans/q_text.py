@@ -55,6 +55,13 @@ def doc_fulltext_newline(spark, d):
     return D.full_text(v_doc_tree(spark, d), "paper_id", "tree", "\n")
 
 
+@query("doc_odd_escapes", "SELECT doc_id AS paper_id, doc_id || chr(65533) || 'x' || chr(128512) AS text FROM documents",
+       "DOC1 AGG12 (escapes of lone surrogates)")
+def doc_odd_escapes(spark, d):
+    node = F.concat(F.lit('{"TYPE":"text","VALUE":"'), F.col("doc_id").cast("string"), F.lit('\\ud800x\\ud83d\\ude00"}'))
+    return D.full_text(table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), node.alias("tree")), "paper_id", "tree")
+
+
 @query("doc_toplevel", "SELECT doc_id AS paper_id, '' AS text FROM documents", "DOC2 (top-level list only)")
 def doc_toplevel(spark, d):
     return D.top_level_texts(v_doc_tree(spark, d), "paper_id", "tree")

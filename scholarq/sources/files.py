@@ -4,7 +4,7 @@ and stored tables (SRC8).  All with explicit schemas."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,9 +28,28 @@ def parse_entity_records(raw: DataFrame) -> DataFrame:
 
 
 def entity_texts(reader, path: str, per_line: bool) -> DataFrame:
-    """Whole files, or lines of files that hold a record a line, with their file name."""
-    lines = reader.option("wholetext", not per_line).text(path)
-    return lines.select(F.col("_metadata.file_name").alias("file_name"), "value").filter(F.trim("value") != "")
+    """Whole files, or lines of files that hold a record a line, with their file name.
+    Blank lines are no records; a blank file is a record, and malformed.  Spark's readers pass over
+    files without a byte: ``empty_files`` names those."""
+    texts = (reader.option("wholetext", not per_line).text(path)
+             .select(F.col("_metadata.file_name").alias("file_name"), "value"))
+    return texts.filter(F.trim("value") != "") if per_line else texts
+
+
+def empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name): the files of a folder that have no byte, which no reader of Spark returns."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [(s.getPath().getName(),) for s in fs.listStatus(folder) if s.isFile() and s.getLen() == 0]
+    return spark.createDataFrame(names, "file_name string")
+
+
+def rejected_entity_files(spark: SparkSession, path: str) -> DataFrame:
+    """SRC3: (file_name, reason) of the files that hold no record: malformed, or empty."""
+    raw = parse_entity_records(entity_texts(spark.read, path, per_line=False))
+    return (raw.filter("malformed").select("file_name", F.lit("malformed").alias("reason"))
+            .unionByName(empty_files(spark, path).withColumn("reason", F.lit("empty"))))
 
 
 def read_entity_files(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
@@ -63,14 +82,39 @@ def snapshot_from_lines(lines: DataFrame, value_col: str = "value") -> tuple[Dat
     return recs, rejects
 
 
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """(value, line): the lines of a text source, numbered from 1 in the order of file paths.
+
+    Each task reads its splits from front to back, so a line's number in its split is its running id less
+    the split's first one; the lines before a split are a running sum over a table with a row for each split.
+    """
+    placed = lines.select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_at"),
+                          F.monotonically_increasing_id().alias("_id"))
+    splits = placed.groupBy("_path", "_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_path", "_at").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = splits.select("_path", "_at", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return (placed.join(F.broadcast(offsets), ["_path", "_at"])  # a row for each split
+            .select("value", (F.col("_id") + F.col("_shift")).alias("line")))
+
+
+def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The first ``n`` lines of the files of ``path``, in the order of their paths.  Files are taken up
+    in growing numbers until they hold enough lines; later ones are not read."""
+    files = sorted(spark.read.text(path).inputFiles())
+    taken, found = 0, 0
+    while found < n and taken < len(files):
+        more = files[taken:max(1, 2 * taken)]
+        found += spark.read.text(more).count()
+        taken += len(more)
+    if not taken:
+        return spark.read.text(path)
+    return numbered_lines(spark.read.text(files[:taken])).filter(F.col("line") <= n).select("value")
+
+
 def read_snapshot(spark: SparkSession, path: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """SRC5: the metadata snapshot.  ``limit`` counts lines read, bad and
-    blank ones included; 0/None reads everything.  Across several splits
-    "the first n lines" is not defined by Spark, so a limit means n lines."""
-    lines = spark.read.text(path)
-    if limit:
-        lines = lines.limit(limit)
-    return snapshot_from_lines(lines)
+    """SRC5: the metadata snapshot.  ``limit`` counts lines from the top, in the order of
+    file paths, bad and blank ones included; 0/None reads everything."""
+    return snapshot_from_lines(first_lines(spark, path, limit) if limit else spark.read.text(path))
 
 
 ATOM_ENTRY = T.StructType([

@@ -22,13 +22,13 @@ def derive_paths(manifest: DataFrame) -> DataFrame:
 
 def read_manifest(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """SRC1: header row trimmed, one row per paper.  ``_line`` orders the
-    rows (needed for 'last row wins'): by file name, then place in the file.
+    rows (needed for 'last row wins'): by the file's whole path, then place in the file.
     Running ids alone follow the packing of splits into tasks, not files."""
     if fmt == "csv":
         df = spark.read.option("header", True).csv(path)
     else:
         df = spark.read.format(fmt).load(path)
-    line = F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    line = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     return df.select(*[F.col(f"`{c}`").alias(c.strip()) for c in df.columns], line.alias("_line"))
 
 

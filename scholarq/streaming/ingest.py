@@ -8,7 +8,8 @@ has ingested; each micro-batch maps files to papers, counts mentions per
 ``papers_have_entities`` tables: entities are inserted-or-ignored (hash
 ids), and a re-ingested paper's link rows are replaced.  A file that is not
 valid (e.g. cut short) changes nothing and goes to the rejects with its
-reason, as does a file of no known paper; rejects accumulate.
+reason, as does a file of no known paper; rejects accumulate.  A file without
+a byte never reaches a stream of Spark; ``sources.files.empty_files`` lists those.
 
 The merges are idempotent and entities are committed before the links
 that name them, so a micro-batch replayed after a failure leaves the same

@@ -163,3 +163,19 @@ def test_point_lookup_reaches_the_scan(spark):
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     plan = S.point_lookup(orders, "o_orderkey", 42)._jdf.queryExecution().toString()
     assert "EqualTo(o_orderkey,42)" in plan
+
+
+def test_cache_gives_whole_records_and_those_to_store(spark):
+    schema = "arxiv_id string, title string, doi string"
+    cache = spark.createDataFrame([("1", "stored", None), ("2", None, None), (None, "x", None)], schema)
+    source = spark.createDataFrame([("1", "remote", "10.1/x"), ("2", "remote", "10.1/y"), ("3", None, "10.1/z"), ("3", None, "10.1/z")], schema)
+    got = sorted((tuple(r) for r in S.cache_first(cache, source.distinct()).collect()), key=repr)
+    assert got == sorted([("1", "stored", None), ("2", None, None), ("3", None, "10.1/z"), (None, "x", None)], key=repr)
+    assert [tuple(r) for r in S.to_store(cache, source).collect()] == [("3", None, "10.1/z")]
+
+
+def test_a_page_past_the_end_is_empty(spark):
+    rows = [(f"a{i}", "t", "", ["Ann Roe"] if i < 3 else ["Ann B.", "C Roe"], "", f"2020-01-0{i + 1}") for i in range(6)]
+    records = spark.createDataFrame(rows, "arxiv_id string, title string, abstract string, authors array<string>, categories string, published string")
+    assert [r.arxiv_id for r in S.author_search_with_fallback(records, "Ann Roe").collect()] == ["a2", "a1", "a0"]
+    assert S.author_search_with_fallback(records, "Ann Roe", start=3).collect() == []

@@ -131,3 +131,44 @@ def test_hot_folder_is_written_by_many_tasks(spark, monkeypatch):
     got = q_sources.directory_listing(spark, "unused")
     assert sorted(map(tuple, got.collect())) == [("source=cold", 1), ("source=hot", 1)]
     assert len(glob.glob(paths[0].removeprefix("file:") + "/source=hot/part-*")) == 6
+
+
+def test_first_lines_are_those_of_the_first_files(spark, tmpdir_path):
+    lines = []
+    for i, n in enumerate((3, 0, 40, 1, 7, 200, 5)):
+        own = [json.dumps({"id": f"{i}-{k}"}) if k % 3 else ("" if k % 2 else "{bad") for k in range(n)]
+        with open(os.path.join(tmpdir_path, f"part-{i}.json"), "w") as f:
+            f.write("".join(x + "\n" for x in own))
+        lines += own
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")  # files of one and of several splits
+    try:
+        numbered = S.numbered_lines(spark.read.text(tmpdir_path)).collect()
+        assert [r.value for r in sorted(numbered, key=lambda r: r.line)] == lines
+        assert [r.line for r in sorted(numbered, key=lambda r: r.line)] == list(range(1, len(lines) + 1))
+        for n in (1, 3, 4, 44, 100, len(lines), 10_000):
+            recs, rejects = S.read_snapshot(spark, tmpdir_path, n)
+            assert sorted(r.id for r in recs.collect()) == sorted(json.loads(x)["id"] for x in lines[:n] if x.startswith('{"'))
+            assert rejects.count() == sum(x == "{bad" for x in lines[:n])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {os.path.basename(f) for f in S.first_lines(spark, tmpdir_path, 2).inputFiles()} == {"part-0.json"}
+
+
+def test_empty_and_cut_entity_files_are_malformed(spark, tmpdir_path):
+    for name, text in (("a.json", '{"entities": []}'), ("b.json", ""), ("c.json", '{"entities": ['), ("d.json", " \n")):
+        with open(os.path.join(tmpdir_path, name), "w") as f:
+            f.write(text)
+    got = S.rejected_entity_files(spark, tmpdir_path).collect()
+    assert sorted(map(tuple, got)) == [("b.json", "empty"), ("c.json", "malformed"), ("d.json", "malformed")]
+
+
+def test_the_later_path_wins_in_a_manifest(spark, tmpdir_path):
+    from scholarq.sources.manifest import match_manifest, read_manifest
+    for folder, title in (("a", "draft"), ("b", "final")):
+        os.makedirs(f"{tmpdir_path}/{folder}")
+        with open(f"{tmpdir_path}/{folder}/{'z' if folder == 'a' else 'm'}.csv", "w") as f:
+            f.write(f" paper_pdf ,title\nx.pdf,{title}\n")
+    manifest = read_manifest(spark, f"{tmpdir_path}/*")
+    matched, _ = match_manifest(spark.createDataFrame([("x.pdf",)], "name string"), manifest)
+    assert [r.title for r in matched.collect()] == ["final"]

@@ -140,3 +140,39 @@ def test_lexicon_as_a_table(spark):
     for fn in (SE.document_sentiment, SE.sentence_sentiment):
         one, two = (sorted(map(tuple, fn(docs, "doc_id", "text", x).collect()), key=repr) for x in (T, as_table))
         assert one == two
+
+
+def test_tree_walk_survives_any_text(spark):
+    import json as J
+    import random
+
+    from scholarq.operators import doctree as D
+    deep = 30_000
+    rows = [(1, '{"TYPE":"text","VALUE":"a\\ud800b\\udc00"}'), (2, "[" * 200_000 + "}" * 200_000), (3, "[" * 3 + "}" * 3),
+            (4, "[" * deep + '{"TYPE":"text","VALUE":"x"}' + "]" * deep), (5, "[" * deep + '"x"' + "]" * deep + "]"), (6, None), (7, "😀".encode("utf-16", "surrogatepass").decode("utf-16"))]
+    got = {r[0]: r[1] for r in D.full_text(spark.createDataFrame(rows, "id long, tree string"), "id", "tree").collect()}
+    assert got == {1: "a�b�", 2: "", 3: "", 4: "x", 5: "", 6: "", 7: ""}
+
+    # the parser without recursion accepts and gives what the standard one does
+    rng = random.Random(4)
+    seeds = ['{"a": [1, -2.5e3, true, null, "x\\n\\u00e9"], "b": {"c": [], "d": {}}, "a": NaN}', ' [ [ ] , {} , "" , 0 ] ', '"\\ud83d\\ude00"', "-Infinity"]
+    texts = list(seeds)
+    for _ in range(6000):
+        t = rng.choice(seeds)
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(t) + 1)
+            t = t[:at] + rng.choice(["", "", *'{}[],:"\\ 01.-eEtn\t\x01', "\xa0"]) + t[at + rng.randrange(2):]
+        texts.append(t)
+
+    def outcome(parse, t):
+        try:
+            return repr(parse(t))
+        except ValueError:
+            return "refused"
+
+    accepted = 0
+    for t in texts:
+        want = outcome(J.loads, t)
+        assert outcome(D._parse, t) == want, t
+        accepted += want != "refused"
+    assert accepted > 100
