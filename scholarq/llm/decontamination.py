@@ -4,13 +4,17 @@ Texts are sequences of words (small letters; ASCII signs are separators).
 A document holds an item of L words if some run of its words is at an edit distance
 (in words) of at most ``EDITS`` * L.
 
-1. An item is cut into one piece more than the edits it allows. Whatever the edits and wherever
-   they are, one piece is left whole in each run that holds the item, so its occurrences in the
-   whole texts are all candidates. No item is missed.
-2. An edit breaks two word pairs at most. A candidate whose place holds too few pairs of the
-   benchmark, and then of its own item, cannot match and is passed over.
-3. Other candidates are verified by exact edit distance (Myers' bit vectors) over all words
-   that a run around the piece can reach.
+1. Item-sized windows start at each word of each whole text, for each length class of the items. An edit
+   breaks two word pairs at most, so a window with too few pairs of the benchmark cannot match and is passed over.
+2. The CGK random walk embeds a window: each step emits the word under the pointer, and a random bit of step and
+   word decides whether the pointer moves on. After an edit two walks meet again by chance, so a small edit
+   distance gives a small Hamming distance. A walk has two steps a word and so crosses the whole window; half of the
+   walks run from the window's start, half from its end, so that edits at one end leave the steps of the others alone.
+3. Bit sampling: a table samples a few steps of a walk; equal samples make a candidate. The walks of a
+   class are added until copies of its own items, edited to the full limit at the front, at the back, in
+   one block and all over, are found with the target recall; an exact copy is always found.
+4. Candidates are verified by exact edit distance (Myers' bit vectors) over all words
+   that a run around the window can reach.
 
 The benchmark is the stated query set: it is read in blocks of bounded size, each of
 which is broadcast and run against all documents. Documents are not shuffled.
@@ -22,6 +26,7 @@ empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -36,14 +41,20 @@ from scholarq.llm.shingles import mixed, word_hashes
 
 #: Edits per item word.
 EDITS = 0.2
-#: Words of a piece that are looked up; of longer pieces the first ones.
-PIECE_WORDS = 8
-#: Candidates held at once, before neighbours are merged.
-HELD = 1 << 20
+#: Recall wanted of items at their full distance, and the walks and tables that reach it: walks are added in
+#: rounds up to a most, then doubled; each has some tables, and a table samples some steps.
+TARGET_RECALL = 0.99
+WALKS_A_ROUND, MOST_WALKS = 8, 96
+TABLES_A_WALK, SAMPLES = 6, 3
+#: Items of a class differ by at most this factor in length; windows are as long as the shortest.
+CLASS_RATIO = 1.15
+#: Items of a class that are edited to measure its recall.
+MEASURED_ITEMS = 24
+#: Windows embedded at once, times walks and steps.
+HELD = 1 << 22
 #: Bound of a block of the benchmark, in bytes of text.
 BLOCK_BYTES = 8 << 20
 PAIR_BITS = 22
-_PLACE = np.random.default_rng(11).integers(1, 2**63, PIECE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 HITS = "doc_id long, item_id long, distance long, item_words long, start_word long, end_word long"
 #: ASCII signs become separators.
 SEPARATED = bytes(c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
@@ -78,18 +89,128 @@ def distance_within(item: list[int], words: list[int]) -> tuple[int, int]:
     return best, end
 
 
-def run_hashes(words: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(n, hashes of all runs of n words) for n up to ``longest``."""
-    held = np.zeros(len(words), dtype=np.uint64)
-    for n in range(1, min(longest, len(words)) + 1):
-        held = held[:len(words) - n + 1] + words[n - 1:] * _PLACE[n - 1]
-        yield n, mixed(held, 8)
+def edited(item: np.ndarray, wrong: int, kind: str, rng: np.random.Generator) -> np.ndarray:
+    """``item`` with ``wrong`` words replaced, dropped or added: at its front or back, in one block, or all over."""
+    words = item.tolist()
+    if kind == "spread":
+        places = rng.choice(len(words), wrong, replace=False)
+    else:
+        first = {"front": 0, "back": len(words) - wrong, "block": int(rng.integers(len(words) - wrong + 1))}[kind]
+        places = np.arange(first, first + wrong)
+    for p in sorted(places.tolist(), reverse=True):
+        new = int(rng.integers(1, 2**63))
+        words[p:p + 1] = ([new], [new], [], [words[p], new])[int(rng.integers(4))]
+    return np.array(words, dtype=np.uint64)
+
+
+KINDS = ("front", "back", "block", "spread")
+
+
+class Walks:
+    """Walks and tables for the items of one length class."""
+
+    def __init__(self, items: list[np.ndarray], wrong: list[int], seed: int, recall: float = TARGET_RECALL):
+        self.items, self.wrong = items, max(wrong)
+        self.size = min(map(len, items))
+        self.steps = 2 * self.size
+        self.rng = np.random.default_rng(seed)
+        self.bits = np.zeros((0, self.steps), dtype=np.uint64)
+        self.samples = np.zeros((0, TABLES_A_WALK, min(SAMPLES, self.steps)), dtype=np.int64)
+        words = np.concatenate(items)
+        ends = np.cumsum([len(x) for x in items])
+        self.own = words, ends - [len(x) for x in items], ends
+        trials = self._trials(wrong) if self.wrong else None
+        while len(self.bits) < MOST_WALKS:
+            self._more()
+            if trials is None or self._recall(*trials) >= recall:
+                break
+        if trials is not None:  # the trials are few: as many walks again
+            for _ in range(len(self.bits) // WALKS_A_ROUND):
+                self._more()
+        keys = self._keys(*self.own)
+        #: For each table the items' keys in order, and the items.
+        self.tables = [[(k[o], o) for k in keys[w] for o in [np.argsort(k, kind="stable")]] for w in range(len(keys))]
+
+    def _more(self) -> None:
+        n = WALKS_A_ROUND
+        odd = self.rng.integers(1, 2**63, (n, self.steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.bits = np.concatenate([self.bits, odd])
+        some = [[np.sort(self.rng.choice(self.steps, self.samples.shape[2], replace=False)) for _ in range(TABLES_A_WALK)] for _ in range(n)]
+        self.samples = np.concatenate([self.samples, np.array(some)])
+
+    def _keys(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, walks: slice = slice(None)) -> np.ndarray:
+        """(walk, table, window): the sampled steps of each walk, as one number. Even walks cross the first ``size`` words of
+        words[start:end] forwards, odd ones the last ``size`` words backwards; what lies beyond is 0."""
+        bits, samples = self.bits[walks], self.samples[walks]
+        n, held = len(starts), np.minimum(ends - starts, self.size)
+        back = (np.arange(len(bits)) % 2 == 1)[:, None]
+        origin, way = np.where(back, ends - 1, starts), np.where(back, -1, 1)
+        gone = np.zeros((len(bits), n), dtype=np.int64)  # words passed
+        keys = np.zeros((len(bits), TABLES_A_WALK, n), dtype=np.uint64)
+        wanted = [[] for _ in range(self.steps)]
+        for w, t, k in np.ndindex(samples.shape):
+            wanted[samples[w, t, k]].append((w, t))
+        for step in range(self.steps):
+            inside = gone < held
+            word = np.where(inside, words[np.where(inside, origin + way * gone, 0)], np.uint64(0))
+            for w, t in wanted[step]:
+                keys[w, t] = mixed(keys[w, t] ^ word[w], 8)
+            gone += ((word * bits[:, step, None]) >> np.uint64(63)).astype(np.int64)
+        return keys
+
+    def _trials(self, wrong: list[int]):
+        """Edited copies among random words: (words, window starts, window ends, trial of each window, item of each trial)."""
+        rng = np.random.default_rng(3)
+        texts, starts, trial, item = [], [], [], []
+        at = 0
+        for i in np.linspace(0, len(self.items) - 1, min(MEASURED_ITEMS, len(self.items))).astype(int).tolist():
+            for kind in KINDS:
+                for _ in range(max(1, MEASURED_ITEMS // len(self.items))):
+                    around = wrong[i] + 1
+                    copy = edited(self.items[i], wrong[i], kind, rng)
+                    text = np.concatenate([rng.integers(1, 2**63, around, dtype=np.uint64), copy, rng.integers(1, 2**63, len(self.items[i]), dtype=np.uint64)])
+                    own = np.arange(at, at + 2 * around + 1)
+                    texts.append(text)
+                    starts.append(own)
+                    trial.append(np.full(len(own), len(item)))
+                    item.append((i, KINDS.index(kind)))
+                    at += len(text)
+        starts, item = np.concatenate(starts), np.array(item)
+        return np.concatenate(texts), starts, starts + self.size, np.concatenate(trial), item
+
+    def _recall(self, words, starts, ends, trial, item) -> float:
+        """The least recall of a kind of edits, of all walks so far."""
+        last = slice(len(self.bits) - WALKS_A_ROUND, None)
+        if last.start == 0:
+            self.found = np.zeros(len(item), dtype=bool)
+        theirs, own = self._keys(words, starts, ends, last), self._keys(*self.own, last)
+        hit = (theirs == own[:, :, item[trial, 0]]).any(axis=(0, 1))
+        self.found[trial[hit]] = True
+        return min(self.found[item[:, 1] == k].mean() for k in range(len(KINDS)))
+
+    def candidates(self, words: np.ndarray, known: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(windows' first words, items) of all table hits; known[i]: pairs known to the benchmark before word i."""
+        starts = np.arange(len(words))
+        upto = np.minimum(starts + self.size - 1, ends - 1)
+        enough = (known[upto] - known[starts]) >= max(0, self.size - 1 - 2 * self.wrong)
+        starts = starts[enough & (ends - starts >= self.size - self.wrong)]
+        at_once = max(1, HELD // (len(self.bits) * self.size))
+        for low in range(0, len(starts), at_once):
+            some = starts[low:low + at_once]
+            keys = self._keys(words, some, np.minimum(some + self.size, ends[some]))
+            for w, tables in enumerate(self.tables):
+                for t, (own, order) in enumerate(tables):
+                    first, last = (np.searchsorted(own, keys[w, t], side=side) for side in ("left", "right"))
+                    hit = np.flatnonzero(last > first)
+                    many = (last - first)[hit]
+                    place = np.repeat(first[hit] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    yield np.repeat(some[hit], many), order[place]
 
 
 class Block:
     """A bounded block of benchmark items, ready to be matched."""
 
-    def __init__(self, rows: list[tuple[int, str]], edits: float = EDITS):
+    def __init__(self, rows: list[tuple[int, str]], edits: float = EDITS, recall: float = TARGET_RECALL):
         texts = [folded((t or "").encode()) for _, t in rows]
         words, counts = word_hashes(texts)
         found = np.split(words, np.cumsum(counts)[:-1])
@@ -101,22 +222,11 @@ class Block:
             self.pairs[x] = True
         self.sizes = np.array([len(x) for x in self.items], dtype=np.int64)
         self.wrong = np.array([int(edits * len(x)) for x in self.items], dtype=np.int64)
-        pieces = defaultdict(list)
+        by_class: dict[int, list[int]] = defaultdict(list)
         for i, x in enumerate(self.items):
-            n = min(int(self.wrong[i]) + 1, len(x))
-            cuts = [k * len(x) // n for k in range(n + 1)]
-            for at, end in zip(cuts, cuts[1:]):
-                pieces[min(end - at, PIECE_WORDS)].append((i, at))
-        #: For each length: hashes of the pieces in order, their items and places, and the marks of the hashes.
-        self.pieces = {}
-        for n, own in pieces.items():
-            item, at = (np.array(x, dtype=np.int64) for x in zip(*own))
-            starts = (np.cumsum(self.sizes) - self.sizes)[item] + at
-            keys = mixed(sum(words[starts + k] * _PLACE[k] for k in range(n)), 8)
-            order = np.argsort(keys, kind="stable")
-            marks = np.zeros(1 << PAIR_BITS, dtype=bool)
-            marks[keys >> np.uint64(64 - PAIR_BITS)] = True
-            self.pieces[n] = keys[order], item[order], at[order], marks
+            by_class[int(math.log(len(x)) / math.log(CLASS_RATIO))].append(i)
+        self.classes = [(np.array(own), Walks([self.items[i] for i in own], self.wrong[own].tolist(), 11 + c, recall))
+                        for c, own in sorted(by_class.items())]
 
     def hits(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item id, distance, item words, start, end) for each text and item it holds."""
@@ -124,59 +234,35 @@ class Block:
         if not len(words) or not self.items:
             return []
         bounds = np.concatenate([[0], np.cumsum(counts)])
+        text_of = np.repeat(np.arange(len(texts)), counts)
         codes = pair_hashes(words)
-        near: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for text, item, low, high in self._candidates(words, codes, bounds):
-            near[text, item].append((low, high))
+        known = np.concatenate([[0], np.cumsum(self.pairs[codes])])  # pairs of the benchmark before word i
+        near: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for numbers, walks in self.classes:
+            for starts, own in walks.candidates(words, known, bounds[1:][text_of]):
+                for start, item in zip(starts.tolist(), numbers[own].tolist(), strict=True):
+                    near[int(text_of[start]), item].add(start)
         out = []
-        for (text, item), places in sorted(near.items()):
-            best = self._best(words, codes, int(bounds[text]), int(bounds[text + 1]), item, sorted(places))
+        for (text, item), starts in sorted(near.items()):
+            best = self._best(words, codes, int(bounds[text]), int(bounds[text + 1]), item, sorted(starts))
             if best[0] <= self.wrong[item]:
                 out.append((text, self.ids[item], best[0], int(self.sizes[item]), best[1] - int(bounds[text]), best[2] - int(bounds[text])))
         return out
 
-    def _candidates(self, words: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, low, high): the item may be held where it would start, but for edits, at words low to high."""
-        text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        known = np.concatenate([[0], np.cumsum(self.pairs[codes])])  # pairs of the benchmark before word i
-        for n, hashes in run_hashes(words, max(self.pieces)):
-            if n not in self.pieces:
-                continue
-            keys, items, places, marks = self.pieces[n]
-            at = np.flatnonzero(marks[hashes >> np.uint64(64 - PAIR_BITS)])
-            at = at[text_of[at] == text_of[at + n - 1]]
-            low, high = (np.searchsorted(keys, hashes[at], side=side) for side in ("left", "right"))
-            at, low, many = at[high > low], low[high > low], (high - low)[high > low]
-            parts = np.flatnonzero(np.diff(np.cumsum(many) // HELD)) + 1
-            for at, low, many in zip(*(np.split(x, parts) for x in (at, low, many)), strict=True):
-                piece = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-                item, text = items[piece], text_of[np.repeat(at, many)]
-                start = np.repeat(at, many) - places[piece]
-                first = np.maximum(bounds[text], start - self.wrong[item])
-                last = np.minimum(bounds[text + 1], start + self.sizes[item] + self.wrong[item])
-                ok = ((last - first >= self.sizes[item] - self.wrong[item])
-                      & (known[last - 1] - known[first] >= self.sizes[item] - 1 - 2 * self.wrong[item]))
-                text, item, start = text[ok], item[ok], start[ok]
-                order = np.lexsort((start, item, text))
-                text, item, start = text[order], item[order], start[order]
-                new = np.ones(len(text), dtype=bool)
-                new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > self.sizes[item[1:]])
-                ends = np.append(new[1:], True)[:len(text)]
-                yield from zip(*(x.tolist() for x in (text[new], item[new], start[new], start[ends])), strict=True)
-
-    def _best(self, words, codes, first, last, item, places) -> tuple[int, int, int]:
-        """The best run in the words around the candidate places; places near each other share one search."""
-        own, size, spare = self.items[item].tolist(), int(self.sizes[item]), int(self.wrong[item]) + 1
+    def _best(self, words, codes, first, last, item, starts) -> tuple[int, int, int]:
+        """The best run in the words around the windows; windows near each other share one search."""
+        own, size, wrong = self.items[item].tolist(), int(self.sizes[item]), int(self.wrong[item])
         best = (size + 1, 0, 0)
         k = 0
-        while k < len(places) and best[0]:
-            start, upto = places[k]
-            while k + 1 < len(places) and places[k + 1][0] - upto <= size:
+        while k < len(starts) and best[0]:
+            start = upto = starts[k]
+            while k + 1 < len(starts) and starts[k + 1] - upto <= size:
                 k += 1
-                upto = max(upto, places[k][1])
+                upto = starts[k]
             k += 1
-            low, high = max(first, start - spare), min(last, upto + size + spare)
-            if np.isin(codes[low:high - 1], self.codes[item]).sum() < size - 1 - 2 * self.wrong[item]:
+            # a walk may find an item some words off its place; one from the end may miss the item's first words
+            low, high = max(first, start - size // 4 - 2 * wrong - 1), min(last, upto + size + 2 * wrong + 1)
+            if np.isin(codes[low:high - 1], self.codes[item]).sum() < size - 1 - 2 * wrong:
                 continue
             region = words[low:high].tolist()
             found, end = distance_within(own, region)
