@@ -5,7 +5,7 @@ A document holds an item of L words if some run of its words is at an edit dista
 (in words) of at most ``EDITS`` * L.
 
 1. Item-sized windows start at each word of each whole text, for each length class of the items. An edit
-   breaks two word pairs at most, so a window with too few pairs of the benchmark cannot match and is passed over.
+   breaks two word pairs at most, so a window with too few pairs of the class's items cannot match and is passed over.
 2. The CGK random walk embeds a window: each step emits the word under the pointer, and a random bit of step and
    word decides whether the pointer moves on. After an edit two walks meet again by chance, so a small edit
    distance gives a small Hamming distance. A walk has two steps a word and so crosses the whole window; half of the
@@ -51,7 +51,7 @@ CLASS_RATIO = 1.15
 #: Items of a class that are edited to measure its recall.
 MEASURED_ITEMS = 24
 #: Windows embedded at once, times walks and steps.
-HELD = 1 << 22
+HELD = 1 << 21
 #: Bound of a block of the benchmark, in bytes of text.
 BLOCK_BYTES = 8 << 20
 PAIR_BITS = 22
@@ -127,9 +127,10 @@ class Walks:
         if trials is not None:  # the trials are few: as many walks again
             for _ in range(len(self.bits) // WALKS_A_ROUND):
                 self._more()
-        keys = self._keys(*self.own)
-        #: For each table the items' keys in order, and the items.
-        self.tables = [[(k[o], o) for k in keys[w] for o in [np.argsort(k, kind="stable")]] for w in range(len(keys))]
+        keys = self._keys(*self.own).ravel()
+        #: The keys of all tables in order, and their items.
+        self.order = np.argsort(keys, kind="stable")
+        self.keys, self.order = keys[self.order], self.order % len(items)
 
     def _more(self) -> None:
         n = WALKS_A_ROUND
@@ -146,16 +147,15 @@ class Walks:
         back = (np.arange(len(bits)) % 2 == 1)[:, None]
         origin, way = np.where(back, ends - 1, starts), np.where(back, -1, 1)
         gone = np.zeros((len(bits), n), dtype=np.int64)  # words passed
-        keys = np.zeros((len(bits), TABLES_A_WALK, n), dtype=np.uint64)
-        wanted = [[] for _ in range(self.steps)]
-        for w, t, k in np.ndindex(samples.shape):
-            wanted[samples[w, t, k]].append((w, t))
+        emitted = np.empty((len(bits), self.steps, n), dtype=np.uint64)
         for step in range(self.steps):
-            inside = gone < held
-            word = np.where(inside, words[np.where(inside, origin + way * gone, 0)], np.uint64(0))
-            for w, t in wanted[step]:
-                keys[w, t] = mixed(keys[w, t] ^ word[w], 8)
+            word = np.where(gone < held, words[np.where(gone < held, origin + way * gone, 0)], np.uint64(0))
+            emitted[:, step] = word
             gone += ((word * bits[:, step, None]) >> np.uint64(63)).astype(np.int64)
+        # a number of its own for each table
+        keys = np.broadcast_to(np.arange(samples.shape[0] * TABLES_A_WALK, dtype=np.uint64).reshape(-1, TABLES_A_WALK, 1), (*samples.shape[:2], n))
+        for k in range(samples.shape[2]):
+            keys = mixed(keys ^ emitted[np.arange(len(bits))[:, None], samples[:, :, k]], 8)
         return keys
 
     def _trials(self, wrong: list[int]):
@@ -189,22 +189,20 @@ class Walks:
         return min(self.found[item[:, 1] == k].mean() for k in range(len(KINDS)))
 
     def candidates(self, words: np.ndarray, known: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(windows' first words, items) of all table hits; known[i]: pairs known to the benchmark before word i."""
+        """(windows' first words, items) of all table hits, some more than once; known[i]: pairs that the class's items have, before word i."""
         starts = np.arange(len(words))
         upto = np.minimum(starts + self.size - 1, ends - 1)
         enough = (known[upto] - known[starts]) >= max(0, self.size - 1 - 2 * self.wrong)
         starts = starts[enough & (ends - starts >= self.size - self.wrong)]
-        at_once = max(1, HELD // (len(self.bits) * self.size))
+        at_once = max(1, HELD // (len(self.bits) * self.steps))
         for low in range(0, len(starts), at_once):
             some = starts[low:low + at_once]
-            keys = self._keys(words, some, np.minimum(some + self.size, ends[some]))
-            for w, tables in enumerate(self.tables):
-                for t, (own, order) in enumerate(tables):
-                    first, last = (np.searchsorted(own, keys[w, t], side=side) for side in ("left", "right"))
-                    hit = np.flatnonzero(last > first)
-                    many = (last - first)[hit]
-                    place = np.repeat(first[hit] - np.cumsum(many) + many, many) + np.arange(many.sum())
-                    yield np.repeat(some[hit], many), order[place]
+            keys = self._keys(words, some, np.minimum(some + self.size, ends[some])).ravel()
+            first, last = (np.searchsorted(self.keys, keys, side=side) for side in ("left", "right"))
+            hit = np.flatnonzero(last > first)
+            many = (last - first)[hit]
+            place = np.repeat(first[hit] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            yield np.repeat(some[hit % len(some)], many), self.order[place]
 
 
 class Block:
@@ -217,9 +215,6 @@ class Block:
         self.ids = [i for (i, _), x in zip(rows, found, strict=True) if len(x)]
         self.items = [x for x in found if len(x)]
         self.codes = [np.unique(pair_hashes(x)) for x in self.items]
-        self.pairs = np.zeros(1 << PAIR_BITS, dtype=bool)
-        for x in self.codes:
-            self.pairs[x] = True
         self.sizes = np.array([len(x) for x in self.items], dtype=np.int64)
         self.wrong = np.array([int(edits * len(x)) for x in self.items], dtype=np.int64)
         by_class: dict[int, list[int]] = defaultdict(list)
@@ -227,6 +222,11 @@ class Block:
             by_class[int(math.log(len(x)) / math.log(CLASS_RATIO))].append(i)
         self.classes = [(np.array(own), Walks([self.items[i] for i in own], self.wrong[own].tolist(), 11 + c, recall))
                         for c, own in sorted(by_class.items())]
+        #: For each pair code the classes whose items have it, as bits (several classes share a bit beyond 64).
+        self.pairs = np.zeros(1 << PAIR_BITS, dtype=np.uint64)
+        for c, (own, _) in enumerate(self.classes):
+            for i in own.tolist():
+                self.pairs[self.codes[i]] |= np.uint64(1 << c % 64)
 
     def hits(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item id, distance, item words, start, end) for each text and item it holds."""
@@ -236,9 +236,10 @@ class Block:
         bounds = np.concatenate([[0], np.cumsum(counts)])
         text_of = np.repeat(np.arange(len(texts)), counts)
         codes = pair_hashes(words)
-        known = np.concatenate([[0], np.cumsum(self.pairs[codes])])  # pairs of the benchmark before word i
+        pairs = self.pairs[codes]
         near: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for numbers, walks in self.classes:
+        for c, (numbers, walks) in enumerate(self.classes):
+            known = np.concatenate([[0], np.cumsum(pairs >> np.uint64(c % 64) & np.uint64(1), dtype=np.int64)])  # pairs of the class before word i
             for starts, own in walks.candidates(words, known, bounds[1:][text_of]):
                 for start, item in zip(starts.tolist(), numbers[own].tolist(), strict=True):
                     near[int(text_of[start]), item].add(start)
