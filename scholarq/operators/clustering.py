@@ -1,43 +1,56 @@
 """KMeans + PCA clustering of papers (CL5, CL6, CL8, AGG13).
 
 The TF-IDF vectors are built JVM-side: a CountVectorizerModel over the
-fixed vocabulary (collected once; its size is capped by ``max_features``)
-gives term counts, an ElementwiseProduct applies the smoothed idf and a
-Normalizer the L2 norm -- the same weights as ``tfidf.tfidf``.
+vocabulary (collected once; its size is capped by ``max_features``)
+gives term counts, a Summarizer over them the document frequencies, an ElementwiseProduct
+applies the smoothed idf and a Normalizer the L2 norm -- the same weights as ``tfidf.tfidf``.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
+from pyspark.mllib.linalg import Vectors as OldVectors
+from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholarq.functions.stopwords import ENGLISH_STOP_WORDS
 from scholarq.operators.ids import sequential_ids
-from scholarq.operators.tfidf import (MAX_FEATURES, TOP_TERMS, assemble_text, cluster_terms, term_rows,
-                                      top_terms, vocabulary, vocabulary_counts, weights_from_counts, with_terms)
-from scholarq.session import cut_lineage
+from scholarq.operators.tfidf import (MAX_FEATURES, TOP_TERMS, assemble_text, kept_tokens, terms_of,
+                                      top_terms_by_threshold)
+from scholarq.session import cut_lineage, removed, written
 
 DEFAULT_K = 5
 SEED = 42
 
 
-def tfidf_vectors(terms: DataFrame, id_col: str, vocab: DataFrame, terms_col: str = "terms") -> DataFrame:
-    """(id, features) sparse L2-normalised TF-IDF vectors over ``vocab``
-    from a frame holding each document's term array."""
-    rows = vocab.select("term", "idf").collect()  # <= max_features rows
-    if not rows:
-        return terms.select(id_col).limit(0).withColumn("features", F.lit(None))
-    cv = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol=terms_col, outputCol="_tf")
-    ep = ElementwiseProduct(scalingVec=Vectors.dense([float(r["idf"]) for r in rows]),
-                            inputCol="_tf", outputCol="_tfidf")
+def tfidf_vectors(counts: DataFrame, n: int, df: list[float]) -> DataFrame:
+    """``features``: sparse L2-normalised TF-IDF vectors from vectors of counts (``_tf``) of n documents, with the
+    number of documents of each term."""
+    idf = [math.log((1 + n) / (1 + x)) + 1 for x in df]
+    ep = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_tfidf")
     nz = Normalizer(p=2.0, inputCol="_tfidf", outputCol="features")
-    return nz.transform(ep.transform(cv.transform(terms))).select(id_col, "features")
+    return nz.transform(ep.transform(counts)).drop("_tf", "_tfidf")
+
+
+def centroid_terms(labelled: DataFrame, terms: list[str], top_n: int) -> DataFrame:
+    """CL7 + AGG14: the terms of largest mean weight of each cluster: (cluster, rank, term, weight)."""
+    means = labelled.groupBy("cluster").agg(Summarizer.mean(F.col("features")).alias("m")).collect()  # a vector a cluster
+    rows = []
+    for r in means:
+        best = sorted((-w, terms[i]) for i, w in enumerate(r["m"].toArray().tolist()) if w > 0)[:top_n]
+        rows += [(r["cluster"], i, t, -w) for i, (w, t) in enumerate(best, 1)]
+    return labelled.sparkSession.createDataFrame(rows, "cluster int, rank long, term string, weight double")
 
 
 @dataclass
@@ -58,47 +71,56 @@ def fit_clusters(papers: DataFrame, id_col: str = "paper_id", title_col: str = "
     """CL8: k is capped at the number of papers; an empty vocabulary gives
     empty results.
 
-    The corpus is tokenised once (persisted while fitting): the vocabulary,
-    the long-form weights (for key terms) and the vectors (for KMeans and PCA)
-    all derive from that one pass."""
-    docs = papers.select(id_col, assemble_text(F.col(title_col), F.col(abstract_col)).alias("_text"))
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
-    terms = with_terms(docs, "_text", stop_words).drop("_text").persist()
-    rows = term_rows(terms, id_col)
-    top = top_terms(rows, max_features)
-    dtc = vocabulary_counts(rows, top, id_col)
-    vocab = vocabulary(top, dtc, n_docs).cache()
-    held = [terms, vocab]
-    try:
-        n = terms.count()
-        if n == 0 or vocab.isEmpty():
-            spark, id_type = papers.sparkSession, dict(papers.dtypes)[id_col]
-            return Clustering(
-                spark.createDataFrame([], f"cluster int, {id_col} {id_type}, title string, x double, y double"),
-                spark.createDataFrame([], "cluster int, rank long, term string, weight double"),
-                papers.select(id_col).limit(0), [], [])
-        vec = cut_lineage(tfidf_vectors(terms, id_col, vocab))
-        km = KMeans(k=max(1, min(k, n)), seed=seed, featuresCol="features", predictionCol="cluster").fit(vec)
-        labelled = km.transform(vec)
-        pca = PCA(k=min(2, vec.first()["features"].size), inputCol="features", outputCol="_pc").fit(vec)
-        pcs = pca.transform(labelled).withColumn("_a", vector_to_array("_pc"))
-        pcs = pcs.select(id_col, "cluster", F.get("_a", F.lit(0)).alias("_x"),
-                         F.coalesce(F.get("_a", F.lit(1)), F.lit(0.0)).alias("_y"))
-        # PCA in MLlib does not centre on transform: subtract the projected mean
-        # (a one-row aggregate).
-        means = pcs.agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
-        members = (pcs.crossJoin(F.broadcast(means))
-                   .select("cluster", id_col, (F.col("_x") - F.col("_mx")).alias("x"),
-                           (F.col("_y") - F.col("_my")).alias("y"))
-                   .join(papers.select(id_col, F.col(title_col).alias("title")), id_col)
-                   .select("cluster", id_col, "title", "x", "y"))
-        weights = weights_from_counts(dtc, vocab, id_col)
-        key_terms = cluster_terms(weights, labelled.select(id_col, "cluster"), id_col, "cluster", top_n)
-        return Clustering(cut_lineage(members), cut_lineage(key_terms), vec,
-                          [c.tolist() for c in km.clusterCenters()], pca.pc.toArray().T.tolist())
-    finally:
-        for df in held:
-            df.unpersist()
+    The corpus is tokenised once: its tokens are written with the titles, the vocabulary and the vectors of counts
+    derive from them, and all else -- document frequencies, weights, centres, key terms, coordinates -- from the
+    vectors, without a join or a shuffle of documents."""
+    spark = papers.sparkSession
+    text = assemble_text(F.col(title_col), F.col(abstract_col))
+    kept, tokens = written(papers.select(F.col(id_col), F.col(title_col).alias("title"), kept_tokens(text, stop_words).alias("kept")), "tokens")
+    terms = [r["term"] for r in top_terms_by_threshold(kept, max_features).sort("term").collect()]  # at most max_features
+    if not terms:
+        id_type = dict(papers.dtypes)[id_col]
+        return Clustering(
+            spark.createDataFrame([], f"cluster int, {id_col} {id_type}, title string, x double, y double"),
+            spark.createDataFrame([], "cluster int, rank long, term string, weight double"),
+            papers.select(id_col).limit(0), [], [])
+    cv = CountVectorizerModel.from_vocabulary(terms, inputCol="_terms", outputCol="_tf")
+    counts = cut_lineage(cv.transform(kept.withColumn("_terms", terms_of(F.col("kept")))).select(id_col, "title", "_tf"))
+    removed(spark, tokens)
+    met = counts.agg(Summarizer.metrics("count", "numNonZeros").summary(F.col("_tf")).alias("s")).first()["s"]
+    n = met["count"]
+    vec = cut_lineage(tfidf_vectors(counts, n, met["numNonZeros"].toArray().tolist()))
+    km = KMeans(k=max(1, min(k, n)), seed=seed, featuresCol="features", predictionCol="cluster").fit(vec)
+    labelled = km.transform(vec)
+    components = principal_components(vec, n, len(terms), min(2, len(terms)))
+    return Clustering(cut_lineage(placed(labelled, id_col, components)), centroid_terms(labelled, terms, top_n), vec.select(id_col, "features"),
+                      [c.tolist() for c in km.clusterCenters()], components.tolist())
+
+
+def principal_components(vec: DataFrame, n: int, features: int, k: int) -> np.ndarray:
+    """CL6: k x features.  The covariance is summed over the sparse vectors in a tree; it has max_features squared
+    numbers, whose largest eigenvectors are taken directly (a full decomposition on one JVM thread takes far longer)."""
+    rows = vec.select("features").rdd.map(lambda r: OldVectors.fromML(r["features"]))
+    covariance = RowMatrix(rows, n, features).computeCovariance().toArray() if n > 1 else np.eye(features)
+    values, vectors = np.linalg.eigh(covariance)
+    return vectors[:, np.argsort(-values, kind="stable")[:k]].T
+
+
+def placed(labelled: DataFrame, id_col: str, components: np.ndarray) -> DataFrame:
+    """(cluster, id, title, x, y): coordinates along the components, 0 in the mean."""
+    axes = np.vstack([components, np.zeros((2 - len(components), components.shape[1]))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.stack(batch.column(3).to_numpy(zero_copy_only=False)) @ axes.T if batch.num_rows else np.zeros((0, 2))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(at[:, 0]), pa.array(at[:, 1])], ["cluster", "id", "title", "x", "y"])
+
+    kind = labelled.schema[id_col].dataType.simpleString()
+    points = labelled.select("cluster", F.col(id_col).alias("id"), "title", vector_to_array("features").alias("v")).mapInArrow(
+        run, f"cluster int, id {kind}, title string, x double, y double")
+    mean = points.agg(F.avg("x").alias("_x"), F.avg("y").alias("_y"))  # one row
+    return points.crossJoin(F.broadcast(mean)).select(
+        "cluster", F.col("id").alias(id_col), "title", (F.col("x") - F.col("_x")).alias("x"), (F.col("y") - F.col("_y")).alias("y"))
 
 
 def cluster_papers(papers: DataFrame, *args, **options) -> tuple[DataFrame, DataFrame]:

@@ -9,15 +9,23 @@ Weight: tf * (ln((1 + n) / (1 + df)) + 1), L2-normalised per document
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholarq.functions.stopwords import ENGLISH_STOP_WORDS
 from scholarq.functions.text import WORD2, explode_rows, tokens
-from scholarq.session import cut_lineage
+from scholarq.session import cut_lineage, removed, written
 
 MAX_FEATURES = 1000
 TOP_TERMS = 5
+#: Tokens that a task counts at once, as a run.
+RUN_TOKENS = 1 << 21
 
 
 def assemble_text(title: Column, abstract: Column) -> Column:
@@ -25,15 +33,24 @@ def assemble_text(title: Column, abstract: Column) -> Column:
     return F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(abstract, F.lit("")))
 
 
-def with_terms(df: DataFrame, text_col: str, stop_words=ENGLISH_STOP_WORDS, out_col: str = "terms") -> DataFrame:
-    """CL2: add ``out_col`` = unigrams + bigrams (after stop-word removal)."""
+def kept_tokens(text: Column, stop_words=ENGLISH_STOP_WORDS) -> Column:
+    """The tokens of a text without stop words, in order."""
     stop = sorted(set(stop_words))  # ``isin`` looks up a hash set, ``array_contains`` scans
-    kept = df.withColumn("_kept", F.filter(tokens(F.col(text_col), WORD2), lambda t: ~t.isin(*stop)))
-    k = F.col("_kept")
-    bigrams = F.filter(F.zip_with(k, F.slice(k, 2, F.greatest(F.size(k) - 1, F.lit(0))),
+    return F.filter(tokens(text, WORD2), lambda t: ~t.isin(*stop))
+
+
+def terms_of(kept: Column) -> Column:
+    """CL2: unigrams + bigrams of kept tokens."""
+    bigrams = F.filter(F.zip_with(kept, F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))),
                                   lambda a, b: F.concat(a, F.lit(" "), b)),
                        lambda x: x.isNotNull())
-    return kept.withColumn(out_col, F.concat(k, bigrams)).drop("_kept")
+    return F.concat(kept, bigrams)
+
+
+def with_terms(df: DataFrame, text_col: str, stop_words=ENGLISH_STOP_WORDS, out_col: str = "terms") -> DataFrame:
+    """CL2: add ``out_col`` = unigrams + bigrams (after stop-word removal)."""
+    kept = df.withColumn("_kept", kept_tokens(F.col(text_col), stop_words))
+    return kept.withColumn(out_col, terms_of(F.col("_kept"))).drop("_kept")
 
 
 def by_document(docs: DataFrame, id_col: str) -> DataFrame:
@@ -57,6 +74,68 @@ def top_terms(rows: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
     return cut_lineage(counts.orderBy(F.desc("cf"), F.asc("term")).limit(max_features))
 
 
+def counted_in_runs(kept: DataFrame, k: int, kept_col: str = "kept") -> DataFrame:
+    """(run, term, n, top): exact counts of the terms of each run -- the documents of a task, or of a part of them
+    with at least ``RUN_TOKENS`` tokens.  ``top`` marks k terms of a run that none of its others exceeds."""
+    def counted(name: int, lists: list[pa.Array]) -> pa.RecordBatch:
+        tokens = pa.chunked_array([x.flatten() for x in lists]).combine_chunks().dictionary_encode()
+        words, codes = tokens.dictionary, tokens.indices.to_numpy().astype(np.int64)
+        sizes = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists])
+        follows = np.ones(len(codes), dtype=bool)  # the token before it is of the same document
+        follows[np.cumsum(sizes)[sizes > 0] - sizes[sizes > 0]] = False
+        pairs, n_pairs = np.unique(codes[:-1][follows[1:]] * len(words) + codes[1:][follows[1:]], return_counts=True)
+        joined = pc.binary_join_element_wise(words.take(pa.array(pairs // len(words))), words.take(pa.array(pairs % len(words))), " ")
+        n = np.concatenate([np.bincount(codes, minlength=len(words)), n_pairs])
+        top = np.zeros(len(n), dtype=bool)
+        top[np.argpartition(-n, k - 1)[:k] if len(n) > k else slice(None)] = True
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(n), name)), pa.concat_arrays([words, joined]), pa.array(n), pa.array(top)], ["run", "term", "n", "top"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                held.append(batch.column(0).slice(at, 256))
+                size += len(held[-1].flatten())
+                if size >= RUN_TOKENS:
+                    yield counted(uuid.uuid4().int >> 65, held)
+                    held, size = [], 0
+        if size:
+            yield counted(uuid.uuid4().int >> 65, held)
+
+    return kept.select(kept_col).mapInArrow(run, "run long, term string, n long, top boolean")
+
+
+def top_terms_by_threshold(kept: DataFrame, max_features: int = MAX_FEATURES, kept_col: str = "kept") -> DataFrame:
+    """CL3, exactly as ``top_terms`` of all terms, without shuffling the terms of the corpus (a three-phase threshold search).
+
+    1. Every run gives its own top list; the sums of those partial counts bound the last place from below.
+    2. With m runs, a term of at least that count has a count of at least bound / m in some run: the rows
+       at or above that are summed.  What a term can have besides is below bound / m in each run where it is missing, so most
+       terms cannot reach the last place any more.
+    3. The few others are counted exactly.
+
+    Returns (term, cf), checkpointed; at most ``max_features`` rows.
+    """
+    spark = kept.sparkSession
+    runs, path = written(counted_in_runs(kept, max_features, kept_col), "term-runs")
+    sums = lambda rows: rows.groupBy("term").agg(F.sum("n").alias("cf"), F.count(F.lit(1)).alias("seen"))
+
+    def last_place(partial: DataFrame) -> int:
+        """The ``max_features``-th largest partial count: no term below it is in the result."""
+        held = partial.orderBy(F.desc("cf")).limit(max_features).agg(F.min("cf").alias("low"), F.count(F.lit(1)).alias("n")).first()
+        return held["low"] if held["n"] == max_features else 1
+
+    m = runs.filter("top").select("run").distinct().count()
+    least = max(1, -(-last_place(sums(runs.filter("top"))) // max(m, 1)))
+    partial = sums(runs.filter((F.col("n") >= least) | F.col("top")))
+    able = partial.filter(F.col("cf") + (F.lit(m) - F.col("seen")) * (least - 1) >= last_place(partial)).select("term")
+    counts = runs.join(able, "term").groupBy("term").agg(F.sum("n").alias("cf"))
+    top = cut_lineage(counts.orderBy(F.desc("cf"), F.asc("term")).limit(max_features))
+    removed(spark, path)
+    return top
+
+
 def vocabulary_counts(rows: DataFrame, top: DataFrame, id_col: str) -> DataFrame:
     """(id, term, tf) over the vocabulary: other terms leave before the count,
     so at most ``max_features`` rows per document are shuffled."""
@@ -84,11 +163,12 @@ def weights_from_counts(dtc: DataFrame, vocab: DataFrame, id_col: str) -> DataFr
 
 def tfidf(docs: DataFrame, id_col: str, text_col: str, stop_words=ENGLISH_STOP_WORDS,
           max_features: int = MAX_FEATURES) -> tuple[DataFrame, DataFrame]:
-    """CL4: (weights (id, term, weight), vocabulary)."""
+    """CL4: (weights (id, term, weight), vocabulary).  Texts are tokenised once; the tokens are written
+    and read for the vocabulary and for the counts."""
     n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
-    rows = term_rows(with_terms(docs.select(id_col, text_col), text_col, stop_words), id_col)
-    top = top_terms(rows, max_features)
-    dtc = vocabulary_counts(rows, top, id_col)
+    kept, _ = written(docs.select(id_col, kept_tokens(F.col(text_col), stop_words).alias("kept")), "tokens")
+    top = top_terms_by_threshold(kept.filter("kept IS NOT NULL"), max_features)
+    dtc = vocabulary_counts(term_rows(kept.select(id_col, terms_of(F.col("kept")).alias("terms")), id_col), top, id_col)
     vocab = vocabulary(top, dtc, n_docs)
     return weights_from_counts(dtc, vocab, id_col), vocab
 

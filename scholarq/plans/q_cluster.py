@@ -83,16 +83,9 @@ def cluster_union_input(spark, d):
     return C.union_for_clustering(v_papers(spark, d), v_doc_text(spark, d), v_arxiv(spark, d))
 
 
-_FITS: dict[tuple, C.Clustering] = {}
-
-
 def _fitted(spark, d, what: str) -> C.Clustering:
-    """One fit for each session and data folder; its frames are checkpointed."""
-    key = (spark.sparkContext.applicationId, d, what)
-    if key not in _FITS:
-        papers = _papers(spark, d) if what == "documents" else cluster_union_input(spark, d)
-        _FITS[key] = C.fit_clusters(papers, "paper_id", "title", "abstract", k=3)
-    return _FITS[key]
+    papers = _papers(spark, d) if what == "documents" else cluster_union_input(spark, d)
+    return C.fit_clusters(papers, "paper_id", "title", "abstract", k=3)
 
 
 @query("kmeans_members", "SELECT doc_id AS paper_id, source AS title, true AS in_cluster, true AS placed FROM documents",

@@ -78,3 +78,18 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def written(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet into the shared folder and read back, and its path."""
+    path = scratch_path(df.sparkSession, purpose)
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path), path
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Remove intermediate files that nothing will read again."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

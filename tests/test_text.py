@@ -176,3 +176,17 @@ def test_tree_walk_survives_any_text(spark):
         assert outcome(D._parse, t) == want, t
         accepted += want != "refused"
     assert accepted > 100
+
+
+@pytest.mark.parametrize("k", [1, 7, 60, 5000])
+def test_threshold_vocabulary_is_that_of_counting_all_terms(spark, monkeypatch, k):
+    import random
+    rng = random.Random(k)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, [words[min(299, int(rng.expovariate(0.03)))] for _ in range(rng.choice([0, 1, 2, 30, 90]))]) for i in range(400)] + [(400, None)]
+    kept = spark.createDataFrame(rows, "id long, kept array<string>").repartition(6)
+    monkeypatch.setattr(T, "RUN_TOKENS", 700)  # captured by the tasks: several runs in each
+    full = T.top_terms(T.term_rows(kept.select("id", T.terms_of(F.col("kept")).alias("terms")), "id"), k)
+    got = T.top_terms_by_threshold(kept.filter("kept IS NOT NULL"), k)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, full.collect()))
+    assert T.top_terms_by_threshold(kept.limit(0), k).collect() == []
