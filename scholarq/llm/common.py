@@ -54,11 +54,15 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return back
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove intermediate files that nothing will read again."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unstored(df: DataFrame) -> None:
-    """Remove the files of a table of ``stored`` that nothing will read again."""
-    context = df.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    """Remove the files of a table of ``stored``."""
+    remove(df.sparkSession, df.stored_at)
 
 
 def partitions(spark: SparkSession) -> int:

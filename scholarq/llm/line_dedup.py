@@ -2,14 +2,15 @@
 
 A line's key is the line stripped of ASCII white space and lower-cased in A-Z. The
 store holds runs: Parquet tables of (two 64-bit hashes of the key, documents that
-hold it, largest holding doc_id), each sorted by hash. A new batch is merged
-against the runs by an equi-join on the hash: keys the runs lack are its own, keys
-they have are repeats, and both go into a new run of level 0. As soon as a level
+hold it, its holder), each sorted by hash. A new batch is merged
+against the runs by an equi-join on the hash. Keys that the runs lack are its own: the batch's largest
+document becomes their holder for good. Keys they have are repeats, which only add to
+the count. Both go into a new run of level 0. As soon as a level
 has ``fanout`` runs they are compacted into one run of the next level, so the
-number of runs stays logarithmic in the number of batches.
+number of runs stays logarithmic in the number of batches. A store can be opened again and fed more batches.
 
-Batches come in falling order of doc_id, so the largest holder of a key is in the
-batch that brings the key first.
+``build_runs`` brings the batches in falling order of doc_id, so the holder of a key, which
+is of the batch that brings the key first, is its largest document.
 
 Everything is DataFrame work; no Python runs on executors. A frequent line costs
 one row per task (partial aggregation), and the join that marks its copies is an
@@ -29,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarq.llm.common import LOWER, SPACE_CHARS, UPPER, let, shared_folder, stored
+from scholarq.llm.common import LOWER, SPACE_CHARS, UPPER, let, remove, shared_folder, stored
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -64,7 +65,21 @@ class LineRuns:
     def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT):
         self.spark, self.folder, self.fanout = spark, folder or shared_folder(spark, "line-runs"), fanout
         self.levels: dict[int, list[str]] = defaultdict(list)
-        self.written = 0
+        self.batches = 0
+        if folder:
+            self._reopen()
+
+    def _reopen(self) -> None:
+        """Find the runs of an earlier session. A run is named by the batches that it covers, so one whose batches
+        are in a run of a higher level (a compaction that did not come to remove it) does not count."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/level-*-batches-*-*/_SUCCESS")
+        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+        names = [s.getPath().getParent().getName() for s in found or []]
+        runs = sorted((tuple(int(x) for x in n.split("-") if x.isdigit()), n) for n in names)
+        for (level, first, last), name in runs:
+            if not any(other > level and a <= first and last <= b for (other, a, b), _ in runs):
+                self.levels[level].append(f"{self.folder}/{name}")
+            self.batches = max(self.batches, last + 1)
 
     def rows(self) -> DataFrame:
         """All runs as one table; a key may be in several runs until they are compacted."""
@@ -73,36 +88,42 @@ class LineRuns:
             return self.spark.createDataFrame([], RUN)
         return self.spark.read.schema(RUN).parquet(*paths)
 
-    def _write(self, rows: DataFrame, level: int) -> str:
-        path = f"{self.folder}/level-{level}-run-{self.written:05d}"
-        self.written += 1
-        rows.sortWithinPartitions("h1", "h2").write.parquet(path)
+    def _write(self, rows: DataFrame, level: int, first: int, last: int) -> str:
+        path = f"{self.folder}/level-{level}-batches-{first}-{last}"
+        rows.sortWithinPartitions("h1", "h2").write.mode("overwrite").parquet(path)  # over a run cut short
         return path
 
     @staticmethod
     def merged(rows: DataFrame) -> DataFrame:
+        """One row a key; only its fresh row has a holder."""
         return rows.groupBy("h1", "h2").agg(
             F.sum("n_docs").alias("n_docs"), F.max("top_doc").alias("top_doc"), F.max("fresh").alias("fresh"))
 
     def ingest(self, keys: DataFrame) -> None:
         """Add one batch of (h1, h2, n_docs, top_doc), one row per key."""
-        if self.levels:
+        if any(self.levels.values()):
             known = self.rows().filter("fresh").select("h1", "h2")
             fresh = keys.join(known, ["h1", "h2"], "left_anti").withColumn("fresh", F.lit(True))
-            again = keys.join(known, ["h1", "h2"], "left_semi").withColumn("fresh", F.lit(False))
+            again = (keys.join(known, ["h1", "h2"], "left_semi")
+                     .withColumn("top_doc", F.lit(None).cast("long")).withColumn("fresh", F.lit(False)))
             keys = fresh.unionByName(again)
         else:
             keys = keys.withColumn("fresh", F.lit(True))
-        self.levels[0].append(self._write(keys, 0))
+        self.levels[0].append(self._write(keys, 0, self.batches, self.batches))
+        self.batches += 1
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            run = self._write(self.merged(self.spark.read.schema(RUN).parquet(*self.levels[level])), level + 1)
+            paths = self.levels[level]
+            first, last = paths[0].split("-")[-2], paths[-1].split("-")[-1]
+            run = self._write(self.merged(self.spark.read.schema(RUN).parquet(*paths)), level + 1, int(first), int(last))
             self.levels[level] = []
             self.levels[level + 1].append(run)
+            for path in paths:
+                remove(self.spark, path)
             level += 1
 
     def frequent(self, min_docs: int) -> DataFrame:
-        """Keys found in at least ``min_docs`` documents, with the largest holder."""
+        """Keys found in at least ``min_docs`` documents, with their holder."""
         return self.merged(self.rows()).filter(F.col("n_docs") >= min_docs).select("h1", "h2", "top_doc")
 
 

@@ -304,3 +304,27 @@ def test_chat_query_on_odd_rows(spark):
     formatted = chat_format.format_conversations(source).filter("conv_id = 2").first()
     assert len(formatted["ids"]) == len(formatted["loss_mask"]) and any(formatted["loss_mask"])
     assert chat_format.format_conversations(source.limit(0)).count() == 0
+
+
+def test_the_batch_that_brings_a_line_holds_it_and_a_store_can_be_reopened(spark, tmp_path):
+    """Later batches have larger documents here: only the anti-join against the runs keeps the first holder."""
+    from scholarq.llm.line_dedup import LineRuns
+    def batch(rows):
+        return spark.createDataFrame(rows, "h1 long, h2 long, n_docs long, top_doc long")
+    folder = str(tmp_path / "runs")
+    runs = LineRuns(spark, folder, fanout=2)
+    runs.ingest(batch([(1, 1, 1, 5), (2, 2, 4, 6), (3, 3, 1, None)]))
+    runs.ingest(batch([(1, 1, 1, 50), (4, 4, 1, 51), (3, 3, 2, 52)]))
+    runs.ingest(batch([(1, 1, 1, 500), (4, 4, 1, 501)]))
+    want = {(1, 1, 5), (2, 2, 6), (3, 3, None)}
+    assert set(map(tuple, runs.frequent(3).collect())) == want
+    assert {level: len(paths) for level, paths in runs.levels.items() if paths} == {0: 1, 1: 1}
+
+    again = LineRuns(spark, folder, fanout=2)  # another session
+    assert {level: sorted(p) for level, p in again.levels.items() if p} == {level: sorted(p) for level, p in runs.levels.items() if p}
+    again.ingest(batch([(4, 4, 1, 5000), (5, 5, 9, 5001)]))
+    assert set(map(tuple, again.frequent(3).collect())) == want | {(4, 4, 51), (5, 5, 5001)}
+    assert {level: len(paths) for level, paths in again.levels.items() if paths} == {2: 1}
+    # a compacted run that was not removed does not count
+    again.rows().write.parquet(f"{folder}/level-0-batches-1-1")
+    assert set(map(tuple, LineRuns(spark, folder, fanout=2).frequent(3).collect())) == want | {(4, 4, 51), (5, 5, 5001)}
