@@ -17,8 +17,10 @@ each; an empty table gives an empty result; extra columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -39,6 +41,7 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL_REST = re.compile(r"[^\s<>\"'`|]+")
+CLOSING = frozenset(".,;:!?)]}")
 ACCOUNT = re.compile(r"[\s:#.]{0,4}(?:(?:number|num|no|nr)\b[\s:#.]{0,4})?([A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]{2,4}){3,8}|[0-9](?:[\x20-]?[0-9]){5,17})(?![A-Za-z0-9])")
 SPANS = "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
 
@@ -76,6 +79,7 @@ def find(text: str, cues: tuple[str, ...] = tuple(CUES)) -> list[Span]:
     base: list[Span] = []
     more: list[Span] = []
     used = dict.fromkeys(BASE, 0)  # up to here each kind's candidates have taken the text
+    run_end = run_kept = 0  # the last address run met: its end, and that without closing marks
     ip_failed = -2  # where the last digit stood that starts no address; the next in its run starts none either
     for last, (mark, size) in automaton(cues).iter(text):
         if mark == "@":
@@ -96,8 +100,12 @@ def find(text: str, cues: tuple[str, ...] = tuple(CUES)) -> list[Span]:
                 left -= 1
             while left < start and not text[left].isalpha():
                 left += 1
-            if left < start and (m := URL_REST.match(text, last + 1)) and (rest := m[0].rstrip(".,;:!?)]}")):
-                more.append(("url", left, last + 1 + len(rest)))
+            if last + 1 >= run_end and (m := URL_REST.match(text, last + 1)):  # a run is read once, whatever anchors it holds
+                run_end = run_kept = m.end()
+                while run_kept > last + 1 and text[run_kept - 1] in CLOSING:
+                    run_kept -= 1
+            if left < start and last + 1 < run_kept:
+                more.append(("url", left, run_kept))
         elif mark == "cue":
             if (m := ACCOUNT.match(text, last + 1)) and (m[1][0].isdigit() or iban(m[1])):
                 more.append(("account", m.start(1), m.end(1)))
@@ -115,9 +123,13 @@ def find(text: str, cues: tuple[str, ...] = tuple(CUES)) -> list[Span]:
                     ip_failed = last
             elif last == ip_failed + 1:
                 ip_failed = last
-    base.sort(key=lambda s: (s[1], KINDS.index(s[0])))
+    base.sort(key=lambda s: s[1])
+    starts, reach = [s[1] for s in base], list(accumulate((s[2] for s in base), max))
+    taken: list[tuple[int, int]] = []  # added spans by start; they do not overlap
     for kind, start, end in more:
-        if not any(s < end and start < e for _, s, e in base):
+        before, own = bisect_left(starts, end), bisect_left(taken, (end,))
+        if not (before and reach[before - 1] > start or own and taken[own - 1][1] > start):
+            taken.insert(own, (start, end))
             base.append((kind, start, end))
     return sorted(set(base), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

@@ -328,3 +328,18 @@ def test_the_batch_that_brings_a_line_holds_it_and_a_store_can_be_reopened(spark
     # a compacted run that was not removed does not count
     again.rows().write.parquet(f"{folder}/level-0-batches-1-1")
     assert set(map(tuple, LineRuns(spark, folder, fanout=2).frequent(3).collect())) == want | {(4, 4, 51), (5, 5, 5001)}
+
+
+@pytest.mark.parametrize("part", ["a://", "a@b.c x://y ", "a://b.c ", "account 12345678 ", "x@y.zz://q,"])
+def test_personal_data_takes_linear_time(part):
+    import time
+
+    def seconds(n):
+        text, best = part * (n // len(part)), 1e9
+        for _ in range(3):
+            began = time.process_time()
+            pii.find(text)
+            best = min(best, time.process_time() - began)
+        return best
+
+    assert seconds(300_000) <= 15 * seconds(30_000)
