@@ -179,3 +179,17 @@ def test_a_page_past_the_end_is_empty(spark):
     records = spark.createDataFrame(rows, "arxiv_id string, title string, abstract string, authors array<string>, categories string, published string")
     assert [r.arxiv_id for r in S.author_search_with_fallback(records, "Ann Roe").collect()] == ["a2", "a1", "a0"]
     assert S.author_search_with_fallback(records, "Ann Roe", start=3).collect() == []
+
+
+def test_unified_search_skips_known_titles_and_names_records_to_store(spark, index):
+    from scholarq.operators.unified import unified_search
+    p, e, phe = index
+    rows = [("a1", "p1", "", ["Ann Lee"], "", "2020-01-01"), ("a2", "Other", "", ["Ann Lee"], "", "2020-01-02"),
+            ("a3", "Third", "quantum", ["Bob"], "", "2020-01-03")]
+    records = spark.createDataFrame(rows, "arxiv_id string, title string, abstract string, authors array<string>, categories string, published string")
+    cache = records.filter("arxiv_id = 'a2'").select("arxiv_id", "title")
+    found, store = unified_search(p, phe, e, records, cache, "person", "Ann Lee")
+    assert sorted((r.source, r.key, r.title) for r in found.collect()) == [("arxiv", "a2", "Other"), ("local", "1", "p1")]
+    assert [tuple(r) for r in store.collect()] == [("a1", "p1")]
+    found, _ = unified_search(p, phe, e, records, cache, "organisation", "Nobody", query="quantum")
+    assert [(r.source, r.key) for r in found.collect()] == [("arxiv", "a3")]
