@@ -21,10 +21,14 @@ def top_k(counts: DataFrame, key: str, k: int = TOP_K, cnt: str = "n") -> DataFr
     return counts.orderBy(F.desc(cnt), F.asc(key)).limit(k)
 
 
+def category_list() -> Column:
+    """Categories split on whitespace (NULL = none)."""
+    return F.filter(F.split(F.trim(F.coalesce(F.col("categories"), F.lit(""))), r"\s+"), lambda x: x != "")
+
+
 def category_counts(records: DataFrame) -> DataFrame:
     """AGG2: categories split on whitespace, counted (NULL = none)."""
-    cats = F.filter(F.split(F.trim(F.coalesce(F.col("categories"), F.lit(""))), r"\s+"), lambda x: x != "")
-    return (records.select(F.explode(cats).alias("category"))
+    return (records.select(F.explode(category_list()).alias("category"))
             .groupBy("category").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -46,6 +50,13 @@ def share_of_total(counts: DataFrame, cnt: str = "n", digits: int = 2) -> DataFr
             .drop("_total"))
 
 
+def author_list() -> Column:
+    """'last, first' of the authors_parsed entries with at least two parts."""
+    listed = F.coalesce(F.col("authors_parsed"), F.array().cast("array<array<string>>"))
+    return F.transform(F.filter(listed, lambda a: F.size(a) >= 2),
+                       lambda a: F.concat_ws(", ", F.element_at(a, 1), F.element_at(a, 2)))
+
+
 def author_counts(records: DataFrame) -> DataFrame:
     """AGG4: 'last, first' of authors_parsed entries with >= 2 parts; an
     author listed twice in one paper counts twice."""
