@@ -1,9 +1,10 @@
-"""Quality rules: a short-circuit cascade ordered by measured rejection per cost.
+"""Quality rules: a short-circuit cascade ordered by rejection per cost, both estimated on a sample.
 
-Each rule is a Column that is true where it rejects a text. On a bounded sample
-the cascade measures how many texts each rule rejects and how long it takes, sorts
-the rules by rejection per cost and nests them, so that a rule runs only on what
-the earlier ones let through. The order decides the cost, never the verdict.
+A rule tests counts of a text. Counts are bound once, at the first rule that needs them, and a rule runs only on what the
+earlier ones let through. One pass over a bounded sample tells, for each set of rules that reject a text, how many texts
+and characters there are; from that table the order is built rule by rule: next comes the one that rejects most of the
+texts still there for the cost of the counts not bound yet. Cost is characters times the count's own rate, so the same
+sample always gives the same order. The order decides the cost, never the verdict.
 
 Everything is a DataFrame expression; no Python runs on executors.
 
@@ -14,8 +15,7 @@ empty result; all other columns pass through unchanged, whatever their names.
 
 from __future__ import annotations
 
-import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from scholarq.llm.common import SPACE_CHARS, SPACE_CLASS, let
 
 MIN_WORDS = 50
-#: Bound of the sample from which cost and selectivity are estimated.
+#: Rows of the sample from which cost and selectivity are estimated; it is aggregated as it is read and never held.
 SAMPLE_ROWS = 2000
 
 
@@ -54,6 +54,10 @@ def n_dup_lines(text: Column) -> Column:
 
 
 def n_repeat_words(text: Column) -> Column:
+    return repeat_words(words(text))
+
+
+def repeat_words(words_: Column) -> Column:
     """Words inside 3-word windows that occur twice or more in the text.
 
     Windows are hashed to 64 bits. Only a text with equal windows pays for the sort
@@ -75,7 +79,7 @@ def n_repeat_words(text: Column) -> Column:
             lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")),
             lambda a: a["n"])
 
-    hashes = F.transform(words(text), lambda w: F.xxhash64(w))
+    hashes = F.transform(words_, lambda w: F.xxhash64(w))
     return let(let(hashes, windows), lambda w: F.when(
         F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(covered(w))).cast("long")
 
@@ -90,62 +94,121 @@ def capitals(text: Column) -> Column:
 
 
 @dataclass(frozen=True)
+class Count:
+    """A value of a text: ``value(text, *of)`` from the text and other counts, at ``rate`` for a character."""
+
+    value: Callable[..., Column]
+    rate: float
+    of: tuple[str, ...] = ()
+
+
+#: Measured times for a character, as multiples of one translating pass over the text, and that of a test.
+RATES = {"words": 1.0, "chars": 1.0, "symbols": 1.2, "lines": 0.1, "dup_lines": 0.1, "repeat_words": 3.0, "letters": 0.9,
+         "capitals": 0.4}
+TEST_RATE = 0.01
+
+COUNTS = {
+    "words": Count(words, RATES["words"]),
+    "n_words": Count(lambda text, w: F.size(w).cast("long"), 0.0, ("words",)),
+    "chars": Count(word_chars, RATES["chars"]),
+    "symbols": Count(n_symbols, RATES["symbols"]),
+    "lines": Count(worded_lines, RATES["lines"]),
+    "n_lines": Count(lambda text, a: F.size(a), 0.0, ("lines",)),
+    "dup_lines": Count(lambda text, a: (F.size(a) - F.size(F.array_distinct(a))).cast("long"), RATES["dup_lines"], ("lines",)),
+    "repeat_words": Count(lambda text, w: repeat_words(w), RATES["repeat_words"], ("words",)),
+    "letters": Count(letters, RATES["letters"]),
+    "capitals": Count(capitals, RATES["capitals"]),
+}
+
+
+@dataclass(frozen=True, eq=False)
 class Rule:
+    """Rejects where ``test`` of the counts ``needs`` of ``text`` is true."""
+
     name: str
-    rejects: Column
-
-
-def default_rules(text: Column, words_: Column | None = None, symbols: Column | None = None,
-                  dup_lines: Column | None = None, repeat_words: Column | None = None,
-                  chars: Column | None = None) -> list[Rule]:
-    """The standard rules over ``text``; counts that a query already has can be passed in."""
-    w = n_words(text) if words_ is None else words_
-    s = n_symbols(text) if symbols is None else symbols
-    d = n_dup_lines(text) if dup_lines is None else dup_lines
-    r = n_repeat_words(text) if repeat_words is None else repeat_words
-    c = word_chars(text) if chars is None else chars
+    text: Column
+    needs: tuple[str, ...]
+    test: Callable[..., Column]
+
+    def unbound(self, bound: Sequence[str]) -> list[str]:
+        """Counts to bind before the rule can run, those that others are taken from first."""
+        todo: list[str] = []
+
+        def add(name: str) -> None:
+            if name not in bound and name not in todo:
+                for other in COUNTS[name].of:
+                    add(other)
+                todo.append(name)
+
+        for name in self.needs:
+            add(name)
+        return todo
+
+
+def default_rules(text: Column) -> list[Rule]:
     return [
-        Rule("few_words", w < MIN_WORDS),
-        Rule("repeated_windows", 100 * r > 50 * w),
-        Rule("symbols", 10 * s > w),
-        Rule("repeated_lines", 2 * d > F.size(worded_lines(text))),
-        Rule("word_length", (c < 3 * w) | (c > 10 * w)),
-        Rule("few_letters", 10 * letters(text) < 7 * c),
-        Rule("shouting", 2 * capitals(text) > letters(text)),
+        Rule("few_words", text, ("n_words",), lambda w: w < MIN_WORDS),
+        Rule("repeated_windows", text, ("repeat_words", "n_words"), lambda r, w: 100 * r > 50 * w),
+        Rule("symbols", text, ("symbols", "n_words"), lambda s, w: 10 * s > w),
+        Rule("repeated_lines", text, ("dup_lines", "n_lines"), lambda d, n: 2 * d > n),
+        Rule("word_length", text, ("chars", "n_words"), lambda c, w: (c < 3 * w) | (c > 10 * w)),
+        Rule("few_letters", text, ("letters", "chars"), lambda a, c: 10 * a < 7 * c),
+        Rule("shouting", text, ("capitals", "letters"), lambda u, a: 2 * u > a),
     ]
 
 
-def bounded_sample(docs: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` rows of the whole table, at most twice as many."""
-    share = min(1.0, rows / max(1, docs.count()))
-    return (docs.sample(fraction=share, seed=9) if share < 1 else docs).limit(2 * rows)
+def _bind(text: Column, names: Sequence[str], bound: dict[str, Column], body: Callable[[dict[str, Column]], Column]) -> Column:
+    """``body`` with the counts ``names`` evaluated once each, in that order."""
+    if not names:
+        return body(bound)
+    count = COUNTS[names[0]]
+    return let(count.value(text, *[bound[o] for o in count.of]),
+               lambda value: _bind(text, names[1:], {**bound, names[0]: value}, body))
 
 
-def order_rules(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by falling rejection per second, measured over a sample of ``docs``."""
-    sample = bounded_sample(docs, sample_rows).persist()
-    try:
-        share = sample.agg(F.count(F.lit(1)).alias("n"), *[
-            F.count(F.when(r.rejects, 1)).alias(f"r{i}") for i, r in enumerate(rules)]).first()
+def cascade(rules: Sequence[Rule], bound: dict[str, Column] | None = None) -> Column:
+    """True where a text passes all rules; each rule, and each count, runs only if the earlier rules pass.
+    ``bound`` are counts that are there already."""
+    def step(at: int, bound: dict[str, Column]) -> Column:
+        if at == len(rules):
+            return F.lit(True)
+        rule = rules[at]
 
-        def seconds(column: Column) -> float:
-            began = time.perf_counter()
-            sample.agg(F.count(F.when(column, 1))).first()
-            return time.perf_counter() - began
+        def verdict(bound: dict[str, Column]) -> Column:
+            rejected = F.coalesce(rule.test(*[bound[n] for n in rule.needs]), F.lit(False))
+            return F.when(rejected, F.lit(False)).otherwise(step(at + 1, bound))
 
-        cost = [seconds(r.rejects) for r in rules]
-        rank = sorted(range(len(rules)), key=lambda i: -(share[f"r{i}"] / max(1, share["n"])) / max(cost[i], 1e-6))
-        return [rules[i] for i in rank]
-    finally:
-        sample.unpersist()
+        return _bind(rule.text, rule.unbound(bound), bound, verdict)
 
+    return step(0, bound or {})
 
-def cascade(rules: Sequence[Rule]) -> Column:
-    """True where a text passes all rules; each rule runs only if the earlier ones pass."""
-    verdict = F.lit(True)
-    for rule in reversed(rules):
-        verdict = F.when(F.coalesce(rule.rejects, F.lit(False)), F.lit(False)).otherwise(verdict)
-    return verdict
+
+def order_rules(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules in the order of the cascade, from one pass over a sample of ``docs``."""
+    if not rules:
+        return []
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    sample = docs.sample(fraction=share, seed=9) if share < 1 else docs
+    names = list(dict.fromkeys(n for r in rules for n in r.unbound([])))
+    flags = _bind(rules[0].text, names, {}, lambda bound: F.array(*[
+        F.coalesce(r.test(*[bound[n] for n in r.needs]), F.lit(False)) for r in rules]))
+    seen = [(r["rejects"], r["texts"], r["chars"]) for r in sample.select(
+        flags.alias("rejects"), F.coalesce(F.length(rules[0].text), F.lit(0)).alias("chars"))
+        .groupBy("rejects").agg(F.count(F.lit(1)).alias("texts"), F.sum("chars").alias("chars")).collect()]
+    order: list[int] = []
+    bound: list[str] = []
+    while len(order) < len(rules):
+        left = [x for x in seen if not any(x[0][i] for i in order)]
+        chars = 1 + sum(c for _, _, c in left)
+
+        def gain(i: int) -> tuple[float, float]:
+            cost = chars * (sum(COUNTS[n].rate for n in rules[i].unbound(bound)) + TEST_RATE)
+            return sum(n for rejects, n, _ in left if rejects[i]) / cost, -cost
+
+        best = max((i for i in range(len(rules)) if i not in order), key=lambda i: (gain(i), -i))
+        order.append(best)
+        bound += rules[best].unbound(bound)
+    return [rules[i] for i in order]
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] | None = None,
@@ -164,13 +227,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         word_chars(text).alias("word_chars"), n_symbols(text).alias("n_symbols"),
         n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(text).alias("n_repeat_words"))
     order = [r.name for r in order_rules(docs.select(text_col), default_rules(text), sample_rows)]
-    from_counts = {r.name: r for r in default_rules(
-        F.col("text"), F.col("n_words"), F.col("n_symbols"), F.col("n_dup_lines"), F.col("n_repeat_words"),
-        F.col("word_chars"))}
+    rules = {r.name: r for r in default_rules(F.col("text"))}
+    known = {"n_words": F.col("n_words"), "chars": F.col("word_chars"), "symbols": F.col("n_symbols"),
+             "dup_lines": F.col("n_dup_lines"), "repeat_words": F.col("n_repeat_words")}
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counted.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed.alias("base_failed"), cascade([from_counts[n] for n in order]).alias("kept"))
+        base_failed.alias("base_failed"), cascade([rules[n] for n in order], known).alias("kept"))
 
 
 #: DuckDB's form of ``score`` over ``documents``.

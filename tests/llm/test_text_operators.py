@@ -65,6 +65,35 @@ def test_quality_order_does_not_change_the_verdict(spark, odd):
     assert quality_rules.keep_good(odd).columns == odd.columns
 
 
+def test_quality_order_is_stable_and_follows_rejection_per_cost(spark):
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rules = quality_rules.default_rules(F.col("text"))
+    orders = {tuple(r.name for r in quality_rules.order_rules(docs, rules, 400)) for _ in range(3)}
+    assert len(orders) == 1
+    # all shout, none is short: the dear rules that reject nothing come last
+    loud = spark.createDataFrame([("WORDS ARE HERE AND MORE " * 3 + " ".join(f"NR{chr(65 + i % 26)}{chr(65 + i // 26)}" for i in range(60)),)] * 30, "text string")
+    assert [r.name for r in quality_rules.order_rules(loud, rules)][0] == "shouting"
+    short = spark.createDataFrame([("only four words here",)] * 30, "text string")
+    order = [r.name for r in quality_rules.order_rules(short, rules)]
+    assert order[0] == "few_words" and order[-1] == "repeated_windows"
+    assert quality_rules.order_rules(short, []) == []
+
+
+def test_quality_verdicts_agree_and_columns_may_clash(spark):
+    names = ["n_words", "words", "chars", "kept", "rejects", "texts", "x"]
+    docs = spark.createDataFrame([(r[0], r[1], *names) for r in ODD], f"doc_id long, text string, {', '.join(n + ' string' for n in names)}")
+    scored = quality_rules.score(docs)
+    assert [c for c in scored.columns if c not in ("doc_id", "kept")] == [
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    kept = quality_rules.keep_good(docs)
+    assert kept.columns == docs.columns
+    assert rows(kept.select("doc_id")) == rows(scored.filter("kept").select("doc_id"))
+    long = spark.createDataFrame([(1, " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{i % 7}" for i in range(200_000)), "n")],
+                                 "doc_id long, text string, n_words string")
+    assert rows(quality_rules.keep_good(long).select("doc_id")) == rows(quality_rules.score(long).filter("kept").select("doc_id"))
+
+
 def test_quality_of_empty_table(empty):
     assert quality_rules.score(empty).count() == 0
     assert quality_rules.keep_good(empty).count() == 0
