@@ -12,6 +12,8 @@ from scholarq.schemas import ENTS_RECORD, SNAPSHOT_RECORD
 
 PREVIEW_ROWS = 5
 PREVIEW_ABSTRACT_CHARS = 200
+#: A compressed file is read by one task.
+TREES_A_FILE = 20_000
 
 
 def parse_entity_records(raw: DataFrame) -> DataFrame:
@@ -62,8 +64,21 @@ def read_entity_files(spark: SparkSession, path: str, per_line: bool = False) ->
             .select("file_name", "paper_pdf", "mention_no", "m.text", "m.start_char", "m.end_char", "m.label"))
 
 
-def read_document_trees(spark: SparkSession, path: str) -> DataFrame:
-    """SRC4: whole files as (path, file_name, paper_pdf, tree) JSON text."""
+def write_document_trees(trees: DataFrame, out_dir: str, paper_col: str, tree_col: str = "tree") -> None:
+    """Trees in the form that ``read_document_trees(per_line=True)`` reads: ``{"paper_pdf": ..., "tree": "<JSON text>"}``,
+    one record a line, many papers to a file (a file for each paper would be a small-file problem)."""
+    record = F.to_json(F.struct(F.col(paper_col).cast("string").alias("paper_pdf"), F.col(tree_col).alias("tree")))
+    (trees.select(record.alias("value")).write.option("compression", "gzip")
+     .option("maxRecordsPerFile", TREES_A_FILE).text(out_dir))
+
+
+def read_document_trees(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """SRC4: (path, file_name, paper_pdf, tree) JSON texts: whole files, or the records of files that hold a
+    record a line (``write_document_trees``)."""
+    if per_line:
+        rec = F.from_json("value", "paper_pdf string, tree string")
+        return (spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"), rec.alias("r"))
+                .select("path", "file_name", "r.paper_pdf", "r.tree"))
     return (spark.read.text(path, wholetext=True)
             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"),
                     F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("paper_pdf"),

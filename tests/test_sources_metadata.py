@@ -172,3 +172,21 @@ def test_the_later_path_wins_in_a_manifest(spark, tmpdir_path):
     manifest = read_manifest(spark, f"{tmpdir_path}/*")
     matched, _ = match_manifest(spark.createDataFrame([("x.pdf",)], "name string"), manifest)
     assert [r.title for r in matched.collect()] == ["final"]
+
+
+def test_tree_files_hold_many_documents(spark, tmpdir_path):
+    trees = [(i, json.dumps({"TYPE": "text", "VALUE": f"line {i}\n\u00e9"})) for i in range(500)] + [(500, None)]
+    path = os.path.join(tmpdir_path, "trees")
+    S.write_document_trees(spark.createDataFrame(trees, "paper_id long, tree string").coalesce(2), path, "paper_id")
+    read = {int(r.paper_pdf): r.tree for r in S.read_document_trees(spark, path, per_line=True).collect()}
+    assert read == dict(trees)
+
+
+def test_tree_scan_writes_few_files(spark, tmpdir_path, monkeypatch):
+    from scholarq.plans import q_sources as Q
+    docs = [(i, None if i == 7 else f"a {i}\nb\nc") for i in range(300)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(2).write.parquet(f"{tmpdir_path}/documents.parquet")
+    monkeypatch.setattr(Q, "scratch_path", lambda spark, purpose: f"{tmpdir_path}/{purpose}")
+    found = {r.paper_id: r.text for r in Q.tree_scan(spark, tmpdir_path).collect()}
+    assert found == {i: t or "" for i, t in docs}
+    assert sum(f.startswith("part-") for _, _, files in os.walk(f"{tmpdir_path}/trees") for f in files) < 50
