@@ -6,8 +6,9 @@ of unbounded depth.  DOC1 returns the VALUE of every object whose TYPE is
 array (also inside table cells and style objects).
 
 Spark has no recursive built-in and its maps and variants sort the keys of
-an object, so the walk is one Arrow-batched function per JSON text with an
-explicit stack: linear in the text, no depth bound, keys in file order.
+an object, so the walk is one function per JSON text with an
+explicit stack: linear in the text, no depth bound, keys in file order. Texts go to Python
+a hundred at a time: an Arrow batch holds 10,000 trees, however large they are.
 The rest (exploding, joining texts) is built-in and stays in the row.
 """
 
@@ -16,7 +17,6 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,9 +121,7 @@ def text_values(json_text: str | None) -> list[str]:
     return found
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _text_nodes(trees: pd.Series) -> pd.Series:
-    return trees.map(text_values, na_action=None)
+_text_nodes = F.udf(text_values, T.ArrayType(T.StringType()), useArrow=False)
 
 
 def with_text_nodes(trees: DataFrame, json_col: str, out_col: str = "texts") -> DataFrame:
