@@ -12,6 +12,7 @@ from scholarq.plans.fixtures import TEST_LEXICON
 from scholarq.plans.oracle_views import with_views
 from scholarq.plans.registry import query
 from scholarq.plans.views import table, v_arxiv, v_docs
+from scholarq.session import written
 
 _MARK = '{"TYPE":"page-mark","VALUE":"[break]"}'
 _STYLE = '"style":{"TYPE":"spacing","before":{"unit":"pt","size":6}}'
@@ -192,7 +193,7 @@ def paper_sentiment(spark, d):
                FROM {_SENT_SQL.format(text="replace(text, chr(10), ' ')")} GROUP BY doc_id) c
       ON c.paper_id = o.paper_id""", "SEN8 DOC1 AGG12 (whole-text and sentence analysis of every paper tree)")
 def tree_sentiment(spark, d):
-    texts = D.full_text(v_doc_tree(spark, d), "paper_id", "tree", " ")
+    texts, _ = written(D.full_text(v_doc_tree(spark, d), "paper_id", "tree", " "), "texts")  # both analyses read them
     overall = SE.document_sentiment(texts, "paper_id", "text", TEST_LEXICON)
     n = (SE.split_sentences(texts, "paper_id", "text").groupBy("paper_id")
          .agg(F.count(F.lit(1)).alias("n_sentences")))

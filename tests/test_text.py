@@ -190,3 +190,24 @@ def test_threshold_vocabulary_is_that_of_counting_all_terms(spark, monkeypatch,
     got = T.top_terms_by_threshold(kept.filter("kept IS NOT NULL"), k)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, full.collect()))
     assert T.top_terms_by_threshold(kept.limit(0), k).collect() == []
+
+
+def test_tree_walk_gets_few_texts_at_a_time(spark):
+    """An Arrow batch would hold 10,000 trees."""
+    df = spark.createDataFrame([(1, '{"TYPE":"text","VALUE":"a"}'), (2, None)], "id long, tree string")
+    out = D.extract_texts(df, "id", "tree")
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [(r.id, r.text) for r in out.collect()] == [(1, "a")]
+
+
+def test_texts_are_scored_in_their_rows(spark):
+    """A lexicon in memory explodes no tokens; a table of the same valences gives the same scores."""
+    T = SE.Lexicon({"good": 1.9, "bad": -2.5, "fin": 0.5}, ("not",), ("very",), ("slightly",))
+    table = SE.Lexicon(spark.createDataFrame(sorted(T.valences.items()), "token string, valence double"),
+                       T.negators, T.boosters, T.dampeners)
+    texts = ["GOOD very good", "not very slightly good!! bad", "", None, "x y z", "very VERY BAD fin", "not a b c good", "GOOD BAD", "FIN!"] * 40
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    for fn in (SE.document_sentiment, SE.sentence_sentiment):
+        ours = fn(df, "id", "text", T)
+        assert "Generate posexplode" not in SE.document_sentiment(df, "id", "text", T)._jdf.queryExecution().toString()
+        assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, fn(df, "id", "text", table).collect()))
