@@ -12,7 +12,7 @@ from scholarq.operators.maintained import MaintainedStatistics
 from scholarq.plans.oracle_views import with_views
 from scholarq.plans.registry import query
 from scholarq.plans.views import table, v_arxiv, v_mentions_raw, v_papers
-from scholarq.session import scratch_path
+from scholarq.session import scratch_path, written
 
 SLICES = [("1900-01-01", "1997-01-01"), ("1996-07-01", "1998-07-01"), ("1998-01-01", "2000-01-01"),
           ("1999-06-01", "2000-06-01"), ("2000-01-01", "2100-01-01")]
@@ -50,8 +50,10 @@ def delta_runs_replace(spark, d):
               "o.o_orderdate") + ") GROUP BY ALL", "v_mentions_raw"),
     "SNK4 SNK10 (count = count + n by sorted runs; one batch replayed)")
 def delta_runs_add(spark, d):
-    dated = v_mentions_raw(spark, d).join(
+    # Joined once; each batch reads its dates.
+    dated, _ = written(v_mentions_raw(spark, d).join(
         table(spark, d, "orders").select(F.col("o_orderkey").alias("paper_id"), "o_orderdate"), "paper_id")
+        .select("entity_name", "entity_type", "o_orderdate"), "dated-mentions")
     store = DeltaRuns(spark, scratch_path(spark, "delta-add"), spark.createDataFrame(
         [], "entity_name string, entity_type string, n long").schema, ["entity_name", "entity_type"], add="n", fanout=3)
     for batch in [1, 2, 3, 3, 4, 5]:  # 3 comes twice
