@@ -13,7 +13,7 @@ from scholarq.operators.text_index import TextIndex
 from scholarq.plans.oracle_views import with_views
 from scholarq.plans.registry import query
 from scholarq.plans.views import table, v_arxiv, v_mentions_raw, v_papers
-from scholarq.session import scratch_path
+from scholarq.session import scratch_path, written
 
 OUT = ["arxiv_id", "title", "authors", "categories", "published", "pdf_url", "relevance_score"]
 
@@ -146,7 +146,8 @@ PAGES = [0, 3, 10_000_000]
     f"SELECT {start}::BIGINT AS start, count(*) AS n_rows FROM ({_strip(_page_sql(_author_pred('Supplier#000000017'), start=start))})"
     for start in PAGES), "v_arxiv"), "TOP4 TOP3 (a page past the end is empty)")
 def author_fallback_pages(spark, d):
-    r = v_arxiv(spark, d)
+    # The records are built once, with the columns that the searches read.
+    r, _ = written(v_arxiv(spark, d).select("arxiv_id", "title", "abstract", "authors", "categories", "published"), "records")
     return reduce(DataFrame.unionByName, [
         S.author_search_with_fallback(r, AU_DOTTED, start, 10).agg(F.count(F.lit(1)).alias("n_rows"))
         .select(F.lit(start).cast("long").alias("start"), "n_rows") for start in PAGES])
