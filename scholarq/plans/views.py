@@ -74,11 +74,13 @@ def v_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
 
 
-def v_arxiv(spark: SparkSession, sf_dir: str, only: int | None = None) -> DataFrame:
+def v_arxiv(spark: SparkSession, sf_dir: str, only: int | list[int] | None = None) -> DataFrame:
     """arXiv-style records: one per order (orders without lines have no
-    authors, categories or versions).  ``only`` looks one paper up before its
-    record is built."""
+    authors, categories or versions).  ``only`` looks one paper (or a few) up before
+    its record is built."""
     def pick(df, key):
+        if isinstance(only, list):
+            return df.filter(F.col(key).isin(only))
         return df if only is None else point_lookup(df, key, only)
 
     o = pick(table(spark, sf_dir, "orders"), "o_orderkey")
