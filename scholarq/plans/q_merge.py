@@ -16,6 +16,7 @@ from scholarq.operators.ids import sequential_ids
 from scholarq.operators.mentions import build_mention_index
 from scholarq.plans.oracle_views import with_views
 from scholarq.plans.registry import query
+from scholarq.session import written
 from scholarq.plans.views import table, v_arxiv, v_mentions_raw, v_papers
 from scholarq.sources.manifest import derive_paths, match_manifest
 
@@ -225,14 +226,17 @@ _E_NEW = """SELECT row_number() OVER (ORDER BY entity_type, entity_name) AS enti
     "v_arxiv", extra={"e_new": _E_NEW, "linked": _LINKED}), "SNK7 JN5 (paper-entity links of remote records)")
 def insert_or_ignore_links(spark, d):
     key = ["entity_type", "entity_name"]
-    r = v_arxiv(spark, d)
-    names = (r.select(F.col("arxiv_id").alias("paper_id"), F.explode("authors").alias("entity_name"), F.lit("PERSON").alias("entity_type"))
-             .unionByName(r.select(F.col("arxiv_id").alias("paper_id"), F.explode(F.split("categories", r"\s+")).alias("entity_name"),
-                                   F.lit("WORK_OF_ART").alias("entity_type"))))
+    def named(array, entity_type):
+        return F.transform(array, lambda x: F.struct(x.alias("entity_name"), F.lit(entity_type).alias("entity_type")))
+
+    # The records are built once, and written as their names.
+    categories = F.coalesce(F.split("categories", r"\s+"), F.array().cast("array<string>"))
+    names, _ = written(v_arxiv(spark, d).select(F.col("arxiv_id").alias("paper_id"), F.explode(F.concat(
+        named(F.col("authors"), "PERSON"), named(categories, "WORK_OF_ART"))).alias("e")).select("paper_id", "e.*"), "names")
     entities = sequential_ids(names.select(*key).distinct(), key, 0, "entity_id")
     # Links to every second entity are stored already, with a count of their own.
-    stored = (G.lookup_ids(names.distinct(), entities, key, "entity_id").filter("entity_id % 2 = 0")
-              .select("entity_id", "paper_id", F.lit(5).cast("long").alias("count")))
+    stored, _ = written(G.lookup_ids(names.distinct(), entities, key, "entity_id").filter("entity_id % 2 = 0")
+                        .select("entity_id", "paper_id", F.lit(5).cast("long").alias("count")), "stored-links")
     return G.insert_or_ignore_links(stored, names, entities, key)
 
 
