@@ -73,7 +73,8 @@ def pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.translate(F.col(text_col), SENT_MARK, " ")
     cut = F.split(F.regexp_replace(text, r"([.!?]\s+)", "$1" + SENT_MARK), SENT_MARK)
     rows = explode_rows(docs, [id_col], cut, "piece", "pos").filter("piece <> ''")
-    last = F.regexp_extract(F.lower("piece"), "(" + WORD + r")\.\s+$", 1)
+    # Read from the end, so that the pattern is tried at one place only.
+    last = F.reverse(F.regexp_extract(F.reverse(F.lower("piece")), r"^\s+\.(" + WORD + ")", 1))
     return rows.withColumns({
         "last": last, "initial": (F.length(last) == 1) & F.col("piece").rlike(r"\p{Lu}\.\s+$"),
         "first": F.regexp_extract("piece", "^(" + WORD + ")", 1)})
@@ -105,6 +106,7 @@ def starters(counts: DataFrame, docs: DataFrame, id_col: str, text_col: str, sho
     ends = _flagged(_followed(docs, id_col, text_col), short).filter(
         (F.col("last") != "") & ~F.col("abbreviation") & ~F.col("initial") & F.col("next").isNotNull())
     firsts = ends.groupBy(F.lower("next").alias("word"), _capital("next").alias("capital")).agg(F.count(F.lit(1)).alias("n_first"))
+    firsts, _ = written(firsts, "first-words")  # a row for each word; its totals need it again
     firsts = _with_total(firsts, ends=F.sum("n_first")).filter("capital")
     words = _with_total(counts.select("word", (F.col("n_dot") + F.col("n_plain")).alias("n")), words=F.sum("n"))
     k, n1, c, n = (F.col(x).cast("double") for x in ("n_first", "ends", "n", "words"))
