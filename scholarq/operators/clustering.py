@@ -16,11 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,23 +99,54 @@ def fit_clusters(papers: DataFrame, id_col: str = "paper_id", title_col: str = "
 def principal_components(vec: DataFrame, n: int, features: int, k: int) -> np.ndarray:
     """CL6: k x features.  The covariance is summed over the sparse vectors in a tree; it has max_features squared
     numbers, whose largest eigenvectors are taken directly (a full decomposition on one JVM thread takes far longer)."""
-    rows = vec.select("features").rdd.map(lambda r: OldVectors.fromML(r["features"]))
+    rows = MLUtils.convertVectorColumnsFromML(vec.select("features"), "features")
     covariance = RowMatrix(rows, n, features).computeCovariance().toArray() if n > 1 else np.eye(features)
     values, vectors = np.linalg.eigh(covariance)
     return vectors[:, np.argsort(-values, kind="stable")[:k]].T
 
 
+def dots(features: pa.StructArray, axes: np.ndarray) -> np.ndarray:
+    """The products of vectors, as Arrow holds them, with the rows of ``axes``: only what is not zero is read."""
+    values, indices = features.field("values"), features.field("indices")
+    sizes = np.diff(values.offsets.to_numpy())
+    row, v = np.repeat(np.arange(len(sizes)), sizes), values.flatten().to_numpy()
+    if indices.null_count:  # some vectors are dense
+        at = np.concatenate([np.arange(n) if i is None else np.array(i, dtype=np.int64)
+                             for i, n in zip(indices.to_pylist(), sizes, strict=True)] or [np.zeros(0, dtype=np.int64)])
+    else:
+        at = indices.flatten().to_numpy()
+    return np.stack([np.bincount(row, weights=v * a[at], minlength=len(sizes)) for a in axes], axis=1)
+
+
+def squared_distances(vectors: DataFrame, id_col: str, centres: list[list[float]]) -> DataFrame:
+    """(id, dist): the squared distances of each vector from the centres."""
+    c = np.array(centres)
+    squares = (c * c).sum(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(1).field("values")
+            sizes, v = np.diff(values.offsets.to_numpy()), values.flatten().to_numpy()
+            own = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=v * v, minlength=len(sizes))
+            dist = np.maximum(own[:, None] - 2 * dots(batch.column(1), c) + squares, 0.0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * len(c), pa.int32()), pa.array(dist.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "dist"])
+
+    kind = vectors.schema[id_col].dataType.simpleString()
+    return vectors.select(id_col, "features").mapInArrow(run, f"id {kind}, dist array<double>").withColumnRenamed("id", id_col)
+
+
 def placed(labelled: DataFrame, id_col: str, components: np.ndarray) -> DataFrame:
     """(cluster, id, title, x, y): coordinates along the components, 0 in the mean."""
     axes = np.vstack([components, np.zeros((2 - len(components), components.shape[1]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.stack(batch.column(3).to_numpy(zero_copy_only=False)) @ axes.T if batch.num_rows else np.zeros((0, 2))
+            at = dots(batch.column(3), axes)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(at[:, 0]), pa.array(at[:, 1])], ["cluster", "id", "title", "x", "y"])
 
     kind = labelled.schema[id_col].dataType.simpleString()
-    points = labelled.select("cluster", F.col(id_col).alias("id"), "title", vector_to_array("features").alias("v")).mapInArrow(
+    points = labelled.select("cluster", F.col(id_col).alias("id"), "title", "features").mapInArrow(
         run, f"cluster int, id {kind}, title string, x double, y double")
     mean = points.agg(F.avg("x").alias("_x"), F.avg("y").alias("_y"))  # one row
     return points.crossJoin(F.broadcast(mean)).select(

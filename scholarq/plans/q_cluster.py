@@ -6,7 +6,6 @@ label and abstract = its text.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from scholarq.functions.stopwords import ENGLISH_STOP_WORDS
@@ -131,10 +130,7 @@ def cluster_lists(spark, d):
 def _invariants(fit: C.Clustering):
     """What holds of any fit: each paper is nearest to its own centre, coordinates
     are centred, uncorrelated and ordered by variance, components orthonormal."""
-    v = vector_to_array("features")
-    dist = F.array(*[F.aggregate(F.zip_with(v, F.lit(c), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-                     for c in fit.centres])
-    near = fit.vectors.select("paper_id", dist.alias("dist")).join(fit.members, "paper_id")
+    near = C.squared_distances(fit.vectors, "paper_id", fit.centres).join(fit.members, "paper_id")
     wrong = F.get("dist", F.col("cluster")) > F.array_min("dist") + 1e-9
     p, q = fit.components
     dot = lambda a, b: abs(round(sum(x * y for x, y in zip(a, b, strict=True)), 6))
