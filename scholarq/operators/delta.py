@@ -4,7 +4,7 @@ A batch is written as a run of its own, sorted by key, so that it costs as many
 has keys, however large the table is.  Reading merges the runs of a key: the last batch's row
 replaces the earlier ones, or a column is summed.  ``compact`` folds ``fanout`` runs of one level
 into one of the next, cut by key range into files whose number follows the rows, so that a row is
-written again once a level.
+written again once a level and a task sorts no more than about ``rows_per_file`` rows (a row may hold a record's lists).
 
 A run is a folder named by its first batch, last batch and level; it counts once its ``_SUCCESS``
 marker exists and no finished run covers it.  So a failed write leaves nothing visible, a
@@ -37,7 +37,7 @@ class DeltaRuns:
     _RUN = re.compile(r"^r-(\d+)-(\d+)-(\d+)$")
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: list[str], add: str | None = None,
-                 fanout: int = 8, rows_per_file: int = 4_000_000):
+                 fanout: int = 8, rows_per_file: int = 250_000):
         if fanout < 2:
             raise ValueError("fanout must be at least 2")
         self.spark, self.root, self.key, self.add = spark, root.rstrip("/"), key, add

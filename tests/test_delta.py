@@ -31,6 +31,17 @@ def test_a_batch_writes_its_own_rows_only(spark, tmpdir_path):
     assert got.count() == 50_500 and got.filter("v < 0").count() == 1000
 
 
+def test_a_fold_is_sorted_in_bounded_parts(spark, tmpdir_path):
+    store = DeltaRuns(spark, f"{tmpdir_path}/t", schema(spark, KV), ["k"], fanout=2)
+    for batch, (a, b) in enumerate([(0, 300_000), (200_000, 600_000)], 1):
+        store.append(batch, spark.range(a, b).select(F.col("id").cast("string").alias("k"), F.lit(batch).alias("v")))
+    assert store.compact() == 1
+    rows = spark.read.parquet(store.runs()[0][3])
+    files = [r["count"] for r in rows.groupBy(F.input_file_name()).count().collect()]
+    assert sum(files) == 600_000 and max(files) < 400_000
+    assert store.read().groupBy("v").count().orderBy("v").collect() == [(1, 200_000), (2, 400_000)]
+
+
 @pytest.mark.parametrize("add", [None, "v"])
 def test_runs_equal_a_dictionary_with_folds_and_replays(spark, tmpdir_path, add):
     rnd = random.Random(3)
