@@ -24,8 +24,8 @@ from scholarq.session import cut_lineage, removed, written
 
 MAX_FEATURES = 1000
 TOP_TERMS = 5
-#: Tokens that a task counts at once, as a run.
-RUN_TOKENS = 1 << 21
+#: Tokens that a task counts at once, as a run, and documents that are added to a run at once.
+RUN_TOKENS, RUN_STEP = 1 << 18, 16
 
 
 def assemble_text(title: Column, abstract: Column) -> Column:
@@ -94,8 +94,8 @@ def counted_in_runs(kept: DataFrame, k: int, kept_col: str = "kept") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                held.append(batch.column(0).slice(at, 256))
+            for at in range(0, batch.num_rows, RUN_STEP):
+                held.append(batch.column(0).slice(at, RUN_STEP))
                 size += len(held[-1].flatten())
                 if size >= RUN_TOKENS:
                     yield counted(uuid.uuid4().int >> 65, held)

@@ -192,6 +192,14 @@ def test_threshold_vocabulary_is_that_of_counting_all_terms(spark, monkeypatch,
     assert T.top_terms_by_threshold(kept.limit(0), k).collect() == []
 
 
+def test_runs_are_bounded_in_tokens(spark, monkeypatch):
+    """A run ends soon after ``RUN_TOKENS`` tokens, however many documents an Arrow batch holds."""
+    kept = spark.createDataFrame([(["a", "b", "c", "d", "e"] * 10,)] * 300, "kept array<string>").coalesce(1)
+    monkeypatch.setattr(T, "RUN_TOKENS", 1000)
+    runs = T.counted_in_runs(kept, 3).filter("term NOT LIKE '% %'").groupBy("run").agg(F.sum("n").alias("n")).collect()
+    assert sum(r.n for r in runs) == 15_000 and max(r.n for r in runs) <= 2000
+
+
 def test_tree_walk_gets_few_texts_at_a_time(spark):
     """An Arrow batch would hold 10,000 trees."""
     df = spark.createDataFrame([(1, '{"TYPE":"text","VALUE":"a"}'), (2, None)], "id long, tree string")
