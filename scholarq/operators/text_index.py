@@ -1,7 +1,7 @@
 """Inverted indexes for record and name searches (FLT5, FLT8).
 
 Posting lists: for each term the sorted numbers of the rows that hold it, cut into ranges of row numbers. A list
-is one row for each range, so the list of a term that a third of all rows hold is many bounded rows. Lists lie in
+is one row for each range (or a few, see ``listed``), so the list of a term that a third of all rows hold is many bounded rows. Lists lie in
 folders by a hash of the term (``bucket=``), sorted by term: a search reads the folders of its own terms.
 
 ``SubstringIndex`` finds the strings that contain a term: 3-grams of each string (padded at the end, so that a gram starts
@@ -16,18 +16,23 @@ are united; the words' lists are intersected range by range from the shortest. R
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholarq.functions.text import explode_rows
-from scholarq.operators.ids import sequential_ids
 from scholarq.operators.search import SEARCH_TYPES, author_match, author_relevance, keyword_match, pdf_url, title_match
 
 #: Row numbers of one range: the most numbers in a row of a list.
 RANGE_ROWS = 1 << 14
-#: Ranges whose rows lie in the same file of a bucket, and row ranges in one folder of the indexed rows.
+#: Tokens whose lists a task makes at once, and rows that are added at once.
+LIST_TOKENS, LIST_STEP = 1 << 20, 64
+#: Ranges (on average) whose rows lie in the same file of a bucket, and row ranges in one folder of the indexed rows.
 RANGES_A_FILE, RANGES_A_FOLDER = 256, 4
 BUCKETS = 64
 GRAM = 3
@@ -37,24 +42,63 @@ PAD = "\uffff"
 MOST_LITERALS = 1000
 
 
-def write_rows(df: DataFrame, order: list[str], path: str, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Number the rows (``no``, in the order of the given columns) and store them in folders of neighbouring numbers."""
-    spark = df.sparkSession
-    numbered = sequential_ids(df, order, id_col="no")
+def write_rows(df: DataFrame, path: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Number the rows (``no``: unique, neighbouring in a task) and store them, once, in folders of neighbouring numbers."""
     folder = F.floor(F.col("no") / (range_rows * RANGES_A_FOLDER)).cast("long")
-    (numbered.withColumn("folder", folder).sortWithinPartitions("folder", "no")
+    (df.withColumn("no", F.monotonically_increasing_id()).withColumn("folder", folder).sortWithinPartitions("folder", "no")
      .write.partitionBy("folder").parquet(path))
-    return spark.read.parquet(path)
-
-
-def write_lists(pairs: DataFrame, bucket: Column, path: str, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Store the lists of (term, no) pairs: (bucket, term, range, n, numbers)."""
-    lists = (pairs.withColumn("range", F.floor(F.col("no") / range_rows).cast("long"))
-             .groupBy("term", "range").agg(F.sort_array(F.collect_set("no")).alias("numbers"))  # of one range
-             .select(bucket.alias("bucket"), "term", "range", F.size("numbers").alias("n"), "numbers"))
-    (lists.repartition("bucket", F.floor(F.col("range") / RANGES_A_FILE)).sortWithinPartitions("bucket", "term", "range")
+    return df.sparkSession.read.parquet(path)
+
+
+def listed(rows: DataFrame, prefixes: dict[str, str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(term, range, n, numbers) of rows in the order of their ``no``: ``prefixes`` names columns of tokens and what stands before these
+    in a term.  The rows of a range lie together, so its lists are made where they are read; a range of more than
+    ``LIST_TOKENS`` tokens has several rows for a term, of different numbers.  Empty tokens are left out."""
+    def lists(first: int, nos: list[np.ndarray], held: list[list[pa.Array]]) -> pa.RecordBatch:
+        owner, terms, keys, known = np.concatenate(nos) - first, [], [], 0
+        for prefix, arrays in zip(prefixes.values(), zip(*held, strict=True), strict=True):
+            tokens = pa.chunked_array([x.flatten() for x in arrays]).combine_chunks().dictionary_encode()
+            sizes = np.concatenate([np.diff(x.offsets.to_numpy()) for x in arrays])
+            keys.append((tokens.indices.to_numpy().astype(np.int64) + known) * range_rows + np.repeat(owner, sizes))
+            terms.append(pc.if_else(pc.equal(tokens.dictionary, ""), None, pc.binary_join_element_wise(pa.scalar(prefix), tokens.dictionary, "")))
+            known += len(tokens.dictionary)
+        pairs = np.sort(np.concatenate(keys))  # by term, then by number
+        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
+        codes = pairs // range_rows
+        ends = np.append(np.flatnonzero(np.diff(codes)) + 1, len(codes)) if len(codes) else np.zeros(0, dtype=np.int64)
+        offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+        out = pa.RecordBatch.from_arrays(
+            [pa.concat_arrays(terms), pa.array(np.full(known, first // range_rows)), pa.array(np.diff(offsets.to_numpy())),
+             pa.ListArray.from_arrays(offsets, pa.array(pairs % range_rows + first))], ["term", "range", "n", "numbers"])
+        return out.filter(pc.is_valid(out.column(0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, size, nos, held = None, 0, [], []
+        for batch in batches:
+            no = batch.column(0).to_numpy()
+            ranges = no // range_rows
+            cuts = np.union1d(np.flatnonzero(np.diff(ranges)) + 1, np.arange(0, len(no), LIST_STEP))
+            for start, end in zip(cuts, np.append(cuts[1:], len(no)), strict=True):
+                if held and (ranges[start] != at or size >= LIST_TOKENS):
+                    yield lists(int(at) * range_rows, nos, held)
+                    size, nos, held = 0, [], []
+                at = ranges[start]
+                nos.append(no[start:end])
+                held.append([batch.column(i).slice(start, end - start) for i in range(1, batch.num_columns)])
+                size += sum(len(x.flatten()) for x in held[-1])
+        if held:
+            yield lists(int(at) * range_rows, nos, held)
+
+    return rows.select("no", *prefixes).mapInArrow(run, "term string, range long, n int, numbers array<long>")
+
+
+def write_lists(rows: DataFrame, prefixes: dict[str, str], bucket: Column, path: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Store the lists of ``rows``: (bucket, term, range, n, numbers)."""
+    files = max(1, -(-rows.count() // (range_rows * RANGES_A_FILE)))  # of a bucket
+    lists = listed(rows, prefixes, range_rows).withColumn("bucket", bucket)
+    (lists.repartition("bucket", F.pmod(F.hash("range"), F.lit(files))).sortWithinPartitions("bucket", "term", "range")
      .write.partitionBy("bucket").parquet(path))
-    return pairs.sparkSession.read.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 def intersected(lists: DataFrame, groups: int) -> DataFrame:
@@ -82,12 +126,11 @@ class SubstringIndex:
     @classmethod
     def build(cls, strings: DataFrame, text_col: str, path: str, range_rows: int = RANGE_ROWS) -> SubstringIndex:
         """Index the rows of ``strings`` by one of their columns; the other columns are kept beside it."""
-        order = [text_col, *(c for c in strings.columns if c != text_col)]
-        rows = write_rows(strings.withColumn("lowered", F.lower(text_col)), order, f"{path}/rows", range_rows)
+        rows = write_rows(strings.withColumn("lowered", F.lower(text_col)), f"{path}/rows", range_rows)
         padded = F.concat("lowered", F.lit(PAD * (GRAM - 1)))
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("lowered")), lambda i: F.substring(padded, i, F.lit(GRAM))))
-        pairs = explode_rows(rows.filter(F.length("lowered") > 0).select("no", grams.alias("grams")), ["no"], F.col("grams"), "term")
-        write_lists(pairs, cls._bucket(F.col("term")), f"{path}/grams", range_rows)
+        grams = F.transform(F.sequence(F.lit(1), F.length("lowered")), lambda i: F.substring(padded, i, F.lit(GRAM)))
+        write_lists(rows.filter(F.length("lowered") > 0).select("no", grams.alias("grams")), {"grams": ""},
+                    cls._bucket(F.col("term")), f"{path}/grams", range_rows)
         return cls(strings.sparkSession, path)
 
     @staticmethod
@@ -129,16 +172,10 @@ class TextIndex:
     @classmethod
     def build(cls, records: DataFrame, path: str, range_rows: int = RANGE_ROWS) -> TextIndex:
         """Index ``records`` (arxiv_id, title, abstract, authors, categories, ...)."""
-        stored = write_rows(records, ["arxiv_id"], f"{path}/records", range_rows)
-        fields = F.map_from_arrays(
-            F.array(*[F.lit(f) for f in ("title", "abstract", "author", "category")]),
-            F.array(*[F.array_distinct(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+")) for c in (
-                F.col("title"), F.col("abstract"), F.array_join("authors", " "), F.col("categories"))]))
-        by_field = stored.select("no", F.explode(fields).alias("field", "tokens"))
-        tokens = (explode_rows(by_field, ["no", "field"], F.col("tokens"), "token").filter("token <> ''")
-                  .withColumn("term", F.concat_ws(":", "field", "token")))
-        write_lists(tokens.select("term", "no"), cls._bucket(F.col("term")), f"{path}/lists", range_rows)
-        lists = records.sparkSession.read.parquet(f"{path}/lists")
+        stored = write_rows(records, f"{path}/records", range_rows)
+        texts = {"title": F.col("title"), "abstract": F.col("abstract"), "author": F.array_join("authors", " "), "category": F.col("categories")}
+        tokens = stored.select("no", *[F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+").alias(f) for f, c in texts.items()])
+        lists = write_lists(tokens, {f: f"{f}:" for f in texts}, cls._bucket(F.col("term")), f"{path}/lists", range_rows)
         known = (lists.groupBy("term").agg(F.sum("n").alias("n_records"))
                  .select(F.substring_index("term", ":", 1).alias("field"), "term", "n_records",
                          F.expr("substring(term, instr(term, ':') + 1)").alias("token")))

@@ -96,10 +96,14 @@ def search_total(spark, d):
     return S.search_total(v_arxiv(spark, d), KW, "keyword")
 
 
+#: The columns that the searches read or return.
+INDEXED = ["arxiv_id", "title", "abstract", "authors", "categories", "published"]
+
+
 @query("index_keyword_search", with_views(_strip(_page_sql(_kw_pred(KW), start=5, n=10)), "v_arxiv"),
        "FLT8 TOP3 (keyword search through an inverted index)")
 def index_keyword_search(spark, d):
-    index = TextIndex.build(v_arxiv(spark, d), scratch_path(spark, "records"))
+    index = TextIndex.build(v_arxiv(spark, d).select(*INDEXED), scratch_path(spark, "records"))
     return _out(S.page(index.search(KW), 5, 10))
 
 
@@ -117,7 +121,7 @@ def _search_pred(kind, q):
     f"FROM v_arxiv WHERE {_search_pred(k, q)}" for k, q in SEARCHES), "v_arxiv"),
     "FLT8 REL2 (keyword, author and title searches through an inverted index, all matches)")
 def index_searches(spark, d):
-    index = TextIndex.build(v_arxiv(spark, d), scratch_path(spark, "records"))
+    index = TextIndex.build(v_arxiv(spark, d).select(*INDEXED), scratch_path(spark, "records"))
     found = [index.search(q, k).select(F.lit(f"{k}: {q}").alias("search"), "arxiv_id", "relevance_score") for k, q in SEARCHES]
     return reduce(DataFrame.unionByName, found)
 

@@ -42,6 +42,22 @@ def test_many_terms_are_joined_to_the_same_result(records, index, monkeypatch):
     assert sorted(r.arxiv_id for r in index.search("a e").collect()) == sorted(r.arxiv_id for r in S.search(records, "a e").collect())
 
 
+def test_records_are_computed_once_and_a_piece_of_a_range_has_its_own_lists(spark, records, tmpdir_path, monkeypatch):
+    from scholarq.operators import text_index
+    monkeypatch.setattr(text_index, "LIST_TOKENS", 200)  # captured by the tasks: several pieces of a range
+    computed = spark.sparkContext.accumulator(0)
+
+    def counted(title):
+        computed.add(1)
+        return title
+    index = TextIndex.build(records.withColumn("title", F.udf(counted, useArrow=False)("title")), f"{tmpdir_path}/index", range_rows=128)
+    assert computed.value == 300
+    the = index.lists.filter("term = 'title:the'")
+    assert the.count() > 4 and the.select(F.explode("numbers").alias("no")).distinct().count() == the.agg(F.sum("n")).first()[0] == 300
+    for q in ("lph", "graph the", "ünder", "cs. math"):
+        assert sorted(r.arxiv_id for r in index.search(q).collect()) == sorted(r.arxiv_id for r in S.search(records, q).collect()), q
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
