@@ -97,10 +97,14 @@ def fit_clusters(papers: DataFrame, id_col: str = "paper_id", title_col: str = "
 
 
 def principal_components(vec: DataFrame, n: int, features: int, k: int) -> np.ndarray:
-    """CL6: k x features.  The covariance is summed over the sparse vectors in a tree; it has max_features squared
-    numbers, whose largest eigenvectors are taken directly (a full decomposition on one JVM thread takes far longer)."""
-    rows = MLUtils.convertVectorColumnsFromML(vec.select("features"), "features")
-    covariance = RowMatrix(rows, n, features).computeCovariance().toArray() if n > 1 else np.eye(features)
+    """CL6: k x features.  The products of each vector's own numbers are summed in a tree and centred afterwards
+    (``computeCovariance`` centres every vector, which makes it dense, if the first one it meets is dense); the covariance has
+    max_features squared numbers, whose largest eigenvectors are taken directly (a full decomposition on one JVM thread takes far longer)."""
+    covariance = np.eye(features)
+    if n > 1:
+        rows = MLUtils.convertVectorColumnsFromML(vec.select("features"), "features")
+        mean = vec.agg(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
+        covariance = (RowMatrix(rows, n, features).computeGramianMatrix().toArray() - n * np.outer(mean, mean)) / (n - 1)
     values, vectors = np.linalg.eigh(covariance)
     return vectors[:, np.argsort(-values, kind="stable")[:k]].T
 

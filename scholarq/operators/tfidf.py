@@ -26,6 +26,8 @@ MAX_FEATURES = 1000
 TOP_TERMS = 5
 #: Tokens that a task counts at once, as a run, and documents that are added to a run at once.
 RUN_TOKENS, RUN_STEP = 1 << 18, 16
+#: Terms that are broadcast to count them exactly; more are joined by a shuffle.
+FEW_TERMS = 100_000
 
 
 def assemble_text(title: Column, abstract: Column) -> Column:
@@ -128,9 +130,9 @@ def top_terms_by_threshold(kept: DataFrame, max_features: int = MAX_FEATURES, ke
 
     m = runs.filter("top").select("run").distinct().count()
     least = max(1, -(-last_place(sums(runs.filter("top"))) // max(m, 1)))
-    partial = sums(runs.filter((F.col("n") >= least) | F.col("top")))
-    able = partial.filter(F.col("cf") + (F.lit(m) - F.col("seen")) * (least - 1) >= last_place(partial)).select("term")
-    counts = runs.join(able, "term").groupBy("term").agg(F.sum("n").alias("cf"))
+    partial = cut_lineage(sums(runs.filter((F.col("n") >= least) | F.col("top"))))
+    able = cut_lineage(partial.filter(F.col("cf") + (F.lit(m) - F.col("seen")) * (least - 1) >= last_place(partial)).select("term"))
+    counts = runs.join(F.broadcast(able) if able.count() <= FEW_TERMS else able, "term").groupBy("term").agg(F.sum("n").alias("cf"))
     top = cut_lineage(counts.orderBy(F.desc("cf"), F.asc("term")).limit(max_features))
     removed(spark, path)
     return top

@@ -9,6 +9,7 @@ from scholarq.operators import clustering as C
 from scholarq.operators import merge as G
 from scholarq.operators import metadata as M
 from scholarq.operators import search as S
+from scholarq.operators import tfidf as T
 from scholarq.operators.delta import DeltaRuns
 from scholarq.plans import q_delta, q_merge, q_search, q_sources
 
@@ -83,3 +84,23 @@ def test_products_of_sparse_and_dense_vectors(spark):
     assert np.allclose([found[i] for i in (1, 2, 3)], expected)
     empty = pa.array([], pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))]))
     assert C.dots(empty, np.ones((2, 4))).shape == (0, 2)
+
+
+def test_covariance_is_summed_over_sparse_products(spark, monkeypatch):
+    def dense(self):
+        raise AssertionError("every vector is made dense")
+    monkeypatch.setattr(C.RowMatrix, "computeCovariance", dense)
+    rng = np.random.default_rng(1)
+    whole = np.vstack([rng.random((1, 6)), rng.random((40, 6)) * (rng.random((40, 6)) < 0.4) * [5, 3, 1, 1, 1, 1]])
+    rows = [(Vectors.dense(whole[0].tolist()),)] + [(Vectors.sparse(6, [(i, float(x)) for i, x in enumerate(r) if x]),) for r in whole[1:]]
+    vec = spark.createDataFrame(rows, ["features"]).coalesce(1)  # the first vector is dense
+    values, vectors = np.linalg.eigh(np.cov(whole.T))
+    expected = vectors[:, np.argsort(-values)[:2]].T
+    assert np.allclose(np.abs((C.principal_components(vec, len(whole), 6, 2) * expected).sum(axis=1)), 1.0)
+
+
+def test_exact_counts_are_the_same_joined_or_broadcast(spark, monkeypatch):
+    kept = spark.createDataFrame([([f"w{i % 7}", f"w{i % 3}", f"x{i}"],) for i in range(60)], "kept array<string>")
+    found = T.top_terms_by_threshold(kept, 5).orderBy("term").collect()
+    monkeypatch.setattr(T, "FEW_TERMS", 0)
+    assert len(found) == 5 and T.top_terms_by_threshold(kept, 5).orderBy("term").collect() == found
