@@ -129,6 +129,11 @@ def index_searches(spark, d):
 AU_DOTTED = "Supplier#000000017."
 
 
+def _built(records):
+    """The records with the columns that the searches read, built once: every tier reads them."""
+    return written(records.select(*INDEXED), "records")[0]
+
+
 def _tiered(tiers):
     u = " UNION ALL ".join(f"SELECT *, {i} AS tier FROM ({t})" for i, t in enumerate(tiers))
     return f"SELECT * EXCLUDE (tier) FROM ({u}) WHERE tier = (SELECT min(tier) FROM ({u}))"
@@ -139,7 +144,7 @@ def _tiered(tiers):
     _page_sql(_author_pred("Supplier#000000017"), _author_rel("Supplier#000000017"), 0, 10, True),
     _page_sql(_kw_pred(AU_DOTTED), "1.0", 0, 10)])), "v_arxiv"), "TOP4 STR1 (author variants)")
 def author_fallback(spark, d):
-    return _out(S.author_search_with_fallback(v_arxiv(spark, d), AU_DOTTED, 0, 10))
+    return _out(S.author_search_with_fallback(_built(v_arxiv(spark, d)), AU_DOTTED, 0, 10))
 
 
 # Pages within and past the end of the winning tier: the second tier has fewer matches than the keyword tier.
@@ -150,8 +155,7 @@ PAGES = [0, 3, 10_000_000]
     f"SELECT {start}::BIGINT AS start, count(*) AS n_rows FROM ({_strip(_page_sql(_author_pred('Supplier#000000017'), start=start))})"
     for start in PAGES), "v_arxiv"), "TOP4 TOP3 (a page past the end is empty)")
 def author_fallback_pages(spark, d):
-    # The records are built once, with the columns that the searches read.
-    r, _ = written(v_arxiv(spark, d).select("arxiv_id", "title", "abstract", "authors", "categories", "published"), "records")
+    r = _built(v_arxiv(spark, d))
     return reduce(DataFrame.unionByName, [
         S.author_search_with_fallback(r, AU_DOTTED, start, 10).agg(F.count(F.lit(1)).alias("n_rows"))
         .select(F.lit(start).cast("long").alias("start"), "n_rows") for start in PAGES])
@@ -171,7 +175,7 @@ def _ranked(page, *cols):
     rows=_strip(_page_sql(_author_pred("Supplier#000000017"), _author_rel("Supplier#000000017"), 0, 10, True))), "v_arxiv"),
     "TOP4 TOP5 STR1 (order of the fallback's rows)")
 def author_fallback_ranked(spark, d):
-    return _ranked(S.author_search_with_fallback(v_arxiv(spark, d), AU_DOTTED, 0, 10), "arxiv_id", "relevance_score")
+    return _ranked(S.author_search_with_fallback(_built(v_arxiv(spark, d)), AU_DOTTED, 0, 10), "arxiv_id", "relevance_score")
 
 
 @query("author_surname_first", with_views(_RANKED.format(
@@ -181,7 +185,7 @@ def author_fallback_ranked(spark, d):
     "TOP4 STR1 (the surname-first tier wins)")
 def author_surname_first(spark, d):
     r = v_arxiv(spark, d).withColumn("authors", F.transform("authors", lambda a: F.replace(a, F.lit("#"), F.lit(", "))))
-    return _ranked(S.author_search_with_fallback(r, AU_FIRST, 0, 10), "arxiv_id", "relevance_score")
+    return _ranked(S.author_search_with_fallback(_built(r), AU_FIRST, 0, 10), "arxiv_id", "relevance_score")
 
 
 @query("catalog_ranked", with_views(

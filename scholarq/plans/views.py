@@ -94,8 +94,9 @@ def v_arxiv(spark: SparkSession, sf_dir: str, only: int | list[int] | None = Non
              .join(s, li.l_suppkey == s.s_suppkey))
     parsed = F.when(F.col("l_returnflag") == "R", F.array(F.col("s_name"))).otherwise(
         F.array(F.col("s_name"), F.col("s_nationkey").cast("string")))
-    # Orders have a handful of lines each, so the per-order lists are small.
-    per_order = lines.groupBy("l_orderkey").agg(
+    # Orders have a handful of lines each, so the per-order lists are small.  The lines are dealt out as they
+    # are and listed there: lists made before the shuffle hold one or two lines and are larger than these.
+    per_order = lines.repartition("l_orderkey").groupBy("l_orderkey").agg(
         F.array_join(F.array_sort(F.collect_set("p_type")), " ").alias("categories"),
         F.array_sort(F.collect_set("s_name")).alias("authors"),
         F.array_join(F.array_sort(F.collect_set("p_name")), " ").alias("title_words"),

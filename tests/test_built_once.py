@@ -1,8 +1,12 @@
 """Inputs that a query needs several times are built once; vectors are not made dense."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from scholarq.operators import boundaries as B
 from scholarq.operators import clustering as C
@@ -12,6 +16,8 @@ from scholarq.operators import search as S
 from scholarq.operators import tfidf as T
 from scholarq.operators.delta import DeltaRuns
 from scholarq.plans import q_delta, q_merge, q_search, q_sources
+from scholarq.plans.views import v_arxiv
+from scholarq.session import written
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,6 +49,35 @@ def test_pages_read_built_records(spark, monkeypatch):
     assert len(seen) == 3 and not any("Join" in p for p in seen)
 
 
+@pytest.mark.parametrize("name", ["author_fallback", "author_fallback_ranked", "author_surname_first"])
+def test_fallback_tiers_read_built_records(spark, monkeypatch, name):
+    seen = _watched(monkeypatch, S, "author_search_with_fallback", 0)
+    getattr(q_search, name)(spark, SF)
+    assert len(seen) == 1 and "Join" not in seen[0]
+
+
+def test_lines_are_dealt_out_before_they_are_listed(spark):
+    plan = v_arxiv(spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "RepartitionByExpression [l_orderkey" in _plan(v_arxiv(spark, SF)) or "Exchange hashpartitioning(l_orderkey" in plan
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+
+def test_written_frames_leave_no_shuffle_files(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = _shuffle_files(spark), spark.conf.get(name, None)
+    df, _ = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "freed")
+    for _ in range(50):  # executors remove them by themselves
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(name, None) == was
+    assert df.agg(F.sum("count")).first()[0] == 1000
+
+
 def test_sections_read_parsed_lines(spark, monkeypatch):
     seen = _watched(monkeypatch, M, "analyse", 0)
     q_sources.metadata_sections(spark, SF)
