@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholarq.operators.merge import _fs
-from scholarq.session import removed
+from scholarq.session import removed, shuffles_freed
 
 BATCH = "_batch"
 
@@ -98,8 +98,9 @@ class DeltaRuns:
             one = (new.groupBy(*self.key)
                    .agg(F.max(F.struct(*(["_order"] if order_col else []), *others, BATCH)).alias("_r"))
                    .select(*self.key, *[F.col("_r")[c].alias(c) for c in [*others, BATCH]]))
-        (one.select(*self._stored.names).sortWithinPartitions(*self.key)
-         .write.mode("overwrite").parquet(f"{self.root}/r-{batch}-{batch}-0"))
+        with shuffles_freed(self.spark):
+            (one.select(*self._stored.names).sortWithinPartitions(*self.key)
+             .write.mode("overwrite").parquet(f"{self.root}/r-{batch}-{batch}-0"))
         return True
 
     def read(self, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
@@ -131,7 +132,9 @@ class DeltaRuns:
                 return folds
             rows = self._rows([path for _, _, _, path in tail])
             files = max(1, -(-rows.count() // self.rows_per_file))  # counted from the footers
-            (self._merged(rows).select(*self._stored.names).repartitionByRange(files, *self.key)
-             .sortWithinPartitions(*self.key)
-             .write.mode("overwrite").parquet(f"{self.root}/r-{tail[0][0]}-{tail[-1][1]}-{tail[0][2] + 1}"))
+            # Rows of a key lie in one range, so they are merged there and not dealt out again.
+            with shuffles_freed(self.spark):
+                (self._merged(rows.repartitionByRange(files, *self.key)).select(*self._stored.names)
+                 .sortWithinPartitions(*self.key)
+                 .write.mode("overwrite").parquet(f"{self.root}/r-{tail[0][0]}-{tail[-1][1]}-{tail[0][2] + 1}"))
             folds += 1

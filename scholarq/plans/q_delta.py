@@ -88,7 +88,9 @@ _FINAL = (f"SELECT * FROM ({_OLD}) WHERE published < TIMESTAMP '{REPLACED_FROM}'
        GROUP BY ALL""", "v_arxiv", extra={"final": _FINAL}),
     "AGG2 AGG4 AGG6 AGG7 AGG8 (counts kept by differences; replaced records are retracted)")
 def maintained_statistics(spark, d):
-    records = v_arxiv(spark, d)
+    # Built once; each batch reads its dates.
+    records, _ = written(v_arxiv(spark, d).select("arxiv_id", "published", "categories", "authors_parsed", "versions", "update_date", "doi",
+                                                  "license", "journal_ref"), "records")
     old = records.filter(F.col("published") < F.lit(STORED_BEFORE).cast("timestamp")).withColumns({
         "categories": F.concat(F.lit("OLD "), F.coalesce("categories", F.lit(""))),
         "authors_parsed": F.concat(F.array(F.array(F.lit("Old"), F.lit("Author"))), F.coalesce("authors_parsed", F.array().cast("array<array<string>>"))),

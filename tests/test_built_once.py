@@ -15,6 +15,7 @@ from scholarq.operators import metadata as M
 from scholarq.operators import search as S
 from scholarq.operators import tfidf as T
 from scholarq.operators.delta import DeltaRuns
+from scholarq.operators.maintained import MaintainedStatistics
 from scholarq.plans import q_delta, q_merge, q_search, q_sources
 from scholarq.plans.views import v_arxiv
 from scholarq.session import written
@@ -156,3 +157,26 @@ def test_snapshots_are_compressed_in_files_of_bounded_size(spark, monkeypatch):
     sizes = [r["count"] for r in lines.groupBy("_metadata.file_name").count().collect()]
     assert all(f.endswith(".gz") for f in lines.inputFiles()) and max(sizes) <= 100
     assert sum(sizes) == lines.distinct().count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
+def test_statistics_read_built_records(spark, monkeypatch):
+    seen = _watched(monkeypatch, MaintainedStatistics, "apply", 2)
+    q_delta.maintained_statistics(spark, SF)
+    assert len(seen) == 3 and not any("Join" in p for p in seen)
+
+
+@pytest.mark.parametrize("add", [None, "n"])
+def test_folds_deal_rows_out_once(spark, tmpdir_path, monkeypatch, add):
+    store = DeltaRuns(spark, tmpdir_path, spark.createDataFrame([], "k string, n long").schema, ["k"], add=add, fanout=2, rows_per_file=4)
+    store.append(1, spark.createDataFrame([("a", 1), (None, 2), ("b", 3), ("c", 4)], "k string, n long"))
+    store.append(2, spark.createDataFrame([("a", 10), (None, 20), ("d", 40)], "k string, n long"))
+    plans, real = [], DeltaRuns._merged
+
+    def merged(self, rows):
+        out = real(self, rows)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+    monkeypatch.setattr(DeltaRuns, "_merged", merged)
+    assert store.compact() == 1 and plans[0].count("Exchange") == 1 and "rangepartitioning" in plans[0]
+    want = {"a": 10, None: 20, "b": 3, "c": 4, "d": 40} if add is None else {"a": 11, None: 22, "b": 3, "c": 4, "d": 40}
+    assert {r["k"]: r["n"] for r in store.read().collect()} == want and len(spark.read.parquet(store.runs()[0][3]).inputFiles()) == 2
